@@ -35,7 +35,7 @@ def _(v: Views):
 @query(
     "fine_event_at_position",
     """SELECT a.*, coalesce(c.event_row, b.event_row) AS event_row, coalesce(c.event_idx, b.event_idx) AS event_idx
-       FROM asked a LEFT JOIN contained c USING (book_id, chapter_idx, at) LEFT JOIN begun b USING (book_id, chapter_idx, at)""",
+       FROM asked a LEFT JOIN contained c USING (book_id, chapter_idx, "at") LEFT JOIN begun b USING (book_id, chapter_idx, "at")""",
     contained=CONTAINED,
     begun=BEGUN,
 )
@@ -47,7 +47,7 @@ def event_at(v: Views):
     "jn_16_reading_prefix_selection",
     """SELECT a.book_id, a.chapter_idx, a.at, l.id AS event_row FROM asked a
          JOIN chapter_last l ON l.book_id = a.book_id AND l.chapter_idx < a.chapter_idx
-       UNION ALL SELECT book_id, chapter_idx, at, event_row FROM begun""",
+       UNION ALL SELECT book_id, chapter_idx, "at", event_row FROM begun""",
     begun=BEGUN,
 )
 def _(v: Views):
@@ -188,7 +188,7 @@ def _(v: Views):
     """SELECT DISTINCT f.book_id, f.chapter_idx, f.at, t.character_id,
          (SELECT max(CAST(CAST(s.node_weight AS FLOAT) AS DOUBLE)) FROM story_stat s WHERE s.event_id = f.event_row AND s.character_id = t.character_id) AS weight
        FROM (SELECT a.*, coalesce(c.event_row, b.event_row) AS event_row FROM asked a
-               LEFT JOIN contained c USING (book_id, chapter_idx, at) LEFT JOIN begun b USING (book_id, chapter_idx, at)) f
+               LEFT JOIN contained c USING (book_id, chapter_idx, "at") LEFT JOIN begun b USING (book_id, chapter_idx, "at")) f
        JOIN touch t ON t.event_id = f.event_row""",
     contained=CONTAINED,
     begun=BEGUN,

@@ -376,7 +376,7 @@ SQL_VIEWS = {
         UNION ALL SELECT book_id, from_id, event_id, chapter_idx, event_idx, ordinal, 1, id, NULL FROM edge_fact
         UNION ALL SELECT book_id, to_id, event_id, chapter_idx, event_idx, ordinal, 2, id, NULL FROM edge_fact""",
     "chapter_last": """SELECT * FROM story_event QUALIFY row_number() OVER (PARTITION BY book_id, chapter_idx ORDER BY idx DESC, id DESC) = 1""",
-    "asked": """SELECT DISTINCT book_id, chapter_idx, at FROM position""",
+    "asked": """SELECT DISTINCT book_id, chapter_idx, "at" FROM position""",
 }
 
 
