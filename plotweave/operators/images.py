@@ -1,0 +1,305 @@
+"""Image assets: newest per character, attempts, transitions, approval, fan-out."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from plotweave.functions import status
+from plotweave.functions.text import is_blank
+from plotweave.plans.pick import earliest, latest
+from plotweave.plans.scan import prefix_scan, slice_of
+
+
+def latest_assets(assets: DataFrame) -> DataFrame:
+    return latest(assets, ["char_id"], ["created_at", "id"])
+
+
+def character_status(characters: DataFrame, assets: DataFrame) -> DataFrame:
+    """Characters with their newest asset, if any."""
+    newest = latest_assets(assets).select(
+        "char_id", F.col("id").alias("asset_id"), F.col("role").alias("asset_role"), F.col("status").alias("asset_status")
+    )
+    return characters.join(newest, characters["id"] == newest["char_id"], "left").select(
+        "id", "character_id", "book_id", "name", "is_main", "profile_image", "image_status", "asset_id", "asset_role", "asset_status"
+    )
+
+
+def book_status(books: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Reference state of each book's image profile."""
+    state = F.coalesce("reference_status", F.lit("NONE"))
+    return books.select("book_id").join(profiles, "book_id", "left").select(
+        "book_id",
+        state.alias("reference_status"),
+        "active_asset_id",
+        "reference_char_id",
+        F.coalesce("reference_version", F.lit(0)).alias("reference_version"),
+        ((state == "APPROVED") & F.col("active_asset_id").isNotNull()).alias("can_fanout"),
+    )
+
+
+def max_attempts(assets: DataFrame) -> DataFrame:
+    return assets.groupBy("char_id", "role").agg(F.max("attempt_no").alias("max_attempt"))
+
+
+def numbered_attempts(requests: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Attempt number of each new asset: one more than before it, per (character, role)."""
+    rows = requests.withColumn("_slice", slice_of(F.col("id")))
+    numbered = prefix_scan(rows, ["char_id", "role"], ["_slice"], ["id"], {"attempt_no": ("count", F.lit(1))}).drop("_slice")
+    if stored is None:
+        return numbered
+    joined = numbered.join(max_attempts(stored), ["char_id", "role"], "left")
+    return joined.withColumn("attempt_no", F.col("attempt_no") + F.coalesce("max_attempt", F.lit(0))).drop("max_attempt")
+
+
+def characters_with_status(assets: DataFrame, statuses: list[str]) -> DataFrame:
+    """Characters that have an asset in one of the statuses, with the newest such asset's time."""
+    return assets.filter(F.col("status").isin(statuses)).groupBy("book_id", "char_id").agg(
+        F.max("created_at").alias("newest")
+    )
+
+
+# ----------------------------------------------------------------- transitions
+
+# The status each action sets.
+ACTION_STATUS = {
+    "generated": "QA_PENDING",
+    "qa_pass": "QA_PASSED",
+    "qa_fail": "QA_FAILED",
+    "approve": "APPROVED",
+    "reject": "REJECTED",
+    "fail": "FAILED",
+    "stale_reference": "STALE_REFERENCE",
+    "supersede": "SUPERSEDED",
+}
+
+
+def replay_assets(assets: DataFrame, actions: DataFrame) -> DataFrame:
+    """Asset rows after ordered actions (id, seq, action, url, failure_code).
+
+    All actions but ``publish`` set a fixed status, so the last one decides. ``publish``
+    needs a publishable status and an image; it is judged against the last other
+    action before it, which is one aggregate per asset and no replay.
+    """
+    target = F.create_map(*[F.lit(x) for pair in ACTION_STATUS.items() for x in pair])
+    plain = F.col("action") != "publish"
+    sets_code = F.col("action").isin("qa_pass", "qa_fail", "fail")
+    code = F.when(F.col("action") != "qa_pass", F.col("failure_code"))
+    ends = actions.groupBy("id").agg(
+        F.max(F.when(plain, F.struct("seq", target[F.col("action")].alias("status")))).alias("_plain"),
+        F.max(F.when(~plain, F.col("seq"))).alias("_publish"),
+        F.max_by(F.struct("url"), F.when(F.col("action") == "generated", F.col("seq"))).alias("_generated"),
+        F.max_by(F.struct(code.alias("code")), F.when(sets_code, F.col("seq"))).alias("_code"),
+    )
+    joined = assets.join(ends, "id", "left")
+    base = F.coalesce("_plain.status", "status")
+    url = F.when(F.col("_generated").isNotNull(), F.col("_generated.url")).otherwise(F.col("url"))
+    published = (
+        F.col("_publish").isNotNull()
+        & (F.col("_plain").isNull() | (F.col("_publish") > F.col("_plain.seq")))
+        & status.is_publishable(base)
+        & ~is_blank(url)
+    )
+    return joined.select(
+        *[
+            F.when(published, "PUBLISHED").otherwise(base).alias(c) if c == "status"
+            else url.alias(c) if c == "url"
+            else F.when(F.col("_code").isNotNull(), F.col("_code.code")).otherwise(F.col(c)).alias(c) if c == "failure_code"
+            else F.col(c)
+            for c in assets.columns
+        ]
+    )
+
+
+def replay_profiles(profiles: DataFrame, actions: DataFrame) -> DataFrame:
+    """Reference profiles after ordered actions (book_id, seq, action, asset_id, char_id).
+
+    Actions: generating, qa_pass, qa_fail, approve, reject. Each sets the status; approval
+    and QA also set the asset; approval raises the version.
+    """
+    # Fixed values.
+    target = F.create_map(
+        *[F.lit(x) for x in ("generating", "CANDIDATE_GENERATING", "qa_pass", "QA_PASSED", "qa_fail", "QA_FAILED",
+                             "approve", "APPROVED", "reject", "REJECTED")]
+    )
+    sets_asset = F.col("action").isin("qa_pass", "approve")
+    ends = actions.groupBy("book_id").agg(
+        F.max_by(target[F.col("action")], "seq").alias("_status"),
+        F.max_by("asset_id", F.when(sets_asset, F.col("seq"))).alias("_asset"),
+        F.max_by("char_id", F.when(F.col("action") != "reject", F.col("seq"))).alias("_char"),
+        F.count_if(F.col("action") == "approve").alias("_approvals"),
+    )
+    joined = profiles.join(ends, "book_id", "full")
+    return joined.select(
+        "book_id",
+        F.coalesce("_status", "reference_status").alias("reference_status"),
+        F.coalesce("_asset", "active_asset_id").alias("active_asset_id"),
+        F.coalesce("_char", "reference_char_id").alias("reference_char_id"),
+        (F.coalesce("reference_version", F.lit(0)) + F.coalesce("_approvals", F.lit(0))).cast("int").alias("reference_version"),
+    )
+
+
+def approve_references(assets: DataFrame, profiles: DataFrame, approvals: DataFrame) -> dict[str, DataFrame]:
+    """One reference approval per book and batch (book_id, asset_id).
+
+    The approved seed is published; the previous reference is superseded and its published
+    derivatives go stale; the version rises. Approving the active reference again only
+    publishes it. A seed of another role, another book or without passed QA is refused.
+    """
+    candidate = assets.select(
+        F.col("id").alias("asset_id"), "book_id", F.col("char_id").alias("_char"), F.col("role").alias("_role"),
+        F.col("status").alias("_status"), F.col("url").alias("_url"),
+    )
+    # Profile columns are renamed, as the candidate rows carry the book id as well.
+    held = profiles.select(
+        "book_id", F.col("active_asset_id").alias("_previous"), F.col("reference_status").alias("_state"),
+        F.col("reference_version").alias("_version"),
+    )
+    judged = approvals.join(candidate, ["book_id", "asset_id"], "left").join(held, "book_id", "left").withColumn(
+        "verdict",
+        F.when(F.col("_role").isNull(), "not in book")
+        .when(F.col("_role") != "REFERENCE_SEED", "role")
+        .when(~status.is_publishable(F.col("_status")), "status")
+        .when(is_blank(F.col("_url")), "no image")
+        .when((F.col("_state") == "APPROVED") & (F.col("_previous") == F.col("asset_id")), "again")
+        .otherwise("approved"),
+    )
+    approved = judged.filter("verdict = 'approved'")
+    published = judged.filter("verdict IN ('approved', 'again')").select(F.col("asset_id").alias("id"), F.lit(True).alias("_publish"))
+    replaced = approved.filter(F.col("_previous").isNotNull() & (F.col("_previous") != F.col("asset_id"))).select(
+        F.col("_previous").alias("id"), F.lit(True).alias("_superseded")
+    )
+    stale = replaced.select(F.col("id").alias("source_asset_id"), F.lit(True).alias("_stale"))
+    marked = assets.join(published, "id", "left").join(replaced, "id", "left").join(stale, "source_asset_id", "left")
+    new_assets = marked.select(
+        *[
+            F.when(F.col("_publish"), "PUBLISHED")
+            .when(F.col("_superseded"), "SUPERSEDED")
+            .when(F.col("_stale") & status.is_publishable(F.col("status")), "STALE_REFERENCE")
+            .otherwise(F.col("status"))
+            .alias(c)
+            if c == "status" else F.col(c)
+            for c in assets.columns
+        ]
+    )
+    changes = approved.select("book_id", F.col("asset_id").alias("_new_asset"), F.col("_char").alias("_new_char"))
+    joined = profiles.join(changes, "book_id", "full")
+    hit = F.col("_new_asset").isNotNull()
+    new_profiles = joined.select(
+        "book_id",
+        F.coalesce("_new_asset", "active_asset_id").alias("active_asset_id"),
+        F.coalesce("_new_char", "reference_char_id").alias("reference_char_id"),
+        (F.coalesce("reference_version", F.lit(0)) + hit.cast("int")).alias("reference_version"),
+        F.when(hit, "APPROVED").otherwise(F.col("reference_status")).alias("reference_status"),
+    )
+    images = judged.filter("verdict IN ('approved', 'again')").select(F.col("_char").alias("id"), F.col("_url").alias("profile_image"))
+    return {
+        "assets": new_assets,
+        "profiles": new_profiles,
+        "character_images": images,
+        "verdicts": judged.select("book_id", "asset_id", "verdict"),
+    }
+
+
+def publish_images(characters: DataFrame, images: DataFrame) -> DataFrame:
+    """Characters with new image urls, now COMPLETED."""
+    joined = characters.join(images.select("id", F.col("profile_image").alias("_image")), "id", "left")
+    hit = F.col("_image").isNotNull()
+    return joined.select(
+        *[
+            F.coalesce("_image", c).alias(c) if c == "profile_image"
+            else F.when(hit, "COMPLETED").otherwise(F.col(c)).alias(c) if c == "image_status" else F.col(c)
+            for c in characters.columns
+        ]
+    )
+
+
+def fail_images(characters: DataFrame, failed: DataFrame, fallback: str) -> DataFrame:
+    """Characters whose generation failed get the fallback image and FAILED."""
+    marks = failed.select("id").distinct().withColumn("_f", F.lit(True))
+    hit = F.col("_f").isNotNull()
+    return characters.join(marks, "id", "left").select(
+        *[
+            F.when(hit, F.lit(fallback)).otherwise(F.col(c)).alias(c) if c == "profile_image"
+            else F.when(hit, "FAILED").otherwise(F.col(c)).alias(c) if c == "image_status" else F.col(c)
+            for c in characters.columns
+        ]
+    )
+
+
+def without_finished(characters: DataFrame) -> DataFrame:
+    """Characters still to generate: no image yet, or not COMPLETED."""
+    finished = F.col("profile_image").isNotNull() & (F.col("profile_image") != "") & (F.col("image_status") == "COMPLETED")
+    return characters.filter(~F.coalesce(finished, F.lit(False)))
+
+
+# --------------------------------------------------------------------- fan-out
+
+
+def default_reference(characters: DataFrame) -> DataFrame:
+    """First character of each book: main before others, then by name."""
+    return earliest(
+        characters.withColumn("_side", ~F.col("is_main")), ["book_id"], ["_side", "name", "id"]
+    ).drop("_side")
+
+
+def check_selection(selection: DataFrame, characters: DataFrame) -> DataFrame:
+    """Selected ids that do not exist or belong to another book."""
+    owner = characters.select(F.col("id").alias("char_id"), F.col("book_id").alias("_owner"))
+    joined = selection.join(owner, "char_id", "left")
+    return joined.filter(F.col("_owner").isNull() | (F.col("_owner") != F.col("book_id"))).select(
+        "book_id", "char_id", F.when(F.col("_owner").isNull(), "unknown").otherwise("other book").alias("problem")
+    )
+
+
+def fanout_targets(
+    requests: DataFrame, characters: DataFrame, assets: DataFrame, profiles: DataFrame, selection: DataFrame | None = None
+) -> DataFrame:
+    """Characters each request (book_id, scope, overwrite, max_targets) regenerates.
+
+    Needs an approved reference; its own character is left out; ``skipped`` marks those
+    that keep the image they have. ``max_targets`` is the request's own top-k.
+    """
+    scoped = F.coalesce(status.fanout_scope(F.col("scope")), F.lit("INVALID"))
+    approved = profiles.filter((F.col("reference_status") == "APPROVED") & F.col("active_asset_id").isNotNull()).select(
+        "book_id", "reference_char_id"
+    )
+    asked = requests.withColumn("scope", scoped).join(approved, "book_id", "inner")
+    people = characters.select("id", "book_id", "name", "is_main", "profile_image")
+    stale = characters_with_status(assets, status.STALE).select(F.col("char_id").alias("id"), F.col("newest").alias("_stale"))
+    failed = characters_with_status(assets, status.RETRYABLE).select(F.col("char_id").alias("id"), F.col("newest").alias("_failed"))
+    joined = asked.join(people, "book_id", "inner").join(stale, "id", "left").join(failed, "id", "left")
+    if selection is None:
+        joined = joined.withColumn("_chosen", F.lit(False))
+    else:
+        chosen = selection.select("book_id", F.col("char_id").alias("id")).distinct().withColumn("_chosen", F.lit(True))
+        joined = joined.join(chosen, ["book_id", "id"], "left")
+    by_scope = (
+        F.when(F.col("scope") == "MAIN_ONLY", F.col("is_main"))
+        .when(F.col("scope").isin("GRAPH_VISIBLE", "ALL"), F.lit(True))
+        .when(F.col("scope") == "SELECTED", F.coalesce("_chosen", F.lit(False)))
+        .when(F.col("scope") == "STALE_ONLY", F.col("_stale").isNotNull())
+        .when(F.col("scope") == "FAILED_ONLY", F.col("_failed").isNotNull())
+        .otherwise(F.lit(False))
+    )
+    wanted = joined.filter(by_scope & ~F.col("id").eqNullSafe(F.col("reference_char_id")))
+    # Stale and failed scopes go by the newest asset, the others by the cast order.
+    recency = F.when(F.col("scope") == "STALE_ONLY", F.col("_stale")).when(F.col("scope") == "FAILED_ONLY", F.col("_failed"))
+    order = Window.partitionBy("book_id").orderBy(F.desc(recency), F.desc("is_main"), "name", "id")
+    limited = wanted.withColumn("rank", F.row_number().over(order)).filter(
+        F.col("max_targets").isNull() | (F.col("max_targets") <= 0) | (F.col("rank") <= F.col("max_targets"))
+    )
+    keeps = ~F.col("overwrite") & status.has_image(F.col("profile_image")) & ~F.col("scope").isin("STALE_ONLY", "FAILED_ONLY")
+    return limited.select("book_id", "scope", "id", "rank", keeps.alias("skipped"))
+
+
+def fanout_totals(targets: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Targets, successes, failures and skips per book; ``outcomes`` has (id, status)."""
+    made = targets.join(outcomes.select("id", F.col("status").alias("_status")), "id", "left")
+    ok = ~F.col("skipped") & F.col("_status").isin("PUBLISHED", "QA_PASSED")
+    return made.groupBy("book_id").agg(
+        F.count("*").alias("target_count"),
+        F.count_if(ok).alias("success_count"),
+        F.count_if(~F.col("skipped") & ~F.coalesce(ok, F.lit(False))).alias("failed_count"),
+        F.count_if("skipped").alias("skipped_count"),
+    )

@@ -1,0 +1,199 @@
+"""Validated ingest of the four payload kinds.
+
+Each function takes uploads (upload_id, book_id, file, json) and the stored tables,
+and returns the rows to write, the rejected rows, and the books touched. An upload is
+all or nothing. Payload items are exploded first, so no upload is held by one task.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plotweave.functions import ids
+from plotweave.functions.coords import offset_to_locator, total_code_points
+from plotweave.functions.text import description, join_names, optional_text
+from plotweave.operators import quality
+from plotweave.sources import payloads
+
+UPLOAD = ["upload_id", "book_id"]
+
+
+def _rejects(*parts: DataFrame) -> DataFrame:
+    rows = [p.select(*UPLOAD, F.explode("reasons").alias("reason")) for p in parts]
+    out = rows[0]
+    for part in rows[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def deltas(uploads: DataFrame, events: DataFrame, characters: DataFrame) -> dict[str, DataFrame]:
+    """Relationship deltas: edges and stats of clean uploads, and the events they replace."""
+    parsed = payloads.parse_deltas(uploads).withColumn(
+        "event_idx", ids.event_idx(F.col("event_ref"), F.col("chapter_idx"))
+    )
+    known_events = events.select("book_id", "chapter_idx", F.col("idx").alias("event_idx"), F.col("id").alias("event_id"))
+    placed = parsed.join(known_events, ["book_id", "chapter_idx", "event_idx"], "left").withColumn(
+        "event_unknown", F.col("event_id").isNull()
+    )
+    header = ["upload_id", "book_id", "event_id"]
+    files = quality.with_reasons(
+        quality.flag_duplicates(placed, ["upload_id", "book_id", "chapter_idx", "event_idx"], "event_twice"),
+        quality.delta_file_rules(),
+    )
+    people = characters.select("book_id", "character_id", F.col("id").alias("char_id"))
+
+    items = (
+        payloads.delta_edges(placed.select(*header, "items", "node_weights"))
+        .withColumn("from_id", ids.character_id(F.col("from_raw")))
+        .withColumn("to_id", ids.character_id(F.col("to_raw")))
+    )
+    items = quality.flag_duplicates(items, ["upload_id", "event_id", "from_id", "to_id"], "edge_twice")
+    for end in ("from", "to"):
+        side = people.select("book_id", F.col("character_id").alias(f"{end}_id"), F.col("char_id").alias(f"{end}_char_id"))
+        items = items.join(side, ["book_id", f"{end}_id"], "left").withColumn(
+            f"{end}_unknown", F.col(f"{end}_char_id").isNull()
+        )
+    items = quality.with_reasons(items, quality.delta_item_rules())
+
+    weights = payloads.delta_weights(placed.select(*header, "items", "node_weights")).withColumn(
+        "character_id", ids.character_id(F.col("character_raw"))
+    )
+    weights = weights.join(people, ["book_id", "character_id"], "left").withColumn(
+        "character_unknown", F.col("char_id").isNull()
+    )
+    weights = quality.with_reasons(weights, quality.delta_weight_rules())
+
+    bad = [part.filter(F.size("reasons") > 0) for part in (files, items, weights)]
+    rejected = bad[0].select(*UPLOAD).unionByName(bad[1].select(*UPLOAD)).unionByName(bad[2].select(*UPLOAD)).distinct()
+
+    def clean(df: DataFrame) -> DataFrame:
+        return df.join(rejected, UPLOAD, "left_anti")
+
+    edges = clean(items).select(
+        "event_id",
+        "book_id",
+        "from_id",
+        "to_id",
+        "from_char_id",
+        "to_char_id",
+        F.col("reason").alias("explanation"),
+        F.to_json("labels").alias("relation_tags"),
+        F.col("evidence_count").alias("interaction_count"),
+        F.col("positivity").cast("float").alias("sentiment_score"),
+    )
+    stats = clean(weights).select("event_id", "book_id", "character_id", "char_id", "node_weight")
+    return {
+        "edges": edges,
+        "stats": stats,
+        "replaced_events": clean(files).select("book_id", "event_id").distinct(),
+        "rejects": _rejects(*bad),
+        "rejected_uploads": rejected,
+    }
+
+
+def replace_by_event(current: DataFrame, incoming: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Rows after a replacement: everything of the replaced events goes, the new rows come in."""
+    kept = current.join(replaced.select("event_id"), "event_id", "left_anti")
+    return kept.unionByName(incoming, allowMissingColumns=True)
+
+
+def events(uploads: DataFrame, chapters: DataFrame, texts: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
+    """Events: offsets checked against the chapter text, locators resolved.
+
+    ``texts`` is (book_id, idx, text).
+    """
+    parsed = payloads.parse_events(uploads).withColumn(
+        "idx", ids.event_idx(F.col("event_raw"), F.col("chapter_idx"))
+    )
+    known = chapters.select("book_id", F.col("idx").alias("chapter_idx"), "chapter_id", "starts", "lengths", "total_code_points")
+    held = existing.select("chapter_id").distinct().withColumn("has_events", F.lit(True))
+    body = texts.select("book_id", F.col("idx").alias("chapter_idx"), F.col("text").alias("chapter_text"))
+    rows = quality.flag_duplicates(parsed, ["upload_id", "file", "chapter_idx", "idx"], "idx_twice")
+    rows = (
+        rows.join(known, ["book_id", "chapter_idx"], "left")
+        .join(held, "chapter_id", "left")
+        .withColumn("chapter_known", F.col("chapter_id").isNotNull())
+        .withColumn("has_events", F.coalesce("has_events", F.lit(False)))
+    )
+    # The text comes in last and leaves at once, so it is never shuffled per event.
+    with_text = rows.join(body, ["book_id", "chapter_idx"], "left")
+    checked = quality.with_reasons(with_text, quality.event_rules()).drop("chapter_text")
+    # A file without items only warns; it brings no rows and rejects nothing of its own.
+    checked = checked.filter(F.col("item_no").isNotNull() | F.col("malformed") | F.col("chapter_idx").isNull())
+    good, bad = quality.split_uploads(checked, UPLOAD)
+    total = total_code_points(F.col("total_code_points"), F.col("starts"), F.col("lengths"))
+
+    def place(offset: str):
+        return offset_to_locator(F.col("chapter_idx"), F.col("starts"), F.col("lengths"), total, F.col(offset))
+
+    out = good.select(
+        "book_id",
+        "chapter_id",
+        "chapter_idx",
+        "idx",
+        ids.normalized_event_id(F.col("event_raw"), F.col("chapter_idx"), F.col("idx")).alias("event_id"),
+        place("start_txt")["blockIndex"].alias("start_block"),
+        place("start_txt")["offset"].alias("start_offset"),
+        place("end_txt")["blockIndex"].alias("end_block"),
+        place("end_txt")["offset"].alias("end_offset"),
+        "start_txt",
+        "end_txt",
+        "raw_text",
+    )
+    return {"events": out, "rejects": _rejects(bad), "rejected_uploads": bad.select(*UPLOAD).distinct()}
+
+
+def roster(uploads: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
+    """Characters: new ones only, existing ones are skipped; the book prompt rides along."""
+    parsed = payloads.parse_roster(uploads)
+    items = parsed.filter("item_no IS NOT NULL")
+    good, bad = quality.split_uploads(quality.with_reasons(items, quality.roster_rules()), UPLOAD)
+    rows = good.select(
+        "book_id",
+        ids.character_id(F.col("character_raw")).alias("character_id"),
+        optional_text(F.col("common_name")).alias("name"),
+        join_names(F.col("names"), optional_text(F.col("common_name"))).alias("names"),
+        "is_main",
+        F.lit(1).alias("first_chapter_idx"),
+        description(F.col("descriptions"), F.col("description_ko")).alias("personality_text"),
+        optional_text(F.col("portrait_prompt")).alias("profile_text"),
+        F.lit("PENDING").alias("image_status"),
+    )
+    fresh = rows.join(existing.select("book_id", "character_id"), ["book_id", "character_id"], "left_anti")
+    rejected = bad.select(*UPLOAD).distinct()
+    prompts = (
+        parsed.join(rejected, UPLOAD, "left_anti")
+        .select("book_id", optional_text(F.col("book_prompt")).alias("book_prompt"))
+        .filter("book_prompt IS NOT NULL")
+        .distinct()
+    )
+    return {"characters": fresh, "prompts": prompts, "rejects": _rejects(bad), "rejected_uploads": rejected}
+
+
+def summaries(uploads: DataFrame, chapters: DataFrame, characters: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
+    """Point-of-view summaries of chapters that have none yet."""
+    parsed = payloads.parse_summaries(uploads).withColumn("character_id", ids.character_id(F.col("character_raw")))
+    known = chapters.select("book_id", F.col("idx").alias("chapter_idx"), "chapter_id")
+    held = existing.select("chapter_id").distinct().withColumn("has_summaries", F.lit(True))
+    people = characters.select("book_id", "character_id", F.col("id").alias("char_id"))
+    rows = (
+        parsed.join(known, ["book_id", "chapter_idx"], "left")
+        .join(held, "chapter_id", "left")
+        .join(people, ["book_id", "character_id"], "left")
+        .withColumns(
+            {
+                "chapter_known": F.col("chapter_id").isNotNull(),
+                "has_summaries": F.coalesce("has_summaries", F.lit(False)),
+                "character_unknown": F.col("char_id").isNull(),
+            }
+        )
+    )
+    good, bad = quality.split_uploads(quality.with_reasons(rows, quality.summary_rules()), UPLOAD)
+    out = good.select("book_id", "chapter_id", "char_id", optional_text(F.col("summary_text")).alias("summary_text"))
+    return {
+        "summaries": out,
+        "summarized_chapters": good.select("book_id", "chapter_id").distinct(),
+        "rejects": _rejects(bad),
+        "rejected_uploads": bad.select(*UPLOAD).distinct(),
+    }
