@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.functions import status
 from plotweave.functions.text import is_blank
-from plotweave.plans.pick import earliest, latest
+from plotweave.plans.pick import earliest, latest, top_per_key
 from plotweave.plans.scan import prefix_scan, slice_of
 
 
@@ -285,12 +285,13 @@ def fanout_targets(
     wanted = joined.filter(by_scope & ~F.col("id").eqNullSafe(F.col("reference_char_id")))
     # Stale and failed scopes go by the newest asset, the others by the cast order.
     recency = F.when(F.col("scope") == "STALE_ONLY", F.col("_stale")).when(F.col("scope") == "FAILED_ONLY", F.col("_failed"))
-    order = Window.partitionBy("book_id").orderBy(F.desc(recency), F.desc("is_main"), "name", "id")
-    limited = wanted.withColumn("rank", F.row_number().over(order)).filter(
-        F.col("max_targets").isNull() | (F.col("max_targets") <= 0) | (F.col("rank") <= F.col("max_targets"))
-    )
+    order = [F.desc("_recency"), F.desc("is_main"), F.asc("name"), F.asc("id")]
+    wanted = wanted.withColumn("_recency", recency)
+    capped = F.coalesce(F.col("max_targets") > 0, F.lit(False))
+    some = top_per_key(wanted.filter(capped), ["book_id"], order, "max_targets", "id").drop("rank")
+    limited = wanted.filter(~capped).unionByName(some)
     keeps = ~F.col("overwrite") & status.has_image(F.col("profile_image")) & ~F.col("scope").isin("STALE_ONLY", "FAILED_ONLY")
-    return limited.select("book_id", "scope", "id", "rank", keeps.alias("skipped"))
+    return limited.select("book_id", "scope", "id", keeps.alias("skipped"))
 
 
 def fanout_totals(targets: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -336,9 +336,9 @@ SQL_VIEWS = {
         c_custkey * 7 // 80 * 100 + c_nationkey + 1 AS char_id, c_mktsegment || ' view of ' || c_name AS summary_text
         FROM customer""",
     "activity": """SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k,
-        epoch_us(ts) AS at FROM events""",
+        epoch_us(ts) AS "at" FROM events""",
     "position": """SELECT event_id AS position_id, event_id // 85 AS book_id, k % 9 + 1 AS chapter_idx,
-        CAST(event_id * 37 % 1720 AS INT) AS at FROM activity""",
+        CAST(event_id * 37 % 1720 AS INT) AS "at" FROM activity""",
     "block": """SELECT conv_id AS chapter_id, CAST(turn AS INT) AS block_idx, text, CAST(length(text) AS INT) AS length
         FROM conversations""",
     "line": """SELECT doc_id AS chapter_id, CAST(i - 1 AS INT) AS block_idx, lines[i] AS text
@@ -346,24 +346,24 @@ SQL_VIEWS = {
             FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))""",
     "favorite": """SELECT DISTINCT o_custkey AS user_id, l_partkey AS book_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "progress": """SELECT event_id, user_id, CAST(k % 5 AS BIGINT) AS book_id, k % 8 + 1 AS chapter_idx,
-        CAST(event_id % 5 AS INT) AS block_idx, CAST(event_id % 520 AS INT) AS "offset", at FROM activity""",
+        CAST(event_id % 5 AS INT) AS block_idx, CAST(event_id % 520 AS INT) AS "offset", "at" FROM activity""",
     "bookmark": """SELECT event_id AS id, user_id, CAST(k % 5 AS BIGINT) AS book_id, k * 10 AS start_txt,
         CASE WHEN event_type = 'error' THEN NULL ELSE CAST(k * 10 + event_id % 50 + 1 AS INT) END AS end_txt,
         CASE WHEN event_type = 'view' THEN NULL ELSE '#A1B2C3' END AS color,
-        CASE WHEN event_type = 'click' THEN NULL ELSE 'memo ' || event_id END AS memo, at AS created_at FROM activity""",
+        CASE WHEN event_type = 'click' THEN NULL ELSE 'memo ' || event_id END AS memo, "at" AS created_at FROM activity""",
     "job": """SELECT event_id AS id, user_id AS book_id,
         CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'READY' WHEN 'click' THEN 'PROCESSING'
              ELSE 'QUEUED' END AS status,
-        CASE WHEN event_id % 10 = 9 THEN 'AI_ANALYSIS' ELSE 'NORMALIZATION' END AS pipeline_type, at AS created_at
+        CASE WHEN event_id % 10 = 9 THEN 'AI_ANALYSIS' ELSE 'NORMALIZATION' END AS pipeline_type, "at" AS created_at
         FROM activity""",
     "job_log": """SELECT event_id AS id, event_id // 7 AS job_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
-        event_type AS step, k, at AS created_at FROM activity""",
+        event_type AS step, k, "at" AS created_at FROM activity""",
     "asset": """SELECT event_id AS id, user_id // 25 AS book_id, user_id // 25 * 100 + user_id % 25 + 1 AS char_id,
         (['REFERENCE_SEED','DERIVED_CHARACTER','STANDALONE_TEXT'])[k % 3 + 1] AS role,
         CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'PUBLISHED' WHEN 'click' THEN 'QA_PASSED'
              WHEN 'view' THEN 'STALE_REFERENCE' ELSE 'QA_PENDING' END AS status,
         CASE WHEN event_type = 'error' THEN NULL WHEN k % 10 = 0 THEN ' ' ELSE 'img/' || event_id || '.png' END AS url,
-        at AS created_at FROM activity""",
+        "at" AS created_at FROM activity""",
     "story_order": """SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_idx, idx, id) AS ordinal FROM story_event""",
     "edge_fact": """SELECT e.*, v.chapter_idx, v.idx AS event_idx, v.event_id AS event_ref, v.ordinal,
         least(e.from_id, e.to_id) AS left_id, greatest(e.from_id, e.to_id) AS right_id,
