@@ -71,6 +71,7 @@ def deltas(uploads: DataFrame, events: DataFrame, characters: DataFrame) -> dict
         return df.join(rejected, UPLOAD, "left_anti")
 
     edges = clean(items).select(
+        "upload_id",
         "event_id",
         "book_id",
         "from_id",
@@ -82,16 +83,24 @@ def deltas(uploads: DataFrame, events: DataFrame, characters: DataFrame) -> dict
         F.col("evidence_count").alias("interaction_count"),
         F.col("positivity").cast("float").alias("sentiment_score"),
     )
-    stats = clean(weights).select("event_id", "book_id", "character_id", "char_id", "node_weight")
+    stats = clean(weights).select("upload_id", "event_id", "book_id", "character_id", "char_id", "node_weight")
     return {
         "edges": edges,
         "stats": stats,
-        "replaced_events": clean(files).select("book_id", "event_id").distinct(),
+        "replaced_events": clean(files).select("upload_id", "book_id", "event_id").distinct(),
         "rejects": _rejects(*bad),
         "rejected_uploads": rejected,
     }
 
 
+def newest_uploads(done: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """When several uploads replace one event, only the last one counts."""
+    last = done["replaced_events"].groupBy("book_id", "event_id").agg(F.max("upload_id").alias("upload_id"))
+    keys = ["event_id", "upload_id"]
+    kept = {name: done[name].join(last.select(*keys), keys, "left_semi") for name in ("edges", "stats")}
+    return {**done, **kept, "replaced_events": last}
+
+
 def replace_by_event(current: DataFrame, incoming: DataFrame, replaced: DataFrame) -> DataFrame:
     """Rows after a replacement: everything of the replaced events goes, the new rows come in."""
     kept = current.join(replaced.select("event_id"), "event_id", "left_anti")
