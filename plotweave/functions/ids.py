@@ -7,24 +7,23 @@ from pyspark.sql import functions as F
 
 from plotweave.functions.text import optional_text
 
-# Fixed values.
-CHARACTER_ID = r"^(?i:c0*)?(\d+)$"
-EVENT_ID = r"^ch(\d+)-e(\d+)$"
+# Identifiers, with the blanks that are trimmed around them.
+EDGE = r"[\x00-\x20]*"
+CHARACTER_ID = rf"^{EDGE}(?:[cC]0*)?(\d+){EDGE}$"
+EVENT_ID = rf"^{EDGE}ch(\d+)-e(\d+){EDGE}$"
+PLAIN_IDX = rf"^{EDGE}([+-]?\d+){EDGE}$"
 
 
 def character_id(raw: Column) -> Column:
     """Digits, or ``c``-prefixed digits in any case; null means reject."""
-    digits = F.nullif(F.regexp_extract(optional_text(raw), CHARACTER_ID, 1), F.lit(""))
-    return digits.try_cast("long")
+    return F.regexp_extract(raw, CHARACTER_ID, 1).try_cast("long")
 
 
 def event_idx(event_id: Column, chapter_idx: Column) -> Column:
     """Event index from ``ch{c}-e{i}`` of the same chapter, or a plain integer."""
-    clean = optional_text(event_id)
-    chapter = F.nullif(F.regexp_extract(clean, EVENT_ID, 1), F.lit("")).try_cast("int")
-    idx = F.nullif(F.regexp_extract(clean, EVENT_ID, 2), F.lit("")).try_cast("int")
-    plain = F.when(clean.rlike(r"^[+-]?\d+$"), clean.try_cast("int"))
-    return F.when(clean.rlike(EVENT_ID), F.when(chapter == chapter_idx, idx)).otherwise(plain)
+    chapter = F.regexp_extract(event_id, EVENT_ID, 1).try_cast("int")
+    named = F.when(chapter == chapter_idx, F.regexp_extract(event_id, EVENT_ID, 2).try_cast("int"))
+    return F.coalesce(named, F.regexp_extract(event_id, PLAIN_IDX, 1).try_cast("int"))
 
 
 def normalized_event_id(event_id: Column, chapter_idx: Column, idx: Column) -> Column:

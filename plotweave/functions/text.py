@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 NAMES_SEPARATOR = ","
 PREVIEW_CODE_POINTS = 2000
 ELLIPSIS = "..."
+CONTROLS = "".join(map(chr, range(33)))
 
 
 def trim_controls(c: Column) -> Column:
     """Trim space and every control character below it (not only U+0020)."""
-    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(c, F.lit(CONTROLS))
 
 
 def collapse(c: Column) -> Column:

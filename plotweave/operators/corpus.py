@@ -218,9 +218,9 @@ def cap_groups(units: DataFrame, limit: int = MAX_CHAPTERS) -> DataFrame:
 
     Needs (book_id, unit_no, group_no, reason, promoted); adds chapter_idx.
     """
-    counts = units.groupBy("book_id").agg(F.max("group_no").alias("_n"))
+    groups = F.max("group_no").over(Window.partitionBy("book_id"))
     chunk = F.greatest(F.ceil(F.col("_n") / limit), F.lit(1))
-    chunked = units.join(counts, "book_id", "inner").withColumn(
+    chunked = units.withColumn("_n", groups).withColumn(
         "chapter_idx", (F.floor((F.col("group_no") - 1) / chunk) + 1).cast("int")
     )
     chapter = Window.partitionBy("book_id", "chapter_idx")

@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions.coords import tags
-from plotweave.functions.ids import direction
+from plotweave.functions.ids import EVENT_ID, direction
 from plotweave.functions.text import split_names, truncated
 from plotweave.plans.intervals import stab
 from plotweave.plans.pick import latest
-from plotweave.plans.scan import ordinal, prefix_scan, slice_of
+from plotweave.plans.scan import as_of, ordinal, prefix_scan, slice_of
+from plotweave.session import cut
 
 PAIR = ["left_id", "right_id"]
 FOREVER = 2**40
@@ -50,7 +51,7 @@ def edge_facts(edges: DataFrame, events: DataFrame) -> DataFrame:
         "chapter_idx",
         F.col("idx").alias("event_idx"),
         F.col("event_id").alias("event_ref"),
-        *[c for c in ("ordinal",) if c in events.columns],
+        *[c for c in ("ordinal", "story", "reading") if c in events.columns],
     )
     return edges.join(place, "event_id", "inner")
 
@@ -155,17 +156,54 @@ def as_map(rows: DataFrame, keys: Sequence[str], key: str, value: str, name: str
 
 
 def relationship_edges(facts: DataFrame, keys: Sequence[str] = ("book_id",)) -> DataFrame:
-    """The whole folded edge: evidence, positivity, top labels, scores, directions, newest."""
+    """The whole folded edge: evidence, positivity, top labels, scores, directions, newest.
+
+    Each edge is written once for the pair, once for its direction and once per label, so
+    one aggregation sums everything and a second one gathers a pair's few sums.
+    """
     group = [*keys, *PAIR]
-    scores = label_scores(facts, keys)
-    empty = F.array().cast("array<string>")
-    return (
-        fold_edges(facts, keys)
-        .join(top_label_lists(scores, keys), group, "left")
-        .join(as_map(scores, group, "label", "score", "label_scores"), group, "left")
-        .join(as_map(direction_counts(facts, keys), group, "direction", "count", "direction_counts"), group, "left")
-        .withColumn("labels", F.coalesce("labels", empty))
-        .withColumn("label_scores", F.coalesce("label_scores", F.create_map().cast("map<string,bigint>")))
+    pair, way, label = (F.lit(kind).cast("tinyint") for kind in (0, 1, 2))
+    order = F.struct("chapter_idx", "event_idx", "id")
+    newest = F.struct(F.col("_tags").alias("labels"), "explanation", "event_ref")
+    measures = F.concat(
+        F.array(
+            F.struct(pair.alias("kind"), F.lit("").alias("key")),
+            F.struct(way.alias("kind"), direction(F.col("from_id"), F.col("to_id")).alias("key")),
+        ),
+        F.transform("_tags", lambda t: F.struct(label.alias("kind"), t.alias("key"))),
+    )
+    rows = paired(facts).withColumn("_tags", tags(F.col("relation_tags"))).withColumn("_m", F.explode(measures))
+    whole = F.col("_m.kind") == pair
+    sums = rows.groupBy(*group, F.col("_m.kind").alias("kind"), F.col("_m.key").alias("key")).agg(
+        F.sum("evidence").alias("n"),
+        F.sum(F.when(whole, F.col("weighted"))).alias("weighted"),
+        F.max(F.when(whole, F.struct(order.alias("order"), newest.alias("value")))).alias("newest"),
+    )
+
+    def entries(kind: Column) -> Column:
+        picked = F.when(F.col("kind") == kind, F.struct("key", F.col("n").alias("value")))
+        return F.map_from_entries(F.array_sort(F.collect_list(picked)))
+
+    whole = F.col("kind") == pair
+    best = F.array_sort(F.collect_list(F.when(F.col("kind") == label, F.struct(-F.col("n"), "key"))))
+    gathered = sums.groupBy(*group).agg(
+        F.max(F.when(whole, F.col("n"))).alias("evidence_count"),
+        F.max(F.when(whole, F.col("weighted"))).alias("_weighted"),
+        F.max(F.when(whole, F.col("newest"))).alias("_newest"),
+        F.transform(F.slice(best, 1, 3), lambda x: x["key"]).alias("labels"),
+        entries(label).alias("label_scores"),
+        entries(way).alias("direction_counts"),
+    )
+    return gathered.select(
+        *group,
+        "evidence_count",
+        mean_positivity(F.col("_weighted"), F.col("evidence_count")).alias("positivity"),
+        F.col("_newest.value.labels").alias("latest_labels"),
+        F.col("_newest.value.explanation").alias("latest_reason"),
+        F.col("_newest.value.event_ref").alias("latest_event_id"),
+        "labels",
+        "label_scores",
+        "direction_counts",
     )
 
 
@@ -241,9 +279,7 @@ def running_fold(
         reduced.append(F.max(F.struct(order.alias("order"), newest.alias("value"))).alias("_newest"))
         scans["_newest_so_far"] = ("max", F.col("_newest"))
     steps = rows.groupBy(*keys, at).agg(*reduced).withColumn("_slice", slice_of(F.col(at)))
-    scanned = prefix_scan(steps, keys, ["_slice"], [at], scans)
-    back = scanned.withColumns({"_back": -F.col(at), "_back_slice": -F.col("_slice")})
-    ended = prefix_scan(back, keys, ["_back_slice"], ["_back"], {"_next": ("min", F.col(at))}, inclusive=False)
+    ended = prefix_scan(steps, keys, ["_slice"], [at], scans, following={"_next": at})
     kept = [F.col(name + "_so_far").alias(name) for name in sums]
     if newest is not None:
         kept.append(F.col("_newest_so_far.value").alias("newest"))
@@ -301,73 +337,73 @@ def state_at(states: DataFrame, requests: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- scopes
 
 
+CHAPTER_SPAN = 2**32
+END_OF_BOOK = 2**62
+
+
+def _coordinate(chapter: Column, place: Column) -> Column:
+    """Chapter and place in it as one number."""
+    return chapter.cast("long") * CHAPTER_SPAN + place.cast("long")
+
+
 def scope_ordinals(scopes: DataFrame, story: DataFrame, reading: DataFrame) -> DataFrame:
     """Turn requested scopes into the ordinal of their last event (0: none).
 
-    ``scopes`` has (scope_id, book_id, scope, chapter_idx, event_ref, at). A locator
-    scope is a prefix of the reading order, the others of the story order, so the
-    result says which order its ordinal counts in.
+    ``scopes`` has (scope_id, book_id, scope, chapter_idx, event_ref, at). Every scope ends
+    at a coordinate, so an as-of lookup answers it. A locator scope is a prefix of the
+    reading order, the others of the story order, so the result says which order its
+    ordinal counts in. An event scope must name an existing event.
     """
-    from plotweave.plans.scan import as_of
-
-    whole = story.groupBy("book_id").agg(F.max("ordinal").alias("_book"))
-    per_chapter = story.groupBy("book_id", "chapter_idx").agg(F.max("ordinal").alias("_upto"))
-    asked_chapters = scopes.select("book_id", F.col("chapter_idx").cast("int").alias("chapter_idx")).filter(
-        F.col("chapter_idx").isNotNull()
-    )
-    through = as_of(asked_chapters, per_chapter, ["book_id"], "chapter_idx", "_upto").withColumnRenamed("_upto", "_chapter")
-    earlier = (
-        as_of(
-            asked_chapters.withColumn("chapter_idx", F.col("chapter_idx") - 1),
-            per_chapter,
-            ["book_id"],
-            "chapter_idx",
-            "_upto",
+    chapter = F.col("chapter_idx")
+    named = F.struct(
+        F.regexp_extract("event_ref", EVENT_ID, 1).try_cast("int").alias("c"),
+        F.regexp_extract("event_ref", EVENT_ID, 2).try_cast("int").alias("i"),
+    )
+    asked = scopes.withColumn("along", F.when(F.col("scope") == "locator", "reading").otherwise("story")).withColumn(
+        "_spot",
+        F.when(F.col("scope") == "book", F.lit(END_OF_BOOK))
+        .when(F.col("scope") == "chapter", _coordinate(chapter + 1, F.lit(-1)))
+        .when(F.col("scope") == "event", _coordinate(named["c"], named["i"]))
+        .when(F.col("scope") == "locator", _coordinate(chapter, F.col("at"))),
+    )
+    found = None
+    for along, events, place in (("story", story, "idx"), ("reading", reading, "start_txt")):
+        marks = events.select(
+            "book_id",
+            _coordinate(F.col("chapter_idx"), F.col(place)).alias("_spot"),
+            F.struct("ordinal", _coordinate(F.col("chapter_idx"), F.col(place)).alias("spot")).alias("_hit"),
         )
-        .withColumn("chapter_idx", F.col("chapter_idx") + 1)
-        .withColumnRenamed("_upto", "_earlier")
-    )
-    starts = reading.groupBy("book_id", "chapter_idx", F.col("start_txt").alias("at")).agg(
-        F.max("ordinal").alias("_here")
-    )
-    here = as_of(
-        scopes.filter(F.col("scope") == "locator").select("book_id", "chapter_idx", "at"),
-        starts,
-        ["book_id", "chapter_idx"],
-        "at",
-        "_here",
-    )
-    named = story.select("book_id", F.col("event_id").alias("event_ref"), F.col("ordinal").alias("_event"))
-    joined = (
-        scopes.join(whole, "book_id", "left")
-        .join(through, ["book_id", "chapter_idx"], "left")
-        .join(earlier, ["book_id", "chapter_idx"], "left")
-        .join(here, ["book_id", "chapter_idx", "at"], "left")
-        .join(named, ["book_id", "event_ref"], "left")
-    )
-    upto = (
-        F.when(F.col("scope") == "book", F.col("_book"))
-        .when(F.col("scope") == "chapter", F.col("_chapter"))
-        .when(F.col("scope") == "event", F.col("_event"))
-        .when(F.col("scope") == "locator", F.coalesce("_here", "_earlier"))
-    )
+        points = asked.filter((F.col("along") == along) & F.col("_spot").isNotNull()).select("book_id", "_spot")
+        hits = as_of(points, marks, ["book_id"], "_spot", "_hit").withColumn("along", F.lit(along))
+        found = hits if found is None else found.unionByName(hits)
+    joined = asked.join(found, ["book_id", "along", "_spot"], "left")
+    missing = (F.col("scope") == "event") & (F.col("_hit.spot") != F.col("_spot"))
     return joined.select(
         *scopes.columns,
-        F.coalesce(upto, F.lit(0)).cast("long").alias("upto"),
-        F.when(F.col("scope") == "locator", "reading").otherwise("story").alias("along"),
+        F.when(missing, F.lit(0)).otherwise(F.coalesce("_hit.ordinal", F.lit(0))).cast("long").alias("upto"),
+        "along",
     )
 
 
 def graph_edges_at(
-    scopes: DataFrame, edges: DataFrame, story: DataFrame, reading: DataFrame
+    resolved: DataFrame, edges: DataFrame, story: DataFrame, reading: DataFrame
 ) -> DataFrame:
-    """Folded edges of every requested scope, from the running folds."""
-    resolved = scope_ordinals(scopes, story, reading)
+    """Folded edges of every distinct prefix among the resolved scopes.
+
+    ``resolved`` comes from ``scope_ordinals``. Many readers share one prefix, so graphs
+    are keyed by (book_id, along, upto) and join back to any number of scopes.
+    """
+    both = story.join(reading.select("id", F.col("ordinal").alias("reading")), "id", "inner")
+    places = both.withColumnRenamed("ordinal", "story")
+    named = places.select("id", "chapter_idx", "idx", "event_id", "story", "reading")
+    # Two orders and their scans read the same facts, so they are written once.
+    facts = cut(edge_facts(edges, named))
     parts = []
-    for along, events in (("story", story), ("reading", reading)):
-        asked = resolved.filter(F.col("along") == along).select("scope_id", "book_id", "upto")
-        parts.append(state_at(running_edges(edge_facts(edges, events)), asked))
-    return parts[0].unionByName(parts[1]).drop("upto", "valid_from", "valid_until")
+    for along in ("story", "reading"):
+        asked = resolved.filter(F.col("along") == along).select("book_id", "upto").distinct()
+        states = state_at(running_edges(facts.withColumnRenamed(along, "ordinal")), asked)
+        parts.append(states.withColumn("along", F.lit(along)))
+    return parts[0].unionByName(parts[1]).drop("valid_from", "valid_until")
 
 
 # ----------------------------------------------------------------- raw deltas

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from plotweave.functions import ids
 from plotweave.functions.coords import offset_to_locator, total_code_points
-from plotweave.functions.text import description, join_names, optional_text
+from plotweave.functions.text import description, join_names, newlines, optional_text
 from plotweave.operators import quality
+from plotweave.session import cut
 from plotweave.sources import payloads
 
 UPLOAD = ["upload_id", "book_id"]
@@ -29,7 +30,8 @@ def _rejects(*parts: DataFrame) -> DataFrame:
 
 def deltas(uploads: DataFrame, events: DataFrame, characters: DataFrame) -> dict[str, DataFrame]:
     """Relationship deltas: edges and stats of clean uploads, and the events they replace."""
-    parsed = payloads.parse_deltas(uploads).withColumn(
+    # Parsed once; items, weights and headers all read the columns they need from it.
+    parsed = cut(payloads.parse_deltas(uploads)).withColumn(
         "event_idx", ids.event_idx(F.col("event_ref"), F.col("chapter_idx"))
     )
     known_events = events.select("book_id", "chapter_idx", F.col("idx").alias("event_idx"), F.col("id").alias("event_id"))
@@ -54,7 +56,7 @@ def deltas(uploads: DataFrame, events: DataFrame, characters: DataFrame) -> dict
         items = items.join(side, ["book_id", f"{end}_id"], "left").withColumn(
             f"{end}_unknown", F.col(f"{end}_char_id").isNull()
         )
-    items = quality.with_reasons(items, quality.delta_item_rules())
+    items = cut(quality.with_reasons(items, quality.delta_item_rules()))
 
     weights = payloads.delta_weights(placed.select(*header, "items", "node_weights")).withColumn(
         "character_id", ids.character_id(F.col("character_raw"))
@@ -112,12 +114,17 @@ def events(uploads: DataFrame, chapters: DataFrame, texts: DataFrame, existing:
 
     ``texts`` is (book_id, idx, text).
     """
-    parsed = payloads.parse_events(uploads).withColumn(
+    parsed = cut(payloads.parse_events(uploads)).withColumn(
         "idx", ids.event_idx(F.col("event_raw"), F.col("chapter_idx"))
     )
     known = chapters.select("book_id", F.col("idx").alias("chapter_idx"), "chapter_id", "starts", "lengths", "total_code_points")
     held = existing.select("chapter_id").distinct().withColumn("has_events", F.lit(True))
-    body = texts.select("book_id", F.col("idx").alias("chapter_idx"), F.col("text").alias("chapter_text"))
+    body = texts.select(
+        "book_id",
+        F.col("idx").alias("chapter_idx"),
+        newlines(F.col("text")).alias("chapter_text"),
+        F.length(newlines(F.col("text"))).alias("chapter_length"),
+    )
     rows = quality.flag_duplicates(parsed, ["upload_id", "file", "chapter_idx", "idx"], "idx_twice")
     rows = (
         rows.join(known, ["book_id", "chapter_idx"], "left")
@@ -127,9 +134,11 @@ def events(uploads: DataFrame, chapters: DataFrame, texts: DataFrame, existing:
     )
     # The text comes in last and leaves at once, so it is never shuffled per event.
     with_text = rows.join(body, ["book_id", "chapter_idx"], "left")
-    checked = quality.with_reasons(with_text, quality.event_rules()).drop("chapter_text")
+    checked = quality.with_reasons(with_text, quality.event_rules()).drop("chapter_text", "chapter_length")
     # A file without items only warns; it brings no rows and rejects nothing of its own.
-    checked = checked.filter(F.col("item_no").isNotNull() | F.col("malformed") | F.col("chapter_idx").isNull())
+    checked = cut(
+        checked.filter(F.col("item_no").isNotNull() | F.col("malformed") | F.col("chapter_idx").isNull())
+    )
     good, bad = quality.split_uploads(checked, UPLOAD)
     total = total_code_points(F.col("total_code_points"), F.col("starts"), F.col("lengths"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plotweave.functions import titles
 from plotweave.operators.corpus import MAX_CHAPTERS, act_groups, cap_groups, kept_units
+from plotweave.plans.spread import spread
 
 
 @dataclass(frozen=True)
@@ -41,10 +42,10 @@ class _Book:
     """
 
     def __init__(self, units: pd.DataFrame):
-        self.role = units["role"].to_numpy()
+        self.role = units["role"].to_numpy(dtype=object)
         self.total = np.concatenate([[0], np.cumsum(units["size"].to_numpy(dtype="int64"))])
-        self.flexible = np.concatenate([[0], np.cumsum(units["role"].isin(titles.FLEXIBLE_ROLES))])
-        self.canto = np.concatenate([[0], np.cumsum(units["role"] == "CANTO")])
+        self.flexible = np.concatenate([[0], np.cumsum([r in titles.FLEXIBLE_ROLES for r in self.role])])
+        self.canto = np.concatenate([[0], np.cumsum(self.role == "CANTO")])
         self.values = {c: units[c].to_numpy(dtype=object) for c in ("parent", "direct", "act_key", "book_key")}
         self.jump = {c: self._next_named(v) for c, v in self.values.items()}
 
@@ -140,13 +141,13 @@ def split_large(book: _Book, groups: list, limits: Limits) -> list:
 
 
 def _start(units: pd.DataFrame) -> list:
-    bounds = units.reset_index(drop=True).groupby("group_no", sort=True)["act"].agg(
-        first=lambda s: s.index[0], last=lambda s: s.index[-1], act=lambda s: s.iloc[0]
-    )
+    numbers, acts = units["group_no"].to_numpy(), units["act"].to_numpy(dtype=object)
+    firsts = np.flatnonzero(np.diff(numbers, prepend=numbers[0] - 1))
+    lasts = np.append(firsts[1:] - 1, len(numbers) - 1)
     return [
-        (int(r.first), int(r.last), "PROMOTE_SCENE_TO_ACT" if isinstance(r.act, str) else "KEEP_AS_IS",
-         r.act if isinstance(r.act, str) else None)
-        for r in bounds.itertuples()
+        (int(f), int(t), "PROMOTE_SCENE_TO_ACT" if isinstance(acts[f], str) else "KEEP_AS_IS",
+         acts[f] if isinstance(acts[f], str) else None)
+        for f, t in zip(firsts, lasts)
     ]
 
 
@@ -195,7 +196,7 @@ def plan_groups(
     def per_book(pdf: pd.DataFrame) -> pd.DataFrame:
         return _plan(pdf, limits, steps)
 
-    planned = described.groupBy("book_id").applyInPandas(
+    planned = spread(described, "book_id").groupBy("book_id").applyInPandas(
         per_book, "book_id long, unit_no int, group_no int, reason string, promoted string"
     )
     return units.drop("group_no", "reason", "promoted").join(planned, ["book_id", "unit_no"], "inner")

@@ -90,11 +90,10 @@ def delta_weight_rules() -> dict[str, Column]:
 
 
 def event_rules() -> dict[str, Column]:
-    """Needs chapter_text, chapter_known, has_events and idx_twice beside the parsed columns."""
-    start, end = F.col("start_txt"), F.col("end_txt")
+    """Needs chapter_text and chapter_length (newlines normalized), chapter_known, has_events, idx_twice."""
+    start, end, text = F.col("start_txt"), F.col("end_txt"), F.col("chapter_text")
     actual = newlines(F.col("raw_text"))
-    text = newlines(F.col("chapter_text"))
-    inside = (start >= 0) & (end <= F.length(text))
+    inside = (start >= 0) & (end <= F.col("chapter_length"))
     return {
         "DQ-10 chapter": F.col("chapter_idx").isNull() | ~F.col("chapter_idx").eqNullSafe(F.coalesce("item_chapter_idx", "chapter_idx")),
         "DQ-15 chapter unknown": ~F.col("chapter_known"),

@@ -7,7 +7,7 @@ map-side combined ``max_by``, so a user with a third of all changes is no hot ta
 from __future__ import annotations
 
 import bisect
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plotweave.functions.text import is_blank, preview
 from plotweave.plans.pick import latest
 from plotweave.plans.scan import prefix_scan, slice_of
+from plotweave.plans.spread import spread
 
 READER = ["user_id", "book_id"]
 
@@ -127,34 +128,35 @@ def accept_bookmarks(requests: DataFrame, existing: DataFrame | None = None) ->
     opened = reach.withColumn("_opens", F.coalesce(F.col("start_txt") >= F.col("_reach"), F.lit(True)).cast("int"))
     islands = prefix_scan(opened, READER, ["_slice"], ["start_txt", "end_txt"], {"island": ("sum", F.col("_opens"))})
 
-    # A lone range needs no replay.
-    sizes = islands.groupBy(*READER, "island").agg(F.count("*").alias("_n"))
-    sized = islands.join(sizes, [*READER, "island"], "inner")
-    alone = sized.filter("_n = 1 AND NOT stored").select("id")
+    order = [F.desc("stored"), F.asc("id")]
     replayed = (
-        sized.filter("_n > 1")
-        .select(*READER, "island", "id", "start_txt", "end_txt", "stored")
-        .groupBy(*READER, "island")
-        .applyInPandas(_replay, "id long")
+        spread(islands.select(*READER, "island", "id", "start_txt", "end_txt", "stored"), *READER, "island")
+        .sortWithinPartitions(*READER, "island", *order)
+        .mapInPandas(_replay, "id long")
     )
-    winners = points.unionByName(alone).unionByName(replayed)
-    return requests.join(winners, "id", "left_semi")
-
-
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First come, first kept; kept ranges stay sorted and disjoint."""
-    starts: list[int] = []
-    ends: list[int] = []
-    kept: list[int] = []
-    ordered = pdf.sort_values(["stored", "id"], ascending=[False, True])
-    for row in ordered.itertuples(index=False):
-        at = bisect.bisect_left(starts, row.end_txt)
-        if row.stored or at == 0 or ends[at - 1] <= row.start_txt:
-            starts.insert(at, row.start_txt)
-            ends.insert(at, row.end_txt)
-            if not row.stored:
-                kept.append(row.id)
-    return pd.DataFrame({"id": pd.Series(kept, dtype="int64")})
+    return requests.join(points.unionByName(replayed), "id", "left_semi")
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First come, first kept, island after island.
+
+    Rows stream in island order, and only the kept ranges of the current island are
+    held; they stay sorted and disjoint, so each newcomer is one bisection.
+    """
+    current, starts, ends = None, [], []
+    for batch in batches:
+        kept = []
+        for row in batch.itertuples(index=False):
+            island = (row.user_id, row.book_id, row.island)
+            if island != current:
+                current, starts, ends = island, [], []
+            at = bisect.bisect_left(starts, row.end_txt)
+            if row.stored or at == 0 or ends[at - 1] <= row.start_txt:
+                starts.insert(at, row.start_txt)
+                ends.insert(at, row.end_txt)
+                if not row.stored:
+                    kept.append(row.id)
+        yield pd.DataFrame({"id": pd.Series(kept, dtype="int64")})
 
 
 # ------------------------------------------------------------------ favorites

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TOP = 40
+_TOP = 31
 
 
 def tiles(start: str, end: str, top: int = _TOP) -> Column:
@@ -29,28 +29,37 @@ def tiles(start: str, end: str, top: int = _TOP) -> Column:
     )
 
 
-def with_tiles(intervals: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per (interval, tile); empty intervals vanish."""
+def _after_last(points: DataFrame, at: str) -> Column:
+    """One past the largest point: a scalar subquery, one number read at run time."""
+    return points.agg(F.greatest(F.max(at).cast("long") + 1, F.lit(1).cast("long"))).scalar()
+
+
+def with_tiles(intervals: DataFrame, start: str, end: str, points: DataFrame, at: str) -> DataFrame:
+    """One row per (interval, tile); intervals that end before they start vanish.
+
+    Open-ended intervals are clipped just after the last point, so their tiles stay few.
+    """
     return (
-        intervals.filter(F.col(start) < F.col(end))
-        .withColumns({"_start": F.col(start).cast("long"), "_end": F.col(end).cast("long")})
+        intervals.withColumn("_last", _after_last(points, at))
+        .withColumns(
+            {
+                "_start": F.greatest(F.col(start).cast("long"), F.lit(0).cast("long")),
+                "_end": F.least(F.col(end).cast("long"), F.col("_last")),
+            }
+        )
+        .filter("_start < _end")
         .withColumn("_tile", F.explode(tiles("_start", "_end")))
         .select(*intervals.columns, F.col("_tile.level").alias("_level"), F.col("_tile.tile").alias("_tile"))
     )
 
 
-def with_levels(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per (point, level) up to the level of the longest interval.
-
-    The longest interval is a scalar subquery: one number, read at run time.
-    """
-    longest = intervals.agg(
-        F.coalesce(F.floor(F.log2(F.max(F.col(end) - F.col(start)).cast("double"))).cast("int"), F.lit(0))
-    ).scalar()
+def with_levels(points: DataFrame, at: str) -> DataFrame:
+    """One row per (point, level); clipped intervals never outgrow the last point."""
     return (
-        points.withColumn("_top", longest)
+        points.filter(F.col(at) >= 0)
+        .withColumn("_last", _after_last(points, at))
         .withColumn("_at", F.col(at).cast("long"))
-        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_top"), F.lit(0)))))
+        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_last"))).cast("int"))))
         .withColumn("_tile", F.expr("shiftright(_at, _level)"))
         .select(*points.columns, "_level", "_tile")
     )
@@ -64,9 +73,9 @@ def stab(
     start: str = "start",
     end: str = "end",
 ) -> DataFrame:
-    """All (point, interval) pairs with start <= at < end and equal keys."""
-    left = with_levels(points, at, intervals, start, end)
-    right = with_tiles(intervals, start, end)
+    """All (point, interval) pairs with start <= at < end and equal keys; points are >= 0."""
+    left = with_levels(points, at)
+    right = with_tiles(intervals, start, end, points, at)
     return left.join(right, [*keys, "_level", "_tile"], "inner").drop("_level", "_tile")
 
 
@@ -82,12 +91,12 @@ def stab_min(
     """Per distinct point, the smallest ``value`` of the intervals that hold it."""
     asked = points.select(*keys, at).distinct()
     best = (
-        with_tiles(intervals.select(*keys, start, end, value), start, end)
+        with_tiles(intervals.select(*keys, start, end, value), start, end, points, at)
         .groupBy(*keys, "_level", "_tile")
         .agg(F.min(value).alias(value))
     )
     return (
-        with_levels(asked, at, intervals, start, end)
+        with_levels(asked, at)
         .join(best, [*keys, "_level", "_tile"], "inner")
         .groupBy(*keys, at)
         .agg(F.min(value).alias(value))

@@ -40,26 +40,35 @@ def prefix_scan(
     order: Sequence[str],
     columns: dict[str, tuple[str, Column]],
     inclusive: bool = True,
+    following: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add running aggregates along ``order`` inside ``keys``.
 
     ``columns`` maps the new column to (sum | count | min | max, expression). With
     ``inclusive=False`` the row itself is left out, so the first row gets null.
+    ``following`` maps a new column to an existing one whose value is taken from the
+    next row; that column must rise with the order.
+
+    What earlier slices carry over is null for every key that fits in one slice. Those
+    rows are dropped before the join, which leaves a handful of rows for the hot keys.
     """
-    keys, slices = list(keys), list(slices)
-    inside = (
-        Window.partitionBy(*keys, *slices)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    before = Window.partitionBy(*keys).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
+    keys, slices, following = list(keys), list(slices), following or {}
+    ordered = Window.partitionBy(*keys, *slices).orderBy(*order)
+    inside = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    by_slice = Window.partitionBy(*keys).orderBy(*slices)
+    before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
 
     scanned = df.withColumns(
-        {f"_in_{name}": _AGGREGATE[kind](expr).over(inside) for name, (kind, expr) in columns.items()}
+        {
+            **{f"_in_{name}": _AGGREGATE[kind](expr).over(inside) for name, (kind, expr) in columns.items()},
+            **{f"_in_{name}": F.lead(source).over(ordered) for name, source in following.items()},
+        }
     )
     totals = df.groupBy(*keys, *slices).agg(
-        *[_AGGREGATE[kind](expr).alias(f"_all_{name}") for name, (kind, expr) in columns.items()]
+        *[_AGGREGATE[kind](expr).alias(f"_all_{name}") for name, (kind, expr) in columns.items()],
+        *[F.min(source).alias(f"_all_{name}") for name, source in following.items()],
     )
+    names = [*columns, *following]
     carried = totals.select(
         *keys,
         *slices,
@@ -67,14 +76,16 @@ def prefix_scan(
             (F.sum if kind == "count" else _AGGREGATE[kind])(f"_all_{name}").over(before).alias(f"_pre_{name}")
             for name, (kind, _) in columns.items()
         ],
-    )
-    joined = scanned.join(carried, keys + slices, "inner")
+        *[F.lead(f"_all_{name}").over(by_slice).alias(f"_pre_{name}") for name in following],
+    ).filter(" OR ".join(f"_pre_{name} IS NOT NULL" for name in names))
+    joined = scanned.join(carried, keys + slices, "left")
     return joined.select(
         *df.columns,
         *[
             _combine(kind, F.col(f"_pre_{name}"), F.col(f"_in_{name}")).alias(name)
             for name, (kind, _) in columns.items()
         ],
+        *[F.coalesce(f"_in_{name}", f"_pre_{name}").alias(name) for name in following],
     )
 
 

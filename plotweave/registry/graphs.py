@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plotweave.functions.coords import tags
 from plotweave.operators import graph
 from plotweave.registry.base import query
+from plotweave.session import cut
 from plotweave.views import Views
 
 
@@ -398,14 +399,17 @@ def _(v: Views):
     scoped=SCOPED_SQL.format(facts="edge_fact"),
 )
 def scoped_graph(v: Views):
-    rows = graph.graph_edges_at(scopes(v), v.edge, graph.story_order(v.event), graph.reading_order(v.event))
-    return rows.groupBy("scope_id").agg(
+    story, reading = graph.story_order(v.event), graph.reading_order(v.event)
+    resolved = cut(graph.scope_ordinals(scopes(v), story, reading))
+    prefix = ["book_id", "along", "upto"]
+    totals = graph.graph_edges_at(resolved, v.edge, story, reading).groupBy(*prefix).agg(
         F.count("*").alias("edges"),
         F.sum("evidence_count").alias("evidence"),
         F.sum(F.round(F.col("positivity") * 1000000).cast("bigint")).alias("positivity_millionths"),
         F.min("latest_event_id").alias("first_latest"),
         F.max("latest_event_id").alias("last_latest"),
     )
+    return resolved.select("scope_id", *prefix).join(totals, prefix, "inner").drop(*prefix)
 
 
 REQUEST_VIEW = """SELECT event_id AS request_id, event_id // 85 AS book_id,

@@ -63,9 +63,10 @@ def delta_uploads(v: Views):
         .otherwise(C("json")),
     )
     twice = files.withColumn("copy", F.explode(F.when(kind == 10, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    # Uploads arrive as many files; spread them like that.
     return twice.select(
         C("event_id").alias("upload_id"), "book_id", F.concat_ws("-", "event_id", "copy").alias("file"), "json"
-    )
+    ).repartition("upload_id")
 
 
 def deltas(v: Views):
@@ -147,7 +148,7 @@ EVENT_BAD = """SELECT doc_id FROM doc WHERE total > 0 AND (doc_id % 9 IN (0, 1,
 
 
 def event_parts(v: Views):
-    docs = v.table("documents").select(
+    docs = v.table("documents").repartition("doc_id").select(
         "doc_id",
         F.expr("doc_id div 8").alias("book_id"),
         F.expr("int(doc_id % 8 + 1)").alias("idx"),
@@ -164,20 +165,21 @@ def event_parts(v: Views):
         C("doc_id").alias("chapter_id"), "book_id", "idx", sums.alias("starts"), "lengths", F.length("text").alias("total_code_points")
     )
     kind = C("doc_id") % 9
-    count = F.ceil(F.length("text") / 100).cast("int")
+    windows = F.regexp_extract_all("text", F.lit("(?s)(.{1,100})"), F.lit(1))
 
-    def item(i):
-        start, end = (i - 1) * 100, F.least(i * 100, F.length("text"))
-        first = i == 1
+    def item(window, position):
+        i = position + F.lit(1)
+        start, end = position * 100, position * 100 + F.length(window)
+        first = position == 0
         return F.struct(
             F.when((kind == 3) & first, F.lit(99)).alias("chapterIndex"),
             F.concat(F.lit("ch"), C("idx").cast("string"), F.lit("-e"), F.when((kind == 2) & (i == 2), F.lit(1)).otherwise(i).cast("string")).alias("eventId"),
             F.when((kind == 1) & first, end).otherwise(start).alias("start"),
             F.when((kind == 5) & first, F.length("text") + 5).otherwise(end).alias("endTxtOffset"),
-            F.when((kind == 0) & first, F.lit("another text")).otherwise(F.substring(C("text"), start + F.lit(1), F.lit(100))).alias("eventText"),
+            F.when((kind == 0) & first, F.lit("another text")).otherwise(window).alias("eventText"),
         )
 
-    items = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), item))
+    items = F.when(F.length("text") > 0, F.transform(windows, item))
     uploads = docs.select(
         C("doc_id").alias("upload_id"),
         "book_id",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -58,9 +59,13 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
-def cut(df):
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to a table in the shared folder and go on from there.
+
+    Used where several branches would repeat an expensive step. Unlike a cache it
+    survives lost executors without recomputing, and unlike an RDD checkpoint it stays
+    columnar, so each branch reads only the columns it needs.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

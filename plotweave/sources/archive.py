@@ -500,8 +500,8 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 def normalize_archives(archives: DataFrame, limits=None) -> dict[str, DataFrame]:
     """Archives to chapters, reports, metadata and failures.
 
-    The parsed rows feed several branches, so they are checkpointed once instead of
-    opening every archive for each branch.
+    The parsed rows, the units and the plan feed several branches, so each is written
+    once instead of opening every archive again for each branch.
     """
     from plotweave.operators import corpus
     from plotweave.operators.planner import Limits, plan_chapters
@@ -511,7 +511,8 @@ def normalize_archives(archives: DataFrame, limits=None) -> dict[str, DataFrame]
     docs, blocks, leaves = part(rows, "doc"), part(rows, "block"), part(rows, "leaf")
     units = corpus.split_units(docs, blocks, leaves)
     pieces = corpus.unit_blocks(units, blocks)
-    sized = corpus.size_and_classify(units, pieces)
+    sized = cut(corpus.size_and_classify(units, pieces))
+    pieces = corpus.unit_blocks(sized, blocks)
     planned = cut(plan_chapters(sized, limits or Limits()))
     chapters = corpus.render_chapters(corpus.chapter_plans(planned), corpus.chapter_blocks(planned, pieces))
     return {
