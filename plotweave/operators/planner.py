@@ -180,7 +180,7 @@ def plan_groups(
 ) -> DataFrame:
     """Group number, reason and promoted title of each kept unit."""
     path = F.col("path")
-    described = act_groups(kept_units(units)).select(
+    described = act_groups(spread(kept_units(units), "book_id")).select(
         "book_id",
         "unit_no",
         "group_no",
@@ -196,7 +196,7 @@ def plan_groups(
     def per_book(pdf: pd.DataFrame) -> pd.DataFrame:
         return _plan(pdf, limits, steps)
 
-    planned = spread(described, "book_id").groupBy("book_id").applyInPandas(
+    planned = described.groupBy("book_id").applyInPandas(
         per_book, "book_id long, unit_no int, group_no int, reason string, promoted string"
     )
     return units.drop("group_no", "reason", "promoted").join(planned, ["book_id", "unit_no"], "inner")

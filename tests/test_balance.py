@@ -1,0 +1,209 @@
+"""The skew-safe plans against plain windows and brute force, with tiny slices."""
+
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from plotweave.operators import images, state
+from plotweave.plans.intervals import stab, stab_min
+from plotweave.plans.nest import nested
+from plotweave.plans.pick import earliest, latest, top_per_key
+from plotweave.plans.scan import as_of, prefix_scan, slice_of
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """Half of the rows share one key."""
+    rnd = random.Random(7)
+    places = {}
+    rows = []
+    for n in range(600):
+        key = 0 if n % 2 else rnd.randint(1, 9)
+        places[key] = places.get(key, 0) + rnd.randint(1, 3)
+        rows.append((key, places[key], rnd.randint(-50, 50)))
+    return spark.createDataFrame(rows, "k int, at int, x int").cache()
+
+
+@pytest.mark.parametrize("kind", ["sum", "count", "min", "max"])
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_prefix_scan_equals_a_window(skewed, kind, inclusive):
+    whole = Window.partitionBy("k").orderBy("at").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    plain = skewed.withColumn("y", getattr(F, kind)("x").over(whole))
+    if kind == "count" and not inclusive:
+        plain = plain.withColumn("y", F.nullif("y", F.lit(0)))
+    sliced = prefix_scan(skewed.withColumn("s", slice_of(F.col("at"), 16)), ["k"], ["s"], ["at"], {"y": (kind, F.col("x"))}, inclusive)
+    got = sliced.drop("s")
+    if kind == "count" and not inclusive:
+        got = got.withColumn("y", F.nullif("y", F.lit(0)))
+    assert sorted(got.collect(), key=str) == sorted(plain.collect(), key=str)
+
+
+def test_following_crosses_slices(skewed):
+    plain = skewed.withColumn("n", F.lead("at").over(Window.partitionBy("k").orderBy("at"))).drop("x")
+    sliced = prefix_scan(
+        skewed.withColumn("s", slice_of(F.col("at"), 16)), ["k"], ["s"], ["at"], {"y": ("sum", F.col("x"))}, following={"n": "at"}
+    ).select("k", "at", "n")
+    assert sorted(sliced.collect(), key=str) == sorted(plain.collect(), key=str)
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_as_of(spark, skewed, reverse):
+    rnd = random.Random(3)
+    asks = [(rnd.randint(0, 10), rnd.randint(0, 700)) for _ in range(200)]
+    points = spark.createDataFrame(asks, "k int, at int")
+    marks = skewed.select("k", "at", F.col("at").alias("v"))
+    got = {(r.k, r["at"]): r.v for r in as_of(points, marks, ["k"], "at", "v", reverse, width=8).collect()}
+    rows = [(r.k, r["at"]) for r in skewed.collect()]
+    for k, at in asks:
+        side = [a for key, a in rows if key == k and (a > at if reverse else a <= at)]
+        assert got[(k, at)] == ((min(side) if reverse else max(side)) if side else None)
+
+
+def test_stab_equals_brute_force(spark):
+    rnd = random.Random(5)
+    spans = [(n, n % 3, s, s + rnd.choice([0, 1, 2, 7, 64, 500, 10**9])) for n in range(120) for s in [rnd.randint(0, 300)]]
+    asks = sorted({(rnd.randint(0, 2), rnd.randint(0, 400)) for _ in range(150)})
+    left = spark.createDataFrame(asks, "k int, at int")
+    right = spark.createDataFrame(spans, "n int, k int, start long, end long")
+    want = sorted((k, at, n) for k, at in asks for n, key, s, e in spans if key == k and s <= at < e)
+    got = sorted((r.k, r["at"], r.n) for r in stab(left, right, ["k"], "at").collect())
+    assert got == want
+    low = {}
+    for k, at, n in want:
+        low[(k, at)] = min(n, low.get((k, at), n))
+    assert {(r.k, r["at"]): r.n for r in stab_min(left, right, ["k"], "at", "n").collect()} == low
+
+
+def test_picks(skewed):
+    rows = skewed.collect()
+    last = {r.k: r["at"] for r in latest(skewed, ["k"], ["at"]).collect()}
+    first = {r.k: r["at"] for r in earliest(skewed, ["k"], ["at"]).collect()}
+    for k in {r.k for r in rows}:
+        mine = [r["at"] for r in rows if r.k == k]
+        assert (first[k], last[k]) == (min(mine), max(mine))
+
+
+def test_top_per_key(skewed):
+    limited = skewed.withColumn("m", F.col("k") % 3 + 2)
+    got = {}
+    for r in top_per_key(limited, ["k"], [F.desc("x"), F.asc("at")], "m", "at", ways=5).collect():
+        got.setdefault(r.k, []).append((r["rank"], r.x, r["at"]))
+    for k, picked in got.items():
+        mine = sorted(((-r.x, r["at"]) for r in skewed.collect() if r.k == k))[: k % 3 + 2]
+        assert [(-x, at) for _, x, at in sorted(picked)] == mine
+
+
+def test_nested_parts_lose_nothing(skewed):
+    parts = nested(skewed, ["k"], "at", F.col("x"), "xs", width=10).collect()
+    assert all(len(r.xs) <= 10 for r in parts)
+    got = {}
+    for r in sorted(parts, key=lambda r: (r.k, r.part)):
+        got.setdefault(r.k, []).extend(r.xs)
+    for k, xs in got.items():
+        assert xs == [r.x for r in sorted(skewed.collect(), key=lambda r: r["at"]) if r.k == k]
+
+
+def brute_accept(rows, existing=()):
+    held, kept = list(existing), []
+    for id_, user, book, start, end in rows:
+        def meets(o):
+            if (o[1], o[2]) != (user, book):
+                return False
+            if (o[3], o[4]) == (start, end):
+                return True
+            return end is not None and o[4] is not None and o[3] < end and o[4] > start
+
+        if not any(meets(o) for o in held):
+            held.append((id_, user, book, start, end))
+            kept.append(id_)
+    return kept
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_bookmarks_arrive_in_order(spark, seed):
+    rnd = random.Random(seed)
+
+    def some(first, count):
+        rows = []
+        for n in range(first, first + count):
+            start = rnd.randint(0, 300) * (17 if rnd.random() < 0.3 else 1)
+            end = None if rnd.random() < 0.3 else start + rnd.choice([1, 3, 20, 200])
+            rows.append((n, rnd.choice([1, 1, 1, 2]), rnd.randint(1, 2), start, end))
+        return rows
+
+    schema = "id long, user_id long, book_id long, start_txt int, end_txt int"
+    old = [r for r in some(1, 60)]
+    old = [r for r in old if r[0] in set(brute_accept(old))]
+    new = some(1000, 250)
+    got = state.accept_bookmarks(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)).collect()
+    assert sorted(r.id for r in got) == brute_accept(new, old)
+    alone = state.accept_bookmarks(spark.createDataFrame(new, schema)).collect()
+    assert sorted(r.id for r in alone) == brute_accept(new)
+    hit = {r.id for r in state.conflicts(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)).collect()}
+    assert hit == {r[0] for r in new if not brute_accept([r], old)}
+
+
+def test_book_status_replay(spark):
+    rnd = random.Random(11)
+    books, changes = [], []
+    for b in range(60):
+        ready = rnd.random() < 0.4
+        books.append((b, "READY" if ready else "NONE", "r0" if ready and rnd.random() < 0.7 else None, "p0" if ready else None, None, None))
+        for s in range(rnd.randint(0, 6)):
+            changes.append((b, s, rnd.choice(["QUEUED", "PROCESSING", "FAILED", "READY"]), rnd.choice([None, " ", f"r{s}"]), rnd.choice(["", f"p{s}"]), "a", "b"))
+    want = {}
+    for b, st, run, path, _, _ in books:
+        for _, _, new, r, p, _, _ in sorted((c for c in changes if c[0] == b), key=lambda c: c[1]):
+            active = st == "READY" and bool((run or "").strip()) and bool((path or "").strip())
+            if new == "READY":
+                st, run, path = "READY", r, p
+            elif not active:
+                st = new
+        want[b] = (st, run)
+    df = spark.createDataFrame(books, "book_id long, normalization_status string, run_id string, artifact_path string, rule_version string, locator_version string")
+    ch = spark.createDataFrame(changes, "book_id long, seq int, status string, run_id string, artifact_path string, rule_version string, locator_version string")
+    got = {r.book_id: (r.normalization_status, r.run_id) for r in state.replay_normalization(df, ch).collect()}
+    assert got == want
+
+
+def test_asset_replay(spark):
+    rnd = random.Random(13)
+    publishable = {"QA_PASSED", "APPROVED", "PUBLISHED"}
+    assets = [(i, rnd.choice(["QA_PENDING", "QA_PASSED", "PUBLISHED"]), rnd.choice([None, " ", f"u{i}"]), None) for i in range(60)]
+    actions = [(i, s, rnd.choice([*images.ACTION_STATUS, "publish", "publish"]), rnd.choice([None, f"n{s}"]), f"F{s}") for i in range(60) for s in range(rnd.randint(0, 6))]
+    want = {}
+    for i, st, url, code in assets:
+        for _, _, act, u, c in sorted((a for a in actions if a[0] == i), key=lambda a: a[1]):
+            if act == "publish":
+                if st in publishable and (url or "").strip():
+                    st = "PUBLISHED"
+                continue
+            st = images.ACTION_STATUS[act]
+            if act == "generated":
+                url = u
+            if act in ("qa_fail", "fail"):
+                code = c
+            if act == "qa_pass":
+                code = None
+        want[i] = (st, url, code)
+    got = images.replay_assets(
+        spark.createDataFrame(assets, "id long, status string, url string, failure_code string"),
+        spark.createDataFrame(actions, "id long, seq int, action string, url string, failure_code string"),
+    )
+    assert {r.id: (r.status, r.url, r.failure_code) for r in got.collect()} == want
+
+
+def test_partition_count_does_not_matter(spark, folder):
+    from plotweave.registry import spark_queries
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for parts in ("1", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seen.append([sorted(map(tuple, spark_queries()[n](spark, folder).collect()), key=str) for n in ("wn_14_running_edges", "fine_event_at_position")])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
