@@ -14,15 +14,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TOP = 31
+# One level more than the last point needs, as a floating logarithm may fall short.
+_LEVELS = "sequence(0, cast(floor(log2(_last)) as int) + 1)"
 
 
-def tiles(start: str, end: str, top: int = _TOP) -> Column:
-    """array<struct<level, tile>> that tiles [start, end) exactly."""
+def tiles(start: str, end: str) -> Column:
+    """array<struct<level, tile>> that tiles [start, end) exactly; needs the ``_last`` column."""
     low = f"shiftright({start} + shiftleft(1L, k) - 1, k)"
     high = f"shiftright({end}, k)"
     return F.expr(
-        f"""filter(flatten(transform(sequence(0, {top}), k -> array(
+        f"""filter(flatten(transform({_LEVELS}, k -> array(
               if({low} < {high} and {low} % 2 = 1, named_struct('level', k, 'tile', {low}), null),
               if({low} < {high} and {high} % 2 = 1, named_struct('level', k, 'tile', {high} - 1), null)
             ))), t -> t is not null)"""
@@ -59,7 +60,7 @@ def with_levels(points: DataFrame, at: str) -> DataFrame:
         points.filter(F.col(at) >= 0)
         .withColumn("_last", _after_last(points, at))
         .withColumn("_at", F.col(at).cast("long"))
-        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_last"))).cast("int"))))
+        .withColumn("_level", F.explode(F.expr(_LEVELS)))
         .withColumn("_tile", F.expr("shiftright(_at, _level)"))
         .select(*points.columns, "_level", "_tile")
     )

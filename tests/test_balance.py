@@ -76,6 +76,16 @@ def test_stab_equals_brute_force(spark):
     assert {(r.k, r["at"]): r.n for r in stab_min(left, right, ["k"], "at", "n").collect()} == low
 
 
+@pytest.mark.parametrize("power", [0, 1, 29, 31, 40])
+def test_stab_at_powers_of_two(spark, power):
+    size = 2**power
+    left = spark.createDataFrame([(0, at) for at in sorted({0, size - 1, size})], "k int, at long")
+    right = spark.createDataFrame([(0, 1, 0, size), (0, 2, size, size * 2), (0, 3, 0, 2**62)], "k int, n int, start long, end long")
+    got = sorted((r["at"], r.n) for r in stab(left, right, ["k"], "at").collect())
+    want = sorted((at, n) for at in {0, size - 1, size} for n, s, e in [(1, 0, size), (2, size, size * 2), (3, 0, 2**62)] if s <= at < e)
+    assert got == want
+
+
 def test_picks(skewed):
     rows = skewed.collect()
     last = {r.k: r["at"] for r in latest(skewed, ["k"], ["at"]).collect()}
