@@ -54,11 +54,22 @@ def with_tiles(intervals: DataFrame, start: str, end: str, points: DataFrame, at
     )
 
 
-def with_levels(points: DataFrame, at: str) -> DataFrame:
-    """One row per (point, level); clipped intervals never outgrow the last point."""
+def _longest(intervals: DataFrame, start: str, end: str) -> Column:
+    """The longest interval, as a scalar subquery."""
+    length = (F.col(end).cast("long") - F.col(start).cast("long"))
+    return intervals.agg(F.greatest(F.max(length), F.lit(1).cast("long"))).scalar()
+
+
+def with_levels(points: DataFrame, at: str, longest: Column | None = None) -> DataFrame:
+    """One row per (point, level), up to the level of the longest interval.
+
+    Without ``longest``, the last point bounds the levels: clipped intervals never
+    outgrow it.
+    """
+    last = _after_last(points, at)
     return (
         points.filter(F.col(at) >= 0)
-        .withColumn("_last", _after_last(points, at))
+        .withColumn("_last", last if longest is None else F.least(last, longest))
         .withColumn("_at", F.col(at).cast("long"))
         .withColumn("_level", F.explode(F.expr(_LEVELS)))
         .withColumn("_tile", F.expr("shiftright(_at, _level)"))
@@ -89,7 +100,11 @@ def stab_min(
     start: str = "start",
     end: str = "end",
 ) -> DataFrame:
-    """Per distinct point, the smallest ``value`` of the intervals that hold it."""
+    """Per distinct point, the smallest ``value`` of the intervals that hold it.
+
+    The intervals are measured first (one more scan of two columns): short events then
+    cost a point a handful of levels, however long the text is.
+    """
     asked = points.select(*keys, at).distinct()
     best = (
         with_tiles(intervals.select(*keys, start, end, value), start, end, points, at)
@@ -97,7 +112,7 @@ def stab_min(
         .agg(F.min(value).alias(value))
     )
     return (
-        with_levels(asked, at)
+        with_levels(asked, at, _longest(intervals, start, end))
         .join(best, [*keys, "_level", "_tile"], "inner")
         .groupBy(*keys, at)
         .agg(F.min(value).alias(value))
