@@ -36,12 +36,13 @@ def _after_last(points: DataFrame, at: str) -> Column:
 
 
 def with_tiles(intervals: DataFrame, start: str, end: str, points: DataFrame, at: str) -> DataFrame:
-    """One row per (interval, tile); intervals that end before they start vanish.
+    """One row per (interval, tile); empty intervals and those without bounds vanish.
 
     Open-ended intervals are clipped just after the last point, so their tiles stay few.
     """
     return (
-        intervals.withColumn("_last", _after_last(points, at))
+        intervals.filter(F.col(start) < F.col(end))
+        .withColumn("_last", _after_last(points, at))
         .withColumns(
             {
                 "_start": F.greatest(F.col(start).cast("long"), F.lit(0).cast("long")),

@@ -66,7 +66,8 @@ def test_stab_equals_brute_force(spark):
     spans = [(n, n % 3, s, s + rnd.choice([0, 1, 2, 7, 64, 500, 10**9])) for n in range(120) for s in [rnd.randint(0, 300)]]
     asks = sorted({(rnd.randint(0, 2), rnd.randint(0, 400)) for _ in range(150)})
     left = spark.createDataFrame(asks, "k int, at int")
-    right = spark.createDataFrame(spans, "n int, k int, start long, end long")
+    unbound = [(900, 0, None, 5), (901, 0, 1, None), (902, 0, None, None), (903, 0, 9, 3)]
+    right = spark.createDataFrame(spans + unbound, "n int, k int, start long, end long")
     want = sorted((k, at, n) for k, at in asks for n, key, s, e in spans if key == k and s <= at < e)
     got = sorted((r.k, r["at"], r.n) for r in stab(left, right, ["k"], "at").collect())
     assert got == want
