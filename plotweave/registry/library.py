@@ -16,14 +16,15 @@ VERSION = """CASE WHEN normalization_status <> 'READY' THEN 'NOT_READY'
 
 
 def own(v: Views):
-    return v.favorite.filter(C("user_id") == READER)
+    """All readers' favorites; a request passes those of one reader."""
+    return v.favorite
 
 
-@query("src_1_fixed_schema_scan", "SELECT count(*) AS row_count, sum(n_nationkey) AS keys FROM nation")
+@query("src_1_fixed_schema_scan", "SELECT o_orderstatus, count(*) AS row_count, CAST(sum(o_custkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
 def _(v: Views):
-    wanted = "n_nationkey int, n_name string, n_regionkey int"
-    rows = v.spark.read.schema(wanted).parquet(f"{v.folder}/nation.parquet")
-    return rows.agg(F.count("*").alias("row_count"), F.sum("n_nationkey").alias("keys"))
+    declared = "o_orderkey long, o_custkey long, o_orderstatus string"
+    rows = v.spark.read.schema(declared).parquet(f"{v.folder}/orders.parquet")
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("row_count"), F.sum("o_custkey").alias("keys"))
 
 
 @query(
@@ -31,7 +32,7 @@ def _(v: Views):
     f"""SELECT b.book_id, title, author, normalization_status, analysis_status, rule_version, locator_version, run_id, artifact_path,
          is_default, summary, updated_at, {VERSION} AS version_status, {VERSION} = 'OUTDATED' AS needs_renormalization,
          f.book_id IS NOT NULL AS is_favorite
-       FROM book b LEFT JOIN (SELECT DISTINCT book_id FROM favorite WHERE user_id = {READER}) f ON f.book_id = b.book_id
+       FROM book b LEFT JOIN (SELECT DISTINCT book_id FROM favorite) f ON f.book_id = b.book_id
        WHERE normalization_status = 'READY'""",
 )
 def catalog_rows(v: Views):
@@ -111,7 +112,7 @@ def _(v: Views):
     return catalog.in_language(v.book, "Promo").select("book_id")
 
 
-@query("flt_4_favorites_only", f"SELECT book_id FROM book WHERE book_id IN (SELECT book_id FROM favorite WHERE user_id = {READER})")
+@query("flt_4_favorites_only", "SELECT book_id FROM book WHERE book_id IN (SELECT book_id FROM favorite)")
 def _(v: Views):
     return catalog.favorites_only(v.book, own(v)).select("book_id")
 
@@ -240,7 +241,7 @@ def _(v: Views):
     return v.favorite.groupBy("user_id").agg(F.count("*").alias("books"), F.sum("book_id").alias("checksum"))
 
 
-@query("jn_9_catalog_favorites", f"SELECT b.book_id, f.book_id IS NOT NULL AS is_favorite FROM book b LEFT JOIN (SELECT DISTINCT book_id FROM favorite WHERE user_id = {READER}) f USING (book_id)")
+@query("jn_9_catalog_favorites", f"SELECT b.book_id, f.book_id IS NOT NULL AS is_favorite FROM book b LEFT JOIN (SELECT DISTINCT book_id FROM favorite) f USING (book_id)")
 def _(v: Views):
     return catalog.favorite_flags(v.book, own(v)).select("book_id", "is_favorite")
 

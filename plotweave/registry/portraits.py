@@ -211,20 +211,22 @@ def _(v: Views):
 
 
 def approval_tables(v: Views):
-    assets = v.asset.selectExpr("id", "id % 40 AS book_id", "char_id", "role", "status", "url", "id - id % 7 * 3 AS source_asset_id")
-    held = assets.filter("id < 40 AND book_id < 30").selectExpr(
-        "book_id", "id + 40 AS active_asset_id", "'APPROVED' AS reference_status", "2 AS reference_version", "0L AS reference_char_id"
+    """Eight assets make a book; three books in four have a reference, all ask for approval."""
+    assets = v.asset.selectExpr(
+        "id", "id div 8 AS book_id", "char_id", "role", "status", "url", "id div 8 * 8 + id * 3 % 8 AS source_asset_id"
     )
-    approvals = assets.filter("id >= 40 AND id < 120").groupBy("book_id").agg(
-        F.max(F.when(C("book_id") % 2 == 0, C("id")).otherwise(F.when(C("id") < 80, C("id")))).alias("asset_id")
+    books = assets.select("book_id").distinct()
+    held = books.filter("book_id % 4 <> 3").selectExpr(
+        "book_id", "book_id * 8 + book_id % 8 AS active_asset_id", "'APPROVED' AS reference_status", "2 AS reference_version", "0L AS reference_char_id"
     )
+    approvals = books.selectExpr("book_id", "book_id * 8 + book_id * 5 % 8 + if(book_id % 11 = 0, 8, 0) AS asset_id")
     return assets, held, approvals
 
 
 APPROVAL_VIEWS = {
-    "seed": "SELECT id, id % 40 AS book_id, char_id, role, status, url, id - id % 7 * 3 AS source_asset_id FROM asset",
-    "held": "SELECT book_id, id + 40 AS active_asset_id FROM seed WHERE id < 40 AND book_id < 30",
-    "approval": """SELECT book_id, max(CASE WHEN book_id % 2 = 0 THEN id WHEN id < 80 THEN id END) AS asset_id FROM seed WHERE id >= 40 AND id < 120 GROUP BY 1""",
+    "seed": "SELECT id, id // 8 AS book_id, char_id, role, status, url, id // 8 * 8 + id * 3 % 8 AS source_asset_id FROM asset",
+    "held": "SELECT DISTINCT book_id, book_id * 8 + book_id % 8 AS active_asset_id FROM seed WHERE book_id % 4 <> 3",
+    "approval": "SELECT DISTINCT book_id, book_id * 8 + book_id * 5 % 8 + CASE WHEN book_id % 11 = 0 THEN 8 ELSE 0 END AS asset_id FROM seed",
     "judged": """SELECT p.book_id, p.asset_id, h.active_asset_id AS previous, CASE WHEN s.role IS NULL THEN 'not in book' WHEN s.role <> 'REFERENCE_SEED' THEN 'role'
         WHEN s.status NOT IN ('QA_PASSED', 'APPROVED', 'PUBLISHED') THEN 'status' WHEN trim(coalesce(s.url, '')) = '' THEN 'no image'
         WHEN h.active_asset_id = p.asset_id THEN 'again' ELSE 'approved' END AS verdict
@@ -237,7 +239,7 @@ APPROVAL_VIEWS = {
     "mu_13_reference_approval",
     """SELECT s.id, CASE WHEN j.verdict IN ('approved', 'again') THEN 'PUBLISHED' WHEN s.id IN (SELECT id FROM replaced) THEN 'SUPERSEDED'
          WHEN s.source_asset_id IN (SELECT id FROM replaced) AND s.status IN ('QA_PASSED', 'APPROVED', 'PUBLISHED') THEN 'STALE_REFERENCE' ELSE s.status END AS status
-       FROM seed s LEFT JOIN judged j ON j.asset_id = s.id""",
+       FROM seed s LEFT JOIN judged j ON j.asset_id = s.id AND j.book_id = s.book_id""",
     **APPROVAL_VIEWS,
 )
 def _(v: Views):

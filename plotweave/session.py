@@ -47,7 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only when the cluster names none (tests, local runs) is a temporary folder used.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
