@@ -492,8 +492,12 @@ def delta_records(events: DataFrame, edges: DataFrame, stats: DataFrame) -> Data
 
 
 def chapter_last(events: DataFrame) -> DataFrame:
-    """The highest-index event of every chapter."""
-    return latest(events, ["book_id", "chapter_idx"], ["idx", "id"])
+    """The highest-index event of every chapter, without its text.
+
+    The candidate row travels through the aggregation, so it carries places only.
+    """
+    places = events.select("id", "book_id", "chapter_idx", "idx", "event_id", "start_txt", "end_txt")
+    return latest(places, ["book_id", "chapter_idx"], ["idx", "id"])
 
 
 def snapshot_nodes(events: DataFrame, stats: DataFrame, edges: DataFrame) -> DataFrame:

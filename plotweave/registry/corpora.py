@@ -6,6 +6,7 @@ from plotweave.functions import titles
 from plotweave.operators import corpus
 from plotweave.operators.planner import plan_chapters, plan_groups
 from plotweave.registry.base import query
+from plotweave.session import cut
 from plotweave.sources import archive
 from plotweave.sources.bookmaker import archives_from_documents
 from plotweave.views import Views
@@ -272,7 +273,7 @@ def html_blocks(v: Views):
 
 @query("nm_6_heuristic_units")
 def _(v: Views):
-    blocks = archive.page_blocks(v.table("pages"))
+    blocks = cut(archive.page_blocks(v.table("pages")))
     names = blocks.select("page_id", "doc_title").distinct()
     sections = corpus.heading_sections(blocks, ["page_id"])
     return corpus.section_titles(sections, names, ["page_id"]).select("page_id", "section", "title", "first_block", "last_block")
@@ -313,8 +314,6 @@ def normalized(v: Views) -> dict:
 
 
 def archive_rows(v: Views):
-    from plotweave.session import cut
-
     return cut(archive.read_archives(archives_from_documents(v.table("documents"))))
 
 

@@ -2,7 +2,8 @@
 
 Each micro-batch writes one ``batch=N`` partition of reduced changes, so a replayed
 batch overwrites its own partition and nothing else is ever rewritten. The current
-table is the newest change per key over the partitions; ``compact`` folds them into one.
+table is the newest change per key over the partitions; ``compact`` folds them into one. Batch numbers
+come from the checkpoint, so a table and its checkpoint belong together.
 """
 
 from __future__ import annotations
