@@ -91,10 +91,8 @@ def mean_positivity(weighted: Column, evidence: Column) -> Column:
 
 def fold_edges(facts: DataFrame, keys: Sequence[str] = ("book_id",)) -> DataFrame:
     """One undirected edge per pair: evidence, mean positivity, newest labels and reason."""
-    newest = F.max_by(
-        F.struct(tags(F.col("relation_tags")).alias("labels"), "explanation", "event_ref"),
-        F.struct("chapter_idx", "event_idx", "id"),
-    )
+    # Tags stay text until one edge per pair is left to parse.
+    newest = F.max_by(F.struct("relation_tags", "explanation", "event_ref"), F.struct("chapter_idx", "event_idx", "id"))
     folded = (
         paired(facts)
         .groupBy(*keys, *PAIR)
@@ -105,7 +103,7 @@ def fold_edges(facts: DataFrame, keys: Sequence[str] = ("book_id",)) -> DataFram
         *PAIR,
         "evidence_count",
         mean_positivity(F.col("_weighted"), F.col("evidence_count")).alias("positivity"),
-        F.col("_newest.labels").alias("latest_labels"),
+        tags(F.col("_newest.relation_tags")).alias("latest_labels"),
         F.col("_newest.explanation").alias("latest_reason"),
         F.col("_newest.event_ref").alias("latest_event_id"),
     )
@@ -158,53 +156,34 @@ def as_map(rows: DataFrame, keys: Sequence[str], key: str, value: str, name: str
 def relationship_edges(facts: DataFrame, keys: Sequence[str] = ("book_id",)) -> DataFrame:
     """The whole folded edge: evidence, positivity, top labels, scores, directions, newest.
 
-    Each edge is written once for the pair, once for its direction and once per label, so
-    one aggregation sums everything and a second one gathers a pair's few sums.
+    Each edge is written once for its direction and once per label. One hash aggregation
+    over these narrow rows sums both; the wide newest state stays out of it. Both sides
+    end up partitioned by the pair, so joining them moves nothing.
     """
     group = [*keys, *PAIR]
-    pair, way, label = (F.lit(kind).cast("tinyint") for kind in (0, 1, 2))
-    order = F.struct("chapter_idx", "event_idx", "id")
-    newest = F.struct(F.col("_tags").alias("labels"), "explanation", "event_ref")
+    way, label = (F.lit(kind).cast("tinyint") for kind in (0, 1))
     measures = F.concat(
-        F.array(
-            F.struct(pair.alias("kind"), F.lit("").alias("key")),
-            F.struct(way.alias("kind"), direction(F.col("from_id"), F.col("to_id")).alias("key")),
-        ),
-        F.transform("_tags", lambda t: F.struct(label.alias("kind"), t.alias("key"))),
+        F.array(F.struct(way.alias("kind"), direction(F.col("from_id"), F.col("to_id")).alias("key"))),
+        F.transform(tags(F.col("relation_tags")), lambda t: F.struct(label.alias("kind"), t.alias("key"))),
     )
-    rows = paired(facts).withColumn("_tags", tags(F.col("relation_tags"))).withColumn("_m", F.explode(measures))
-    whole = F.col("_m.kind") == pair
-    sums = rows.groupBy(*group, F.col("_m.kind").alias("kind"), F.col("_m.key").alias("key")).agg(
-        F.sum("evidence").alias("n"),
-        F.sum(F.when(whole, F.col("weighted"))).alias("weighted"),
-        F.max(F.when(whole, F.struct(order.alias("order"), newest.alias("value")))).alias("newest"),
+    sums = (
+        paired(facts)
+        .withColumn("_m", F.explode(measures))
+        .groupBy(*group, F.col("_m.kind").alias("kind"), F.col("_m.key").alias("key"))
+        .agg(F.sum("evidence").alias("n"))
     )
 
     def entries(kind: Column) -> Column:
         picked = F.when(F.col("kind") == kind, F.struct("key", F.col("n").alias("value")))
         return F.map_from_entries(F.array_sort(F.collect_list(picked)))
 
-    whole = F.col("kind") == pair
     best = F.array_sort(F.collect_list(F.when(F.col("kind") == label, F.struct(-F.col("n"), "key"))))
     gathered = sums.groupBy(*group).agg(
-        F.max(F.when(whole, F.col("n"))).alias("evidence_count"),
-        F.max(F.when(whole, F.col("weighted"))).alias("_weighted"),
-        F.max(F.when(whole, F.col("newest"))).alias("_newest"),
         F.transform(F.slice(best, 1, 3), lambda x: x["key"]).alias("labels"),
         entries(label).alias("label_scores"),
         entries(way).alias("direction_counts"),
     )
-    return gathered.select(
-        *group,
-        "evidence_count",
-        mean_positivity(F.col("_weighted"), F.col("evidence_count")).alias("positivity"),
-        F.col("_newest.value.labels").alias("latest_labels"),
-        F.col("_newest.value.explanation").alias("latest_reason"),
-        F.col("_newest.value.event_ref").alias("latest_event_id"),
-        "labels",
-        "label_scores",
-        "direction_counts",
-    )
+    return fold_edges(facts, keys).join(gathered, group, "inner")
 
 
 def node_touches(stats: DataFrame, edges: DataFrame) -> DataFrame:
@@ -297,7 +276,7 @@ def running_edges(facts: DataFrame) -> DataFrame:
         paired(facts),
         ["book_id", *PAIR],
         {"evidence_count": F.col("evidence"), "weighted": F.col("weighted")},
-        newest=F.struct(tags(F.col("relation_tags")).alias("labels"), "explanation", "event_ref"),
+        newest=F.struct("relation_tags", "explanation", "event_ref"),
         newest_order=F.struct("chapter_idx", "event_idx", "id"),
     )
     return states.select(
@@ -307,7 +286,7 @@ def running_edges(facts: DataFrame) -> DataFrame:
         "valid_until",
         "evidence_count",
         mean_positivity(F.col("weighted"), F.col("evidence_count")).alias("positivity"),
-        F.col("newest.labels").alias("latest_labels"),
+        tags(F.col("newest.relation_tags")).alias("latest_labels"),
         F.col("newest.explanation").alias("latest_reason"),
         F.col("newest.event_ref").alias("latest_event_id"),
     )
