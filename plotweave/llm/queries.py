@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import exact, minhash, packing, quality, token_store
+from plotweave.llm import decontaminate, exact, minhash, packing, quality, token_store
 from plotweave.llm.common import new_folder, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.classes(table(spark, folder, "documents")).drop("place")
 
 
+@query("op2_greedy_tiling_decontamination")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.judged(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op4_simple8b_store")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "token-store")
