@@ -14,7 +14,7 @@ import re
 import sys
 import types
 from array import array
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -24,8 +24,9 @@ from plotweave.llm.ragged import gather, portions, starts_of, sums
 _SPACE_THEN_SPACE = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
 # Letters of the Latin blocks, then ASCII marks to the end: both kinds of splitting part them.
-_WORD_THEN_MARKS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]+)")
-_KNOWN_CHUNKS = 400_000
+_WORD_THEN_MARKS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+_KNOWN_CHUNKS = 800_000
+_TOGETHER = 200
 
 
 def _cuts_at_spaces(tokenizer: Tokenizer) -> bool:
@@ -46,7 +47,7 @@ def _cuts_at_spaces(tokenizer: Tokenizer) -> bool:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of the first `_KNOWN_CHUNKS` chunks it meets."""
+    """Encodes texts; keeps the ids of about the first `_KNOWN_CHUNKS` chunks it meets."""
 
     def __init__(self, path: str, end_id: int):
         # One task has one core; the library's own threads would take those of other tasks.
@@ -54,8 +55,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_chunk = _cuts_at_spaces(self.tokenizer)
+        # Byte-level words begin with a mark for their space, others may end with a suffix.
+        names = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.bound_first = not suffix
+        self.bounds = np.zeros(max(names.values(), default=0) + 1, bool)
+        if self.by_chunk:
+            self.bounds[[i for n, i in names.items() if (n.endswith(suffix) if suffix else n.startswith("\u0120"))]] = True
         # Code 0 is the end of a text.
-        self.codes: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
+        self.marks: dict[str, int] = {}
         self.flat, self.starts, self.lengths = array("I", [end_id]), array("q", [0]), array("q", [1])
 
     def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +73,36 @@ class Encoder:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
-    def _add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _word_ids(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of letters: many in one text, parted where a token is a word's first or last.
+
+        A group in which the parts are not as many as its words is encoded word by word.
+        """
+        if not lead or not self.bounds.any():
+            return self._ids([lead + w for w in words])
+        groups = [words[at : at + _TOGETHER] for at in range(0, len(words), _TOGETHER)]
+        ids, lengths = self._ids([lead + lead.join(g) for g in groups])
+        is_bound = self.bounds[ids]
+        size = np.fromiter(map(len, groups), np.int64, len(groups))
+        out, counts, begins = [], [], starts_of(lengths)
+        if (sums(is_bound, lengths) == size).all():
+            at = np.flatnonzero(is_bound) + (not self.bound_first)
+            return ids, np.diff(at, append=len(ids)) if self.bound_first else np.diff(at, prepend=0)
+        for group, at, n, k in zip(groups, begins, lengths, size):
+            part = is_bound[at : at + n]
+            if part.sum() == k:
+                cuts = np.flatnonzero(part) + (not self.bound_first)
+                out.append(ids[at : at + n])
+                counts.append(np.diff(cuts, append=n) if self.bound_first else np.diff(cuts, prepend=0))
+            else:
+                alone = self._ids([lead + w for w in group])
+                out.append(alone[0])
+                counts.append(alone[1])
+        return np.concatenate(out), np.concatenate(counts)
+
+    def _add(self, known: dict[str, int], chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         code = len(self.starts)
-        self.codes.update(zip(chunks, range(code, code + len(chunks))))
+        known.update(zip(chunks, range(code, code + len(chunks))))
         self.starts.frombytes((len(self.flat) + starts_of(lengths)).tobytes())
         self.lengths.frombytes(lengths.astype(np.int64).tobytes())
         self.flat.frombytes(ids.tobytes())
@@ -74,19 +111,32 @@ class Encoder:
         lengths = np.frombuffer(self.lengths, np.int64)[codes]
         return gather(np.frombuffer(self.flat, np.uint32), np.frombuffer(self.starts, np.int64)[codes], lengths), lengths
 
-    def _learn(self, chunks: list[str]) -> list[str]:
-        """Give every chunk a code; what was new comes back."""
-        new = list(set(chunks) - self.codes.keys())
+    def _learn(self, known: dict[str, int], chunks: set[str], lead: str) -> None:
+        """Give every chunk a code: that of the ids of the lead and the chunk."""
+        new = list(chunks)
         split = [m.groups() if (m := _WORD_THEN_MARKS.fullmatch(c)) else None for c in new] if self.by_chunk else [None] * len(new)
         whole = [c for c, m in zip(new, split) if m is None]
-        parts = list({x for m in split if m for x in m} - self.codes.keys() - set(whole))
-        for part in portions(map(len, alone := whole + parts), 200_000):
-            self._add(alone[part], *self._ids(alone[part]))
-        if joined := [(c, m) for c, m in zip(new, split) if m]:
-            codes = np.fromiter((self.codes[x] for _, m in joined for x in m), np.int64, 2 * len(joined))
+        words = {m[0] for m in split if m} - known.keys()
+        # A word without marks is the whole of its chunk.
+        words = list(words.union(c for c, m in zip(new, split) if m and not m[1]))
+        for part in portions(map(len, whole), 200_000):
+            self._add(known, whole[part], *self._ids([lead + c for c in whole[part]]))
+        for part in portions(map(len, words), 200_000):
+            self._add(known, words[part], *self._word_ids(words[part], lead))
+        if joined := [(c, m) for c, m in zip(new, split) if m and m[1]]:
+            if marks := list({m[1] for _, m in joined} - self.marks.keys()):
+                self._add(self.marks, marks, *self._ids(marks))
+            codes = np.fromiter((x for _, m in joined for x in (known[m[0]], self.marks[m[1]])), np.int64, 2 * len(joined))
             ids, lengths = self._pieces(codes)
-            self._add([c for c, _ in joined], ids, lengths.reshape(-1, 2).sum(1))
-        return new + parts
+            self._add(known, [c for c, _ in joined], ids, lengths.reshape(-1, 2).sum(1))
+
+    def _codes(self, known: dict[str, int], chunks: list[str], lead: str) -> np.ndarray:
+        codes = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if len(missing := np.flatnonzero(codes < 0)):
+            named = [chunks[i] for i in missing.tolist()]
+            self._learn(known, set(named), lead)
+            codes[missing] = np.fromiter(map(known.__getitem__, named), np.int64, len(named))
+        return codes
 
     def _cut(self, text: str) -> list[str]:
         if not self.by_chunk:
@@ -95,23 +145,25 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's closed by the end id, and how many belong to each text."""
+        full = len(self.starts) > _KNOWN_CHUNKS
+        before = len(self.starts), len(self.flat), len(self.heads), len(self.tails), len(self.marks)
         cut = [self._cut(t) for t in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        first = [c[0] for c in cut]
-        rest = [" " + x for c in cut for x in c[1:]]
-        before = len(self.codes), len(self.starts), len(self.flat)
-        new = self._learn(first + rest)
-        codes = np.zeros(int(counts.sum()) + len(cut), np.int64)
+        # The first chunk of a text stands alone; all others keep the space before them.
         ends = np.cumsum(counts + 1) - 1
+        heads_at = ends - counts
+        codes = np.zeros(int(counts.sum()) + len(cut), np.int64)
         is_rest = np.ones(len(codes), bool)
-        is_rest[ends] = is_rest[ends - counts] = False
-        codes[ends - counts] = np.fromiter(map(self.codes.__getitem__, first), np.int64, len(first))
-        codes[is_rest] = np.fromiter(map(self.codes.__getitem__, rest), np.int64, len(rest))
+        is_rest[ends] = is_rest[heads_at] = False
+        codes[heads_at] = self._codes(self.heads, [c[0] for c in cut], "")
+        codes[is_rest] = self._codes(self.tails, list(chain.from_iterable(c[1:] for c in cut)), " ")
         ids, lengths = self._pieces(codes)
-        if before[0] >= _KNOWN_CHUNKS:
-            for chunk in new:
-                del self.codes[chunk]
-            del self.starts[before[1] :], self.lengths[before[1] :], self.flat[before[2] :]
+        if full:
+            # What was learned for these texts alone is dropped, latest first.
+            del self.starts[before[0] :], self.lengths[before[0] :], self.flat[before[1] :]
+            for known, size in zip((self.heads, self.tails, self.marks), before[2:]):
+                for _ in range(len(known) - size):
+                    known.popitem()
         return ids, sums(lengths, counts + 1)
 
 
