@@ -6,10 +6,10 @@ piece with both; the difference of the sizes, once per byte of text and once per
 compressed text, and the ratio of compression without a dictionary are calibrated to a score from 0 to 1 by a logistic
 curve that is fitted to labelled rows the dictionaries have not seen.
 
-The fit reads at most ``per_class`` pieces of ``piece`` bytes for each dictionary and as many
-labelled texts for the curve, each cut to ``fit_bytes``; they are the ones with the smallest
-hashes. That bound, a parameter, keeps the driver's share fixed. Scoring reads every whole
-text.
+The fit takes at most ``per_class`` labelled documents of each kind for the dictionaries and as
+many others for the curve, those whose ids have the smallest hashes; from the former at most
+``per_class`` pieces of ``piece`` bytes, from the latter the first ``fit_bytes`` each. That
+bound, a parameter, keeps the driver's share fixed. Scoring reads every whole text.
 
 Defined results: a null or empty text gets the score of an empty text, which is the constant
 of the curve; labels that are null or neither 0 nor 1 are not used; of several labels of one
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import text_of, unused
+from plotweave.llm.common import stored, text_of, unused
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class Settings:
     dictionary: int = 112_640
     level: int = 3
     piece: int = 2048
-    per_class: int = 4000
+    per_class: int = 2500
     fit_bytes: int = 16_384
 
 
@@ -100,24 +101,31 @@ def held_out(id_column: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on labelled documents that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    known = known.filter("doc_id is not null and label in (0, 1)").filter(~held_out(F.col("doc_id")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(known, "doc_id")
-    rows = rows.withColumn("data", F.encode("text", "UTF-8")).select("label", "data", F.xxhash64("text", "doc_id").alias("pick"))
-    # Half of the rows make the dictionaries, the other half the curve.
-    half = F.pmod(F.col("pick"), F.lit(2)) == 0
-    cut = rows.filter(half & (F.octet_length("data") > 0)).select(
-        "label",
-        F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / settings.piece).cast("int")), lambda k: F.substring(F.col("data"), k * settings.piece + 1, F.lit(settings.piece)))).alias("data"),
+    known = known.filter("doc_id is not null and label in (0, 1)").filter(~held_out(F.col("doc_id"))).withColumn("pick", F.xxhash64("doc_id"))
+    # Half of the labelled documents make the dictionaries, the other half the curve.
+    known = known.withColumn("for_curve", F.pmod("pick", F.lit(2)) == 1)
+    chosen = reduce(
+        DataFrame.union,
+        [
+            known.filter((F.col("label") == label) & (F.col("for_curve") == F.lit(curve))).orderBy("pick").limit(settings.per_class)
+            for label in (0, 1)
+            for curve in (False, True)
+        ],
     )
-    cut = cut.withColumn("pick", F.xxhash64("data"))
-    whole = rows.filter(~half).withColumn("data", F.substring("data", 1, settings.fit_bytes))
+    # At most four times per_class rows of three numbers, so the texts need not move.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_of(), "UTF-8").alias("data")).join(F.broadcast(chosen), "doc_id")
+    size = F.when(F.col("for_curve"), settings.fit_bytes).otherwise(settings.piece)
+    last = F.when(F.col("for_curve"), 0).otherwise(F.floor((F.greatest(F.octet_length("data"), F.lit(1)) - 1) / settings.piece)).cast("int")
+    cut = rows.withColumns({"size": size, "number": F.explode(F.sequence(F.lit(0), last))}).select(
+        "label", "for_curve", F.substring("data", F.col("number") * F.col("size") + 1, F.col("size")).alias("data")
+    )
+    held = stored(cut.withColumn("pick", F.xxhash64("data")), "labelled")
 
-    def first(source: DataFrame, label: int) -> list[bytes]:
-        chosen = source.filter(F.col("label") == label).orderBy("pick", "data").limit(settings.per_class)
-        return [bytes(r[0]) for r in chosen.select("data").collect()]
+    def first(label: int, curve: bool) -> list[bytes]:
+        found = held.filter((F.col("label") == label) & (F.col("for_curve") == F.lit(curve)) & (F.lit(curve) | (F.octet_length("data") > 0)))
+        return [bytes(r[0]) for r in found.orderBy("pick", "data").limit(settings.per_class).select("data").collect()]
 
-    good, bad = first(cut, 1), first(cut, 0)
-    good_texts, bad_texts = first(whole, 1), first(whole, 0)
+    good, bad, good_texts, bad_texts = first(1, False), first(0, False), first(1, True), first(0, True)
     if not (good and bad and good_texts and bad_texts):
         raise ValueError("a fit needs labelled texts of both kinds")
 

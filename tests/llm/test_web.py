@@ -50,13 +50,14 @@ def test_odd_pages(frame):
         ("nonsense", "<p>open<p>another"),
         ("http://b/3", "<main><p>main</main><p>rest"),
         ("http://b/4", "<div><p>a</div></div></div>b</body>c"),
+        # Text after the closing body goes on where the body stopped, as in browsers.
         ("http://b/5", "<article><p>in <b>bold<p>still</article>out"),
         ("http://b/6", "<p>a < b && c > d <"),
         ("http://b/7", "<script>never closed <p>x"),
         ("http://b/8", "<!-- never closed <p>x"),
         ("http://b/9", "<a title='>'>q</a>"),
     ]
-    assert texts(frame, rows) == ["", "", "just é text", "open\nanother", "main", "a\nb\nc", "in bold\nstill", "a < b && c > d <", "", "", "q"]
+    assert texts(frame, rows) == ["", "", "just é text", "open\nanother", "main", "a\nbc", "in bold\nstill", "a < b && c > d <", "", "", "q"]
     assert pages.extracted(frame([], PAGES)).count() == 0
 
 
