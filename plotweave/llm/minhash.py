@@ -13,10 +13,10 @@ point per run.
 
 Components are banded. Documents that share a band are compared with one pivot of the band,
 by the overlap of their whole bags, and linked from ``least`` on. Where the documents of one
-band still belong to several classes, pairs between the classes are compared too, save those
-that the distances to the pivot rule out (1 - similarity is a metric), so no link of a band is
-lost although no group is expanded into all pairs. Classes are the connected components of
-the links.
+band still belong to several classes, blocks of them are compared with each other in tasks
+of bounded size, which give out the few links that join classes; so no link of a band is lost,
+although no group is expanded into rows of all pairs. Only there the work, not the rows, grows
+with the square of a band. Classes are the connected components of the links.
 
 Defined results: equal texts up to case and marks are one class; a text of fewer than five
 words is one run; all texts without words are one class; a null text is empty; the class id is
@@ -48,6 +48,8 @@ class Settings:
     bands: int = 20
     rows: int = 6
     least: float = 0.8
+    block_texts: int = 512
+    block_runs: int = 1_000_000
 
 
 def _uniform(bits: np.ndarray) -> np.ndarray:
@@ -224,6 +226,64 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
 
 
+def _linked(settings: Settings):
+    """For one block: links that join its classes, as few as do."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        keys = [bytes(k) for k in block["text_key"]]
+        classes_of, names = pd.factorize(pd.Series([bytes(x) for x in block["label"]]))
+        out: list[tuple[bytes, bytes]] = []
+        if len(names) > 1:
+            sizes = np.array([len(b) for b in block["bag"]])
+            owner = np.repeat(np.arange(len(keys)), sizes)
+            _, element, often = np.unique(np.concatenate(block["bag"].tolist()), return_inverse=True, return_counts=True)
+            # Elements of one text alone are in no overlap.
+            column = np.cumsum(often > 1) - 1
+            shared_by = often[element] > 1
+            owner, element = owner[shared_by], column[element[shared_by]]
+            order = np.argsort(element, kind="stable")
+            owner, element = owner[order], element[order]
+            overlap = np.zeros((len(keys), len(keys)))
+            width = 2048
+            for first in range(0, int((often > 1).sum()), width):
+                low, high = np.searchsorted(element, [first, first + width])
+                part = np.zeros((len(keys), width), np.float32)
+                part[owner[low:high], element[low:high] - first] = 1
+                overlap += part @ part.T
+            similar = overlap / (sizes[:, None] + sizes[None, :] - overlap) >= settings.least
+            parent = list(range(len(names)))
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for i, j in np.argwhere(np.triu(similar & (classes_of[:, None] != classes_of[None, :]))).tolist():
+                a, b = root(classes_of[i]), root(classes_of[j])
+                if a != b:
+                    parent[a] = b
+                    out.append((keys[i], keys[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _links_across(members: DataFrame, held: DataFrame, settings: Settings) -> DataFrame:
+    """Links between the classes of each band (band, text_key, label, blocks).
+
+    The texts of a large band are dealt to blocks, and every two blocks are compared in one
+    task: a task holds two blocks, whatever the band holds, and gives out a link only where
+    it joins two classes.
+    """
+    own = F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = members.withColumn("own", own).select(
+        "band", "text_key", "label", "own", F.explode(every).alias("other")
+    ).select("band", "text_key", "label", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    return dealt.join(held, "text_key").groupBy("band", "one", "two").applyInPandas(_linked(settings), "a binary, b binary")
+
+
 def classes(
     docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -251,27 +311,13 @@ def classes(
 
     # Bands whose members still belong to several classes.
     sorted_out = _labelled(members, labels)
-    mixed_bands = sorted_out.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-    distance = measured.select(F.col("a").alias("text_key"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("distance"))
-    left = (
-        sorted_out.join(mixed_bands, "band")
-        .join(distance, ["text_key", "pivot"], "left")
-        .select("band", "text_key", "n_runs", "label", F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    )
-    left = stored(left, "left")
-    other = left.select("band", *[F.col(c).alias(f"{c}_b") for c in ("text_key", "n_runs", "label", "distance")])
-    # Sizes alone bound the similarity, and so do the distances to the pivot.
-    slack = 1 - settings.least + 1e-9
-    more = (
-        left.join(other, "band")
-        .filter("label < label_b")
-        .filter(F.least("n_runs", "n_runs_b") >= settings.least * F.greatest("n_runs", "n_runs_b"))
-        .filter(F.abs(F.col("distance") - F.col("distance_b")) <= slack)
-        .filter((F.col("distance") > 0) & (F.col("distance_b") > 0))
-        .select(F.col("text_key").alias("a"), F.col("text_key_b").alias("b"))
-        .distinct()
+    mixed_bands = (
+        sorted_out.groupBy("band")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("n_runs").alias("runs"))
+        .filter("low <> high")
+        .select("band", F.ceil(F.greatest(F.col("n") / settings.block_texts, F.col("runs") / settings.block_runs)).cast("int").alias("blocks"))
     )
-    across = stored(_similar(more, held).filter(F.col("similarity") >= settings.least).select("a", "b"), "across")
+    across = stored(_links_across(sorted_out.join(mixed_bands, "band"), held, settings), "across")
     if not across.isEmpty():
         labels = components(links.union(across))
 
