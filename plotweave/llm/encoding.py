@@ -25,7 +25,7 @@ _SPACE_THEN_SPACE = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
 # Letters of the Latin blocks, then ASCII marks to the end: both kinds of splitting part them.
 _WORD_THEN_MARKS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
-_KNOWN_CHUNKS = 800_000
+_KNOWN_CHUNKS = 250_000
 _TOGETHER = 200
 
 

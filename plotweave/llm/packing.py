@@ -186,7 +186,7 @@ def pack(
 
         for batch in batches:
             texts = batch["text"].tolist()
-            for part in portions(map(len, texts), 1_000_000):
+            for part in portions(map(len, texts), 300_000):
                 ids, lengths = encode(texts[part])
                 begins = starts_of(lengths)
                 for doc_id, lead, at, n in zip(
