@@ -50,7 +50,7 @@ def prefix_events(positions: DataFrame, events: DataFrame) -> DataFrame:
         "book_id",
         F.col("id").alias("event_row"),
         (F.col("chapter_idx") + 1).alias("valid_from"),
-        F.lit(2**16).alias("valid_until"),
+        F.lit(2**62).alias("valid_until"),
     )
     earlier = stab(
         asked.select(*CHAPTER).distinct(), last, ["book_id"], "chapter_idx", "valid_from", "valid_until"
