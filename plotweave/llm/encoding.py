@@ -8,24 +8,27 @@ texts.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import sys
 import types
-from array import array
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from plotweave.llm.ragged import gather, portions, starts_of, sums
+from plotweave.llm.ragged import portions, starts_of, sums
 
 _SPACE_THEN_SPACE = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
 # Letters of the Latin blocks, then ASCII marks to the end: both kinds of splitting part them.
 _WORD_THEN_MARKS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+# Chunks a worker keeps for good, those it keeps for a while besides, and the longest it keeps.
 _KNOWN_CHUNKS = 250_000
+_RECENT_CHUNKS = 150_000
+_KEPT_LENGTH = 64
 _TOGETHER = 200
 
 
@@ -47,7 +50,7 @@ def _cuts_at_spaces(tokenizer: Tokenizer) -> bool:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of about the first `_KNOWN_CHUNKS` chunks it meets."""
+    """Encodes texts; keeps the ids of the first `_KNOWN_CHUNKS` chunks it meets, and of the latest."""
 
     def __init__(self, path: str, end_id: int):
         # One task has one core; the library's own threads would take those of other tasks.
@@ -62,11 +65,11 @@ class Encoder:
         self.bounds = np.zeros(max(names.values(), default=0) + 1, bool)
         if self.by_chunk:
             self.bounds[[i for n, i in names.items() if (n.endswith(suffix) if suffix else n.startswith("\u0120"))]] = True
-        # Code 0 is the end of a text.
-        self.heads: dict[str, int] = {}
-        self.tails: dict[str, int] = {}
-        self.marks: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = array("I", [end_id]), array("q", [0]), array("q", [1])
+        # Ids as little-endian bytes, by chunk: first of a text, behind a space, marks behind a word.
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.end = np.array([end_id], "<u4").tobytes()
 
     def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -100,71 +103,71 @@ class Encoder:
                 counts.append(alone[1])
         return np.concatenate(out), np.concatenate(counts)
 
-    def _add(self, known: dict[str, int], chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        code = len(self.starts)
-        known.update(zip(chunks, range(code, code + len(chunks))))
-        self.starts.frombytes((len(self.flat) + starts_of(lengths)).tobytes())
-        self.lengths.frombytes(lengths.astype(np.int64).tobytes())
-        self.flat.frombytes(ids.tobytes())
+    @staticmethod
+    def _add(known: dict[str, bytes], chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        raw = ids.astype("<u4").tobytes()
+        ends = np.cumsum(4 * lengths)
+        known.update(zip(chunks, [raw[a:b] for a, b in zip((ends - 4 * lengths).tolist(), ends.tolist())]))
 
-    def _pieces(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.frombuffer(self.lengths, np.int64)[codes]
-        return gather(np.frombuffer(self.flat, np.uint32), np.frombuffer(self.starts, np.int64)[codes], lengths), lengths
-
-    def _learn(self, known: dict[str, int], chunks: set[str], lead: str) -> None:
-        """Give every chunk a code: that of the ids of the lead and the chunk."""
+    def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> None:
+        """Add every chunk with the ids of the lead and the chunk."""
         new = list(chunks)
-        split = [m.groups() if (m := _WORD_THEN_MARKS.fullmatch(c)) else None for c in new] if self.by_chunk else [None] * len(new)
+        split = [_WORD_THEN_MARKS.fullmatch(c) if len(c) <= _KEPT_LENGTH else None for c in new]
         whole = [c for c, m in zip(new, split) if m is None]
-        words = {m[0] for m in split if m} - known.keys()
         # A word without marks is the whole of its chunk.
-        words = list(words.union(c for c, m in zip(new, split) if m and not m[1]))
+        words = list({m[1] for m in split if m}.difference(known))
         for part in portions(map(len, whole), 200_000):
             self._add(known, whole[part], *self._ids([lead + c for c in whole[part]]))
         for part in portions(map(len, words), 200_000):
             self._add(known, words[part], *self._word_ids(words[part], lead))
-        if joined := [(c, m) for c, m in zip(new, split) if m and m[1]]:
-            if marks := list({m[1] for _, m in joined} - self.marks.keys()):
-                self._add(self.marks, marks, *self._ids(marks))
-            codes = np.fromiter((x for _, m in joined for x in (known[m[0]], self.marks[m[1]])), np.int64, 2 * len(joined))
-            ids, lengths = self._pieces(codes)
-            self._add(known, [c for c, _ in joined], ids, lengths.reshape(-1, 2).sum(1))
-
-    def _codes(self, known: dict[str, int], chunks: list[str], lead: str) -> np.ndarray:
-        codes = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
-        if len(missing := np.flatnonzero(codes < 0)):
-            named = [chunks[i] for i in missing.tolist()]
-            self._learn(known, set(named), lead)
-            codes[missing] = np.fromiter(map(known.__getitem__, named), np.int64, len(named))
-        return codes
+        joined = [m for m in split if m and m[2]]
+        if marks := list({m[2] for m in joined}.difference(self.marks)):
+            self._add(self.marks, marks, *self._ids(marks))
+        known.update([(m[0], known[m[1]] + self.marks[m[2]]) for m in joined])
+
+    def _forget(self) -> None:
+        """Drop the latest chunks when there are many; what came first is mostly frequent."""
+        for known in (self.heads, self.tails, self.marks):
+            if len(known) > _KNOWN_CHUNKS + _RECENT_CHUNKS:
+                for _ in range(len(known) - _KNOWN_CHUNKS):
+                    known.popitem()
 
     def _cut(self, text: str) -> list[str]:
-        if not self.by_chunk:
-            return [text]
         return _CUT.split(text) if _SPACE_THEN_SPACE.search(text) else text.split(" ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's closed by the end id, and how many belong to each text."""
-        full = len(self.starts) > _KNOWN_CHUNKS
-        before = len(self.starts), len(self.flat), len(self.heads), len(self.tails), len(self.marks)
-        cut = [self._cut(t) for t in texts]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        # The first chunk of a text stands alone; all others keep the space before them.
-        ends = np.cumsum(counts + 1) - 1
-        heads_at = ends - counts
-        codes = np.zeros(int(counts.sum()) + len(cut), np.int64)
-        is_rest = np.ones(len(codes), bool)
-        is_rest[ends] = is_rest[heads_at] = False
-        codes[heads_at] = self._codes(self.heads, [c[0] for c in cut], "")
-        codes[is_rest] = self._codes(self.tails, list(chain.from_iterable(c[1:] for c in cut)), " ")
-        ids, lengths = self._pieces(codes)
-        if full:
-            # What was learned for these texts alone is dropped, latest first.
-            del self.starts[before[0] :], self.lengths[before[0] :], self.flat[before[1] :]
-            for known, size in zip((self.heads, self.tails, self.marks), before[2:]):
-                for _ in range(len(known) - size):
-                    known.popitem()
-        return ids, sums(lengths, counts + 1)
+        # Nothing here makes cycles, and looking for some would walk all that is kept.
+        looking = gc.isenabled()
+        gc.disable()
+        try:
+            made = self._encoded(texts)
+        finally:
+            if looking:
+                gc.enable()
+        lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        return np.frombuffer(b"".join(made), "<u4").astype(np.uint32, copy=False), lengths
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        if self.by_chunk:
+            # The first chunk of a text stands alone; all others keep the space before them.
+            cut = [self._cut(t) for t in texts]
+            heads = [c[0] for c in cut]
+            for c in cut:
+                del c[0]
+            long = []
+            for known, chunks, lead in ((self.heads, set(heads), ""), (self.tails, set(chain.from_iterable(cut)), " ")):
+                if new := chunks.difference(known):
+                    self._learn(known, new, lead)
+                    long += [(known, c) for c in new if len(c) > _KEPT_LENGTH]
+            first, rest = self.heads.__getitem__, self.tails.__getitem__
+            made = [first(h) + b"".join(map(rest, c)) + self.end for h, c in zip(heads, cut)]
+            for known, chunk in long:
+                del known[chunk]
+            self._forget()
+            return made
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() + self.end for e in found]
 
 
 def encoder(path: str, end_id: int) -> Encoder:

@@ -34,15 +34,17 @@ def plain(name, end):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_tokenizer(name, monkeypatch):
     monkeypatch.setattr(encoding, "_KNOWN_CHUNKS", 300)
+    monkeypatch.setattr(encoding, "_RECENT_CHUNKS", 200)
     made, want = encoding.Encoder(public_tokenizers.path(name), 7), plain(name, 7)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{'%%' * (i % 3)}" for i in range(600)]
-    texts = [r[1] or "" for r in ROWS] + [" ".join(words[i:] + words[:i]) for i in range(0, 600, 50)] + [" ", "  a", "a\n b", "'s 's", "ΑΣ ́a"]
+    texts = [r[1] or "" for r in ROWS] + [" ".join(words[i:] + words[:i]) for i in range(0, 600, 50)] + [" ", "  a", "a\n b", "'s 's", "ΑΣ ́a", "x" * 3000 + ", y " + "ab" * 900]
     for _ in range(2):
         for part in (texts[:9], texts[9:]):
             ids, lengths = made.encode(part)
             assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [want(t).tolist() for t in part]
-    # The limit is passed by the texts of one call at most.
-    assert len(made.starts) < 1100
+    # Between calls the limits hold, and long chunks are not kept.
+    for known in (made.heads, made.tails, made.marks):
+        assert len(known) <= 500 and all(len(c) <= encoding._KEPT_LENGTH for c in known)
 
 
 @settings(max_examples=40, deadline=None)
