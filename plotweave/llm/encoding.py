@@ -17,7 +17,7 @@ import types
 from itertools import chain
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from plotweave.llm.ragged import portions, starts_of, sums
 
@@ -49,6 +49,25 @@ def _cuts_at_spaces(tokenizer: Tokenizer) -> bool:
     return False
 
 
+def _for_words(path: str) -> Tokenizer | None:
+    """The same model for words of letters only, parted at spaces in place of the file's pattern.
+
+    Lower-case Latin letters pass the normalizers that `_cuts_at_spaces` allows unchanged.
+    """
+    tokenizer = Tokenizer.from_file(path)
+    probe = " ab abc \u00e9t\u00e9 zz"
+    found = [w.strip("\u0120") for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
+    byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    if found != [byte_level.pre_tokenize_str(w)[0][0] for w in probe.split()]:
+        return None
+    holds_space = json.loads(tokenizer.to_str())["pre_tokenizer"].get("type") == "ByteLevel"
+    tokenizer.normalizer = None
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.Split(" ", "merged_with_next" if holds_space else "removed"), byte_level]
+    )
+    return tokenizer
+
+
 class Encoder:
     """Encodes texts; keeps the ids of the first `_KNOWN_CHUNKS` chunks it meets, and of the latest."""
 
@@ -58,6 +77,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_chunk = _cuts_at_spaces(self.tokenizer)
+        self.for_words = _for_words(path) if self.by_chunk else None
         # Byte-level words begin with a mark for their space, others may end with a suffix.
         names = self.tokenizer.get_vocab()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -71,12 +91,12 @@ class Encoder:
         self.marks: dict[str, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
 
-    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _ids(self, chunks: list[str], tokenizer: Tokenizer | None = None) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(chunks, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
-    def _word_ids(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+    def _word_ids(self, words: list[str], lead: str, tokenizer: Tokenizer | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words of letters: many in one text, parted where a token is a word's first or last.
 
         A group in which the parts are not as many as its words is encoded word by word.
@@ -84,7 +104,7 @@ class Encoder:
         if not lead or not self.bounds.any():
             return self._ids([lead + w for w in words])
         groups = [words[at : at + _TOGETHER] for at in range(0, len(words), _TOGETHER)]
-        ids, lengths = self._ids([lead + lead.join(g) for g in groups])
+        ids, lengths = self._ids([lead + lead.join(g) for g in groups], tokenizer)
         is_bound = self.bounds[ids]
         size = np.fromiter(map(len, groups), np.int64, len(groups))
         out, counts, begins = [], [], starts_of(lengths)
@@ -115,11 +135,15 @@ class Encoder:
         split = [_WORD_THEN_MARKS.fullmatch(c) if len(c) <= _KEPT_LENGTH else None for c in new]
         whole = [c for c, m in zip(new, split) if m is None]
         # A word without marks is the whole of its chunk.
-        words = list({m[1] for m in split if m}.difference(known))
+        words = {m[1] for m in split if m}.difference(known)
+        lower = [w for w in words if w == w.lower()] if self.for_words else []
+        others = list(words.difference(lower))
         for part in portions(map(len, whole), 200_000):
             self._add(known, whole[part], *self._ids([lead + c for c in whole[part]]))
-        for part in portions(map(len, words), 200_000):
-            self._add(known, words[part], *self._word_ids(words[part], lead))
+        for part in portions(map(len, lower), 200_000):
+            self._add(known, lower[part], *self._word_ids(lower[part], lead, self.for_words))
+        for part in portions(map(len, others), 200_000):
+            self._add(known, others[part], *self._word_ids(others[part], lead))
         joined = [m for m in split if m and m[2]]
         if marks := list({m[2] for m in joined}.difference(self.marks)):
             self._add(self.marks, marks, *self._ids(marks))
