@@ -69,14 +69,15 @@ def _for_words(path: str) -> Tokenizer | None:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of the first `_KNOWN_CHUNKS` chunks it meets, and of the latest."""
+    """Encodes texts; keeps the ids of the first chunks it meets, and of the latest."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, known_chunks: int | None = None):
         # One task has one core; the library's own threads would take those of other tasks.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_chunk = _cuts_at_spaces(self.tokenizer)
+        self.known_chunks = known_chunks or _KNOWN_CHUNKS
         self.for_words = _for_words(path) if self.by_chunk else None
         # Byte-level words begin with a mark for their space, others may end with a suffix.
         names = self.tokenizer.get_vocab()
@@ -152,8 +153,8 @@ class Encoder:
     def _forget(self) -> None:
         """Drop the latest chunks when there are many; what came first is mostly frequent."""
         for known in (self.heads, self.tails, self.marks):
-            if len(known) > _KNOWN_CHUNKS + _RECENT_CHUNKS:
-                for _ in range(len(known) - _KNOWN_CHUNKS):
+            if len(known) > self.known_chunks + _RECENT_CHUNKS:
+                for _ in range(len(known) - self.known_chunks):
                     known.popitem()
 
     def _cut(self, text: str) -> list[str]:
@@ -194,10 +195,10 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() + self.end for e in found]
 
 
-def encoder(path: str, end_id: int) -> Encoder:
+def encoder(path: str, end_id: int, known_chunks: int | None = None) -> Encoder:
     """The encoder of this Python worker, which serves many tasks and keeps what it has learned."""
     held = sys.modules.setdefault("plotweave_worker_encoders", types.ModuleType("plotweave_worker_encoders"))
-    key = f"{path}:{end_id}"
+    key = f"{path}:{end_id}:{known_chunks}"
     if not hasattr(held, key):
-        setattr(held, key, Encoder(path, end_id))
+        setattr(held, key, Encoder(path, end_id, known_chunks))
     return getattr(held, key)

@@ -43,6 +43,8 @@ WIDTHS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 COUNTS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 BLOCK = 1024
 CHUNK = 65_536
+# About 120 MB of a Python worker; here nothing else waits in its memory.
+_KNOWN_CHUNKS = 700_000
 _MAGIC = b"PWS8"
 CHUNKS = "shard int, first long, n_ids long, doc_ids array<long>, payload binary"
 
@@ -55,6 +57,7 @@ def _selectors(values: np.ndarray, block: int) -> np.ndarray:
     flat = np.zeros(rows * block, np.int8)
     flat[: len(values)] = np.maximum(np.frexp(values.astype(np.float64))[1], 1)
     width[:, :block] = flat.reshape(rows, block)
+    # Once no value begins a word of so many, none begins a fuller one.
     # The widest of the next 1, 2, 3, ... values; nothing stands behind the end of a block.
     widest = width[:, :block].copy()
     best = np.zeros((rows, block), np.int8)
@@ -63,7 +66,10 @@ def _selectors(values: np.ndarray, block: int) -> np.ndarray:
             np.maximum(widest, width[:, count - 1 : count - 1 + block], out=widest)
         # What fits a later selector fits all before it, so counting the fits gives the last.
         for selector in np.flatnonzero(COUNTS == count):
-            best += widest <= WIDTHS[selector]
+            fits = widest <= WIDTHS[selector]
+            if not fits.reshape(-1)[: len(values)].any():
+                return best.reshape(-1)[: len(values)]
+            best += fits
     return best.reshape(-1)[: len(values)]
 
 
@@ -179,7 +185,7 @@ def write_store(
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer, end_id).encode
+        encode = encoder(tokenizer, end_id, _KNOWN_CHUNKS).encode
         shard = TaskContext.get().partitionId()
         first = 0
         held: list = []
