@@ -118,8 +118,8 @@ def chapter_text_path(root: Column, idx: Column) -> Column:
 
 
 def public_url(base: Column, prefix: Column, path: Column) -> Column:
-    """Base without one trailing slash, then prefix and path."""
-    return F.concat_ws("/", F.regexp_replace(base, r"/$", ""), prefix, path)
+    """Base without one trailing slash, then prefix and path; null without a path."""
+    return F.when(path.isNotNull(), F.concat_ws("/", F.regexp_replace(base, r"/$", ""), prefix, path))
 
 
 def file_variant(name: Column) -> Column:

@@ -88,9 +88,15 @@ def _(v: Views):
     )
 
 
-@query("sc_8_newlines", "SELECT doc_id, md5(text || chr(10) || chr(10)) AS digest FROM documents WHERE instr(text, chr(13)) = 0")
+@query(
+    "sc_8_newlines",
+    """WITH n AS (
+         SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) || chr(13) ELSE replace(text, chr(10), chr(13)) END
+           || chr(10) || chr(10) AS t FROM documents
+       ) SELECT doc_id, md5(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM n""",
+)
 def _(v: Views):
-    docs = v.table("documents").filter(~C("text").contains("\r"))
+    docs = v.table("documents")
     mixed = F.concat(F.replace(C("text"), F.lit("\n"), F.lit("\r\n")), F.lit("\r"), F.lit("\n\n"))
     lone = F.concat(F.replace(C("text"), F.lit("\n"), F.lit("\r")), F.lit("\n\n"))
     return docs.select("doc_id", F.md5(text.newlines(F.when(C("doc_id") % 2 == 0, mixed).otherwise(lone))).alias("digest"))
@@ -241,13 +247,12 @@ def _(v: Views):
 
 @query(
     "sc_32_public_url",
-    "SELECT book_id, 'https://cdn.example/pub/' || artifact_path || '/combined.xhtml' AS url FROM book WHERE artifact_path IS NOT NULL",
+    "SELECT book_id, 'https://cdn.example/pub/' || artifact_path || '/combined.xhtml' AS url FROM book",
 )
 def _(v: Views):
     from plotweave.sources.artifacts import combined_document_url
 
-    books = v.book.filter("artifact_path IS NOT NULL")
-    return combined_document_url(books, "https://cdn.example/", "pub")
+    return combined_document_url(v.book, "https://cdn.example/", "pub")
 
 
 @query(

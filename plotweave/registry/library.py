@@ -277,15 +277,19 @@ def _(v: Views):
     return catalog.reader_favorites(v.favorite, v.book).select("user_id", "book_id", "title")
 
 
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 TABLE_UNION = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count, count(*) > 0 AS filled FROM {t}"
-    for t in ("orders", "lineitem", "events", "documents", "conversations")
+    for t in TABLES
 )
 
 
 @query("ag_24_table_counts", TABLE_UNION)
 def _(v: Views):
-    return table_counts({t: v.table(t) for t in ("orders", "lineitem", "events", "documents", "conversations")})
+    return table_counts({t: v.table(t) for t in TABLES})
 
 
 @query("st_1_catalog_sort", "SELECT book_id, lower(title) AS title FROM book ORDER BY lower(title), book_id")
