@@ -43,17 +43,16 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def with_place(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows, so that repeated rows can be told apart.
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row, so that repeated rows can be told apart; stored.
 
-    The numbers are those of the scan: ``df`` has to be a table that was read, possibly
-    with columns projected, so that every use of it sees the same numbers.
+    How a scan is split, and with it the number, changes when an executor is lost or joins
+    between two jobs. So rows are numbered once, and later steps read the stored number;
+    a second scan must not be numbered.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
-def without_places(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose number (`with_place`) is in ``places``, a column ``place``."""
-    name = unused(docs, "place")
-    gone = places.select(F.col("place").alias(name))
-    return with_place(docs, name).join(gone, name, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+def without_places(rows: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """``rows`` (`numbered` by ``name``) less those whose number is in ``places``, a column ``place``; without ``name``."""
+    return rows.join(places.select(F.col("place").alias(name)), name, "left_anti").drop(name)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import stored, text_of, with_place, without_places
+from plotweave.llm.common import numbered, stored, text_of, unused, without_places
 from plotweave.llm.ragged import portions, starts_of
 from plotweave.llm.words import Words, run_hashes
 
@@ -44,8 +44,8 @@ class Settings:
 
 
 def _items(benchmark: DataFrame, settings: Settings, id_column: str, text_column: str) -> DataFrame:
-    """place, item_id, words and seeds of every item that has seeds."""
-    rows = with_place(benchmark.select(F.col(id_column).cast("long").alias("item_id"), text_of(text_column).alias("text")), "item")
+    """item, item_id, words and seeds of every item that has seeds; to be stored, as the number ``item`` is that of one scan."""
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(id_column).cast("long").alias("item_id"), text_of(text_column).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Words()
@@ -175,14 +175,12 @@ def tiles(texts: list[np.ndarray], item: np.ndarray, shortest: int) -> list[tupl
 
 
 def matches(
-    docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id",
-    text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text",
+    rows: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), item_id_column: str = "item_id", item_text_column: str = "text"
 ) -> DataFrame:
-    """One row per document and item that share a seed: place, item_id, covered, item_words, tiles."""
+    """One row per document (place, text; stored) and item that share a seed: place, item_id, covered, item_words, tiles."""
     items = stored(_items(benchmark, settings, item_id_column, item_text_column), "items")
     bitmap = _bitmap(items, settings.bitmap_bits)
     mask = np.uint64(settings.bitmap_bits - 1)
-    rows = with_place(docs.select(text_of(text_column).alias("text")), "place")
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Words()
@@ -208,7 +206,7 @@ def matches(
                 if out:
                     yield pd.DataFrame(out, columns=["place", "at", "stretch", "seeds"])
 
-    stretches = stored(rows.mapInPandas(seeds, "place long, at long, stretch array<long>, seeds array<long>"), "stretches")
+    stretches = stored(rows.select("place", "text").mapInPandas(seeds, "place long, at long, stretch array<long>, seeds array<long>"), "stretches")
     wanted = items.select("item", F.explode("seeds").alias("seed")).distinct()
     pairs = (
         stretches.select("place", "at", F.explode(F.array_distinct("seeds")).alias("seed"))
@@ -239,9 +237,9 @@ def matches(
     )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), **columns: str) -> DataFrame:
-    """One row per document that holds an item: place, n_items, and the item covered most."""
-    found = matches(docs, benchmark, settings, **columns).withColumn("coverage", F.col("covered") / F.col("item_words"))
+def leaks(rows: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), **columns: str) -> DataFrame:
+    """One row per document (place, text; stored) that holds an item: place, n_items, and the item covered most."""
+    found = matches(rows, benchmark, settings, **columns).withColumn("coverage", F.col("covered") / F.col("item_words"))
     return (
         found.filter(F.col("coverage") >= settings.least)
         .groupBy("place")
@@ -260,11 +258,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     )
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", **columns: str) -> DataFrame:
+def judged(
+    docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text", **columns: str
+) -> DataFrame:
     """One row per document: doc_id, contaminated, and what `leaks` found."""
-    found = stored(leaks(docs, benchmark, settings, id_column=id_column, **columns), "leaks")
-    rows = with_place(docs.select(F.col(id_column).cast("long").alias("doc_id")), "place")
-    return rows.join(found, "place", "left").select(
+    rows = numbered(docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")), "place")
+    found = stored(leaks(rows, benchmark, settings, **columns), "leaks")
+    return rows.select("doc_id", "place").join(found, "place", "left").select(
         "doc_id",
         F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
@@ -274,6 +274,11 @@ def judged(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), **columns: str) -> DataFrame:
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_column: str = "text", **columns: str
+) -> DataFrame:
     """``docs`` that hold no item, all columns as they were."""
-    return without_places(docs, stored(leaks(docs, benchmark, settings, **columns).select("place"), "leaks"))
+    place = unused(docs, "place")
+    given = numbered(docs, place)
+    rows = given.select(F.col(place).alias("place"), text_of(text_column).alias("text"))
+    return without_places(given, stored(leaks(rows, benchmark, settings, **columns).select("place"), "leaks"), place)

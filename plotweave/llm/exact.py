@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import stored, text_of, with_place, without_places
+from plotweave.llm.common import numbered, stored, text_of, unused, without_places
 
 #: Smallest (is null, doc_id, place) first.
 Owner = tuple[bool, int, int]
@@ -149,16 +149,20 @@ def normalised(column: Column) -> Column:
     return F.regexp_replace(column, r"[\x20\x09-\x0D]+", " ")
 
 
-def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, place, n_bytes, sha256 of every row, and its normalised text."""
-    rows = with_place(docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("raw")), "place")
-    rows = rows.withColumn("text", F.encode(normalised(F.col("raw")), "UTF-8")).drop("raw")
-    return rows.select("doc_id", "place", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"), "text")
+def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *others: str) -> DataFrame:
+    """doc_id, n_bytes, sha256 of every row, its normalised text, and its column ``others``."""
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.encode(normalised(text_of(text_column)), "UTF-8").alias("text"), *others)
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"), "text", *others)
 
 
 def owners(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_bytes: int = 48_000_000) -> DataFrame:
     """One row per group of equal texts: n_bytes, sha256, keep_id, keep_place, group_size."""
-    rows = keyed(docs, id_column, text_column).select(
+    return _owners(numbered(keyed(docs, id_column, text_column), "place"), most_bytes)
+
+
+def _owners(keyed_rows: DataFrame, most_bytes: int = 48_000_000) -> DataFrame:
+    """`owners` of stored rows: text, doc_id, place."""
+    rows = keyed_rows.select(
         "text",
         F.col("doc_id").isNull().alias("no_id"),
         F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
@@ -216,16 +220,22 @@ def _owned(done: list) -> pd.DataFrame:
 
 def groups_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, place."""
-    found = owners(docs, id_column, text_column)
+    return _groups(numbered(keyed(docs, id_column, text_column), "place"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """`groups_of` stored rows: doc_id, n_bytes, sha256, text, place."""
     return (
-        keyed(docs, id_column, text_column)
-        .drop("text")
-        .join(found, ["n_bytes", "sha256"])
+        rows.drop("text")
+        .join(_owners(rows), ["n_bytes", "sha256"])
         .select("doc_id", "keep_id", "group_size", (F.col("place") == F.col("keep_place")).alias("kept"), F.col("sha256").alias("text_sha256"), "place")
     )
 
 
 def first_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row per group of equal texts, all columns as they were."""
-    gone = stored(groups_of(docs, id_column, text_column).filter("not kept").select("place"), "copies")
-    return without_places(docs, gone)
+    place = unused(docs, "place")
+    given = numbered(docs, place)
+    rows = keyed(given, id_column, text_column, place).withColumnRenamed(place, "place")
+    gone = stored(_groups(rows).filter("not kept").select("place"), "copies")
+    return without_places(given, gone, place)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import stored, text_of, with_place, without_places
+from plotweave.llm.common import numbered, stored, text_of, unused, without_places
 from plotweave.llm.ragged import mixed, portions, starts_of, sums
 from plotweave.llm.words import Words, run_hashes
 
@@ -137,9 +137,8 @@ def _digests(words: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip([0, *ends], ends)]
 
 
-def fingerprints(docs: DataFrame, settings: Settings, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, place, text_key, n_runs, bands of every row."""
-    rows = with_place(docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")), "place")
+def fingerprints(rows: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, place, text_key, n_runs, bands of every row (doc_id, text, place)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Words()
@@ -168,9 +167,9 @@ def fingerprints(docs: DataFrame, settings: Settings, id_column: str, text_colum
     return rows.mapInPandas(run, "doc_id long, place long, text_key binary, n_runs long, bands array<long>")
 
 
-def bags(docs: DataFrame, wanted: DataFrame, settings: Settings, text_column: str, id_column: str) -> DataFrame:
+def bags(rows: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """text_key and bag of the texts in ``wanted`` (text_key, place): (run, number) hashes."""
-    rows = with_place(docs.select(text_of(text_column).alias("text")), "place").join(wanted, "place")
+    chosen = rows.select("place", "text").join(wanted, "place")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Words()
@@ -188,7 +187,7 @@ def bags(docs: DataFrame, wanted: DataFrame, settings: Settings, text_column: st
                     {"text_key": batch["text_key"].iloc[part], "bag": np.split(element, ends[:-1]) if len(ends) else []}
                 )
 
-    return rows.select("text_key", "text").mapInPandas(run, "text_key binary, bag array<long>")
+    return chosen.select("text_key", "text").mapInPandas(run, "text_key binary, bag array<long>")
 
 
 def _similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -288,7 +287,13 @@ def classes(
     docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, n_texts, kept, place."""
-    prints = stored(fingerprints(docs, settings, id_column, text_column), "prints")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
+    return _classes(numbered(rows, "place"), settings)
+
+
+def _classes(rows: DataFrame, settings: Settings) -> DataFrame:
+    """`classes` of stored rows: doc_id, text, place."""
+    prints = stored(fingerprints(rows, settings), "prints")
     texts = stored(
         prints.groupBy("text_key").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first"),
@@ -303,7 +308,7 @@ def classes(
     shared = spread.groupBy("band").agg(F.min("text_key").alias("pivot"), F.max("text_key").alias("last")).filter("pivot <> last")
     members = stored(spread.join(shared.select("band", "pivot"), "band"), "members")
     wanted = members.select("text_key").distinct().join(texts.select("text_key", "first.place"), "text_key")
-    held = stored(bags(docs, wanted, settings, text_column, id_column), "bags")
+    held = stored(bags(rows, wanted, settings), "bags")
     first = members.filter("text_key <> pivot").select("text_key", "n_runs", "pivot").distinct()
     measured = stored(_similar(first.select(F.col("text_key").alias("a"), F.col("pivot").alias("b")), held), "measured")
     links = measured.filter(F.col("similarity") >= settings.least).select("a", "b")
@@ -336,5 +341,8 @@ def classes(
 
 def first_of_each(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row per class of near duplicates, all columns as they were."""
-    gone = stored(classes(docs, settings, id_column, text_column).filter("not kept").select("place"), "near-copies")
-    return without_places(docs, gone)
+    place = unused(docs, "place")
+    given = numbered(docs, place)
+    rows = given.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"), F.col(place).alias("place"))
+    gone = stored(_classes(rows, settings).filter("not kept").select("place"), "near-copies")
+    return without_places(given, gone, place)

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from plotweave.llm import exact, minhash
+from plotweave.llm import decontaminate, exact, minhash
 from plotweave.llm.ragged import mixed
 
 DOCS = "doc_id long, text string, place string, text_key string, n_bytes int"
@@ -174,3 +174,42 @@ def test_components(spark):
     found = {bytes(r.text_key): bytes(r.label) for r in minhash.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
     assert {k for k, v in found.items() if v == b"a"} == {b"a", b"b", b"c", b"d", b"e"}
     assert found[b"y"] == b"x" and {found[b"n%03d" % i] for i in range(41)} == {b"n000"}
+
+
+PLACED = {
+    "exact": (exact, lambda docs, items: exact.first_of_each(docs)),
+    "minhash": (minhash, lambda docs, items: minhash.first_of_each(docs)),
+    "decontaminate": (decontaminate, lambda docs, items: decontaminate.clean_documents(docs, items)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PLACED))
+def test_rows_keep_their_number_when_scans_are_split_anew(spark, frame, monkeypatch, name):
+    """The split of a scan follows the number of cores, which may change between two jobs."""
+    module, build = PLACED[name]
+    rows = [(i, " ".join(words(120, i // 2)), "p", "k", i) for i in range(40)]
+    docs = frame(rows, DOCS)
+    items = frame([(1, rows[6][1]), (2, rows[20][1])], "item_id long, text string")
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    splits = [("128m", "4m"), ("1500b", "1b"), ("700b", "1b")]
+    turn = 0
+
+    def resplit(df, label, write=module.stored):
+        nonlocal turn
+        made = write(df, label)
+        turn += 1
+        for k, v in zip(keys, splits[turn % 3]):
+            spark.conf.set(k, v)
+        return made
+
+    monkeypatch.setattr(module, "stored", resplit)
+    try:
+        made = build(docs, items)
+        for k, v in zip(keys, splits[2]):
+            spark.conf.set(k, v)
+        ids = sorted(r.doc_id for r in made.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert ids == ([i for i in range(40) if i // 2 not in (3, 10)] if name == "decontaminate" else list(range(0, 40, 2)))
