@@ -3,8 +3,8 @@
 A sequence has three limits at once: tokens, segments and tokens that bear loss. Each Spark
 task packs the documents of its own input split, so nothing is shuffled and no group of rows
 has to meet. Whole runs of a document that fill a sequence alone are cut off first. What is
-left of each document waits in a bounded window, from which the dot-product heuristic fills
-the open sequence: of the waiting items that fit, the one whose demand has the largest dot
+left of each document waits in a window, bounded in documents and in tokens, as a copy of the
+ids that are left; from it the dot-product heuristic fills the open sequence: of the waiting items that fit, the one whose demand has the largest dot
 product with the room left, each limit scaled to 1. When none fits, the item with the largest
 product is cut to what fits. At the end of a task, and whenever a sequence has to be closed
 early, its tokens are dealt to sequences whose lengths are powers of two, which need no
@@ -41,7 +41,8 @@ PER_TASK = 1 << 40
 
 @dataclass(frozen=True)
 class Limits:
-    """Of one sequence; ``window`` bounds the documents that wait for a place in a task."""
+    """Of one sequence; ``window`` bounds the documents that wait for a place in a task, and
+    ``window * tokens`` their tokens."""
 
     tokens: int = 2048
     segments: int = 64
@@ -50,7 +51,12 @@ class Limits:
 
 
 class _Packer:
-    """Packs (document, start, length) items; gives out lists of pieces."""
+    """Packs (document, start, length) items; gives out lists of pieces.
+
+    A document is (doc_id, ids from token ``base`` on, tokens before those that bear loss,
+    tokens, base). One that waits owns its ids; they are cut down as they are given out, so
+    all that wait hold at most twice ``window * tokens`` ids.
+    """
 
     def __init__(self, limits: Limits):
         self.limits = limits
@@ -65,20 +71,26 @@ class _Packer:
 
     def _wait(self, slot: int, doc: tuple, start: int) -> None:
         length = doc[3] - start
+        if doc[1].base is not None or len(doc[1]) > 2 * length:
+            doc = (doc[0], doc[1][start - doc[4] :].copy(), doc[2], doc[3], start)
         self.items[slot] = (doc, start, length)
         self.demand[slot] = (length, 1, self._loss(doc, start, length))
 
     def add(self, doc: tuple) -> Iterator[list]:
-        """doc: (doc_id, ids, tokens before those that bear loss, tokens)."""
+        """A whole document; its ids may be part of a larger array."""
         start = 0
         limits = self.limits
         while doc[3] - start >= limits.tokens and self._loss(doc, start, limits.tokens) <= limits.loss:
             yield [(doc, start, limits.tokens)]
             start += limits.tokens
         if start < doc[3]:
-            if not self.free:
+            # A sequence may only cut documents, so that no slot becomes free.
+            while not self.free:
                 yield from self._fill()
             self._wait(self.free.pop(), doc, start)
+            # More than that can only wait where a full run has too much loss to be cut off.
+            while self.demand[:, 0].sum() > limits.window * limits.tokens:
+                yield from self._fill()
 
     def _fill(self) -> Iterator[list]:
         """Fill one sequence from the window."""
@@ -171,7 +183,7 @@ def pack(
                 offset = 0
                 whole = sum(p[2] for p in pieces)
                 for doc, start, length in pieces:
-                    ids = doc[1][start : start + length].tobytes()
+                    ids = doc[1][start - doc[4] : start - doc[4] + length].tobytes()
                     loss = packer._loss(doc, start, length)
                     out.append((doc[0], start, length, doc[3], loss, number, offset, whole, ids))
                     offset += length
@@ -192,7 +204,7 @@ def pack(
                 for doc_id, lead, at, n in zip(
                     batch["doc_id"].iloc[part], batch["loss_from"].iloc[part], begins.tolist(), lengths.tolist()
                 ):
-                    doc = (None if pd.isna(doc_id) else int(doc_id), ids[at : at + n].copy(), int(lead), n)
+                    doc = (None if pd.isna(doc_id) else int(doc_id), ids[at : at + n], int(lead), n, 0)
                     keep(packer.add(doc))
                 if out:
                     yield frame()

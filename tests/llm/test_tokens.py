@@ -131,5 +131,44 @@ def test_loss_starts_late(frame):
     assert sum(r.loss_tokens for r in made) == sum(max(0, len(plain("byte_bpe_50k.json", 1)(r[1])) - 15) for r in rows)
 
 
+def bytes_held(packer):
+    """Of all arrays that waiting documents keep alive."""
+    held = {}
+    for item in packer.items:
+        if item is not None:
+            array = item[0][1]
+            while array.base is not None:
+                array = array.base
+            held[id(array)] = array.nbytes
+    return sum(held.values())
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(64, 4, 64, 8), packing.Limits(64, 4, 10, 8)])
+def test_waiting_documents_hold_a_window_of_ids(limits):
+    """Long documents, of which only a tail waits once their full runs were given out."""
+    packer = packing._Packer(limits)
+    given_out = {}
+
+    def count(sequences):
+        for pieces in sequences:
+            for doc, _, length in pieces:
+                given_out[doc[0]] = given_out.get(doc[0], 0) + length
+
+    for doc_id in range(40):
+        n = 20_000 + doc_id
+        count(packer.add((doc_id, np.arange(n, dtype="<u4"), 0, n, 0)))
+        assert bytes_held(packer) <= 2 * limits.window * limits.tokens * 4
+    count(packer.finish())
+    assert given_out == {i: 20_000 + i for i in range(40)}
+
+
+def test_long_documents_are_packed_whole(frame):
+    rows = [(i, "word " * (150 + 7 * i), 40) for i in range(30)]
+    texts = {r[0]: (r[1], 1) for r in rows}
+    for limits in (packing.Limits(64, 3, 64, 4), packing.Limits(64, 3, 10, 2)):
+        made = packing.pack(frame(rows, "doc_id long, text string, prompt long"), public_tokenizers.path("byte_bpe_50k.json"), 1, limits, loss_from="prompt")
+        check_packed(made.collect(), texts, limits)
+
+
 def test_nothing_to_pack(frame):
     assert packing.pack(frame([], DOCS), public_tokenizers.path("byte_bpe_50k.json"), 1).count() == 0
