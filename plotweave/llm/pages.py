@@ -9,6 +9,12 @@ worth less than ``least`` are cut from each page of the host, as are the element
 itself sets apart: navigation, headers, footers, asides, forms, scripts, and elements whose class, id or
 role says so. The text is that of the article, else of the main element, else of the body.
 
+A class, id or role is only a hint, as wrappers of the whole page have such names too. It does not
+count where the element holds the article, the main element or the heading (those that are
+found nowhere outside of such elements), or most of the text of the page or article. Text that
+is set apart is recorded as such and is the page's text where nothing else is left, first that
+of class words; only what is never shown as text (scripts, heads, controls) is not recorded.
+
 Two rules keep articles whole where pages repeat each other: a branch can only be cut at a
 container or an element with a class or id, and where the article itself is worth
 too little, its host's pages are copies and say nothing about it.
@@ -73,6 +79,8 @@ APART = frozenset(
     "head title script style noscript template nav header footer aside form button select textarea iframe object svg canvas "
     "audio video dialog menu xmp noembed noframes".split()
 )
+#: Of those, the elements whose content is not text of the page.
+NO_TEXT = frozenset("head title script style template noscript button select textarea iframe object svg canvas audio video xmp noembed noframes".split())
 APART_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc "
@@ -101,7 +109,7 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 class Element:
-    __slots__ = ("name", "path", "apart", "cut", "article", "main", "block", "children", "said", "styled")
+    __slots__ = ("name", "path", "silent", "apart", "named_apart", "cut", "article", "main", "block", "children", "said", "styled")
 
     def __init__(self, name: str):
         self.name = name
@@ -109,14 +117,31 @@ class Element:
         self.said: list[str] = []
 
 
+@dataclass(frozen=True)
+class Block:
+    """``apart``: by its elements. ``named_apart``: the innermost element set apart by its name, or -1."""
+
+    text: str
+    article: int
+    main: bool
+    cut: bool
+    apart: bool
+    named_apart: int
+
+
 class Page:
     """One pass over a page: its blocks of text, and on request its styles."""
 
     def __init__(self, source: str, low: frozenset[int] = frozenset(), styles: bool = False):
         self.low = low
         self.styles: dict[int, tuple[list[int], list, list]] | None = {} if styles else None
-        # (text, in the article, in the main element, in a low branch).
-        self.blocks: list[tuple[str, bool, bool, bool]] = []
+        self.blocks: list[Block] = []
+        # Elements set apart by a class, id or role: the one around it, the article it is in, and
+        # whether it is itself an article, main element or heading.
+        self.named: list[tuple[int, int, bool]] = []
+        # (what, the article it is in, the innermost element of `named` it is or is in).
+        self.marks: list[tuple[str, int, int]] = []
+        self.articles = 0
         self.stack: list[Element] = []
         self.open: dict[str, list[int]] = {}
         self.run: list[str] = []
@@ -136,16 +161,29 @@ class Page:
             element.path = above.path
         else:
             element.path = xxhash.xxh3_64_intdigest(f"{above.path}/{label}") - (1 << 63)
-        in_article = above is not None and above.article
-        words = {w.lower() for w in _WORDS.findall(named)} if element.styled and name not in ("html", "body", "main") else set()
-        apart = name in APART or bool(words & APART_WORDS) or "hidden" in attributes
-        apart = apart or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        if in_article and name == "header":
+        in_article = above.article if above is not None else 0
+        words = {w.lower() for w in _WORDS.findall(named)} & APART_WORDS if element.styled and name not in ("html", "body", "main") else set()
+        is_article = name == "article" or attributes.get("role") == "article"
+        is_main = name == "main" or attributes.get("role") == "main"
+        if in_article:
             # The head of an article holds its title.
-            apart = bool(words & (APART_WORDS - {"header"}))
+            words.discard("header")
+        apart = name in APART and not (in_article and name == "header")
+        apart = apart or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+        apart = apart or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        element.silent = name in NO_TEXT or (above is not None and above.silent)
         element.apart = apart or (above is not None and above.apart)
-        element.article = in_article or (not element.apart and (name == "article" or attributes.get("role") == "article"))
-        element.main = (above is not None and above.main) or (not element.apart and (name == "main" or attributes.get("role") == "main"))
+        element.named_apart = above.named_apart if above is not None else -1
+        if words and not element.apart:
+            self.named.append((element.named_apart, in_article, is_article or is_main or name == "h1"))
+            element.named_apart = len(self.named) - 1
+        element.article = in_article
+        if is_article and not in_article and not element.apart:
+            self.articles += 1
+            element.article = self.articles
+        element.main = (above is not None and above.main) or (not element.apart and is_main)
+        if not element.apart and (is_article or is_main or name == "h1"):
+            self.marks.append(("article", 0, element.named_apart) if is_article else ("main", 0, element.named_apart) if is_main else ("h1", in_article, element.named_apart))
         # Where the whole article is low, its host's pages are copies.
         element.block = above.block if above is not None else False
         if element.article and not in_article and element.path in self.low:
@@ -178,11 +216,10 @@ class Page:
             return
         text = html.unescape(text)
         element = self.stack[-1] if self.stack else None
-        if self.styles is not None:
-            if element is not None and (plain := " ".join(text.split())):
-                element.said.append(plain)
-        elif element is None or not element.apart:
-            where = (element.article, element.main, element.cut) if element else (False, False, False)
+        if self.styles is not None and element is not None and (plain := " ".join(text.split())):
+            element.said.append(plain)
+        if element is None or not element.silent:
+            where = (element.article, element.main, element.cut, element.apart, element.named_apart) if element else (0, False, False, False, -1)
             if self.run and self.run[0] != where:
                 self._end_block()
             if self.run:
@@ -194,7 +231,7 @@ class Page:
         if self.run:
             text = " ".join("".join(self.run[1:]).split())
             if text:
-                self.blocks.append((text, *self.run[0]))
+                self.blocks.append(Block(text, *self.run[0]))
             self.run = []
 
     # Tags
@@ -267,17 +304,72 @@ class Page:
             # An inline element that a block was opened in stays open, as its text goes on.
             self._pop_to(depth)
 
+    def _counted(self) -> list[bool]:
+        """For each of `named`, whether its name does not set it apart after all."""
+        page, articles, inside = 0, dict.fromkeys(range(self.articles + 1), 0), [0] * len(self.named)
+        for b in self.blocks:
+            if b.apart or b.cut:
+                continue
+            page += len(b.text)
+            articles[b.article] += len(b.text)
+            at = b.named_apart
+            while at >= 0:
+                inside[at] += len(b.text)
+                at = self.named[at][0]
+        holds: list[set[tuple[str, int]]] = [set() for _ in self.named]
+        directly: list[set[tuple[str, int]]] = [set() for _ in self.named]
+        outside = set()
+        for what, article, innermost in self.marks:
+            (directly[innermost] if innermost >= 0 else outside).add((what, article))
+            at = innermost
+            while at >= 0:
+                holds[at].add((what, article))
+                at = self.named[at][0]
+        counted = [False] * len(self.named)
+        inner: dict[int, list[int]] = {}
+        for k, (around, _, _) in enumerate(self.named):
+            inner.setdefault(around, []).append(k)
+        # From the outside in, as what a wrapper shows may be all that an element in it holds;
+        # beside each other, articles come before what only holds some.
+        below = inner.get(-1, [])
+        while below:
+            shown = []
+            for marked in (True, False):
+                found = []
+                for k in below:
+                    _, article, itself = self.named[k]
+                    most = 2 * inside[k] > (articles[article] if article else page)
+                    if itself == marked and (most or holds[k] - outside):
+                        counted[k] = True
+                        found.append(k)
+                for k in found:
+                    outside |= directly[k]
+                shown += found
+            below = [m for k in shown for m in inner.get(k, [])]
+        return counted
+
     def text(self) -> str:
-        for choice in (
-            lambda b: b[1] and not b[3],
-            lambda b: b[1],
-            lambda b: b[2] and not b[3],
-            lambda b: b[2],
-            lambda b: not b[3],
-            lambda b: True,
-        ):
-            if chosen := [b[0] for b in self.blocks if choice(b)]:
-                return "\n".join(chosen)
+        counted = self._counted()
+
+        def how_apart(b: Block) -> int:
+            at, named = b.named_apart, False
+            while at >= 0 and not named:
+                named, at = not counted[at], self.named[at][0]
+            return 2 if b.apart else int(named)
+
+        levels = [how_apart(b) for b in self.blocks]
+        for level in range(3):
+            here = [b for b, n in zip(self.blocks, levels) if n == level]
+            for choice in (
+                lambda b: b.article and not b.cut,
+                lambda b: b.article,
+                lambda b: b.main and not b.cut,
+                lambda b: b.main,
+                lambda b: not b.cut,
+                lambda b: True,
+            ):
+                if chosen := [b.text for b in here if choice(b)]:
+                    return "\n".join(chosen)
         return ""
 
 

@@ -42,6 +42,32 @@ def test_what_is_apart(frame):
     assert texts(frame, [("http://a/1", page)]) == ["A & B <c>\nOne twothree four.\nFive six seven\nItem\nNext\nc1\nc2"]
 
 
+STORY = "<h1>Head</h1><p>A story of some length.</p><p>It goes on.</p>"
+WHOLE_STORY = "Head\nA story of some length.\nIt goes on."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout has-sidebar"><article>{STORY}</article><div class="sidebar">Side</div></div>',
+        f'<div class="content-sidebar-wrap"><main>{STORY}</main><div class="widget"><h1>Other</h1>Side</div></div>',
+        f'<div id="page" class="page with-header"><div class="banner">Buy</div><div class="col-menu-open">{STORY}</div></div>',
+        f'<div class="site-nav-open"><div class="layout has-sidebar"><div class="text">{STORY}</div></div></div><div class="footer">Small</div>',
+        '<article><div class="article-header"><h1>Head</h1></div><p>A story of some length.</p><p>It goes on.</p><div class="comments"><h1>Said</h1></div></article>',
+        '<article><div class="article-header"><h2>Head</h2></div><p>A story of some length.</p><p>It goes on.</p></article>',
+        '<article><h1>Head</h1><div class="with-sidebar"><p>A story of some length.</p><p>It goes on.</p></div><div class="share">Share</div></article>',
+        f'<article class="post sidebar-right">{STORY}</article><div class="related"><article class="card">Another story</article></div>',
+        f'<div class="layout has-sidebar"><article>{STORY}</article><div class="related"><article>Another story</article></div></div>',
+        # Nothing is left but what is set apart.
+        '<aside>Head<p>A story of some length.</p><p>It goes on.</p></aside>',
+        '<form><p>Head</p><div>A story of some length.</div><div>It goes on.</div></form><script>x</script>',
+        '<body style="display: none"><p>Head</p><p>A story of some length.</p><p>It goes on.</p></body>',
+    ],
+)
+def test_class_words_of_wrappers_lose_nothing(frame, page):
+    assert texts(frame, [("http://w/1", page)]) == [WHOLE_STORY]
+
+
 def test_odd_pages(frame):
     rows = [
         ("http://b/1", None),
