@@ -19,6 +19,11 @@ Two rules keep articles whole where pages repeat each other: a branch can only b
 container or an element with a class or id, and where the article itself is worth
 too little, its host's pages are copies and say nothing about it.
 
+Copies of a page count once: pages of a host that have the same main text before any cut are one
+page, so they cannot make a branch look like one that is the same everywhere. A bitmap of fixed
+size tells which pages may have copies, and only their rows are kept apart by page before
+they are counted; a false positive costs rows, not results.
+
 Hosts are aggregated from one row per page and node, combined before the shuffle, so a host
 that holds a third of all pages is no single task. Nodes deeper than `DEEPEST` share
 the path of their ancestor at that depth.
@@ -35,6 +40,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -52,6 +58,8 @@ class Settings:
 
 
 DEEPEST = 64
+#: Of the bitmap of pages that have copies.
+COPY_BITS = 1 << 23
 
 # Fixed values of HTML: elements without content, with raw text, and those that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -377,27 +385,66 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _key(host: str, source: str, page: Page) -> int:
+    """Names the page among those of its host: by its main text, if it has any."""
+    return xxhash.xxh3_64_intdigest(f"{host}\n{page.text() or source}") - (1 << 63)
+
+
+def copied_pages(pages: DataFrame, url_column: str, html_column: str) -> np.ndarray:
+    """A bit for the low bits of the key of each page that is there more than once."""
+    rows = pages.select(host_of(F.col(url_column)).alias("host"), text_of(html_column).alias("html"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"page": [_key(host, source, Page(source)) for host, source in zip(batch["host"], batch["html"])]}, dtype="int64")
+
+    again = rows.mapInPandas(run, "page long").groupBy("page").agg(F.count("*").alias("n")).filter("n > 1")
+    found = (
+        again.select(F.shiftright(F.col("page").bitwiseAND(F.lit(COPY_BITS - 1)), 6).alias("at"), F.expr("shiftleft(1L, cast(page & 63 as int))").alias("bit"))
+        .groupBy("at")
+        .agg(F.bit_or("bit").alias("word"))
+        .collect()
+    )
+    out = np.zeros(COPY_BITS // 64, np.uint64)
+    for at, word in found:
+        out[at] = np.uint64(word % 2**64)
+    return out
+
+
 def style_rows(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """One row per page and node of its host's style tree: host, path, above, shown, said."""
+    """One row per page and node of its host's style tree: host, page, path, above, shown, said.
+
+    ``page`` is null where the page has no copies on its host.
+    """
     rows = pages.select(host_of(F.col(url_column)).alias("host"), text_of(html_column).alias("html"))
+    copied = copied_pages(pages, url_column, html_column)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for host, source in zip(batch["host"], batch["html"]):
-                for path, (above, shown, said) in Page(source, styles=True).styles.items():
-                    out.append((host, path, above, xxhash.xxh3_64_intdigest("\n".join(shown)) - (1 << 63), xxhash.xxh3_64_intdigest("\n".join(said)) - (1 << 63)))
-            yield pd.DataFrame(out, columns=["host", "path", "above", "shown", "said"])
+                page = Page(source, styles=True)
+                key = _key(host, source, page)
+                place = key & (COPY_BITS - 1)
+                name = key if int(copied[place >> 6]) >> (place & 63) & 1 else None
+                for path, (above, shown, said) in page.styles.items():
+                    out.append((host, name, path, above, xxhash.xxh3_64_intdigest("\n".join(shown)) - (1 << 63), xxhash.xxh3_64_intdigest("\n".join(said)) - (1 << 63)))
+            made = pd.DataFrame(out, columns=["host", "page", "path", "above", "shown", "said"])
+            made["page"] = pd.array([r[1] for r in out], dtype="Int64")
+            yield made
 
-    return rows.mapInPandas(run, "host string, path long, above array<long>, shown long, said long")
+    return rows.mapInPandas(run, "host string, page long, path long, above array<long>, shown long, said long")
 
 
 def importance(rows: DataFrame) -> DataFrame:
-    """Importance of each branch: host, path, pages, worth."""
+    """Importance of each branch: host, path, pages, worth. Rows that name one ``page`` count once."""
+    rows = rows if "page" in rows.columns else rows.withColumn("page", F.lit(None).cast("long"))
     values = rows.select(
-        "host", "path", "above", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("shown").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("said").alias("value")))).alias("v")
+        "host", "page", "path", "above", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("shown").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("said").alias("value")))).alias("v")
     )
-    counts = values.groupBy("host", "path", "v.kind", "v.value").agg(F.count("*").alias("n"), F.min("above").alias("above"))
+    of_page = values.groupBy("host", "page", "path", "v.kind", "v.value").agg(F.count("*").alias("n"), F.min("above").alias("above"))
+    once = F.when(F.col("page").isNull(), F.col("n")).otherwise(1)
+    counts = of_page.groupBy("host", "path", "kind", "value").agg(F.sum(once).alias("n"), F.min("above").alias("above"))
     entropy = F.when(F.col("pages") > 1, (F.log("pages") - F.col("n_log_n") / F.col("pages")) / F.log("pages")).otherwise(1.0)
     nodes = (
         counts.groupBy("host", "path", "kind")

@@ -100,6 +100,22 @@ def test_low_branches_go_and_articles_stay(frame):
     assert made[20:] == [f"Head\ncopy\nnumber {i}" for i in range(8)]
 
 
+def test_copies_of_a_page_count_once(frame):
+    linked = '<head><link rel="canonical" href="/{}"></head>'
+    story = "<body><article><h1>Copy</h1><p>Told often</p><ul><li>Only here</ul><div class='story'>And this</div></article></body>"
+    other = "<body><article><h1>Head {0}</h1><p>Number {0}</p></article></body>"
+    rows = [(f"http://f/c{i}", linked.format(i) + story) for i in range(5)] + [(f"http://f/{i}", other.format(i)) for i in range(10)]
+    # No article, and most pages are copies.
+    plain = "<body><p>Day {1}</p><div class='content'><p>{0}</p></div></body>"
+    rows += [(f"http://g/c{i}", linked.format(i) + plain.format("Told often", 0)) for i in range(200)]
+    rows += [(f"http://g/{i}", plain.format(f"Text number {i}", i)) for i in range(10)]
+    made = texts(frame, rows)
+    assert made[:5] == ["Copy\nTold often\nOnly here\nAnd this"] * 5
+    assert made[5:15] == [f"Head {i}\nNumber {i}" for i in range(10)]
+    assert made[15:215] == ["Day 0\nTold often"] * 200
+    assert made[215:] == [f"Day {i}\nText number {i}" for i in range(10)]
+
+
 @pytest.mark.parametrize("piece", ["<p>word ", "<div>word ", "<b>word ", "<li>word ", "<td>word ", "</div>word ", "<b><p>word "])
 def test_open_tags_cost_no_more_than_the_page(piece):
     def seconds(n):
