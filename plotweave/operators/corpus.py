@@ -125,11 +125,11 @@ def toc_spans(leaves: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def document_order(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Documents of a book: spine order first, then those only the contents page names."""
+    """Documents of a book: spine order first, then those only the contents page names; ``doc_order`` sorts as (g, n)."""
     spine = docs.filter("in_spine").select("book_id", "doc_href", F.struct(F.lit(0).alias("g"), F.col("doc_order").alias("n")).alias("o"))
     toc = leaves.select("book_id", "doc_href", F.struct(F.lit(1).alias("g"), F.col("leaf_no").alias("n")).alias("o"))
     return spine.unionByName(toc).groupBy("book_id", "doc_href").agg(F.min("o").alias("o")).select(
-        "book_id", "doc_href", (F.col("o.g") * 1000000 + F.col("o.n")).alias("doc_order")
+        "book_id", "doc_href", F.col("o").alias("doc_order")
     )
 
 

@@ -32,3 +32,9 @@ def nested(
         .withColumn(name, F.transform("_list", lambda x: x["_e"]))
         .drop("_list")
     )
+
+
+def joined(text: Column, separator: str = "|") -> Column:
+    """Aggregate over all parts of a key: their texts in order; null if there is none."""
+    texts = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct(F.col("part"), text.alias("text")))))
+    return F.when(F.count(text) > 0, F.array_join(F.transform(texts, lambda p: p["text"]), separator))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plotweave.functions import status
 from plotweave.operators import catalog, graph
+from plotweave.plans.nest import joined
 from plotweave.registry.base import query
 from plotweave.sources import artifacts
 from plotweave.sources.tables import table_counts
@@ -51,12 +52,12 @@ def catalog_rows(v: Views):
 def manifest(v: Views):
     rows = catalog.manifest_chapters(v.book, v.chapter, v.event)
     entries = C("events")
-    return rows.select(
-        "chapter_id",
-        "title",
-        F.coalesce(F.when(entries.isNotNull(), F.size(entries)), F.lit(0)).cast("bigint").alias("events"),
-        F.array_join(F.transform(entries, lambda e: e["eventId"]), "|").alias("event_ids"),
-        F.aggregate(F.transform(entries, lambda e: F.length(e["rawText"]).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("shown"),
+    lengths = F.transform(entries, lambda e: F.length(e["rawText"]).cast("bigint"))
+    # A long chapter comes in several parts.
+    return rows.groupBy("chapter_id", "title").agg(
+        F.sum(F.when(entries.isNotNull(), F.size(entries)).otherwise(0)).cast("bigint").alias("events"),
+        joined(F.array_join(F.transform(entries, lambda e: e["eventId"]), "|")).alias("event_ids"),
+        F.sum(F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("shown"),
     )
 
 
@@ -233,7 +234,9 @@ def _(v: Views):
 def _(v: Views):
     rows = catalog.nested_events(v.event)
     listed = F.transform("events", lambda e: F.concat(e["eventId"], F.lit("@"), e["startTxtOffset"].cast("string")))
-    return rows.select("book_id", "chapter_idx", F.size("events").cast("bigint").alias("events"), F.array_join(listed, "|").alias("listed"))
+    return rows.groupBy("book_id", "chapter_idx").agg(
+        F.sum(F.size("events")).cast("bigint").alias("events"), joined(F.array_join(listed, "|")).alias("listed")
+    )
 
 
 @query("ag_12_favorites_per_user", "SELECT user_id, count(*) AS books, CAST(sum(book_id) AS BIGINT) AS checksum FROM favorite GROUP BY 1")
@@ -374,8 +377,9 @@ def _(v: Views):
 )
 def _(v: Views):
     rows = artifacts.analysis_input(v.book, v.chapter)
-    return rows.select(
-        "book_id", F.size("chapters").cast("bigint").alias("chapters"), F.array_join(F.transform("chapters", lambda c: c["txtPath"]), "|").alias("paths")
+    return rows.groupBy("book_id").agg(
+        F.sum(F.size("chapters")).cast("bigint").alias("chapters"),
+        joined(F.array_join(F.transform("chapters", lambda c: c["txtPath"]), "|")).alias("paths"),
     )
 
 

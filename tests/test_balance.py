@@ -116,6 +116,39 @@ def test_nested_parts_lose_nothing(skewed):
         assert xs == [r.x for r in sorted(skewed.collect(), key=lambda r: r["at"]) if r.k == k]
 
 
+def test_long_chapters_and_books_are_one_row(spark):
+    from types import SimpleNamespace
+
+    from plotweave import registry
+    from plotweave.registry.base import ENTRIES
+
+    registry.spark_queries()
+    n = 6000
+    event = spark.range(n, numPartitions=3).selectExpr(
+        "id", "1L AS book_id", "5L AS chapter_id", "1 AS chapter_idx", "int(id + 1) AS idx", "concat('e', id + 1) AS event_id",
+        "int(id) AS start_txt", "int(id + 1) AS end_txt", "0 AS start_block", "0 AS start_offset", "0 AS end_block", "1 AS end_offset", "'ab' AS raw_text",
+    )
+    book = spark.sql("SELECT 1L AS book_id, 't' AS title, 'READY' AS normalization_status, 'READY' AS analysis_status, 'p' AS artifact_path, 'r' AS rule_version, 'l' AS locator_version")
+    chapter = spark.range(n).selectExpr("1L AS book_id", "id + 5 AS chapter_id", "int(id + 1) AS idx", "concat('c', id) AS title")
+    v = SimpleNamespace(event=event, book=book, chapter=chapter)
+    (row,) = ENTRIES["ag_10_events_per_chapter"].build(v).collect()
+    assert row.events == n and row.listed == "|".join(f"e{i + 1}@{i}" for i in range(n))
+    rows = {r.chapter_id: r for r in ENTRIES["prj_6_manifest_chapters"].build(v).collect()}
+    assert len(rows) == n and rows[5].events == n and rows[5].shown == 2 * n
+    assert rows[5].event_ids == "|".join(f"e{i + 1}" for i in range(n))
+    assert (rows[6].events, rows[6].event_ids, rows[6].shown) == (0, None, None)
+    (row,) = ENTRIES["snk_5_analysis_input"].build(v).collect()
+    assert row.chapters == n and len(row.paths.split("|")) == n and row.paths.split("|")[0].endswith("chapter_001.txt")
+
+
+def test_document_order_of_long_books(spark):
+    from plotweave.operators.corpus import document_order
+
+    docs = spark.createDataFrame([(1, "late", 1_000_001, True)], "book_id long, doc_href string, doc_order int, in_spine boolean")
+    leaves = spark.createDataFrame([(1, "named", 0)], "book_id long, doc_href string, leaf_no int")
+    assert [r.doc_href for r in document_order(docs, leaves).orderBy("doc_order").collect()] == ["late", "named"]
+
+
 def brute_accept(rows, existing=()):
     held, kept = list(existing), []
     for id_, user, book, start, end in rows:
