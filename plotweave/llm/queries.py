@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import chat, decontaminate, exact, minhash, packing, pages, quality, token_store, urls, viterbi
+from plotweave.llm import chat, decontaminate, exact, minhash, packing, pages, phrases, quality, token_store, urls, viterbi
 from plotweave.llm.common import new_folder, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,43 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)
     return packing.with_checksums(pieces)
+
+
+@query(
+    "op11_de_bruijn_collocations",
+    r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents
+    ), worded AS (
+      SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+    ), grams AS (
+      SELECT lang, k AS size, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM worded, (VALUES (1), (2), (3)) sizes(k)
+    ), counts AS (
+      SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
+    ), totals AS (
+      SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang
+    ), candidates AS (
+      SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE size > 1 AND f >= 10
+    ), cuts AS (
+      SELECT lang, size, phrase, a, k, array_to_string(ws[1:k], ' ') AS first_part, array_to_string(ws[k + 1:], ' ') AS rest
+      FROM candidates, (VALUES (1), (2)) cut(k) WHERE k < size
+    ), scored AS (
+      SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, k, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = first_part JOIN counts y ON y.lang = c.lang AND y.phrase = rest
+    ), best AS (
+      SELECT lang, phrase, a, l, r, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    ), longer AS (
+      SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS most
+      FROM candidates, (VALUES (1), (2)) place(i) WHERE size = 3 GROUP BY ALL
+    ), ranked AS (
+      SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+      FROM best b LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a
+    )
+    SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
