@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import chat, decontaminate, exact, minhash, packing, pages, phrases, quality, token_store, urls, viterbi
+from plotweave.llm import align, chat, decontaminate, exact, minhash, packing, pages, phrases, quality, token_store, urls, viterbi
 from plotweave.llm.common import new_folder, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,3 +231,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
+
+
+@query("op12_shared_cut_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return align.alignment_digests(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
