@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import align, chat, decontaminate, exact, minhash, packing, pages, phrases, quality, token_store, urls, viterbi
+from plotweave.llm import align, chat, decontaminate, exact, minhash, packing, pages, phrases, quality, rules, token_store, urls, viterbi
 from plotweave.llm.common import new_folder, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,3 +236,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_shared_cut_alignment")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return align.alignment_digests(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op13_boosted_quality_rules")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return rules.judged(docs, rules.fit(docs, table(spark, folder, "labels")))
