@@ -21,7 +21,6 @@ id stays null; an empty table gives no rows; other columns are never read.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,7 +37,6 @@ from plotweave.llm.common import stored, text_of
 from plotweave.llm.encoding import Encoder
 from plotweave.llm.ragged import gather, portions, starts_of
 
-_ODD_SPACE = re.compile(r"^ |^$| (?:\s|$)")
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 SPANS = "groups array<struct<a: array<int>, b: array<int>, start: long, end: long>>"
 
@@ -149,36 +147,73 @@ class Batch:
     lasts_b: np.ndarray
 
 
-class Pieces:
-    """Encodes texts with a sentencepiece model; keeps the ids of short words it has met.
+class Words:
+    """Encodes texts with both tokenizers; keeps the ids of short words it has met.
 
-    Where no piece holds its space sign behind another character, nothing joins a word and the
-    space behind it, so words of a text are encoded one by one. Texts in which white space
-    follows a space, or which begin or end with one, are encoded whole.
+    Neither joins a word and the space behind it: the first by its splitting rule, the second
+    where no piece holds its space sign behind another character. So the words between single
+    spaces are encoded once each. Texts in which white space follows a space, or which begin or
+    end with one, are encoded whole, and so are all texts where a tokenizer has other rules.
     """
 
-    def __init__(self, model: sentencepiece.SentencePieceProcessor, kept: int = 200_000, longest: int = 64):
-        self.model, self.kept, self.longest = model, kept, longest
-        names = map(model.id_to_piece, range(model.get_piece_size()))
-        self.by_word = not any("\u2581" in name.lstrip("\u2581") for name in names)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many belong to each text."""
-        cut = [t.split(" ") if self.by_word and not _ODD_SPACE.search(t) else [] for t in texts]
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
-        self.known.update((c, np.array(ids, "<u4").tobytes()) for c, ids in zip(new, self.model.encode(new, num_threads=1)))
-        whole = iter(self.model.encode([t for t, c in zip(texts, cut) if not c], num_threads=1))
-        find = self.known.__getitem__
-        made = [b"".join(map(find, c)) if c else np.array(next(whole), "<u4").tobytes() for c in cut]
-        for c in new:
-            if len(c) > self.longest:
-                del self.known[c]
-        if len(self.known) > 2 * self.kept:
-            for _ in range(len(self.known) - self.kept):
-                self.known.popitem()
-        lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        return np.frombuffer(b"".join(made), "<u4").astype(np.int64), lengths
+    def __init__(self, path_a: str, path_b: str, kept: int = 200_000, longest: int = 64):
+        self.encoder = Encoder(path_a, 0, known_chunks=20_000)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.kept, self.longest = kept, longest
+        names = map(self.model.id_to_piece, range(self.model.get_piece_size()))
+        self.by_word = self.encoder.by_chunk and not any("\u2581" in name.lstrip("\u2581") for name in names)
+        # Ids as bytes by word, for both tokenizers; words that make a text be encoded whole.
+        self.of_a: dict[str, bytes] = {}
+        self.of_b: dict[str, bytes] = {}
+        self.odd: set[str] = {""}
+
+    def _learn(self, new: set[str]) -> None:
+        odd = {w for w in new if w[:1].isspace()}
+        self.odd |= odd
+        words = list(new - odd)
+        # Also keeps a word without the marks behind it.
+        self.encoder._learn(self.of_a, set(words), " ")
+        found = self.model.encode(words, num_threads=1)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        Encoder._add(self.of_b, words, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+
+    def _forget(self, new: set[str]) -> None:
+        for w in new:
+            if len(w) > self.longest:
+                self.of_a.pop(w, None)
+                self.of_b.pop(w, None)
+                self.odd.discard(w)
+        for known in (self.of_a, self.of_b, self.encoder.marks):
+            if len(known) > 2 * self.kept:
+                for _ in range(len(known) - self.kept):
+                    known.popitem()
+        if len(self.odd) > self.kept:
+            self.odd = {""}
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of both tokenizers: all ids, and how many belong to each text. An empty text has none."""
+        cut = [t.split(" ") if self.by_word and t else [] for t in texts]
+        met = set().union(*cut).difference(self.odd)
+        new = met.difference(self.of_a) | met.difference(self.of_b)
+        self._learn(new)
+        plain = [bool(c) and self.odd.isdisjoint(c) for c in cut]
+        whole = [t for t, p in zip(texts, plain) if not p]
+        flat, lengths = _without_ends(*self.encoder.encode([" " + t if t else "" for t in whole]))
+        whole_a = iter(np.split(flat.astype("<u4"), np.cumsum(lengths)[:-1]))
+        whole_b = iter(self.model.encode(whole, num_threads=1))
+        get_a, get_b = self.of_a.__getitem__, self.of_b.__getitem__
+        made_a = [b"".join(map(get_a, c)) if p else next(whole_a).tobytes() for c, p in zip(cut, plain)]
+        made_b = [b"".join(map(get_b, c)) if p else np.array(next(whole_b), "<u4").tobytes() for c, p in zip(cut, plain)]
+        self._forget(new)
+        return [
+            (np.frombuffer(b"".join(made), "<u4").astype(np.int64), np.fromiter(map(len, made), np.int64, len(made)) // 4)
+            for made in (made_a, made_b)
+        ]
+
+
+def _without_ends(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids without the last of each text."""
+    return np.delete(flat, np.cumsum(lengths) - 1), lengths - 1
 
 
 class Spelling:
@@ -197,10 +232,8 @@ class Aligner:
     """Both tokenizers of one worker."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.encoder = Encoder(path_a, 0, known_chunks=150_000)
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.pieces = Pieces(self.model)
-        self.bytes_a, self.bytes_b = byte_level_tokens(path_a), piece_tokens(self.model)
+        self.words = Words(path_a, path_b)
+        self.bytes_a, self.bytes_b = byte_level_tokens(path_a), piece_tokens(self.words.model)
         self.spell_a, self.spell_b = Spelling(self.bytes_a), Spelling(self.bytes_b)
         self.pairs = linkable(self.bytes_a, self.bytes_b)
         # Each id with what may stand behind it: another of its group, or the group's end.
@@ -210,11 +243,7 @@ class Aligner:
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids and tokens of each text by both; none where they do not spell a space and the text."""
         spaced = [" " + t if t else "" for t in texts]
-        ids_a, count_a = self.encoder.encode(spaced)
-        # Without the end id of each text.
-        ids_a = np.delete(ids_a.astype(np.int64), np.cumsum(count_a) - 1)
-        count_a = count_a - 1
-        ids_b, count_b = self.pieces.encode(texts)
+        (ids_a, count_a), (ids_b, count_b) = self.words.encode(texts)
         want = "".join(spaced).encode()
         if self.spell_a.of(ids_a) != want or self.spell_b.of(ids_b) != want:
             parts = [np.split(ids, np.cumsum(n)[:-1]) for ids, n in ((ids_a, count_a), (ids_b, count_b))]
