@@ -57,7 +57,7 @@ class Settings:
     least: int = 10
     covered_percent: int = 50
     top: int = 2000
-    block: int = 8_000_000
+    block: int = 2_000_000
     bitmap_bits: int = 1 << 28
 
 
