@@ -18,7 +18,6 @@ from plotweave.functions.text import split_names, truncated
 from plotweave.plans.intervals import stab
 from plotweave.plans.pick import latest
 from plotweave.plans.scan import as_of, ordinal, prefix_scan, slice_of
-from plotweave.session import cut
 
 PAIR = ["left_id", "right_id"]
 FOREVER = 2**40
@@ -364,27 +363,6 @@ def scope_ordinals(scopes: DataFrame, story: DataFrame, reading: DataFrame) -> D
     )
 
 
-def graph_edges_at(
-    resolved: DataFrame, edges: DataFrame, story: DataFrame, reading: DataFrame
-) -> DataFrame:
-    """Folded edges of every distinct prefix among the resolved scopes.
-
-    ``resolved`` comes from ``scope_ordinals``. Many readers share one prefix, so graphs
-    are keyed by (book_id, along, upto) and join back to any number of scopes.
-    """
-    both = story.join(reading.select("id", F.col("ordinal").alias("reading")), "id", "inner")
-    places = both.withColumnRenamed("ordinal", "story")
-    named = places.select("id", "chapter_idx", "idx", "event_id", "story", "reading")
-    # Two orders and their scans read the same facts, so they are written once.
-    facts = cut(edge_facts(edges, named))
-    parts = []
-    for along in ("story", "reading"):
-        asked = resolved.filter(F.col("along") == along).select("book_id", "upto").distinct()
-        states = state_at(running_edges(facts.withColumnRenamed(along, "ordinal")), asked)
-        parts.append(states.withColumn("along", F.lit(along)))
-    return parts[0].unionByName(parts[1]).drop("valid_from", "valid_until")
-
-
 # ----------------------------------------------------------------- raw deltas
 
 

@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from plotweave.functions.coords import tags
-from plotweave.operators import graph
+from plotweave.operators import graph, scoped
 from plotweave.registry.base import query
-from plotweave.session import cut
 from plotweave.views import Views
 
 
@@ -363,7 +362,7 @@ def scopes(v: Views):
     )
 
 
-SCOPED_SQL = """SELECT s.scope_id, f.* EXCLUDE (id) FROM scope s JOIN {facts} f ON f.book_id = s.book_id
+SCOPED_SQL = """SELECT s.scope_id, s.scope, f.* FROM scope s JOIN {facts} f ON f.book_id = s.book_id
     JOIN story_order v ON v.id = f.event_id
     LEFT JOIN story_order t ON t.book_id = s.book_id AND t.event_id = s.event_ref
     WHERE s.scope = 'book' OR (s.scope = 'chapter' AND v.chapter_idx <= s.chapter_idx)
@@ -399,17 +398,90 @@ def _(v: Views):
     scoped=SCOPED_SQL.format(facts="edge_fact"),
 )
 def scoped_graph(v: Views):
-    story, reading = graph.story_order(v.event), graph.reading_order(v.event)
-    resolved = cut(graph.scope_ordinals(scopes(v), story, reading))
-    prefix = ["book_id", "along", "upto"]
-    totals = graph.graph_edges_at(resolved, v.edge, story, reading).groupBy(*prefix).agg(
+    resolved, places = resolved_scopes(v), both_orders(v)
+    totals = scoped.at_prefixes(scoped.pair_log(v.edge, places), resolved).groupBy(*PREFIX).agg(
         F.count("*").alias("edges"),
         F.sum("evidence_count").alias("evidence"),
         F.sum(F.round(F.col("positivity") * 1000000).cast("bigint")).alias("positivity_millionths"),
         F.min("latest_event_id").alias("first_latest"),
         F.max("latest_event_id").alias("last_latest"),
     )
-    return resolved.select("scope_id", *prefix).join(totals, prefix, "inner").drop(*prefix)
+    return resolved.select("scope_id", *PREFIX).join(totals, PREFIX, "inner").drop(*PREFIX)
+
+
+PREFIX = ["book_id", "along", "upto"]
+
+
+def both_orders(v: Views):
+    return scoped.both_orders(graph.story_order(v.event), graph.reading_order(v.event))
+
+
+def resolved_scopes(v: Views):
+    return graph.scope_ordinals(scopes(v), graph.story_order(v.event), graph.reading_order(v.event))
+
+
+def digests(resolved, rows, parts):
+    """Per scope the number of rows and a digest of all their columns, as text in order."""
+    line = F.concat_ws("/", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
+    lines = rows.select(*PREFIX, line.alias("line")).groupBy(*PREFIX).agg(
+        F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("line")), "\n").cast("binary")).alias("digest")
+    )
+    return resolved.select("scope_id", "scope", *PREFIX).join(lines, PREFIX, "inner").drop(*PREFIX)
+
+
+def entries(name: str):
+    return F.array_join(F.transform(F.map_entries(name), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), "|")
+
+
+@query(
+    "scoped_graph_edges",
+    """SELECT scope_id, scope, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (
+         SELECT scope_id, scope, concat_ws('/', left_id, right_id, evidence, positivity, coalesce(labels, ''), coalesce(scores, ''), directions,
+             array_to_string(newest.labels, '|'), coalesce(newest.reason, '~'), newest.ref) AS line
+         FROM (SELECT scope_id, scope, left_id, right_id, CAST(sum(evidence) AS BIGINT) AS evidence,
+                 CAST(round(1000000 * CASE WHEN sum(evidence) > 0 THEN sum(weighted) / sum(evidence) ELSE 0.0 END) AS BIGINT) AS positivity,
+                 arg_max(struct_pack(labels := labels, reason := explanation, ref := event_ref), struct_pack(a := chapter_idx, b := event_idx, c := id)) AS newest
+               FROM scoped GROUP BY ALL)
+         LEFT JOIN (SELECT scope_id, left_id, right_id, string_agg(label || '=' || score, '|' ORDER BY label) AS scores,
+                 array_to_string((list(label ORDER BY score DESC, label))[1:3], '|') AS labels
+               FROM (SELECT scope_id, left_id, right_id, label, CAST(sum(evidence) AS BIGINT) AS score
+                     FROM (SELECT *, unnest(labels) AS label FROM scoped) GROUP BY ALL) GROUP BY ALL) USING (scope_id, left_id, right_id)
+         JOIN (SELECT scope_id, left_id, right_id, string_agg(way || '=' || score, '|' ORDER BY way) AS directions
+               FROM (SELECT scope_id, left_id, right_id, from_id || '->' || to_id AS way, CAST(sum(evidence) AS BIGINT) AS score
+                     FROM scoped GROUP BY ALL) GROUP BY ALL) USING (scope_id, left_id, right_id))
+       GROUP BY ALL""",
+    scope=SCOPE_VIEW,
+    scoped=SCOPED_SQL.format(facts="edge_fact"),
+)
+def _(v: Views):
+    resolved = resolved_scopes(v)
+    rows = scoped.at_prefixes(scoped.edge_log(v.edge, both_orders(v)), resolved)
+    positivity = F.round(F.col("positivity") * 1000000).cast("bigint")
+    parts = ["left_id", "right_id", "evidence_count", positivity, text("labels"), entries("label_scores"), entries("direction_counts"),
+             text("latest_labels"), "latest_reason", "latest_event_id"]
+    return digests(resolved, rows, [F.col(p) if isinstance(p, str) else p for p in parts])
+
+
+@query(
+    "scoped_graph_nodes",
+    """SELECT scope_id, scope, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (
+         SELECT scope_id, scope, concat_ws('/', character_id, coalesce(weight, '~'), coalesce(n, '~'), c.name, c.is_main, coalesce(c.profile_image, '~'),
+             coalesce(CASE WHEN c.personality_text = '' THEN NULL WHEN length(c.t) <= 200 THEN c.t ELSE substring(c.t, 1, 197) || '...' END, '~'),
+             coalesce(c.profile_text, '~'), array_to_string(c.name_list, '|')) AS line
+         FROM (SELECT scope_id, scope, book_id, character_id, CAST(CAST(1000 * sum(node_weight) AS BIGINT) AS VARCHAR) AS weight,
+                 CAST(nullif(count(node_weight), 0) AS VARCHAR) AS n FROM scoped GROUP BY ALL)
+         JOIN (SELECT *, trim(regexp_replace(personality_text, '\\s+', ' ', 'g')) AS t FROM story_character) c USING (book_id, character_id))
+       GROUP BY ALL""",
+    scope=SCOPE_VIEW,
+    scoped=SCOPED_SQL.format(facts="touch"),
+)
+def _(v: Views):
+    resolved = resolved_scopes(v)
+    states = scoped.at_prefixes(scoped.node_log(v.stat, v.edge, both_orders(v)), resolved)
+    rows = graph.describe_nodes(states, v.character)
+    parts = ["character_id", (F.col("weight") * 1000).cast("bigint"), "count", "label", "is_main", "profile_image", "description", "portrait_prompt",
+             text("names")]
+    return digests(resolved, rows, [F.col(p) if isinstance(p, str) else p for p in parts])
 
 
 REQUEST_VIEW = """SELECT event_id AS request_id, event_id // 85 AS book_id,

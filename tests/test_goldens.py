@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotweave.functions import coords, ids, text, titles
-from plotweave.operators import catalog, corpus, graph, positions
+from plotweave.operators import catalog, corpus, graph, positions, scoped
 from plotweave.operators.planner import Limits, plan_chapters, plan_groups
 
 EVENT = """id long, book_id long, chapter_id long, chapter_idx int, idx int, event_id string, start_block int, start_offset int,
@@ -190,3 +190,42 @@ def test_scopes_of_unknown_events_are_empty(spark):
     )
     got = {r.scope_id: r.upto for r in graph.scope_ordinals(scopes, story, reading).collect()}
     assert got == {1: 3, 2: 2, 3: 2, 4: 0, 5: 1, 6: 3, 7: 0}
+
+
+def test_whole_graph_at_every_prefix(spark):
+    ev = events(spark, (10, 1, 1, 60, 90), (11, 1, 2, 0, 50), (12, 2, 1, 0, 40))
+    edges = spark.createDataFrame(
+        [
+            (1, 10, 1, 1, 2, "first", '["trust","kin"]', 1, 1.0),
+            (2, 11, 1, 2, 1, "second", '["conflict"]', 3, -0.5),
+            (3, 12, 1, 2, 1, None, '["kin","rival","kin"]', 2, None),
+            (4, 12, 1, 1, 3, "other", "oops", None, 0.5),
+        ],
+        EDGE,
+    )
+    stats = spark.createDataFrame([(1, 10, 1, 7, 0.5), (2, 12, 1, 7, 0.25)], STAT)
+    cast = spark.createDataFrame(
+        [(n, 1, f"N{n}", True, None, None, None, "") for n in (1, 2, 3, 7)],
+        "character_id long, book_id long, name string, is_main boolean, profile_image string, personality_text string, profile_text string, names string",
+    )
+    scopes = spark.createDataFrame(
+        [(1, 1, "book", None, None, None), (2, 1, "event", None, "ch1-e1", None), (3, 1, "locator", 1, None, 10), (4, 1, "chapter", 1, None, None), (5, 1, "locator", 0, None, 5)],
+        "scope_id long, book_id long, scope string, chapter_idx int, event_ref string, at int",
+    )
+    resolved = graph.scope_ordinals(scopes, graph.story_order(ev), graph.reading_order(ev))
+    made = scoped.graph_at(resolved, ev, edges, stats, cast)
+    prefix = ["book_id", "along", "upto"]
+    found = {(r.scope_id, r.left_id, r.right_id): r for r in resolved.join(made["edges"], prefix).collect()}
+    assert set(found) == {(1, 1, 2), (1, 1, 3), (2, 1, 2), (3, 1, 2), (4, 1, 2)}
+    whole = found[1, 1, 2]
+    assert (whole.evidence_count, round(whole.positivity, 6)) == (6, -0.083333)
+    assert (whole.labels, whole.label_scores) == (["kin", "conflict", "rival"], {"conflict": 3, "kin": 5, "rival": 2, "trust": 1})
+    assert (whole.direction_counts, whole.latest_labels, whole.latest_reason) == ({"1->2": 1, "2->1": 5}, ["kin", "rival", "kin"], None)
+    assert (found[1, 1, 3].labels, found[1, 1, 3].label_scores, found[1, 1, 3].direction_counts) == ([], {}, {"1->3": 0})
+    # The first event by index begins later in the text than the second.
+    assert (found[2, 1, 2].labels, found[2, 1, 2].latest_event_id) == (["kin", "trust"], "ch1-e1")
+    assert (found[3, 1, 2].labels, found[3, 1, 2].direction_counts) == (["conflict"], {"2->1": 3})
+    assert (found[4, 1, 2].label_scores, found[4, 1, 2].latest_event_id) == ({"conflict": 3, "kin": 1, "trust": 1}, "ch1-e2")
+    nodes = {(r.scope_id, r.character_id): (r.label, r.weight, r["count"]) for r in resolved.join(made["nodes"], prefix).collect()}
+    assert nodes[1, 7] == ("N7", 0.75, 2) and nodes[4, 7] == ("N7", 0.5, 1) and nodes[1, 3] == ("N3", None, None)
+    assert {c for s, c in nodes if s == 3} == {1, 2} and not any(s == 5 for s, _ in nodes)
