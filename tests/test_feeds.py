@@ -155,3 +155,34 @@ def test_metadata_files(spark, tmp_path):
     assert (meta.book_id, meta.idx, meta.starts, meta.lengths) == (4, 1, [0], [4])
     chapter = artifacts.read_chapter_texts(spark, str(folder / "text")).first()
     assert (chapter.book_id, chapter.idx, chapter.text) == (4, 1, "text")
+
+
+def test_a_batch_touches_only_its_buckets(spark, tmp_path):
+    from pathlib import Path
+
+    from plotweave.streaming.versions import Versions
+
+    table = Versions(spark, str(tmp_path / "t"), "book_id", buckets=8)
+    want, sizes = {}, []
+    for number in range(20):
+        book, event = number * 7 % 11, number % 13
+        edges = [(event * 100 + book, book, 1, 2, 1, 2, f"r{number}", '["x"]', number + 1, 0.5, 1, event, f"ch1-e{event}")]
+        if number % 9 == 8:
+            edges = []
+        want[book, event] = number + 1 if edges else 0
+        replaced = spark.createDataFrame([(event * 100 + book, book)], "event_id long, book_id long")
+        feeds.apply_deltas(table, spark.createDataFrame(edges, feeds.EDGES), spark.createDataFrame([], feeds.STATS), replaced, number)
+        folder = Path(tmp_path / "t" / "edges" / f"batch={number}")
+        sizes.append(len(list(folder.glob("bucket=*"))))
+        # A batch that is run again ends where it did.
+        if number in (10, 19):
+            feeds.apply_deltas(table, spark.createDataFrame(edges, feeds.EDGES), spark.createDataFrame([], feeds.STATS), replaced, number)
+    assert max(sizes) == 1
+    total = {}
+    for (book, _), n in want.items():
+        total[book] = total.get(book, 0) + n
+    found = {r.book_id: r.evidence_count for r in feeds.current_graph(spark, str(tmp_path / "t")).collect()}
+    assert found == {b: n for b, n in total.items() if n}
+    kept = {f"{tmp_path}/t/edges/batch={n}/bucket={b}" for (t, b), n in table.newest().items() if t == "edges"}
+    old = table.old_versions("edges")
+    assert old and not kept & set(old)
