@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.functions import coords
-from plotweave.operators.graph import chapter_last
+from plotweave.operators.graph import chapter_last, edge_facts, node_touches, stat_facts
+from plotweave.plans.dyadic import blocks, last_position, prefix_aggregate
 from plotweave.plans.intervals import stab, stab_min
 from plotweave.plans.scan import as_of
 
@@ -137,3 +138,86 @@ def event_info(events: DataFrame) -> DataFrame:
         "start_txt",
         "end_txt",
     )
+
+
+def prefix_blocks(events: DataFrame) -> DataFrame:
+    """What the prefix snapshots of a book are put together from: one row per block of chapters.
+
+    Of each chapter only its highest-index event counts. A block holds how many those are,
+    the first and last of their ids and the sum of them.
+    """
+    last = chapter_last(events).select("book_id", "chapter_idx", "id")
+    return blocks(
+        last,
+        ["book_id"],
+        "chapter_idx",
+        {"events": F.count("id"), "first_id": F.min("id"), "last_id": F.max("id"), "id_sum": F.sum("id")},
+        last_position(events, "chapter_idx"),
+    )
+
+
+def prefix_summary(positions: DataFrame, events: DataFrame) -> DataFrame:
+    """`prefix_events` of each distinct position, one row each: count, bounds and sum of their ids.
+
+    Earlier chapters come from `prefix_blocks`, as many rows per chapter as its number has
+    binary digits; the event begun in the current chapter is added.
+    """
+    asked = positions.select(*CHAPTER, "at").distinct()
+    parts = {"events": F.sum("events"), "first_id": F.min("first_id"), "last_id": F.max("last_id"), "id_sum": F.sum("id_sum")}
+    earlier = prefix_aggregate(asked, prefix_blocks(events), ["book_id"], "chapter_idx", parts, last_position(events, "chapter_idx"))
+    current = started_event(positions, events).select(*CHAPTER, "at", F.col("hit.id").alias("_id"))
+    joined = asked.join(earlier, CHAPTER, "left").join(current, [*CHAPTER, "at"], "left")
+    none = F.lit(0).cast("long")
+    return joined.select(
+        *CHAPTER,
+        "at",
+        (F.coalesce("events", none) + F.when(F.col("_id").isNotNull(), 1).otherwise(0)).alias("events"),
+        F.least("first_id", "_id").alias("first_id"),
+        F.greatest("last_id", "_id").alias("last_id"),
+        (F.coalesce("id_sum", none) + F.coalesce("_id", none)).alias("id_sum"),
+    ).filter("events > 0")
+
+
+def prefix_nodes(positions: DataFrame, events: DataFrame, stats: DataFrame, edges: DataFrame) -> DataFrame:
+    """Characters of the graph at each distinct position: newest weight and number of stats.
+
+    The chosen events are those of `prefix_events`. Blocks of chapters hold each character's
+    newest weight, so a reader far into a book reads a few rows per character.
+    """
+    last = chapter_last(events)
+    touches = node_touches(stat_facts(stats, last), edge_facts(edges, last))
+    place = F.struct("chapter_idx", "id")
+    weighted = F.col("node_weight").isNotNull()
+    end = last_position(events, "chapter_idx")
+    stored = blocks(
+        touches,
+        ["book_id", "character_id"],
+        "chapter_idx",
+        {"count": F.count("node_weight"), "newest": F.max(F.when(weighted, F.struct(place.alias("place"), "node_weight")))},
+        end,
+    )
+    asked = positions.select(*CHAPTER, "at").distinct()
+    earlier = prefix_aggregate(
+        asked, stored, ["book_id"], "chapter_idx", {"count": F.sum("count"), "newest": F.max("newest")}, end, ["character_id"]
+    )
+    begun = started_event(positions, events).select(*CHAPTER, "at", F.col("hit.id").alias("event_row"))
+    chosen = events.join(begun.select(F.col("event_row").alias("id")).distinct(), "id", "left_semi")
+    here = node_touches(stat_facts(stats, chosen), edge_facts(edges, chosen)).groupBy("event_id", "character_id").agg(
+        F.count("node_weight").alias("count"), F.max(F.when(weighted, F.struct(place.alias("place"), "node_weight"))).alias("newest")
+    )
+    of_earlier = asked.join(earlier, CHAPTER, "inner").select(*CHAPTER, "at", "character_id", "count", "newest")
+    of_current = begun.join(here.withColumnRenamed("event_id", "event_row"), "event_row", "inner").select(
+        *CHAPTER, "at", "character_id", "count", "newest"
+    )
+    return (
+        of_earlier.unionByName(of_current)
+        .groupBy(*CHAPTER, "at", "character_id")
+        .agg(F.max("newest").alias("newest"), F.sum("count").alias("count"))
+        .select(
+            *CHAPTER,
+            "at",
+            "character_id",
+            F.col("newest.node_weight").cast("float").alias("weight"),
+            F.nullif(F.col("count"), F.lit(0)).cast("int").alias("count"),
+        )
+    )

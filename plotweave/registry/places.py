@@ -54,6 +54,35 @@ def _(v: Views):
     return positions.prefix_events(v.position, v.event)
 
 
+PREFIX = """SELECT a.book_id, a.chapter_idx, a.at, l.id AS event_row FROM asked a
+         JOIN chapter_last l ON l.book_id = a.book_id AND l.chapter_idx < a.chapter_idx
+       UNION ALL SELECT book_id, chapter_idx, "at", event_row FROM begun"""
+
+
+@query(
+    "jn_16_prefix_summary",
+    """SELECT book_id, chapter_idx, "at", count(*) AS events, min(event_row) AS first_id, max(event_row) AS last_id,
+         CAST(sum(event_row) AS BIGINT) AS id_sum FROM prefix GROUP BY 1, 2, 3""",
+    begun=BEGUN,
+    prefix=PREFIX,
+)
+def _(v: Views):
+    return positions.prefix_summary(v.position, v.event)
+
+
+@query(
+    "jn_16_prefix_nodes",
+    """SELECT p.book_id, p.chapter_idx, p.at, t.character_id,
+         CAST(CAST(arg_max(t.node_weight, struct_pack(a := t.chapter_idx, b := t.id)) AS FLOAT) AS DOUBLE) AS weight,
+         CAST(nullif(count(t.node_weight), 0) AS INT) AS count
+       FROM prefix p JOIN touch t ON t.event_id = p.event_row GROUP BY 1, 2, 3, 4""",
+    begun=BEGUN,
+    prefix=PREFIX,
+)
+def _(v: Views):
+    return positions.prefix_nodes(v.position, v.event, v.stat, v.edge).withColumn("weight", F.col("weight").cast("double"))
+
+
 @query(
     "jn_27_event_by_index",
     """SELECT p.position_id, h.chapter_id IS NULL AS chapter_missing, v.id AS event_row FROM position p

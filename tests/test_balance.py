@@ -251,3 +251,26 @@ def test_partition_count_does_not_matter(spark, folder):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1]
+
+
+def test_prefixes_from_blocks(spark):
+    import random
+
+    from plotweave.plans import dyadic
+
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 1, 2]), rng.randint(0, 70), rng.randint(1, 9)) for _ in range(300)] + [(3, 0, 5)]
+    points = [(b, n) for b in (1, 2, 3, 4) for n in (0, 1, 2, 31, 32, 33, 63, 64, 65, 71, 200, 2**40)]
+    given = spark.createDataFrame(rows, "book long, at int, x long")
+    asked = spark.createDataFrame(points + points, "book long, before long")
+    last = dyadic.last_position(given, "at")
+    stored = dyadic.blocks(given, ["book"], "at", {"total": F.sum("x"), "most": F.max("x")}, last)
+    made = dyadic.prefix_aggregate(asked, stored, ["book"], "before", {"total": F.sum("total"), "most": F.max("most")}, last).collect()
+    want = {}
+    for b, n in points:
+        inside = [x for k, a, x in rows if k == b and a < n]
+        if inside:
+            want[b, n] = (sum(inside), max(inside))
+    assert {(r.book, r.before): (r.total, r.most) for r in made} == want and len(made) == len(want)
+    # 71 has four binary digits that are 1.
+    assert dyadic.cover(asked.filter("before = 71"), "before", last).select("level", "tile").distinct().count() == 4
