@@ -10,7 +10,7 @@ from plotweave.registry.corpora import DOC_CHAPTER, doc_chapters
 from plotweave.registry.ledger import LAST
 from plotweave.registry.uploads import ITEM, REJECTED, delta_uploads
 from plotweave.session import shared_folder
-from plotweave.sources import artifacts
+from plotweave.sources import artifacts, files
 from plotweave.streaming import feeds
 from plotweave.views import Views
 
@@ -74,3 +74,38 @@ def artifact_set(v: Views):
         F.array_join(F.array_sort(F.collect_list("text_path")), "|").alias("paths"),
     )
     return stored.join(reports.select("book_id", "status"), "book_id", "inner")
+
+
+@query(
+    "snk_2_named_files",
+    """SELECT root || '/text/chapter_00' || chapter_idx || '.txt' AS path, md5(replace(text, chr(10), '')) AS digest
+       FROM (SELECT *, 'private/books/' || book_id || '/normalizations/run-9' AS root FROM doc_chapter)
+       UNION ALL SELECT 'private/books/' || book_id || '/normalizations/run-9/normalized/chapter_00' || chapter_idx || '.xhtml',
+         md5('<section data-chapter-index="0">') FROM doc_chapter
+       UNION ALL SELECT 'public/books/' || book_id || '/normalizations/run-9/combined.xhtml',
+         md5('<?xml version="1.0" encoding="UTF-8"?><html xmlns="http://www.w3.org/1999/xhtml"><head><meta charset="UTF-8"/>'
+           || '<title>Normalized Reader</title></head><body>' || repeat('<section data-chapter-index="0">', count(*)) || '</body></html>')
+       FROM doc_chapter GROUP BY book_id
+       UNION ALL SELECT 'private/books/' || book_id || '/normalizations/run-9/meta.json',
+         string_agg(chapter_idx || ':' || length(replace(text, chr(10), '')), ',' ORDER BY chapter_idx) FROM doc_chapter GROUP BY book_id
+       UNION ALL SELECT 'private/books/' || book_id || '/normalizations/run-9/reports/validation_report.json',
+         count(*) || ':' || count(*) FILTER (doc_id % 9 = 0) FROM doc_chapter GROUP BY book_id""",
+    doc_chapter=DOC_CHAPTER,
+)
+def named_files(v: Views):
+    """Files by their path; a digest of texts, what JSON documents say of their chapters."""
+    path = fresh_folder(v, "files")
+    chapters = doc_chapters(v)
+    files.write_named(artifacts.artifact_files(chapters, corpus.validation_report(chapters), corpus.metadata(chapters), "run-9"), path)
+    body = C("content").cast("string")
+    listed = F.transform(
+        F.from_json(body, artifacts.META)["chapters"],
+        lambda c: F.concat_ws(":", c["chapterIndex"].cast("string"), c["totalCodePoints"].cast("string")),
+    )
+    report = F.from_json(body, "chapter_count int, invalid_title_count int")
+    digest = (
+        F.when(C("path").endswith("/meta.json"), F.array_join(listed, ","))
+        .when(C("path").endswith("_report.json"), F.concat_ws(":", report["chapter_count"].cast("string"), report["invalid_title_count"].cast("string")))
+        .otherwise(F.md5("content"))
+    )
+    return files.read_named(v.spark, path).select("path", digest.alias("digest"))

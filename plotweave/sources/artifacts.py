@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.functions.text import artifact_root, chapter_file, chapter_text_path, public_url
+from plotweave.operators.corpus import combined_document
 
 META = """bookId bigint, runId string, ruleVersion string, locatorVersion string, totalCodePoints int,
   chapters array<struct<chapterIndex:int,title:string,spineHref:string,paragraphCount:int,paragraphStarts:array<int>,
@@ -53,10 +54,10 @@ def chapter_artifacts(chapters: DataFrame, run_id: str) -> DataFrame:
 
 
 def write_artifacts(chapters: DataFrame, reports: DataFrame, metas: DataFrame, path: str, run_id: str) -> None:
-    """Write a run: chapters by book, one report and one metadata document per book.
+    """Write a run as tables: chapters by book, one report and one metadata row per book.
 
-    Spark writers cannot name single files, so texts and markup are rows of a table
-    that keeps the intended path in ``text_path`` and ``markup_path``.
+    Texts and markup stay rows that keep the path of their file in ``text_path`` and
+    ``markup_path``; `files.write_named` over `artifact_files` writes the files themselves.
     """
     with_run = F.lit(run_id).alias("run_id")
     chapter_artifacts(chapters, run_id).repartition("book_id", "chapter_idx").write.mode("overwrite").partitionBy(
@@ -66,6 +67,45 @@ def write_artifacts(chapters: DataFrame, reports: DataFrame, metas: DataFrame, p
     metas.select("*", with_run).write.mode("overwrite").partitionBy("run_id").json(f"{path}/meta")
 
 
+def artifact_files(
+    chapters: DataFrame, reports: DataFrame, metas: DataFrame, run_id: str, public: str = "public", private: str = "private"
+) -> DataFrame:
+    """The files of a run as (path, content): documents, metadata, reports, chapter markup and text.
+
+    ``chapters`` are rendered chapters, ``reports`` and ``metas`` one row per book. Readers get the
+    combined document, so it lies under the public prefix.
+    """
+    root = artifact_root(F.col("book_id"), F.lit(run_id))
+
+    def files(rows: DataFrame, prefix: str, tail: Column, content: Column) -> DataFrame:
+        path = F.concat(F.lit(prefix + "/"), root, F.lit("/"), tail)
+        return rows.select(path.alias("path"), F.encode(content, "UTF-8").alias("content"))
+
+    entry = F.transform(
+        "chapters",
+        lambda c: F.struct(
+            c["chapter_idx"].alias("chapterIndex"),
+            c["title"].alias("title"),
+            c["spine_href"].alias("spineHref"),
+            c["paragraph_count"].alias("paragraphCount"),
+            c["starts"].alias("paragraphStarts"),
+            c["lengths"].alias("paragraphLengths"),
+            c["total_code_points"].alias("totalCodePoints"),
+            c["start_pos"].alias("startPos"),
+            c["end_pos"].alias("endPos"),
+        ),
+    )
+    meta = F.struct(F.col("book_id").alias("bookId"), F.lit(run_id).alias("runId"), F.col("total_code_points").alias("totalCodePoints"), entry.alias("chapters"))
+    named = chapter_file(F.col("chapter_idx"))
+    return (
+        files(combined_document(chapters), public, F.lit("combined.xhtml"), F.col("document"))
+        .unionByName(files(metas, private, F.lit("meta.json"), F.to_json(meta)))
+        .unionByName(files(reports, private, F.lit("reports/validation_report.json"), F.to_json(F.struct(*reports.columns))))
+        .unionByName(files(chapters, private, F.concat(F.lit("normalized/"), named, F.lit(".xhtml")), F.col("markup")))
+        .unionByName(files(chapters, private, F.concat(F.lit("text/"), named, F.lit(".txt")), F.col("text")))
+    )
+
+
 def combined_document_url(books: DataFrame, base: str, prefix: str) -> DataFrame:
     path = F.concat(F.col("artifact_path"), F.lit("/combined.xhtml"))
     return books.select("book_id", public_url(F.lit(base), F.lit(prefix), path).alias("url"))
