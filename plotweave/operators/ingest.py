@@ -7,6 +7,8 @@ all or nothing. Payload items are exploded first, so no upload is held by one ta
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,43 +111,79 @@ def replace_by_event(current: DataFrame, incoming: DataFrame, replaced: DataFram
     return kept.unionByName(incoming, allowMissingColumns=True)
 
 
-def events(uploads: DataFrame, chapters: DataFrame, texts: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
+#: Code points of one chunk of a chapter's text.
+CHUNK = 4096
+
+
+def text_chunks(texts: DataFrame) -> DataFrame:
+    """Chapter texts (book_id, idx, text) with normalized newlines, cut into chunks of `CHUNK`."""
+    body = texts.select("book_id", F.col("idx").alias("chapter_idx"), newlines(F.col("text")).alias("_text"))
+    last = F.floor(F.greatest(F.length("_text") - 1, F.lit(0)) / CHUNK)
+    return body.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(
+        "book_id", "chapter_idx", "chunk", F.expr(f"substring(_text, int(chunk * {CHUNK} + 1), {CHUNK})").alias("chunk_text")
+    )
+
+
+def differing_texts(items: DataFrame, chunks: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys of items whose text is not what their chapter says from start_txt to end_txt.
+
+    ``items`` lie inside their chapters. Each is cut at the chunks' borders, so a row holds
+    one part of an item and one chunk, never a chapter.
+    """
+    cut_at = items.select(
+        *key, "book_id", "chapter_idx", "start_txt", "end_txt", newlines(F.col("raw_text")).alias("_given"),
+        F.explode(F.sequence(F.floor(F.col("start_txt") / CHUNK), F.floor((F.col("end_txt") - 1) / CHUNK))).alias("chunk"),
+    )
+    begin = F.greatest(F.col("start_txt").cast("long"), F.col("chunk") * CHUNK)
+    end = F.least(F.col("end_txt").cast("long"), (F.col("chunk") + 1) * CHUNK)
+    # The last part takes all that is left, so that a text too long differs.
+    is_last = F.col("chunk") == F.floor((F.col("end_txt") - 1) / CHUNK)
+    parts = cut_at.withColumns({"_begin": begin, "_end": end}).select(
+        *key, "book_id", "chapter_idx", "chunk", "_begin", "_end",
+        F.substring("_given", F.col("_begin") - F.col("start_txt") + 1, F.when(is_last, F.length("_given")).otherwise(F.col("_end") - F.col("_begin"))).alias("_part"),
+    )
+    said = F.substring("chunk_text", F.col("_begin") - F.col("chunk") * CHUNK + 1, F.col("_end") - F.col("_begin"))
+    joined = parts.join(chunks, ["book_id", "chapter_idx", "chunk"], "left")
+    return joined.filter(~F.col("_part").eqNullSafe(said)).select(*key).distinct()
+
+
+def events(uploads: DataFrame, chapters: DataFrame, texts: DataFrame, existing: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
     """Events: offsets checked against the chapter text, locators resolved.
 
-    ``texts`` is (book_id, idx, text).
+    ``texts`` is (book_id, idx, text). A file without items brings no rows, but has to name a
+    known chapter that has no events yet. ``strict``: see `quality.event_rules`.
     """
     parsed = cut(payloads.parse_events(uploads)).withColumn(
         "idx", ids.event_idx(F.col("event_raw"), F.col("chapter_idx"))
     )
     known = chapters.select("book_id", F.col("idx").alias("chapter_idx"), "chapter_id", "starts", "lengths", "total_code_points")
     held = existing.select("chapter_id").distinct().withColumn("has_events", F.lit(True))
-    body = texts.select(
-        "book_id",
-        F.col("idx").alias("chapter_idx"),
-        newlines(F.col("text")).alias("chapter_text"),
-        F.length(newlines(F.col("text"))).alias("chapter_length"),
-    )
+    sizes = texts.select("book_id", F.col("idx").alias("chapter_idx"), F.length(newlines(F.col("text"))).alias("chapter_length"))
     rows = quality.flag_duplicates(parsed, ["upload_id", "file", "chapter_idx", "idx"], "idx_twice")
     rows = (
         rows.join(known, ["book_id", "chapter_idx"], "left")
         .join(held, "chapter_id", "left")
+        .join(sizes, ["book_id", "chapter_idx"], "left")
         .withColumn("chapter_known", F.col("chapter_id").isNotNull())
         .withColumn("has_events", F.coalesce("has_events", F.lit(False)))
     )
-    # The text comes in last and leaves at once, so it is never shuffled per event.
-    with_text = rows.join(body, ["book_id", "chapter_idx"], "left")
-    checked = quality.with_reasons(with_text, quality.event_rules()).drop("chapter_text", "chapter_length")
-    # A file without items only warns; it brings no rows and rejects nothing of its own.
-    checked = cut(
-        checked.filter(F.col("item_no").isNotNull() | F.col("malformed") | F.col("chapter_idx").isNull())
+    # An upload may hold two files of one name, so items are known by all that tells them apart here.
+    key = ["upload_id", "file", "chapter_idx", "item_no", "start_txt", "end_txt", "_text_hash"]
+    parsed = parsed.withColumn("_text_hash", F.xxhash64("raw_text"))
+    rows = rows.withColumn("_text_hash", F.xxhash64("raw_text"))
+    inside = parsed.join(sizes, ["book_id", "chapter_idx"], "inner").filter(
+        "start_txt >= 0 AND start_txt < end_txt AND end_txt <= chapter_length AND raw_text IS NOT NULL"
     )
+    wrong = differing_texts(inside.drop("chapter_length"), text_chunks(texts), key).withColumn("text_differs", F.lit(True))
+    marked = rows.join(wrong, key, "left").withColumn("text_differs", F.coalesce("text_differs", F.lit(False)))
+    checked = cut(quality.with_reasons(marked, quality.event_rules(strict)).drop("chapter_length", "text_differs", "_text_hash"))
     good, bad = quality.split_uploads(checked, UPLOAD)
     total = total_code_points(F.col("total_code_points"), F.col("starts"), F.col("lengths"))
 
     def place(offset: str):
         return offset_to_locator(F.col("chapter_idx"), F.col("starts"), F.col("lengths"), total, F.col(offset))
 
-    out = good.select(
+    out = good.filter("item_no IS NOT NULL").select(
         "book_id",
         "chapter_id",
         "chapter_idx",

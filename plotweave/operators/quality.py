@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.functions import ids
-from plotweave.functions.text import is_blank, newlines, optional_text, text_range
+from plotweave.functions.text import is_blank, optional_text
 
 # Fixed values.
 CONTRACT = "relationship-delta-v1"
@@ -89,21 +89,28 @@ def delta_weight_rules() -> dict[str, Column]:
 # ------------------------------------------------------------- other payloads
 
 
-def event_rules() -> dict[str, Column]:
-    """Needs chapter_text and chapter_length (newlines normalized), chapter_known, has_events, idx_twice."""
-    start, end, text = F.col("start_txt"), F.col("end_txt"), F.col("chapter_text")
-    actual = newlines(F.col("raw_text"))
+def event_rules(strict: bool = False) -> dict[str, Column]:
+    """Needs chapter_known, has_events, idx_twice, chapter_length and text_differs.
+
+    Rules of the file hold without items too; with ``strict`` a chapter has to carry its
+    coordinates (starts, lengths, total_code_points) before it takes events.
+    """
+    item = F.col("item_no").isNotNull()
+    start, end = F.col("start_txt"), F.col("end_txt")
     inside = (start >= 0) & (end <= F.col("chapter_length"))
+    ready = F.col("starts").isNotNull() & F.col("lengths").isNotNull() & F.col("total_code_points").isNotNull()
     return {
+        "DQ-0 malformed": F.col("malformed"),
         "DQ-10 chapter": F.col("chapter_idx").isNull() | ~F.col("chapter_idx").eqNullSafe(F.coalesce("item_chapter_idx", "chapter_idx")),
         "DQ-15 chapter unknown": ~F.col("chapter_known"),
+        **({"FLT-16 not ready": F.col("chapter_known") & ~ready} if strict else {}),
         "DQ-12 has events": F.col("has_events"),
-        "DQ-11 event id": ids.event_idx(F.col("event_raw"), F.col("chapter_idx")).isNull(),
+        "DQ-11 event id": item & ids.event_idx(F.col("event_raw"), F.col("chapter_idx")).isNull(),
         "DQ-11 index twice": F.col("idx_twice"),
-        "DQ-8 offsets": start.isNull() | end.isNull() | (start >= end),
-        "text missing": is_blank(F.col("raw_text")),
+        "DQ-8 offsets": item & (start.isNull() | end.isNull() | (start >= end)),
+        "text missing": item & is_blank(F.col("raw_text")),
         "DQ-9 bounds": ~inside,
-        "DQ-9 text": inside & (start < end) & (text_range(text, start, end) != actual),
+        "DQ-9 text": inside & (start < end) & F.col("text_differs"),
     }
 
 

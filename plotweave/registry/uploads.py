@@ -217,7 +217,7 @@ def _register_event_reason(name: str, prefix: str, sql: str) -> None:
 
 _register_event_reason("dq_8_event_offsets", "DQ-8 ", "SELECT doc_id AS upload_id FROM doc WHERE total > 0 AND doc_id % 9 = 1")
 _register_event_reason("dq_9_event_text", "DQ-9 ", "SELECT doc_id AS upload_id FROM doc WHERE total > 0 AND doc_id % 9 IN (0, 5)")
-_register_event_reason("dq_12_already_there", "DQ-12 ", "SELECT doc_id AS upload_id FROM doc WHERE total > 0 AND doc_id % 9 = 4")
+_register_event_reason("dq_12_already_there", "DQ-12 ", "SELECT doc_id AS upload_id FROM doc WHERE doc_id % 9 = 4")
 _register_event_reason("dq_11_event_index_unique", "DQ-11 ", "SELECT doc_id AS upload_id FROM doc WHERE total > 100 AND doc_id % 9 = 2")
 
 

@@ -32,11 +32,15 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _parsed(uploads: DataFrame, schema: str, column: str = "json") -> DataFrame:
-    """Parse the payload column; a text that is no JSON object is flagged, not dropped."""
+def _parsed(uploads: DataFrame, schema: str, column: str = "json", skip_empty: bool = True) -> DataFrame:
+    """Parse the payload column; a text that is no JSON object is flagged, not dropped.
+
+    With ``skip_empty`` a file without a single character is left out, as an upload does.
+    """
     p = F.from_json(column, f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    given = uploads.filter(F.length(column) > 0) if skip_empty else uploads
     return (
-        uploads.withColumn("_p", p)
+        given.withColumn("_p", p)
         .withColumn("malformed", F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull())
     )
 
@@ -107,7 +111,7 @@ def parse_roster(uploads: DataFrame) -> DataFrame:
     """One row per character item, plus the book prompt of its file."""
     keep = [c for c in uploads.columns if c != "json"]
     return (
-        _parsed(uploads, ROSTER)
+        _parsed(uploads, ROSTER, skip_empty=False)
         .select(
             *keep, "malformed", F.coalesce("_p.bookPrompt", "_p.book_prompt").alias("book_prompt"),
             F.posexplode_outer(F.coalesce("_p.items", "_p.characters")).alias("item_no", "i"),
@@ -129,12 +133,15 @@ def parse_roster(uploads: DataFrame) -> DataFrame:
 
 
 def parse_summaries(uploads: DataFrame) -> DataFrame:
-    """One row per summary item; files in another language than ``ko`` are skipped."""
+    """One row per summary item; files in another language than ``ko`` are skipped.
+
+    A file that names no chapter is kept whatever its language: that rule comes first.
+    """
     keep = [c for c in uploads.columns if c != "json"]
     language = F.col("_p.language")
     return (
         _parsed(uploads, SUMMARIES)
-        .filter(F.col("malformed") | language.isNull() | (F.lower(language) == "ko"))
+        .filter(F.col("malformed") | F.col("_p.chapterIndex").isNull() | language.isNull() | (F.lower(language) == "ko"))
         .select(
             *keep, "malformed", F.col("_p.chapterIndex").alias("chapter_idx"),
             F.posexplode_outer("_p.items").alias("item_no", "i"),

@@ -186,3 +186,59 @@ def test_a_batch_touches_only_its_buckets(spark, tmp_path):
     kept = {f"{tmp_path}/t/edges/batch={n}/bucket={b}" for (t, b), n in table.newest().items() if t == "edges"}
     old = table.old_versions("edges")
     assert old and not kept & set(old)
+
+
+CHAPTER = "chapter_id long, book_id long, idx int, starts array<int>, lengths array<int>, total_code_points int"
+
+
+def test_event_files_without_items_and_empty_files(spark):
+    chapters = spark.createDataFrame([(5, 1, 1, [0], [5], 5), (6, 1, 2, None, None, None)], CHAPTER)
+    texts = spark.createDataFrame([(1, 1, "abcde"), (1, 2, "fgh")], "book_id long, idx int, text string")
+    filled = spark.createDataFrame([(6,)], "chapter_id long")
+    none = json.dumps({"chapterIndex": 1, "items": []})
+    bodies = [(1, ""), (1, none), (2, json.dumps({"chapterIndex": 2})), (3, json.dumps({"chapterIndex": 7, "items": None})), (4, json.dumps({"items": []})), (5, "{oops"), (6, " "), (7, None)]
+    uploads = spark.createDataFrame([(n, 1, f"f{i}", j) for i, (n, j) in enumerate(bodies)], UPLOAD)
+    done = ingest.events(uploads, chapters, texts, filled)
+    got = {}
+    for r in done["rejects"].collect():
+        got.setdefault(r.upload_id, set()).add(r.reason)
+    assert got[2] == {"DQ-12 has events"} and got[3] == {"DQ-15 chapter unknown"}
+    assert "DQ-10 chapter" in got[4] and "DQ-0 malformed" in got[5] and 6 in got
+    assert not {1, 7} & set(got) and done["events"].count() == 0
+    # In strict mode a chapter without coordinates takes no events.
+    item = {"eventId": "ch2-e1", "start": 0, "end": 3, "text": "fgh"}
+    one = spark.createDataFrame([(1, 1, "f", json.dumps({"chapterIndex": 2, "items": [item]}))], UPLOAD)
+    nothing = filled.limit(0)
+    assert ingest.events(one, chapters, texts, nothing)["events"].count() == 1
+    strict = ingest.events(one, chapters, texts, nothing, strict=True)
+    assert [r.reason for r in strict["rejects"].collect()] == ["FLT-16 not ready"] and strict["events"].count() == 0
+
+
+def test_event_texts_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "CHUNK", 7)
+    text = "".join(chr(97 + i * 7 % 26) for i in range(60)) + "é\r\n日本" + "x" * 20
+    plain = text.replace("\r\n", "\n")
+    chapters = spark.createDataFrame([(5, 1, 1, [0], [len(plain)], len(plain))], CHAPTER)
+    texts = spark.createDataFrame([(1, 1, text)], "book_id long, idx int, text string")
+    nothing = spark.createDataFrame([], "chapter_id long")
+    spans = [(a, b) for a in (0, 3, 7, 50, 60) for b in (1, 7, 8, 14, 61, 62, len(plain)) if a < b]
+    cases = [(a, b, plain[a:b], True) for a, b in spans]
+    cases += [(a, b, plain[a:b] + "!", False) for a, b in spans] + [(a, b, plain[a : b - 1], False) for a, b in spans if b - a > 1]
+    cases += [(a, b, plain[a:b][:-1] + "?", False) for a, b in spans] + [(0, len(plain) + 1, plain + "x", False)]
+    rows = []
+    for n, (a, b, t, _) in enumerate(cases):
+        body = {"chapterIndex": 1, "items": [{"eventId": "ch1-e1", "start": a, "end": b, "text": t}]}
+        rows.append((n, 1, "same", json.dumps(body)))
+    done = ingest.events(spark.createDataFrame(rows, UPLOAD), chapters, texts, nothing)
+    bad = {r.upload_id for r in done["rejected_uploads"].collect()}
+    assert bad == {n for n, c in enumerate(cases) if not c[3]}
+    assert done["events"].count() == sum(c[3] for c in cases)
+
+
+def test_summary_files_name_a_chapter_whatever_their_language(spark):
+    rows = [(1, json.dumps({"language": "en", "items": []})), (2, json.dumps({"language": "en", "chapterIndex": 1})), (3, "")]
+    uploads = spark.createDataFrame([(n, 1, "f", j) for n, j in rows], UPLOAD)
+    chapters = spark.createDataFrame([(5, 1, 1)], "chapter_id long, book_id long, idx int")
+    cast = spark.createDataFrame([(101, 1, 1)], "id long, book_id long, character_id long")
+    done = ingest.summaries(uploads, chapters, cast, spark.createDataFrame([], "chapter_id long"))
+    assert {r.upload_id for r in done["rejected_uploads"].collect()} == {1}
