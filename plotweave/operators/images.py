@@ -115,7 +115,8 @@ def replay_profiles(profiles: DataFrame, actions: DataFrame) -> DataFrame:
     """Reference profiles after ordered actions (book_id, seq, action, asset_id, char_id).
 
     Actions: generating, qa_pass, qa_fail, approve, reject. Each sets the status; approval
-    and QA also set the asset; approval raises the version.
+    and QA also set the asset; approval raises the version, unless it approves the asset that
+    is approved already. ``seq`` is unique in a book.
     """
     # Fixed values.
     target = F.create_map(
@@ -123,11 +124,26 @@ def replay_profiles(profiles: DataFrame, actions: DataFrame) -> DataFrame:
                              "approve", "APPROVED", "reject", "REJECTED")]
     )
     sets_asset = F.col("action").isin("qa_pass", "approve")
-    ends = actions.groupBy("book_id").agg(
+    # What an approval meets is the action before it, else the stored profile.
+    scanned = prefix_scan(
+        actions.withColumn("_slice", slice_of(F.col("seq"))),
+        ["book_id"],
+        ["_slice"],
+        ["seq"],
+        {"_before": ("max", F.struct("seq", "action", "asset_id"))},
+        inclusive=False,
+    )
+    held = profiles.select("book_id", F.col("reference_status").alias("_state"), F.col("active_asset_id").alias("_active"))
+    first = F.col("_before").isNull()
+    again = F.when(first, (F.col("_state") == "APPROVED") & (F.col("_active") == F.col("asset_id"))).otherwise(
+        (F.col("_before.action") == "approve") & (F.col("_before.asset_id") == F.col("asset_id"))
+    )
+    met = scanned.join(held, "book_id", "left").withColumn("_raises", (F.col("action") == "approve") & ~F.coalesce(again, F.lit(False)))
+    ends = met.groupBy("book_id").agg(
         F.max_by(target[F.col("action")], "seq").alias("_status"),
         F.max_by("asset_id", F.when(sets_asset, F.col("seq"))).alias("_asset"),
         F.max_by("char_id", F.when(F.col("action") != "reject", F.col("seq"))).alias("_char"),
-        F.count_if(F.col("action") == "approve").alias("_approvals"),
+        F.count_if("_raises").alias("_approvals"),
     )
     joined = profiles.join(ends, "book_id", "full")
     return joined.select(
@@ -139,42 +155,85 @@ def replay_profiles(profiles: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-def approve_references(assets: DataFrame, profiles: DataFrame, approvals: DataFrame) -> dict[str, DataFrame]:
-    """One reference approval per book and batch (book_id, asset_id).
+def _judged(assets: DataFrame, profiles: DataFrame, approvals: DataFrame) -> DataFrame:
+    """Approvals in their order with a verdict; a refused one changes nothing.
 
-    The approved seed is published; the previous reference is superseded and its published
-    derivatives go stale; the version rises. Approving the active reference again only
-    publishes it. A seed of another role, another book or without passed QA is refused.
+    An asset that passes the rules of its own is approved when it is first asked for and
+    replaces the one before it, which is superseded from then on and can never be approved
+    again. So an approval is judged by two places in its book's order: where its asset was
+    first approved, and where the next asset was.
     """
     candidate = assets.select(
         F.col("id").alias("asset_id"), "book_id", F.col("char_id").alias("_char"), F.col("role").alias("_role"),
         F.col("status").alias("_status"), F.col("url").alias("_url"),
     )
     # Profile columns are renamed, as the candidate rows carry the book id as well.
-    held = profiles.select(
-        "book_id", F.col("active_asset_id").alias("_previous"), F.col("reference_status").alias("_state"),
-        F.col("reference_version").alias("_version"),
+    held = profiles.select("book_id", F.col("active_asset_id").alias("_previous"), F.col("reference_status").alias("_state"))
+    ordered = approvals if "seq" in approvals.columns else approvals.withColumn("seq", F.lit(0))
+    asked = (
+        ordered.dropDuplicates(["book_id", "seq", "asset_id"])
+        .join(candidate, ["book_id", "asset_id"], "left")
+        .join(held, "book_id", "left")
+        .withColumns(
+            {
+                "_at": F.struct(F.col("seq").cast("long").alias("seq"), "asset_id"),
+                "_is_previous": F.coalesce(F.col("_previous") == F.col("asset_id"), F.lit(False)),
+                "refusal": F.when(F.col("_role").isNull(), "not in book")
+                .when(F.col("_role") != "REFERENCE_SEED", "role")
+                .when(~status.is_publishable(F.col("_status")), "status")
+                .when(is_blank(F.col("_url")), "no image"),
+            }
+        )
     )
-    judged = approvals.join(candidate, ["book_id", "asset_id"], "left").join(held, "book_id", "left").withColumn(
+    firsts = asked.filter(F.col("refusal").isNull()).groupBy("book_id", "asset_id", "_is_previous").agg(F.min("_at").alias("_first"))
+    fresh = firsts.filter(~F.col("_is_previous")).drop("_is_previous")
+    scanned = prefix_scan(
+        fresh.withColumn("_slice", slice_of(F.col("_first.seq"))), ["book_id"], ["_slice"], ["_first"], {}, following={"_next": "_first"}
+    ).drop("_slice")
+    known = scanned.unionByName(firsts.filter("_is_previous").drop("_is_previous"), allowMissingColumns=True)
+    opening = fresh.groupBy("book_id").agg(F.min("_first").alias("_opening"))
+    placed = asked.join(known, ["book_id", "asset_id"], "left").join(opening, "book_id", "left")
+    # The stored reference holds until the first other approval; one that is not approved can be.
+    early = F.col("_opening").isNull() | (F.col("_at") < F.col("_opening"))
+    standing = F.col("_is_previous") & (F.coalesce(F.col("_state"), F.lit("")) == "APPROVED")
+    is_first = F.col("_at") == F.col("_first")
+    return placed.withColumn(
         "verdict",
-        F.when(F.col("_role").isNull(), "not in book")
-        .when(F.col("_role") != "REFERENCE_SEED", "role")
-        .when(~status.is_publishable(F.col("_status")), "status")
-        .when(is_blank(F.col("_url")), "no image")
-        .when((F.col("_state") == "APPROVED") & (F.col("_previous") == F.col("asset_id")), "again")
-        .otherwise("approved"),
+        F.when(F.col("refusal").isNotNull(), F.col("refusal"))
+        .when(F.col("_is_previous"), F.when(~early, "status").when(standing | ~is_first, "again").otherwise("approved"))
+        .when(is_first, "approved")
+        .when(F.col("_next").isNull() | (F.col("_at") < F.col("_next")), "again")
+        .otherwise("status"),
     )
+
+
+def approve_references(assets: DataFrame, profiles: DataFrame, approvals: DataFrame) -> dict[str, DataFrame]:
+    """Reference approvals (book_id, seq, asset_id) in order; without ``seq`` by asset.
+
+    The approved seed is published; the previous reference is superseded and its published
+    derivatives go stale; the version rises with each approval. Approving the active reference
+    again only publishes it. A seed of another role, another book, without passed QA or already
+    superseded is refused.
+    """
+    judged = _judged(assets, profiles, approvals)
     approved = judged.filter("verdict = 'approved'")
-    published = judged.filter("verdict IN ('approved', 'again')").select(F.col("asset_id").alias("id"), F.lit(True).alias("_publish"))
-    replaced = approved.filter(F.col("_previous").isNotNull() & (F.col("_previous") != F.col("asset_id"))).select(
-        F.col("_previous").alias("id"), F.lit(True).alias("_superseded")
+    ends = approved.groupBy("book_id").agg(
+        F.max_by("asset_id", "_at").alias("_new_asset"), F.max_by("_char", "_at").alias("_new_char"), F.count("*").alias("_approvals")
     )
+    accepted = judged.filter("verdict IN ('approved', 'again')")
+    published = accepted.select(F.col("asset_id").alias("id")).distinct().withColumn("_publish", F.lit(True))
+    # Whoever was the reference, before or in between, and is not at the end.
+    was = approved.select("book_id", F.col("asset_id").alias("id")).unionByName(
+        approved.filter("_previous IS NOT NULL").select("book_id", F.col("_previous").alias("id"))
+    )
+    replaced = was.join(ends.select("book_id", "_new_asset"), "book_id", "inner").filter("id <> _new_asset").select("id").distinct()
+    marks = replaced.withColumn("_superseded", F.lit(True))
     stale = replaced.select(F.col("id").alias("source_asset_id"), F.lit(True).alias("_stale"))
-    marked = assets.join(published, "id", "left").join(replaced, "id", "left").join(stale, "source_asset_id", "left")
+    marked = assets.join(published, "id", "left").join(marks, "id", "left").join(stale, "source_asset_id", "left")
     new_assets = marked.select(
         *[
-            F.when(F.col("_publish"), "PUBLISHED")
-            .when(F.col("_superseded"), "SUPERSEDED")
+            F.when(F.col("_superseded"), "SUPERSEDED")
+            .when(F.col("_publish"), "PUBLISHED")
             .when(F.col("_stale") & status.is_publishable(F.col("status")), "STALE_REFERENCE")
             .otherwise(F.col("status"))
             .alias(c)
@@ -182,22 +241,22 @@ def approve_references(assets: DataFrame, profiles: DataFrame, approvals: DataFr
             for c in assets.columns
         ]
     )
-    changes = approved.select("book_id", F.col("asset_id").alias("_new_asset"), F.col("_char").alias("_new_char"))
-    joined = profiles.join(changes, "book_id", "full")
+    joined = profiles.join(ends, "book_id", "full")
     hit = F.col("_new_asset").isNotNull()
     new_profiles = joined.select(
         "book_id",
         F.coalesce("_new_asset", "active_asset_id").alias("active_asset_id"),
         F.coalesce("_new_char", "reference_char_id").alias("reference_char_id"),
-        (F.coalesce("reference_version", F.lit(0)) + hit.cast("int")).alias("reference_version"),
+        (F.coalesce("reference_version", F.lit(0)) + F.coalesce("_approvals", F.lit(0))).cast("int").alias("reference_version"),
         F.when(hit, "APPROVED").otherwise(F.col("reference_status")).alias("reference_status"),
     )
-    images = judged.filter("verdict IN ('approved', 'again')").select(F.col("_char").alias("id"), F.col("_url").alias("profile_image"))
+    # A character that several approvals show gets the last one's image.
+    images = accepted.groupBy(F.col("_char").alias("id")).agg(F.max_by("_url", "_at").alias("profile_image"))
     return {
         "assets": new_assets,
         "profiles": new_profiles,
         "character_images": images,
-        "verdicts": judged.select("book_id", "asset_id", "verdict"),
+        "verdicts": judged.select("book_id", "seq", "asset_id", "verdict"),
     }
 
 

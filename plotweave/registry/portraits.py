@@ -186,7 +186,7 @@ def asset_transitions(v: Views):
 
 
 PACTION = """SELECT user_id // 25 AS book_id, event_id AS seq, (['generating', 'qa_pass', 'qa_fail', 'approve', 'reject'])[k % 5 + 1] AS action,
-    event_id AS asset_id, user_id AS char_id FROM activity"""
+    event_id % 2 AS asset_id, user_id AS char_id FROM activity"""
 
 
 @query(
@@ -197,7 +197,9 @@ PACTION = """SELECT user_id // 25 AS book_id, event_id AS seq, (['generating', '
        FROM profile p FULL JOIN (SELECT * FROM paction QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY seq DESC) = 1) l ON l.book_id = p.book_id
        LEFT JOIN (SELECT * FROM paction WHERE action IN ('qa_pass', 'approve') QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY seq DESC) = 1) s ON s.book_id = coalesce(p.book_id, l.book_id)
        LEFT JOIN (SELECT * FROM paction WHERE action <> 'reject' QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY seq DESC) = 1) h ON h.book_id = coalesce(p.book_id, l.book_id)
-       LEFT JOIN (SELECT book_id, count(*) FILTER (action = 'approve') AS approvals FROM paction GROUP BY 1) n ON n.book_id = coalesce(p.book_id, l.book_id)""",
+       LEFT JOIN (SELECT book_id, count(*) FILTER (action = 'approve' AND NOT coalesce(asset_id = held, false)) AS approvals
+          FROM (SELECT a.*, CASE coalesce(lag(a.action) OVER w, p.reference_status) WHEN 'approve' THEN lag(a.asset_id) OVER w WHEN 'APPROVED' THEN p.active_asset_id END AS held
+                FROM paction a LEFT JOIN profile p USING (book_id) WINDOW w AS (PARTITION BY a.book_id ORDER BY a.seq)) GROUP BY 1) n ON n.book_id = coalesce(p.book_id, l.book_id)""",
     profile=PROFILE,
     paction=PACTION,
 )
@@ -205,41 +207,62 @@ def _(v: Views):
     actions = v.activity.selectExpr(
         "user_id div 25 AS book_id", "event_id AS seq",
         "element_at(array('generating', 'qa_pass', 'qa_fail', 'approve', 'reject'), k % 5 + 1) AS action",
-        "event_id AS asset_id", "user_id AS char_id",
+        "event_id % 2 AS asset_id", "user_id AS char_id",
     )
     return images.replay_profiles(profiles(v), actions)
 
 
 def approval_tables(v: Views):
-    """Eight assets make a book; three books in four have a reference, all ask for approval."""
+    """Eight assets make a book; three books in four have a reference, each asks for four approvals in order."""
     assets = v.asset.selectExpr(
         "id", "id div 8 AS book_id", "char_id", "role", "status", "url", "id div 8 * 8 + id * 3 % 8 AS source_asset_id"
     )
     books = assets.select("book_id").distinct()
     held = books.filter("book_id % 4 <> 3").selectExpr(
-        "book_id", "book_id * 8 + book_id % 8 AS active_asset_id", "'APPROVED' AS reference_status", "2 AS reference_version", "0L AS reference_char_id"
+        "book_id", "book_id * 8 + book_id % 8 AS active_asset_id", "if(book_id % 5 = 0, 'REJECTED', 'APPROVED') AS reference_status", "2 AS reference_version", "0L AS reference_char_id"
     )
-    approvals = books.selectExpr("book_id", "book_id * 8 + book_id * 5 % 8 + if(book_id % 11 = 0, 8, 0) AS asset_id")
+    asked = books.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    approvals = asked.selectExpr("book_id", "seq", "book_id * 8 + (book_id * 5 + seq * seq * (book_id % 3)) % 8 + if(book_id % 11 = seq, 8, 0) AS asset_id")
     return assets, held, approvals
 
 
 APPROVAL_VIEWS = {
     "seed": "SELECT id, id // 8 AS book_id, char_id, role, status, url, id // 8 * 8 + id * 3 % 8 AS source_asset_id FROM asset",
-    "held": "SELECT DISTINCT book_id, book_id * 8 + book_id % 8 AS active_asset_id FROM seed WHERE book_id % 4 <> 3",
-    "approval": "SELECT DISTINCT book_id, book_id * 8 + book_id * 5 % 8 + CASE WHEN book_id % 11 = 0 THEN 8 ELSE 0 END AS asset_id FROM seed",
-    "judged": """SELECT p.book_id, p.asset_id, h.active_asset_id AS previous, CASE WHEN s.role IS NULL THEN 'not in book' WHEN s.role <> 'REFERENCE_SEED' THEN 'role'
-        WHEN s.status NOT IN ('QA_PASSED', 'APPROVED', 'PUBLISHED') THEN 'status' WHEN trim(coalesce(s.url, '')) = '' THEN 'no image'
-        WHEN h.active_asset_id = p.asset_id THEN 'again' ELSE 'approved' END AS verdict
-        FROM approval p LEFT JOIN seed s ON s.id = p.asset_id AND s.book_id = p.book_id LEFT JOIN held h ON h.book_id = p.book_id""",
-    "replaced": "SELECT previous AS id FROM judged WHERE verdict = 'approved' AND previous IS NOT NULL AND previous <> asset_id",
+    "held": """SELECT DISTINCT book_id, book_id * 8 + book_id % 8 AS active_asset_id, CASE WHEN book_id % 5 = 0 THEN 'REJECTED' ELSE 'APPROVED' END AS state
+        FROM seed WHERE book_id % 4 <> 3""",
+    "approval": """SELECT book_id, seq, book_id * 8 + (book_id * 5 + seq * seq * (book_id % 3)) % 8 + CASE WHEN book_id % 11 = seq THEN 8 ELSE 0 END AS asset_id
+        FROM (SELECT DISTINCT book_id FROM seed), range(4) numbers(seq)""",
+    # One approval after another, each on the state that the one before has left.
+    "judged": """WITH RECURSIVE step AS (
+          SELECT book_id, CAST(-1 AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS asset_id, CAST(NULL AS VARCHAR) AS verdict, h.active_asset_id AS active,
+            h.state, coalesce(h.version, 0) AS version, CAST([] AS BIGINT[]) AS gone
+          FROM (SELECT DISTINCT book_id FROM seed) b LEFT JOIN (SELECT *, 2 AS version FROM held) h USING (book_id)
+          UNION ALL
+          SELECT book_id, seq, asset_id, verdict, CASE WHEN verdict = 'approved' THEN asset_id ELSE active END,
+            CASE WHEN verdict = 'approved' THEN 'APPROVED' ELSE state END, version + CASE WHEN verdict = 'approved' THEN 1 ELSE 0 END,
+            CASE WHEN verdict = 'approved' AND active <> asset_id THEN list_append(gone, active) ELSE gone END
+          FROM (SELECT p.book_id, p.seq, p.asset_id, t.active, t.state, t.version, t.gone,
+              CASE WHEN s.role IS NULL THEN 'not in book' WHEN s.role <> 'REFERENCE_SEED' THEN 'role'
+                WHEN list_contains(t.gone, p.asset_id) OR s.status NOT IN ('QA_PASSED', 'APPROVED', 'PUBLISHED') THEN 'status'
+                WHEN trim(coalesce(s.url, '')) = '' THEN 'no image' WHEN t.state = 'APPROVED' AND t.active = p.asset_id THEN 'again' ELSE 'approved' END AS verdict
+            FROM step t JOIN approval p ON p.book_id = t.book_id AND p.seq = t.seq + 1 LEFT JOIN seed s ON s.id = p.asset_id AND s.book_id = p.book_id))
+        SELECT * FROM step""",
+    "ended": "SELECT * FROM judged WHERE seq = 3",
+    "replaced": "SELECT DISTINCT unnest(gone) AS id FROM ended",
 }
 
 
+@query("mu_13_approval_verdicts", "SELECT book_id, seq, asset_id, verdict FROM judged WHERE seq >= 0", **APPROVAL_VIEWS)
+def _(v: Views):
+    return images.approve_references(*approval_tables(v))["verdicts"].withColumn("seq", F.col("seq").cast("bigint"))
+
+
 @query(
     "mu_13_reference_approval",
-    """SELECT s.id, CASE WHEN j.verdict IN ('approved', 'again') THEN 'PUBLISHED' WHEN s.id IN (SELECT id FROM replaced) THEN 'SUPERSEDED'
+    """SELECT s.id, CASE WHEN s.id IN (SELECT id FROM replaced) THEN 'SUPERSEDED'
+         WHEN s.id IN (SELECT asset_id FROM judged WHERE verdict IN ('approved', 'again')) THEN 'PUBLISHED'
          WHEN s.source_asset_id IN (SELECT id FROM replaced) AND s.status IN ('QA_PASSED', 'APPROVED', 'PUBLISHED') THEN 'STALE_REFERENCE' ELSE s.status END AS status
-       FROM seed s LEFT JOIN judged j ON j.asset_id = s.id AND j.book_id = s.book_id""",
+       FROM seed s""",
     **APPROVAL_VIEWS,
 )
 def _(v: Views):
@@ -248,13 +271,11 @@ def _(v: Views):
 
 @query(
     "mu_13_reference_versions",
-    """SELECT h.book_id, CASE WHEN j.verdict = 'approved' THEN j.asset_id ELSE h.active_asset_id END AS active_asset_id,
-         CASE WHEN j.verdict = 'approved' THEN 3 ELSE 2 END AS reference_version FROM held h LEFT JOIN judged j USING (book_id)
-       UNION ALL SELECT j.book_id, j.asset_id, 1 FROM judged j WHERE j.verdict = 'approved' AND j.book_id NOT IN (SELECT book_id FROM held)""",
+    """SELECT book_id, active AS active_asset_id, state AS reference_status, CAST(version AS INT) AS reference_version FROM ended WHERE active IS NOT NULL""",
     **APPROVAL_VIEWS,
 )
 def _(v: Views):
-    return images.approve_references(*approval_tables(v))["profiles"].select("book_id", "active_asset_id", "reference_version")
+    return images.approve_references(*approval_tables(v))["profiles"].select("book_id", "active_asset_id", "reference_status", "reference_version")
 
 
 @query(

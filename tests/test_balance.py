@@ -274,3 +274,32 @@ def test_prefixes_from_blocks(spark):
     assert {(r.book, r.before): (r.total, r.most) for r in made} == want and len(made) == len(want)
     # 71 has four binary digits that are 1.
     assert dyadic.cover(asked.filter("before = 71"), "before", last).select("level", "tile").distinct().count() == 4
+
+
+def test_approvals_in_one_batch(spark):
+    seeds = [(n, 1, 100 + n, "REFERENCE_SEED", "QA_PASSED", f"u{n}", None) for n in (1, 2, 3)]
+    derived = [(10 + n, 1, 200 + n, "DERIVED_CHARACTER", "PUBLISHED", "d", n) for n in (1, 2, 3)]
+    assets = spark.createDataFrame(seeds + derived, "id long, book_id long, char_id long, role string, status string, url string, source_asset_id long")
+    held = spark.createDataFrame([(1, 1, "APPROVED", 5, 101)], "book_id long, active_asset_id long, reference_status string, reference_version int, reference_char_id long")
+
+    def approve(*ids):
+        asked = spark.createDataFrame([(1, n, i) for n, i in enumerate(ids)], "book_id long, seq int, asset_id long")
+        done = images.approve_references(assets, held, asked)
+        profile = [tuple(r) for r in done["profiles"].select("active_asset_id", "reference_char_id", "reference_version").collect()]
+        verdicts = [r.verdict for r in sorted(done["verdicts"].collect(), key=lambda r: r.seq)]
+        return profile, verdicts, {r.id: r.status for r in done["assets"].collect()}
+
+    profile, verdicts, status = approve(1, 2, 2, 3, 1, 2)
+    assert profile == [(3, 103, 7)] and verdicts == ["again", "approved", "again", "approved", "status", "status"]
+    assert status == {1: "SUPERSEDED", 2: "SUPERSEDED", 3: "PUBLISHED", 11: "STALE_REFERENCE", 12: "STALE_REFERENCE", 13: "PUBLISHED"}
+    assert approve(1, 1)[:2] == ([(1, 101, 5)], ["again", "again"])
+    assert approve(9, 11)[:2] == ([(1, 101, 5)], ["not in book", "role"])
+
+
+def test_approving_again_keeps_the_version(spark):
+    held = spark.createDataFrame([(1, 4, "APPROVED", 2, 9), (2, 4, "QA_PASSED", 2, 9)], "book_id long, active_asset_id long, reference_status string, reference_version int, reference_char_id long")
+    steps = ["approve:4", "approve:4", "approve:5", "reject:5", "approve:5", "approve:5"]
+    rows = [(b, n, s.split(":")[0], int(s.split(":")[1]), 9) for b in (1, 2, 3) for n, s in enumerate(steps)]
+    actions = spark.createDataFrame(rows, "book_id long, seq long, action string, asset_id long, char_id long")
+    found = {r.book_id: (r.reference_version, r.active_asset_id, r.reference_status) for r in images.replay_profiles(held, actions).collect()}
+    assert found == {1: (4, 5, "APPROVED"), 2: (5, 5, "APPROVED"), 3: (3, 5, "APPROVED")}
