@@ -311,41 +311,82 @@ def check_selection(selection: DataFrame, characters: DataFrame) -> DataFrame:
     )
 
 
+def fanout_problems(
+    requests: DataFrame, characters: DataFrame, profiles: DataFrame, selection: DataFrame | None = None
+) -> DataFrame:
+    """Requests that are refused (book_id, problem), each with the first rule it breaks.
+
+    In order: scope, publish policy (where requests carry one), approved reference, a selection
+    for SELECTED, its characters known, its characters of this book.
+    """
+    policy = status.publish_policy(F.col("policy")).isNull() if "policy" in requests.columns else F.lit(False)
+    approved = profiles.filter((F.col("reference_status") == "APPROVED") & F.col("active_asset_id").isNotNull())
+    asked = requests.select("book_id", status.fanout_scope(F.col("scope")).alias("_scope"), policy.alias("_bad_policy")).join(
+        approved.select("book_id", F.lit(True).alias("_approved")), "book_id", "left"
+    )
+    if selection is None:
+        asked = asked.withColumns({"_chosen": F.lit(0), "_unknown": F.lit(0), "_other": F.lit(0)})
+    else:
+        bad = check_selection(selection.select("book_id", "char_id"), characters)
+        counts = (
+            selection.select("book_id", F.lit("chosen").alias("_kind"))
+            .unionByName(bad.select("book_id", F.col("problem").alias("_kind")))
+            .groupBy("book_id")
+            .agg(*[F.count_if(F.col("_kind") == k).alias(n) for k, n in (("chosen", "_chosen"), ("unknown", "_unknown"), ("other book", "_other"))])
+        )
+        asked = asked.join(counts, "book_id", "left")
+    selected = F.col("_scope") == "SELECTED"
+    problem = (
+        F.when(F.col("_scope").isNull(), "scope")
+        .when(F.col("_bad_policy"), "policy")
+        .when(F.col("_approved").isNull(), "no approved reference")
+        .when(selected & (F.coalesce("_chosen", F.lit(0)) == 0), "no characters")
+        .when(selected & (F.col("_unknown") > 0), "unknown character")
+        .when(selected & (F.col("_other") > 0), "character of another book")
+    )
+    return asked.select("book_id", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def fanout_targets(
     requests: DataFrame, characters: DataFrame, assets: DataFrame, profiles: DataFrame, selection: DataFrame | None = None
 ) -> DataFrame:
     """Characters each request (book_id, scope, overwrite, max_targets) regenerates.
 
-    Needs an approved reference; its own character is left out; ``skipped`` marks those
-    that keep the image they have. ``max_targets`` is the request's own top-k.
+    Requests of `fanout_problems` bring none. The reference's own character is left out;
+    ``skipped`` marks those that keep the image they have. ``max_targets`` is the request's own
+    top-k. A selection (book_id, char_id) may carry ``position``: its characters then come in
+    the order of their first mention.
     """
-    scoped = F.coalesce(status.fanout_scope(F.col("scope")), F.lit("INVALID"))
-    approved = profiles.filter((F.col("reference_status") == "APPROVED") & F.col("active_asset_id").isNotNull()).select(
-        "book_id", "reference_char_id"
+    refused = fanout_problems(requests, characters, profiles, selection)
+    asked = (
+        requests.withColumn("scope", status.fanout_scope(F.col("scope")))
+        .join(refused.select("book_id"), "book_id", "left_anti")
+        .join(profiles.select("book_id", "reference_char_id"), "book_id", "inner")
     )
-    asked = requests.withColumn("scope", scoped).join(approved, "book_id", "inner")
     people = characters.select("id", "book_id", "name", "is_main", "profile_image")
     stale = characters_with_status(assets, status.STALE).select(F.col("char_id").alias("id"), F.col("newest").alias("_stale"))
     failed = characters_with_status(assets, status.RETRYABLE).select(F.col("char_id").alias("id"), F.col("newest").alias("_failed"))
     joined = asked.join(people, "book_id", "inner").join(stale, "id", "left").join(failed, "id", "left")
     if selection is None:
-        joined = joined.withColumn("_chosen", F.lit(False))
+        joined = joined.withColumn("_mention", F.lit(None).cast("long"))
     else:
-        chosen = selection.select("book_id", F.col("char_id").alias("id")).distinct().withColumn("_chosen", F.lit(True))
+        mentioned = F.col("position").cast("long") if "position" in selection.columns else F.lit(0).cast("long")
+        chosen = selection.groupBy("book_id", F.col("char_id").alias("id")).agg(F.min(mentioned).alias("_mention"))
         joined = joined.join(chosen, ["book_id", "id"], "left")
     by_scope = (
         F.when(F.col("scope") == "MAIN_ONLY", F.col("is_main"))
         .when(F.col("scope").isin("GRAPH_VISIBLE", "ALL"), F.lit(True))
-        .when(F.col("scope") == "SELECTED", F.coalesce("_chosen", F.lit(False)))
+        .when(F.col("scope") == "SELECTED", F.col("_mention").isNotNull())
         .when(F.col("scope") == "STALE_ONLY", F.col("_stale").isNotNull())
         .when(F.col("scope") == "FAILED_ONLY", F.col("_failed").isNotNull())
         .otherwise(F.lit(False))
     )
     wanted = joined.filter(by_scope & ~F.col("id").eqNullSafe(F.col("reference_char_id")))
-    # Stale and failed scopes go by the newest asset, the others by the cast order.
+    # Stale and failed scopes go by the newest asset, a selection by its own order, the others by the cast order.
     recency = F.when(F.col("scope") == "STALE_ONLY", F.col("_stale")).when(F.col("scope") == "FAILED_ONLY", F.col("_failed"))
-    order = [F.desc("_recency"), F.desc("is_main"), F.asc("name"), F.asc("id")]
-    wanted = wanted.withColumn("_recency", recency)
+    mention = F.when(F.col("scope") == "SELECTED", F.col("_mention"))
+    order = [F.desc("_recency"), F.asc("_place"), F.desc("is_main"), F.asc("name"), F.asc("id")]
+    wanted = wanted.withColumns({"_recency": recency, "_place": mention})
     capped = F.coalesce(F.col("max_targets") > 0, F.lit(False))
     some = top_per_key(wanted.filter(capped), ["book_id"], order, "max_targets", "id").drop("rank")
     limited = wanted.filter(~capped).unionByName(some)

@@ -111,31 +111,67 @@ def _(v: Views):
     return top_per_key(rows, ["book_id"], order, "allowed", "id").select("book_id", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
-REQUEST = """SELECT book_id, (['MAIN_ONLY', 'ALL', 'STALE_ONLY', 'FAILED_ONLY', 'SELECTED'])[book_id % 5 + 1] AS scope, book_id % 2 = 0 AS overwrite,
-    CASE WHEN book_id % 3 = 0 THEN 4 END AS max_targets FROM profile"""
+# Characters asked for by name; one book in three names some that it does not have.
+FAN_SELECTION = """SELECT event_id // 85 AS book_id, event_id // 85 * 100 + event_id * event_id % 13 + CASE WHEN event_id // 85 % 9 = 4 AND k % 7 = 0 THEN 101
+    WHEN event_id // 85 % 9 = 7 AND k % 7 = 0 THEN 51 ELSE 1 END AS char_id, event_id AS position FROM activity WHERE event_id // 85 % 12 <> 4"""
+FAN_ASSET = "SELECT id // 85 * 100 + id % 25 + 1 AS char_id, status, created_at FROM asset"
+REQUEST = """SELECT book_id, ([' ', 'ALL', ' STALE_ONLY', 'FAILED_ONLY', 'SELECTED', 'page', 'SELECTED'])[book_id % 7 + 1] AS scope,
+    book_id % 2 = 0 AS overwrite, CASE WHEN book_id % 3 = 0 THEN 4 END AS max_targets, CASE WHEN book_id % 13 = 7 THEN 'LATER' END AS policy FROM profile"""
+PROBLEM = """SELECT r.book_id, CASE WHEN r.scope = 'page' THEN 'scope' WHEN r.policy = 'LATER' THEN 'policy'
+      WHEN p.reference_status <> 'APPROVED' OR p.active_asset_id IS NULL THEN 'no approved reference'
+      WHEN r.scope <> 'SELECTED' THEN NULL WHEN r.book_id NOT IN (SELECT book_id FROM fan_selection) THEN 'no characters'
+      WHEN r.book_id IN (SELECT book_id FROM fan_selection WHERE char_id NOT IN (SELECT id FROM story_character)) THEN 'unknown character'
+      WHEN r.book_id IN (SELECT q.book_id FROM fan_selection q JOIN story_character c ON c.id = q.char_id WHERE c.book_id <> q.book_id) THEN 'character of another book'
+    END AS problem FROM request r JOIN profile p USING (book_id)"""
 TARGET = """SELECT book_id, id, scope, NOT overwrite AND profile_image IS NOT NULL AND trim(profile_image) <> '' AND scope NOT IN ('STALE_ONLY', 'FAILED_ONLY') AS skipped FROM (
     SELECT r.book_id, c.id, r.scope, r.overwrite, c.profile_image, r.max_targets, row_number() OVER (PARTITION BY r.book_id ORDER BY
-        CASE r.scope WHEN 'STALE_ONLY' THEN s.newest WHEN 'FAILED_ONLY' THEN f.newest END DESC NULLS LAST, c.is_main DESC, c.name, c.id) AS rank
-    FROM request r JOIN profile p ON p.book_id = r.book_id AND p.reference_status = 'APPROVED' AND p.active_asset_id IS NOT NULL
+        CASE r.scope WHEN 'STALE_ONLY' THEN s.newest WHEN 'FAILED_ONLY' THEN f.newest END DESC NULLS LAST,
+        CASE r.scope WHEN 'SELECTED' THEN q.position END, c.is_main DESC, c.name, c.id) AS rank
+    FROM (SELECT * REPLACE (coalesce(nullif(trim(scope), ''), 'MAIN_ONLY') AS scope) FROM request
+      WHERE book_id IN (SELECT book_id FROM problem WHERE problem IS NULL)) r JOIN profile p ON p.book_id = r.book_id
     JOIN story_character c ON c.book_id = r.book_id
-    LEFT JOIN (SELECT char_id, max(created_at) AS newest FROM asset WHERE status IN ('STALE_REFERENCE', 'STALE_PROMPT') GROUP BY 1) s ON s.char_id = c.id
-    LEFT JOIN (SELECT char_id, max(created_at) AS newest FROM asset WHERE status IN ('FAILED', 'QA_FAILED', 'REVIEW_REQUIRED') GROUP BY 1) f ON f.char_id = c.id
+    LEFT JOIN (SELECT char_id, max(created_at) AS newest FROM fan_asset WHERE status IN ('STALE_REFERENCE', 'STALE_PROMPT') GROUP BY 1) s ON s.char_id = c.id
+    LEFT JOIN (SELECT char_id, max(created_at) AS newest FROM fan_asset WHERE status IN ('FAILED', 'QA_FAILED', 'REVIEW_REQUIRED') GROUP BY 1) f ON f.char_id = c.id
+    LEFT JOIN (SELECT book_id, char_id, min(position) AS position FROM fan_selection GROUP BY 1, 2) q ON q.book_id = r.book_id AND q.char_id = c.id
     WHERE c.id <> p.reference_char_id AND CASE r.scope WHEN 'MAIN_ONLY' THEN c.is_main WHEN 'ALL' THEN true WHEN 'STALE_ONLY' THEN s.newest IS NOT NULL
-        WHEN 'FAILED_ONLY' THEN f.newest IS NOT NULL ELSE c.id IN (SELECT char_id FROM selection q WHERE q.book_id = r.book_id) END)
+        WHEN 'FAILED_ONLY' THEN f.newest IS NOT NULL ELSE q.char_id IS NOT NULL END)
     WHERE max_targets IS NULL OR rank <= max_targets"""
+FANOUT = {"profile": PROFILE, "fan_selection": FAN_SELECTION, "fan_asset": FAN_ASSET, "request": REQUEST, "problem": PROBLEM, "target": TARGET}
 
 
-def targets(v: Views):
-    requests = profiles(v).selectExpr(
+def fan_selection(v: Views):
+    return v.activity.filter("event_id div 85 % 12 <> 4").selectExpr(
+        "event_id div 85 AS book_id",
+        """event_id div 85 * 100 + event_id * event_id % 13 + CASE WHEN event_id div 85 % 9 = 4 AND k % 7 = 0 THEN 101
+           WHEN event_id div 85 % 9 = 7 AND k % 7 = 0 THEN 51 ELSE 1 END AS char_id""",
+        "event_id AS position",
+    )
+
+
+def requests(v: Views):
+    return profiles(v).selectExpr(
         "book_id",
-        "element_at(array('MAIN_ONLY', 'ALL', 'STALE_ONLY', 'FAILED_ONLY', 'SELECTED'), int(book_id % 5) + 1) AS scope",
+        "element_at(array(' ', 'ALL', ' STALE_ONLY', 'FAILED_ONLY', 'SELECTED', 'page', 'SELECTED'), int(book_id % 7) + 1) AS scope",
         "book_id % 2 = 0 AS overwrite",
         "if(book_id % 3 = 0, 4, null) AS max_targets",
+        "if(book_id % 13 = 7, 'LATER', null) AS policy",
     )
-    return images.fanout_targets(requests, v.character, v.asset, profiles(v), selection(v))
 
 
-@query("mu_17_fanout_targets", "SELECT book_id, id, scope, skipped FROM target", profile=PROFILE, selection=SELECTION, request=REQUEST, target=TARGET)
+def fan_assets(v: Views):
+    return v.asset.withColumns({"book_id": F.expr("id div 85"), "char_id": F.expr("id div 85 * 100 + id % 25 + 1")})
+
+
+def targets(v: Views):
+    return images.fanout_targets(requests(v), v.character, fan_assets(v), profiles(v), fan_selection(v))
+
+
+@query("mu_17_fanout_problems", "SELECT book_id, problem FROM problem WHERE problem IS NOT NULL", **FANOUT)
+def _(v: Views):
+    return images.fanout_problems(requests(v), v.character, profiles(v), fan_selection(v))
+
+
+@query("mu_17_fanout_targets", "SELECT book_id, id, scope, skipped FROM target", **FANOUT)
 def fanout(v: Views):
     return targets(v)
 
@@ -144,10 +180,7 @@ def fanout(v: Views):
     "ag_15_fanout_totals",
     """SELECT book_id, count(*) AS target_count, count(*) FILTER (NOT skipped AND id % 3 <> 0) AS success_count,
          count(*) FILTER (NOT skipped AND id % 3 = 0) AS failed_count, count(*) FILTER (skipped) AS skipped_count FROM target GROUP BY 1""",
-    profile=PROFILE,
-    selection=SELECTION,
-    request=REQUEST,
-    target=TARGET,
+    **FANOUT,
 )
 def _(v: Views):
     outcomes = v.character.selectExpr("id", "element_at(array('FAILED', 'QA_PASSED', 'PUBLISHED'), int(id % 3) + 1) AS status")
