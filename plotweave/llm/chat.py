@@ -26,7 +26,6 @@ conversations; other columns are never read.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
@@ -34,6 +33,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotweave.llm.common import nullable, whole_id
+
 # Fixed values of the template.
 TURN, ROLE, SAYS, END = "<s>", "[INST]", "[/INST]", "</s>"
 PLACEHOLDERS = {"image": "[IMG]", "audio": "[AUDIO]", "document": "[DOC]"}
@@ -166,12 +167,17 @@ def read_back(turns: DataFrame) -> DataFrame:
 
         def close() -> None:
             if state is not None:
-                out.append((None if math.isnan(now) else int(now), state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+                out.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+
+        def frame() -> pd.DataFrame:
+            made = pd.DataFrame([r[1:] for r in out], columns=names[1:])
+            made.insert(0, "conv_id", nullable([r[0] or 0 for r in out], [r[0] is None for r in out]))
+            return made
 
         for batch in batches:
-            convs = [math.nan if pd.isna(c) else c for c in batch["conv_id"]]
+            convs = [None if none else int(c) for c, none in zip(batch["conv_id"], batch["no_id"])]
             for conv, formatted, at, length in zip(convs, batch["formatted"], batch["loss_at"], batch["loss_chars"]):
-                if state is None or not (conv == now or math.isnan(conv) and math.isnan(now)):
+                if state is None or conv != now:
                     close()
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 end = 0
@@ -190,12 +196,12 @@ def read_back(turns: DataFrame) -> DataFrame:
                     state[3].update(loss.encode())
                 state[4] += len(formatted)
             if len(out) > 5000:
-                yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                yield frame()
                 out.clear()
         close()
         if out:
-            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+            yield frame()
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     names = [c.split()[0] for c in schema.split(", ")]
-    return in_order(turns).select("conv_id", "formatted", "loss_at", "loss_chars").mapInPandas(run, schema)
+    return in_order(turns).select(*whole_id("conv_id"), "formatted", "loss_at", "loss_chars").mapInPandas(run, schema)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,20 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def whole_id(name: str, flag: str = "no_id") -> list[Column]:
+    """An id column and whether it is null, for Python.
+
+    A null in a batch would turn its 64-bit ids into doubles, which hold 53 bits.
+    """
+    held = F.col(name).cast("long")
+    return [F.coalesce(held, F.lit(0).cast("long")).alias(name), held.isNull().alias(flag)]
+
+
+def nullable(ids: Iterable[int], none: Iterable[bool]) -> pd.arrays.IntegerArray:
+    """What `whole_id` took apart, for a column of a pandas frame."""
+    return pd.arrays.IntegerArray(np.array(ids, np.int64), np.array(none, bool))
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a number for each row, so that repeated rows can be told apart; stored.
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import numbered, stored, text_of, unused, without_places
+from plotweave.llm.common import nullable, numbered, stored, text_of, unused, whole_id, without_places
 from plotweave.llm.ragged import portions, starts_of
 from plotweave.llm.words import Words, run_hashes
 
@@ -53,10 +53,10 @@ def _items(benchmark: DataFrame, settings: Settings, id_column: str, text_column
             words, counts = reader.hashes(batch["text"].tolist())
             seeds, n = run_hashes(words, counts, settings.seed)
             split = [np.split(x.view(np.int64), np.cumsum(k)[:-1]) for x, k in ((words, counts), (seeds, n))]
-            made = pd.DataFrame({"item": batch["item"], "item_id": batch["item_id"].astype("Int64"), "item_words": split[0], "seeds": split[1]})
+            made = pd.DataFrame({"item": batch["item"], "item_id": nullable(batch["item_id"], batch["no_id"]), "item_words": split[0], "seeds": split[1]})
             yield made[n > 0]
 
-    return rows.mapInPandas(run, "item long, item_id long, item_words array<long>, seeds array<long>")
+    return rows.select("item", *whole_id("item_id"), "text").mapInPandas(run, "item long, item_id long, item_words array<long>, seeds array<long>")
 
 
 def _bitmap(items: DataFrame, bits: int) -> np.ndarray:
@@ -222,17 +222,17 @@ def matches(
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for place, item_id, words, found in zip(batch["place"], batch["item_id"], batch["item_words"], batch["stretches"]):
+            for place, words, found in zip(batch["place"], batch["item_words"], batch["stretches"]):
                 texts = [np.asarray(s["stretch"], np.int64).view(np.uint64) for s in found]
                 item = np.asarray(words, np.int64).view(np.uint64)
                 taken = tiles(texts, item, settings.seed)
-                out.append((place, item_id, len(item), sum(t[3] for t in taken), [(found[w]["at"] + a, p, n) for w, a, p, n in taken]))
-            made = pd.DataFrame(out, columns=["place", "item_id", "item_words", "covered", "tiles"])
-            made["item_id"] = made["item_id"].astype("Int64")
+                out.append((place, len(item), sum(t[3] for t in taken), [(found[w]["at"] + a, p, n) for w, a, p, n in taken]))
+            made = pd.DataFrame(out, columns=["place", "item_words", "covered", "tiles"])
+            made.insert(1, "item_id", nullable(batch["item_id"], batch["no_id"]))
             made["tiles"] = [[{"at": a, "item_at": p, "words": n} for a, p, n in t] for t in made["tiles"]]
             yield made
 
-    return pairs.select("place", "item_id", "item_words", "stretches").mapInPandas(
+    return pairs.select("place", *whole_id("item_id"), "item_words", "stretches").mapInPandas(
         tile, "place long, item_id long, item_words long, covered long, tiles array<struct<at:long,item_at:long,words:long>>"
     )
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import numbered, stored, text_of, unused, without_places
+from plotweave.llm.common import nullable, numbered, stored, text_of, unused, whole_id, without_places
 from plotweave.llm.ragged import mixed, portions, starts_of, sums
 from plotweave.llm.words import Words, run_hashes
 
@@ -156,7 +156,7 @@ def fingerprints(rows: DataFrame, settings: Settings) -> DataFrame:
                 band = mixed(band).view(np.int64)
                 yield pd.DataFrame(
                     {
-                        "doc_id": batch["doc_id"].iloc[part].astype("Int64"),
+                        "doc_id": nullable(batch["doc_id"].iloc[part], batch["no_id"].iloc[part]),
                         "place": batch["place"].iloc[part],
                         "text_key": _digests(words, counts),
                         "n_runs": n,
@@ -164,7 +164,7 @@ def fingerprints(rows: DataFrame, settings: Settings) -> DataFrame:
                     }
                 )
 
-    return rows.mapInPandas(run, "doc_id long, place long, text_key binary, n_runs long, bands array<long>")
+    return rows.select(*whole_id("doc_id"), "place", "text").mapInPandas(run, "doc_id long, place long, text_key binary, n_runs long, bands array<long>")
 
 
 def bags(rows: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import text_of
+from plotweave.llm.common import nullable, text_of, whole_id
 from plotweave.llm.encoding import encoder
 from plotweave.llm.ragged import portions, starts_of
 
@@ -191,8 +191,8 @@ def pack(
 
         def frame() -> pd.DataFrame:
             names = [c.split()[0] for c in PIECES.split(", ")]
-            made = pd.DataFrame(out, columns=names)
-            made["doc_id"] = made["doc_id"].astype("Int64")
+            made = pd.DataFrame([r[1:] for r in out], columns=names[1:])
+            made.insert(0, "doc_id", nullable([r[0] or 0 for r in out], [r[0] is None for r in out]))
             out.clear()
             return made
 
@@ -201,10 +201,10 @@ def pack(
             for part in portions(map(len, texts), 300_000):
                 ids, lengths = encode(texts[part])
                 begins = starts_of(lengths)
-                for doc_id, lead, at, n in zip(
-                    batch["doc_id"].iloc[part], batch["loss_from"].iloc[part], begins.tolist(), lengths.tolist()
+                for doc_id, no_id, lead, at, n in zip(
+                    batch["doc_id"].iloc[part], batch["no_id"].iloc[part], batch["loss_from"].iloc[part], begins.tolist(), lengths.tolist()
                 ):
-                    doc = (None if pd.isna(doc_id) else int(doc_id), ids[at : at + n], int(lead), n, 0)
+                    doc = (None if no_id else int(doc_id), ids[at : at + n], int(lead), n, 0)
                     keep(packer.add(doc))
                 if out:
                     yield frame()
@@ -212,7 +212,8 @@ def pack(
         if out:
             yield frame()
 
-    return rows.mapInPandas(run, PIECES)
+    given = rows.select(*whole_id("doc_id"), "text", "loss_from")
+    return given.mapInPandas(run, PIECES)
 
 
 def with_checksums(pieces: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import text_of
+from plotweave.llm.common import nullable, text_of, whole_id
 from plotweave.llm.encoding import encoder
 from plotweave.llm.ragged import gather, portions, starts_of, sums
 
@@ -195,7 +195,7 @@ def write_store(
             nonlocal first, waiting
             ids = np.concatenate([h[1] for h in held])
             lengths = np.concatenate([h[2] for h in held])
-            names = [None if pd.isna(x) else int(x) for h in held for x in h[0]]
+            names = [None if none else int(x) for h in held for x, none in zip(*h[0])]
             made = pd.DataFrame({"shard": [shard], "first": [first], "n_ids": [len(ids)], "doc_ids": [names], "payload": [to_payload(ids, lengths)]})
             first += len(ids)
             held.clear()
@@ -206,14 +206,14 @@ def write_store(
             texts = batch["text"].tolist()
             for part in portions(map(len, texts), 200_000):
                 ids, lengths = encode(texts[part])
-                held.append((batch["doc_id"].iloc[part], ids, lengths))
+                held.append(((batch["doc_id"].iloc[part], batch["no_id"].iloc[part]), ids, lengths))
                 waiting += len(ids)
                 if waiting >= CHUNK:
                     yield chunk()
         if held:
             yield chunk()
 
-    ordered.mapInPandas(run, CHUNKS).write.option("compression", "uncompressed").parquet(path)
+    ordered.select(*whole_id("doc_id"), "text").mapInPandas(run, CHUNKS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_store(spark, path: str) -> DataFrame:
@@ -238,21 +238,23 @@ def read_documents(spark, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard, first, names, payload in zip(batch["shard"], batch["first"], batch["doc_ids"], batch["payload"]):
+            for shard, first, names, none, payload in zip(batch["shard"], batch["first"], batch["doc_ids"], batch["no_ids"], batch["payload"]):
                 values, lengths = from_payload(payload)
                 ids = values.astype("<u4")
                 begins = starts_of(lengths)
                 parts = [ids[a : a + n].tobytes() for a, n in zip(begins.tolist(), lengths.tolist())]
                 made = {
                     "shard": np.full(len(lengths), shard, np.int32),
-                    "doc_id": pd.array([None if x is None or pd.isna(x) else int(x) for x in names], "Int64"),
+                    "doc_id": nullable(names, none),
                     "within": first + begins,
                     "n_tokens": lengths,
                     "ids_crc32": [zlib.crc32(p) for p in parts],
                 }
                 yield pd.DataFrame(made | ({"ids": parts} if with_ids else {}))
 
-    rows = chunks.select("shard", "first", "doc_ids", "payload").mapInPandas(run, schema)
+    ids = F.transform("doc_ids", lambda x: F.coalesce(x, F.lit(0).cast("long"))).alias("doc_ids")
+    none = F.transform("doc_ids", lambda x: x.isNull()).alias("no_ids")
+    rows = chunks.select("shard", "first", ids, none, "payload").mapInPandas(run, schema)
     return rows.join(shard_starts(chunks), "shard").select(
         "doc_id",
         (F.col("before") + F.col("within")).alias("start"),
