@@ -64,6 +64,23 @@ def reader_favorites(favorites: DataFrame, books: DataFrame) -> DataFrame:
     return favorites.join(ready(books), "book_id", "inner")
 
 
+def reader_catalog(asked: DataFrame, books: DataFrame, favorites: DataFrame, rule: str, locator: str) -> DataFrame:
+    """Catalog rows of many readers at once: one for each distinct (user_id, book_id) that is ready.
+
+    ``favorites`` are everybody's (user_id, book_id); the flag says whether the book is among the
+    reader's own. Each reader's pair meets its own favorite, so no reader sees another's.
+    """
+    pairs = asked.select("user_id", "book_id").distinct()
+    marks = favorites.select("user_id", "book_id").distinct().withColumn("is_favorite", F.lit(True))
+    flagged = pairs.join(marks, ["user_id", "book_id"], "left").withColumn("is_favorite", F.coalesce("is_favorite", F.lit(False)))
+    return flagged.join(with_version(ready(books), rule, locator), "book_id", "inner")
+
+
+def reader_favorite_catalog(books: DataFrame, favorites: DataFrame, rule: str, locator: str) -> DataFrame:
+    """The catalogs of all readers who ask for their favorites only."""
+    return reader_catalog(favorites, books, favorites, rule, locator)
+
+
 def sorted_catalog(books: DataFrame, sort_by: str | None = None) -> DataFrame:
     """By title ignoring case, else newest update first; the book id breaks ties."""
     if (sort_by or "").lower() == "title":

@@ -40,6 +40,31 @@ def catalog_rows(v: Views):
     return catalog.catalog(v.book, own(v), CURRENT_RULE, CURRENT_LOCATOR).drop("language", "uploaded_by")
 
 
+# Readers open the books of their orders and the ones next to them.
+OPENED = """SELECT DISTINCT o_custkey AS user_id, l_partkey - l_partkey % 3 + 1 AS book_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
+READER_ROW = f"""SELECT o.user_id, b.book_id, title, author, language, normalization_status, analysis_status, rule_version, locator_version, run_id,
+         artifact_path, is_default, summary, updated_at, {VERSION} AS version_status, {VERSION} = 'OUTDATED' AS needs_renormalization,
+         f.user_id IS NOT NULL AS is_favorite
+       FROM opened o JOIN book b ON b.book_id = o.book_id AND normalization_status = 'READY'
+       LEFT JOIN favorite f ON f.user_id = o.user_id AND f.book_id = o.book_id"""
+
+
+@query("prj_1_reader_catalog", READER_ROW, opened=OPENED)
+def _(v: Views):
+    lines = v.table("lineitem").selectExpr("l_orderkey AS o_orderkey", "l_partkey - l_partkey % 3 + 1 AS book_id")
+    opened = v.table("orders").selectExpr("o_orderkey", "o_custkey AS user_id").join(lines, "o_orderkey", "inner")
+    return catalog.reader_catalog(opened, v.book, v.favorite, CURRENT_RULE, CURRENT_LOCATOR).drop("uploaded_by")
+
+
+@query(
+    "flt_4_favorites_of_each_reader",
+    """SELECT f.user_id, b.book_id, title, updated_at FROM favorite f JOIN book b ON b.book_id = f.book_id AND normalization_status = 'READY'""",
+)
+def _(v: Views):
+    rows = catalog.reader_favorite_catalog(v.book, v.favorite, CURRENT_RULE, CURRENT_LOCATOR)
+    return rows.filter("is_favorite").select("user_id", "book_id", "title", "updated_at")
+
+
 @query(
     "prj_6_manifest_chapters",
     """SELECT c.chapter_id, c.title, count(v.id) AS events, string_agg(v.event_id, '|' ORDER BY v.idx) AS event_ids,
