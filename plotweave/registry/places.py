@@ -102,11 +102,16 @@ def _(v: Views):
 
 BLOCK_START = """SELECT chapter_id, block_idx, length, CAST(coalesce(sum(length) OVER (PARTITION BY chapter_id ORDER BY block_idx
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM block"""
-OFFSETS = """SELECT DISTINCT e.user_id % 120 AS chapter_id, CAST(e.k * 13 + e.event_id % 11 AS BIGINT) AS at FROM activity e"""
+# Every chapter is asked along its whole length: near the begin, the middle and the end of its blocks, and past its end.
+OFFSETS = """SELECT DISTINCT chapter_id, CAST(length * (block_idx + 1) - part * length // 2 AS BIGINT) AS at FROM block, (VALUES (0), (1), (2)) parts(part)
+    WHERE length IS NOT NULL"""
 
 
 def offsets(v: Views):
-    return v.activity.selectExpr("user_id % 120 AS chapter_id", "bigint(k * 13 + event_id % 11) AS at").distinct()
+    parts = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    return v.block.filter("length IS NOT NULL").withColumn("part", parts).selectExpr(
+        "chapter_id", "bigint(length * (block_idx + 1) - part * length div 2) AS at"
+    ).distinct()
 
 
 @query("wn_7_block_start", "SELECT chapter_id, block_idx, length, start FROM block_start", block_start=BLOCK_START)
