@@ -317,6 +317,11 @@ def archive_rows(v: Views):
     return cut(archive.read_archives(archives_from_documents(v.table("documents"))))
 
 
+def of_normalized(rows, found):
+    """What was found in archives that report no failure."""
+    return found.join(archive.part(rows, "failure").select("book_id"), "book_id", "left_anti")
+
+
 @query(
     "src_6_archive_scan",
     f"""SELECT book_id, doc_id, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS code_points FROM archive_block
@@ -408,9 +413,9 @@ def _(v: Views):
     f"SELECT DISTINCT doc_id // 5 AS book_id, doc_id FROM documents WHERE {GOOD.replace('book_id', '(doc_id // 5)')}",
 )
 def _(v: Views):
-    docs = archive.part(archive.read_archives(archives_from_documents(v.table("documents"))), "doc").filter("in_spine")
-    rows = docs.select("book_id", F.regexp_extract("doc_href", r"d(\d+)", 1).cast("bigint").alias("doc_id"))
-    return rows.filter(GOOD)
+    rows = archive_rows(v)
+    docs = of_normalized(rows, archive.part(rows, "doc").filter("in_spine"))
+    return docs.select("book_id", F.regexp_extract("doc_href", r"d(\d+)", 1).cast("bigint").alias("doc_id"))
 
 
 @query(
@@ -453,8 +458,8 @@ def _(v: Views):
        FROM (SELECT DISTINCT doc_id // 5 AS book_id FROM documents) WHERE {GOOD}""",
 )
 def _(v: Views):
-    rows = archive.read_archives(archives_from_documents(v.table("documents")))
-    return corpus.book_metadata(archive.part(rows, "meta")).filter(GOOD)
+    rows = archive_rows(v)
+    return corpus.book_metadata(of_normalized(rows, archive.part(rows, "meta")))
 
 
 @query(
