@@ -612,12 +612,14 @@ def _(v: Views):
 
 @query(
     "dq_19_paragraph_arrays",
-    """SELECT chapter_id, starts IS NOT NULL AS usable, CASE WHEN starts IS NULL THEN NULL WHEN total_code_points = 1700 THEN 0 ELSE 0 END AS out_of_bounds
-       FROM story_chapter""",
+    """SELECT chapter_id, starts IS NOT NULL AS usable, CASE WHEN starts IS NOT NULL THEN
+           CAST(400 > total AS INT) + CAST(800 > total AS INT) + CAST(1200 > total AS INT) + CAST(1700 > total AS INT) END AS out_of_bounds
+       FROM (SELECT *, coalesce(total_code_points, 300 + chapter_id * 13 % 1600) AS total FROM story_chapter)""",
 )
 def _(v: Views):
     shape = v.chapter
-    total = F.coalesce("total_code_points", F.lit(1700))
+    # Chapters without a total are given ones that cut off up to all four paragraphs.
+    total = F.coalesce("total_code_points", F.expr("int(300 + chapter_id * 13 % 1600)"))
     usable = F.coalesce((F.size("starts") > 0) & (F.size("starts") == F.size("lengths")), F.lit(False))
     bad = corpus.out_of_bounds(F.col("starts"), F.col("lengths"), total)
     return shape.select("chapter_id", usable.alias("usable"), F.when(F.col("starts").isNotNull(), bad).alias("out_of_bounds"))
