@@ -162,12 +162,15 @@ def _(v: Views):
 COMPLETE = """SELECT b.book_id, coalesce(b.normalization_status = 'READY' AND b.book_id IN (SELECT book_id FROM story_character)
     AND b.book_id IN (SELECT book_id FROM story_event) AND coalesce(h.ok, false)
     AND (b.book_id IN (SELECT book_id FROM story_edge) OR b.book_id IN (SELECT book_id FROM story_stat)), false) AS complete
-    FROM book b LEFT JOIN (SELECT book_id, bool_and(chapter_id % 16 >= 8 OR chapter_id IN (SELECT chapter_id FROM story_summary)) AS ok FROM story_chapter GROUP BY 1) h USING (book_id)"""
+    FROM book b LEFT JOIN (SELECT book_id, bool_and((book_id % 3 <> 1 OR summarized) AND (chapter_id % 16 >= 8 OR chapter_id IN (SELECT chapter_id FROM story_summary))) AS ok FROM story_chapter GROUP BY 1) h USING (book_id)"""
 
 
 def completeness(v: Views):
-    """Summaries are thin in the tables, so half of the books get one for every chapter."""
-    chapters = v.chapter.withColumn("summarized", F.lit(True))
+    """Summaries are thin in the tables, so half of the books get one for every chapter.
+
+    One book in three keeps the flags of its chapters; the others count as summarized.
+    """
+    chapters = v.chapter.withColumn("summarized", (F.col("book_id") % 3 != 1) | F.col("summarized"))
     extra = v.chapter.filter("chapter_id % 16 >= 8").select("book_id", "chapter_id")
     summaries = v.summary.select("book_id", "chapter_id").unionByName(extra)
     return state.analysis_complete(v.book, v.character, v.event, chapters, summaries, v.edge, v.stat)
