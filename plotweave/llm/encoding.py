@@ -3,7 +3,8 @@
 Words repeat, so most of a tokenizer's work is the same again. Where the tokenizer's own
 splitting rule never lets a token cross a space that a non-space follows, a text may be cut
 there, the chunks looked up, and only new ones encoded. Any other tokenizer encodes whole
-texts.
+texts, and so does every tokenizer where a text holds the string of an added token, which
+becomes that token's id by the file's own rules.
 """
 
 from __future__ import annotations
@@ -75,7 +76,11 @@ class Encoder:
         # One task has one core; the library's own threads would take those of other tasks.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # Whatever the case, as some files look for added tokens in the normalized text.
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        # What all of them begin with, up to the first letter: most texts do not hold it.
+        self.sign = re.match(r"[!-/:-@\[-`{-~]*", os.path.commonprefix(added))[0]
         self.by_chunk = _cuts_at_spaces(self.tokenizer)
         self.known_chunks = known_chunks or _KNOWN_CHUNKS
         self.for_words = _for_words(path) if self.by_chunk else None
@@ -176,7 +181,10 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         if self.by_chunk:
             # The first chunk of a text stands alone; all others keep the space before them.
+            alone = [i for i, t in enumerate(texts) if self.added and self.sign in t and self.added.search(t)]
             cut = [self._cut(t) for t in texts]
+            for i in alone:
+                cut[i] = [""]
             heads = [c[0] for c in cut]
             for c in cut:
                 del c[0]
@@ -189,8 +197,13 @@ class Encoder:
             made = [first(h) + b"".join(map(rest, c)) + self.end for h, c in zip(heads, cut)]
             for known, chunk in long:
                 del known[chunk]
+            for i in alone:
+                made[i] = self._whole([texts[i]])[0]
             self._forget()
             return made
+        return self._whole(texts)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() + self.end for e in found]
 

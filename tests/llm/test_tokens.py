@@ -21,13 +21,13 @@ ROWS = [
     (7, "same row", "y", "z"),
     (7, "same row", "y", "z"),
     (3, " lead %%% 123 été*** <|endoftext|> ñandú 日本 🙂 " * 700, "y", "z"),
+    (6, "a <|endoftext|> b<|startoftext|><|ENDOFTEXT|> <|end of|>", "y", "z"),
     (4, "tail   \t spaces\x1c odd\u0085 ones ", "y", "z"),
 ]
 
 
 def plain(name, end):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
@@ -47,6 +47,13 @@ def test_encoder_is_the_tokenizer(name, monkeypatch):
         assert len(known) <= 500 and all(len(c) <= encoding._KEPT_LENGTH for c in known)
 
 
+def test_strings_of_added_tokens_become_their_ids():
+    word, byte = (encoding.Encoder(public_tokenizers.path(n), 7) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    assert word.encode(["a <|endoftext|> b"])[0].tolist() == [320, 49407, 321, 7]
+    assert byte.encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275, 7]
+    assert byte.encode(["<|", "<|endoftext|>", "", "a"])[1].tolist() == [2 + (byte.encode(["<|"])[1][0] == 3), 2, 1, 2]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 60), st.integers(0, 2**16), st.integers(0, 2**64 - 1)), max_size=300), st.sampled_from([1, 7, 64, 1024]))
 def test_simple8b_round_trip(values, block):
@@ -75,7 +82,7 @@ def stored_rows(spark, docs):
 def test_store(spark, frame):
     want = plain("word_bpe_49k.json", 2)
     rows = sorted(stored_rows(spark, frame(ROWS, DOCS)), key=lambda r: r.start)
-    assert [r.doc_id for r in rows] == [None, 2, 3, 4, 5, 7, 7, 9]
+    assert [r.doc_id for r in rows] == [None, 2, 3, 4, 5, 6, 7, 7, 9]
     texts = {r[0]: r[1] for r in ROWS}
     at = 0
     for row in rows:
