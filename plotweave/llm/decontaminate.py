@@ -35,7 +35,8 @@ from plotweave.llm.words import Words, run_hashes
 
 @dataclass(frozen=True)
 class Settings:
-    """``stretch`` bounds the words of one stretch; longer ones are cut with an overlap of a seed."""
+    """``stretch`` bounds the words of one stretch as it is stored and joined; longer ones are cut with
+    an overlap of a seed less a word, and a tiling puts its neighbours together again."""
 
     seed: int = 5
     least: float = 0.5
@@ -174,6 +175,24 @@ def tiles(texts: list[np.ndarray], item: np.ndarray, shortest: int) -> list[tupl
     return out
 
 
+def _rejoined(found: list[dict]) -> list[tuple[int, np.ndarray]]:
+    """(place, words) of stretches in order, those that were cut from one put together again.
+
+    Only cut stretches overlap. A match over a cut holds a whole seed on both sides or lies
+    within one side, so both sides are there whenever a match needs them.
+    """
+    out: list[tuple[int, list[np.ndarray]]] = []
+    end = -1
+    for one in found:
+        at, words = one["at"], np.asarray(one["stretch"], np.int64).view(np.uint64)
+        if at < end:
+            out[-1][1].append(words[end - at :])
+        else:
+            out.append((at, [words]))
+        end = at + len(words)
+    return [(at, np.concatenate(parts)) for at, parts in out]
+
+
 def matches(
     rows: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), item_id_column: str = "item_id", item_text_column: str = "text"
 ) -> DataFrame:
@@ -223,10 +242,10 @@ def matches(
         for batch in batches:
             out = []
             for place, words, found in zip(batch["place"], batch["item_words"], batch["stretches"]):
-                texts = [np.asarray(s["stretch"], np.int64).view(np.uint64) for s in found]
+                texts = _rejoined(found)
                 item = np.asarray(words, np.int64).view(np.uint64)
-                taken = tiles(texts, item, settings.seed)
-                out.append((place, len(item), sum(t[3] for t in taken), [(found[w]["at"] + a, p, n) for w, a, p, n in taken]))
+                taken = tiles([t for _, t in texts], item, settings.seed)
+                out.append((place, len(item), sum(t[3] for t in taken), [(texts[w][0] + a, p, n) for w, a, p, n in taken]))
             made = pd.DataFrame(out, columns=["place", "item_words", "covered", "tiles"])
             made.insert(1, "item_id", nullable(batch["item_id"], batch["no_id"]))
             made["tiles"] = [[{"at": a, "item_at": p, "words": n} for a, p, n in t] for t in made["tiles"]]

@@ -110,12 +110,18 @@ def test_leaks(frame):
     assert decontaminate.judged(docs, benchmark.filter("item_id > 99")).filter("contaminated").count() == 0
 
 
-def test_stretches_are_cut_with_overlap(frame):
-    one = passage(1, 300)
-    docs = frame([(1, " ".join(one), "", "", 0.0, 1)], DOCS)
-    benchmark = frame([(1, " ".join(one))], "item_id long, text string")
-    found = decontaminate.judged(docs, benchmark, decontaminate.Settings(stretch=16)).collect()
-    assert found[0].contaminated
+@pytest.mark.parametrize("stretch", [5, 16, 17, 4096])
+def test_cut_stretches_lose_no_coverage(frame, stretch):
+    one, two, other = passage(1, 300), passage(2, 40), passage(3, 30)
+    texts = {1: one, 2: other + two + one[:150] + two[7:20] + one[140:], 3: one[:9] + other + one[5:33]}
+    rows = frame([(i, " ".join(t)) for i, t in texts.items()], "place long, text string")
+    items = {1: one, 2: two}
+    benchmark = frame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    found = decontaminate.matches(rows, benchmark, decontaminate.Settings(stretch=stretch)).collect()
+    assert {(r.place, r.item_id): r.covered for r in found} == {
+        (i, k): n for i, t in texts.items() for k, item in items.items() if (n := brute_tiles(t, item, 5))
+    }
+    assert [(len(r.tiles), r.covered) for r in found if (r.place, r.item_id) == (1, 1)] == [(1, 300)]
 
 
 def unigram(pieces, has_bytes=True):
