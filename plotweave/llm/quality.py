@@ -7,14 +7,17 @@ compressed text, and the ratio of compression without a dictionary are calibrate
 curve that is fitted to labelled rows the dictionaries have not seen.
 
 The fit takes at most ``per_class`` labelled documents of each kind for the dictionaries and as
-many others for the curve, those whose ids have the smallest hashes; from the former at most
-``per_class`` pieces of ``piece`` bytes, from the latter the first ``fit_bytes`` each. That
-bound, a parameter, keeps the driver's share fixed. Scoring reads every whole text.
+many others for the curve, those whose ids have the smallest hashes. From the former the trainer gets
+at most ``samples_per_class`` pieces of ``sample`` bytes, those with the smallest hashes. The curve
+is fitted to the whole texts of the latter: tasks compress them, and three numbers a document
+reach the driver. Both bounds are parameters and keep the driver's share fixed. A dictionary has
+``dictionary`` bytes, or an eighth of its samples where they are fewer, as its trainer advises.
+Scoring reads every whole text.
 
 Defined results: a null or empty text gets the score of an empty text, which is the constant
 of the curve; labels that are null or neither 0 nor 1 are not used; of several labels of one
-document each counts; without labels of both kinds the fit raises ValueError; an empty
-table has no scores; other columns are kept as they are by `good_documents`.
+document each counts; without labels of both kinds, or with fewer than ``LEAST_SAMPLES`` pieces of
+text of a kind, the fit raises ValueError; an empty table has no scores; other columns are kept as they are by `good_documents`.
 """
 
 from __future__ import annotations
@@ -38,7 +41,12 @@ class Settings:
     level: int = 3
     piece: int = 2048
     per_class: int = 2500
-    fit_bytes: int = 16_384
+    sample: int = 512
+    samples_per_class: int = 10_000
+
+
+#: The dictionary trainer refuses fewer samples.
+LEAST_SAMPLES = 7
 
 
 @dataclass(frozen=True)
@@ -114,31 +122,36 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     )
     # At most four times per_class rows of three numbers, so the texts need not move.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_of(), "UTF-8").alias("data")).join(F.broadcast(chosen), "doc_id")
-    size = F.when(F.col("for_curve"), settings.fit_bytes).otherwise(settings.piece)
-    last = F.when(F.col("for_curve"), 0).otherwise(F.floor((F.greatest(F.octet_length("data"), F.lit(1)) - 1) / settings.piece)).cast("int")
-    cut = rows.withColumns({"size": size, "number": F.explode(F.sequence(F.lit(0), last))}).select(
-        "label", "for_curve", F.substring("data", F.col("number") * F.col("size") + 1, F.col("size")).alias("data")
+    held = stored(rows.select("label", "for_curve", "data"), "labelled")
+    last = F.floor((F.octet_length("data") - 1) / settings.sample).cast("int")
+    pieces = (
+        held.filter(~F.col("for_curve") & (F.octet_length("data") > 0))
+        .withColumn("number", F.explode(F.sequence(F.lit(0), last)))
+        .select("label", F.substring("data", F.col("number") * settings.sample + 1, F.lit(settings.sample)).alias("data"))
+        .withColumn("pick", F.xxhash64("data"))
     )
-    held = stored(cut.withColumn("pick", F.xxhash64("data")), "labelled")
-
-    def first(label: int, curve: bool) -> list[bytes]:
-        found = held.filter((F.col("label") == label) & (F.col("for_curve") == F.lit(curve)) & (F.lit(curve) | (F.octet_length("data") > 0)))
-        return [bytes(r[0]) for r in found.orderBy("pick", "data").limit(settings.per_class).select("data").collect()]
 
-    good, bad, good_texts, bad_texts = first(1, False), first(0, False), first(1, True), first(0, True)
-    if not (good and bad and good_texts and bad_texts):
+    def dictionary(label: int) -> bytes:
+        found = pieces.filter(F.col("label") == label).orderBy("pick", "data").limit(settings.samples_per_class)
+        samples = [bytes(r[0]) for r in found.select("data").collect()]
+        if len(samples) < LEAST_SAMPLES:
+            raise ValueError("a fit needs labelled texts of both kinds")
+        size = max(256, min(settings.dictionary, sum(map(len, samples)) // 8))
+        return zstandard.train_dictionary(size, samples, level=settings.level).as_bytes()
+
+    good, bad = dictionary(1), dictionary(0)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = pd.DataFrame(_features(iter(batch["data"]), good, bad, settings), columns=["a", "b", "c"])
+            yield made.assign(label=batch["label"])
+
+    seen = held.filter("for_curve").select("label", "data").mapInPandas(measure, "a double, b double, c double, label int")
+    # In one order, so that the sums of the fit do not depend on which task ends first.
+    found = np.array(sorted(tuple(r) for r in seen.collect()), float).reshape(-1, 4)
+    if len(set(found[:, 3])) < 2:
         raise ValueError("a fit needs labelled texts of both kinds")
-
-    def dictionary(samples: list[bytes]) -> bytes:
-        # The trainer wants several times as much text as dictionary; little text is the dictionary.
-        if sum(map(len, samples)) >= 8 * settings.dictionary and len(samples) >= 64:
-            return zstandard.train_dictionary(settings.dictionary, samples, level=settings.level).as_bytes()
-        return b"".join(samples)[-settings.dictionary :]
-
-    trained = dictionary(good), dictionary(bad)
-    features = _features(iter(good_texts + bad_texts), *trained, settings)
-    labels_of = np.repeat([1.0, 0.0], [len(good_texts), len(bad_texts)])
-    return Model(*trained, _fit_curve(_terms(features), labels_of), settings)
+    return Model(good, bad, _fit_curve(_terms(found[:, :3]), found[:, 3]), settings)
 
 
 def score(model: Model) -> Callable[[Column], Column]:

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from plotweave.llm import chat, decontaminate, quality, queries, viterbi
@@ -43,6 +44,32 @@ def test_quality_of_odd_tables(spark, frame):
         quality.fit(docs, labels.filter("quality = 1"))
 
 
+def test_scores_are_those_of_whole_texts(spark, frame):
+    chosen = np.random.default_rng(5)
+    words = [[f"{c}{w}" for w in ("alder", "brook", "cloud", "drift", "ember", "field")] for c in "xyz"]
+    texts = [(i, " ".join(chosen.choice(words[i % 2], 2000 if i % 7 else 9000)), "", "", 0.0, 1) for i in range(120)]
+    # Bad text far behind a good beginning.
+    texts += [(200 + i, texts[0][1][:17_000] + "\u0000\u0001%$#@!~" * 3000, "", "", 0.0, 1) for i in range(40)]
+    labels = frame([(i, i % 2, 0) for i in range(120)] + [(200 + i, 0, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = frame(texts, DOCS)
+    model = quality.fit(docs, labels)
+    scored = {r[0]: r[1] for r in docs.select("doc_id", quality.score(model)(docs.text)).collect()}
+    terms, good = [], []
+    for doc_id, text, *_ in texts:
+        data = text.encode()
+        pieces = [data[i : i + 2048] for i in range(0, len(data), 2048)]
+        sizes = []
+        for held in (model.good, model.bad, None):
+            extra = {"dict_data": zstandard.ZstdCompressionDict(held), "write_dict_id": False, "level": 3} if held else {"level": 1}
+            compressor = zstandard.ZstdCompressor(write_content_size=False, write_checksum=False, **extra)
+            sizes.append(sum(len(compressor.compress(p)) for p in pieces))
+        a, b, c = sizes
+        terms.append([np.tanh((b - a) / len(data) * 20), np.tanh((b - a) / (a + b) * 10), min(np.log(c / len(data)) + 1, 0), 1])
+        good.append(doc_id % 2 if doc_id < 200 else 0)
+        assert abs(scored[doc_id] - 1 / (1 + np.exp(-np.dot(terms[-1], model.curve)))) < 0.02
+    assert all((scored[i] >= 0.3) == bool(y) for (i, *_), y in zip(texts, good))
+
+
 def brute_tiles(a, b, shortest):
     used_a, used_b, total = [False] * len(a), [False] * len(b), 0
     while True:
