@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,34 +76,48 @@ def conflicts(new: DataFrame, existing: DataFrame, match_chapter: bool = False)
 
     Same point, same range, or overlapping ranges. A point never meets a range.
     Offsets count from the chapter start but chapters are not compared unless asked.
-    Two ranges overlap when one holds the start of the other, so both directions are
-    interval joins; the answer is a flag per row, never the list of pairs.
-    """
-    from plotweave.plans.intervals import stab_min
 
+    One sweep over the places of both tables: up to a place, the last existing point, the
+    furthest end of an existing range and how many of them began. A new range is met when the
+    furthest end at its start lies behind that start, or when more ranges began before its end
+    than up to its start. Equal requests are swept once; the pairs are never listed. Ranges end
+    behind their start, as the field rules ask.
+    """
     keys = READER + (["chapter_idx"] if match_chapter else [])
-    points = existing.filter("end_txt IS NULL").select(*keys, "start_txt").distinct()
-    spans = existing.filter("end_txt IS NOT NULL").withColumn("one", F.lit(1))
-    new_points = new.filter("end_txt IS NULL")
-    new_spans = new.filter("end_txt IS NOT NULL")
-    hit_points = new_points.join(points, [*keys, "start_txt"], "left_semi")
-
-    asked = new_spans.select(*keys, F.col("start_txt").alias("at"))
-    starts_inside = stab_min(asked, spans, keys, "at", "one", "start_txt", "end_txt").withColumnRenamed("at", "start_txt")
-    # The first existing start after the new start lies inside the new range.
-    next_start = _next_start(new_spans, spans, keys)
-    begun = new_spans.join(starts_inside.select(*keys, "start_txt"), [*keys, "start_txt"], "left_semi")
-    holds = new_spans.join(next_start, [*keys, "start_txt"], "inner").filter(F.col("_next") < F.col("end_txt"))
-    hits = hit_points.select("id").unionByName(begun.select("id")).unionByName(holds.select("id"))
-    return new.join(hits.distinct(), "id", "left_semi")
-
-
-def _next_start(new_spans: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
-    from plotweave.plans.scan import as_of
-
-    marks = spans.select(*keys, F.col("start_txt").alias("at"), F.col("start_txt").alias("_next")).distinct()
-    asked = new_spans.select(*keys, F.col("start_txt").alias("at"))
-    return as_of(asked, marks, keys, "at", "_next", reverse=True).withColumnRenamed("at", "start_txt")
+    place = [*keys, "start_txt", "end_txt"]
+    swept = (
+        existing.select(*place, F.lit(True).alias("_held"))
+        .unionByName(new.select(*place, F.lit(False).alias("_held")))
+        .groupBy(*place)
+        .agg(F.bool_or("_held").alias("_held"), F.bool_or(~F.col("_held")).alias("_asked"))
+    )
+    start, end = F.col("start_txt"), F.col("end_txt")
+    # At one place: ends of new ranges, then what exists, then starts of new ones.
+    marks = F.array(
+        F.when(F.col("_asked") & end.isNotNull(), F.struct(end.alias("at"), F.lit(0).alias("step"))),
+        F.when(F.col("_held"), F.struct(start.alias("at"), F.lit(1).alias("step"))),
+        F.when(F.col("_asked"), F.struct(start.alias("at"), F.lit(2).alias("step"))),
+    )
+    rows = swept.select(*place, F.explode(F.array_compact(marks)).alias("_m")).select(*place, "_m.at", "_m.step")
+    is_held = F.col("step") == 1
+    scanned = prefix_scan(
+        rows.withColumn("_slice", slice_of(F.col("at"))),
+        keys,
+        ["_slice"],
+        ["at", "step"],
+        {
+            "_point": ("max", F.when(is_held & end.isNull(), start)),
+            "_reach": ("max", F.when(is_held, end)),
+            "_begun": ("sum", F.when(is_held & end.isNotNull(), 1).otherwise(0)),
+        },
+    )
+    met = scanned.filter("step <> 1").groupBy(*place).agg(
+        F.max(F.when(F.col("step") == 2, F.when(end.isNull(), F.col("_point") == start).otherwise(F.col("_reach") > start))).alias("_now"),
+        (F.max(F.when(F.col("step") == 0, F.col("_begun"))) > F.max(F.when(F.col("step") == 2, F.col("_begun")))).alias("_later"),
+    )
+    hits = met.filter("_now OR _later").select(*[F.col(c).alias(f"_{c}_") for c in place])
+    same = [new[c].eqNullSafe(hits[f"_{c}_"]) if c == "end_txt" else new[c] == hits[f"_{c}_"] for c in place]
+    return new.join(hits, reduce(and_, same), "left_semi")
 
 
 def accept_bookmarks(requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:

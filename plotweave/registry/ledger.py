@@ -78,9 +78,22 @@ def bookmark_overlap(v: Views):
     return state.conflicts(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0")).select("id")
 
 
-@query("mu_3_bookmark_accept")
+@query(
+    "mu_3_bookmark_accept",
+    "SELECT id, user_id, book_id, start_txt, end_txt FROM bookmark WHERE id IN (SELECT id FROM walk WHERE id IS NOT NULL)",
+    request="SELECT *, row_number() OVER (PARTITION BY user_id, book_id ORDER BY id) AS k FROM bookmark",
+    walk="""WITH RECURSIVE step AS (
+        SELECT DISTINCT user_id, book_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS held, CAST(NULL AS BIGINT) AS id FROM bookmark
+        UNION ALL
+        SELECT user_id, book_id, k, CASE WHEN free THEN list_append(held, {'s': s, 'e': e}) ELSE held END, CASE WHEN free THEN id END FROM (
+          SELECT r.user_id, r.book_id, r.k, r.id, CAST(r.start_txt AS BIGINT) AS s, CAST(r.end_txt AS BIGINT) AS e, w.held,
+            len(list_filter(w.held, lambda x: CASE WHEN x.e IS NULL OR r.end_txt IS NULL THEN x.e IS NULL AND r.end_txt IS NULL AND x.s = r.start_txt
+              ELSE x.s < r.end_txt AND x.e > r.start_txt OR x.s = r.start_txt AND x.e = r.end_txt END)) = 0 AS free
+          FROM step w JOIN request r ON r.user_id = w.user_id AND r.book_id = w.book_id AND r.k = w.k + 1))
+      SELECT id FROM step""",
+)
 def accept_bookmarks(v: Views):
-    """Arrival order decides, so SQL would need a recursive walk; tested against brute force."""
+    """Arrival order decides; SQL walks the requests of each reader and book one after another."""
     rows = v.bookmark.select("id", "user_id", "book_id", "start_txt", "end_txt")
     return state.accept_bookmarks(rows)
 
