@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plotweave.functions import titles
 from plotweave.operators import corpus
 from plotweave.operators.planner import plan_chapters, plan_groups
+from plotweave.registry import planning
 from plotweave.registry.base import query
 from plotweave.session import cut
 from plotweave.sources import archive
@@ -60,6 +61,23 @@ ACT_GROUP = f"""SELECT *, CAST(sum(CASE WHEN act = prev THEN 0 ELSE 1 END) OVER
       (SELECT *, CASE WHEN role = 'SCENE' THEN ({ACT_LIST})[sample + 1] END AS act, ({PARENT_LIST})[sample + 1] AS parent FROM unit_kept))"""
 
 
+def _above(prefix: str) -> str:
+    """Per sample, the nearest title above it that starts with ``prefix``."""
+    found = [next((p for p in reversed(path) if p.lower().startswith(prefix)), None) for _, path, _ in SAMPLES]
+    return "[" + ", ".join(f"'{p}'" if p else "NULL" for p in found) + "]"
+
+
+PLAN = dict(
+    unit=UNIT,
+    unit_kept=UNIT_KEPT,
+    act_group=ACT_GROUP,
+    act_unit=f"""SELECT book_id, unit_no, size, title, role, parent, group_no, act AS promoted,
+        CASE WHEN act IS NULL THEN 'KEEP_AS_IS' ELSE 'PROMOTE_SCENE_TO_ACT' END AS reason,
+        ({_above("")})[sample + 1] AS direct, ({_above("act ")})[sample + 1] AS act_key, ({_above("book ")})[sample + 1] AS book_key FROM act_group""",
+    **planning.steps("act_unit"),
+)
+
+
 def units(v: Views):
     def pick(values):
         return F.get(F.array(*values), F.col("sample"))
@@ -189,12 +207,12 @@ def _(v: Views):
     return plan_groups(units(v), steps=("pair",)).select("book_id", "unit_no", "group_no")
 
 
-@query("nm_10_bundled_groups")
+@query("nm_10_bundled_groups", "SELECT book_id, unit_no, CAST(group_no AS INT) AS group_no, reason FROM bundled", **PLAN)
 def _(v: Views):
     return plan_groups(units(v), steps=("pair", "bundle")).select("book_id", "unit_no", "group_no", "reason")
 
 
-@query("nm_11_split_large_groups")
+@query("nm_11_split_large_groups", "SELECT book_id, unit_no, CAST(group_no AS INT) AS group_no, reason FROM planned", **PLAN)
 def _(v: Views):
     return plan_groups(units(v)).select("book_id", "unit_no", "group_no", "reason")
 
@@ -234,7 +252,7 @@ def _(v: Views):
     return corpus.cap_groups(grouped).select("book_id", "unit_no", "chapter_idx")
 
 
-@query("nm_13_chapter_titles")
+@query("nm_13_chapter_titles", "SELECT * FROM chapter_plan", **PLAN, chapter_plan=planning.CHAPTER)
 def _(v: Views):
     return corpus.chapter_plans(plan_chapters(units(v))).select(
         "book_id", "chapter_idx", "title", "role", "reason", "units", "size"
