@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,21 @@ def nullable(ids: Iterable[int], none: Iterable[bool]) -> pd.arrays.IntegerArray
     return pd.arrays.IntegerArray(np.array(ids, np.int64), np.array(none, bool))
 
 
+def returned(batches: Iterator) -> Iterator:
+    """The batches of a task; what was freed since the last one goes back to the system.
+
+    A Python worker serves many tasks. Arrow and the C library would keep freed memory for
+    later ones, about as much again as a task needs, while the executor's heap grows.
+    """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a number for each row, so that repeated rows can be told apart; stored.
 

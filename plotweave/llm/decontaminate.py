@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import nullable, numbered, stored, text_of, unused, whole_id, without_places
+from plotweave.llm.common import nullable, numbered, returned, stored, text_of, unused, whole_id, without_places
 from plotweave.llm.ragged import portions, starts_of
 from plotweave.llm.words import Words, run_hashes
 
@@ -50,7 +50,7 @@ def _items(benchmark: DataFrame, settings: Settings, id_column: str, text_column
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Words()
-        for batch in batches:
+        for batch in returned(batches):
             words, counts = reader.hashes(batch["text"].tolist())
             seeds, n = run_hashes(words, counts, settings.seed)
             split = [np.split(x.view(np.int64), np.cumsum(k)[:-1]) for x, k in ((words, counts), (seeds, n))]
@@ -203,7 +203,7 @@ def matches(
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Words()
-        for batch in batches:
+        for batch in returned(batches):
             texts = batch["text"].tolist()
             places = batch["place"].to_numpy()
             for part in portions(map(len, texts), 200_000):
@@ -239,7 +239,7 @@ def matches(
     )
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in returned(batches):
             out = []
             for place, words, found in zip(batch["place"], batch["item_words"], batch["stretches"]):
                 texts = _rejoined(found)

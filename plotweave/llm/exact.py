@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import numbered, stored, text_of, unused, without_places
+from plotweave.llm.common import numbered, returned, stored, text_of, unused, without_places
 
 #: Smallest (is null, doc_id, place) first.
 Owner = tuple[bool, int, int]
@@ -172,7 +172,7 @@ def _owners(keyed_rows: DataFrame, most_bytes: int = 48_000_000) -> DataFrame:
 
     def locally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie()
-        for batch in batches:
+        for batch in returned(batches):
             for key, owner, copies in _entries(batch):
                 trie.insert(bytes(key), owner, copies)
                 if trie.size > most_bytes:
@@ -182,7 +182,7 @@ def _owners(keyed_rows: DataFrame, most_bytes: int = 48_000_000) -> DataFrame:
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie, now = Trie(), None
         done: list = []
-        for batch in batches:
+        for batch in returned(batches):
             for place, (key, owner, copies) in zip(zip(batch["n_bytes"].tolist(), batch["sha256"]), _entries(batch)):
                 if place != now:
                     done += [(place_of_text, *t[1:]) for place_of_text, t in _closed(now, trie)]

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import nullable, numbered, stored, text_of, unused, whole_id, without_places
+from plotweave.llm.common import nullable, numbered, returned, stored, text_of, unused, whole_id, without_places
 from plotweave.llm.ragged import mixed, portions, starts_of, sums
 from plotweave.llm.words import Words, run_hashes
 
@@ -142,7 +142,7 @@ def fingerprints(rows: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Words()
-        for batch in batches:
+        for batch in returned(batches):
             texts = batch["text"].tolist()
             for part in portions(map(len, texts), 200_000):
                 words, counts = reader.hashes(texts[part])
@@ -173,7 +173,7 @@ def bags(rows: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Words()
-        for batch in batches:
+        for batch in returned(batches):
             texts = batch["text"].tolist()
             for part in portions(map(len, texts), 200_000):
                 words, counts = reader.hashes(texts[part])

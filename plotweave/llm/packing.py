@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import nullable, text_of, whole_id
+from plotweave.llm.common import nullable, returned, text_of, whole_id
 from plotweave.llm.encoding import encoder
 from plotweave.llm.ragged import portions, starts_of
 
@@ -196,7 +196,7 @@ def pack(
             out.clear()
             return made
 
-        for batch in batches:
+        for batch in returned(batches):
             texts = batch["text"].tolist()
             for part in portions(map(len, texts), 300_000):
                 ids, lengths = encode(texts[part])

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import stored, text_of, unused
+from plotweave.llm.common import returned, stored, text_of, unused
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     good, bad = dictionary(1), dictionary(0)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in returned(batches):
             made = pd.DataFrame(_features(iter(batch["data"]), good, bad, settings), columns=["a", "b", "c"])
             yield made.assign(label=batch["label"])
 
@@ -158,7 +158,7 @@ def score(model: Model) -> Callable[[Column], Column]:
     """A column function: the score of a text column."""
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
+        for series in returned(texts):
             features = _features((t.encode() for t in series), model.good, model.bad, model.settings)
             yield pd.Series(1 / (1 + np.exp(-np.clip(_terms(features) @ np.array(model.curve), -35, 35))))
 
