@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plotweave.operators import images, state
-from plotweave.plans.intervals import stab, stab_min
+from plotweave.plans.intervals import stab, stab_blocks, stab_min, with_blocks
 from plotweave.plans.nest import nested
 from plotweave.plans.pick import earliest, latest, top_per_key
 from plotweave.plans.scan import as_of, prefix_scan, slice_of
@@ -87,6 +87,27 @@ def test_stab_at_powers_of_two(spark, power):
     assert got == want
 
 
+@pytest.mark.parametrize("bits", [0, 2, 8, 20])
+def test_blocks_find_what_stab_finds(spark, bits):
+    rnd = random.Random(bits)
+    spans = [(n, n % 3, s, s + rnd.choice([0, 1, 2, 7, 64, 500, 2**40])) for n in range(150) for s in [rnd.randint(-20, 1100)]]
+    asks = sorted({(rnd.randint(0, 2), rnd.choice([0, 1, 3, 4, 255, 256, 1023, 1024, rnd.randint(-5, 1100)])) for _ in range(120)})
+    left = spark.createDataFrame(asks, "k int, at int")
+    right = spark.createDataFrame([*spans, (900, 0, None, 5), (901, 0, 1, None), (902, 0, 9, 3)], "n int, k int, start long, end long")
+    found = stab_blocks(left, right, ["k"], "at", bits=bits)
+    assert found.columns == stab(left, right, ["k"], "at").columns
+    got = sorted((r.k, r["at"], r.n, r.start, r.end) for r in found.collect())
+    assert got == sorted((k, at, n, s, e) for k, at in asks if at >= 0 for n, key, s, e in spans if key == k and s <= at < e)
+
+
+def test_short_keys_move_each_interval_once(spark):
+    """A state that held from one event to another of a short book was cut into up to a dozen rows."""
+    states = spark.createDataFrame([(0, n, 2**40 if n % 2 else n + 60) for n in range(1, 129)], "k int, start long, end long")
+    assert with_blocks(states, "start", "end", F.lit(128).cast("long"), 8).count() == 128
+    # In a long book: the blocks at its ends and a few tiles.
+    assert with_blocks(states, "start", "end", F.lit(2**20).cast("long"), 8).count() < 64 + 64 * 16
+
+
 def test_picks(skewed):
     rows = skewed.collect()
     last = {r.k: r["at"] for r in latest(skewed, ["k"], ["at"]).collect()}
