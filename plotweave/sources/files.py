@@ -14,18 +14,26 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from itertools import batched
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from plotweave.session import cut
+
 
 _MOVERS = 32
+#: Moves that the driver has in hand at a time.
+_PORTION = 1024
+#: Bytes of contents that a reading task has in hand at a time, unless one file is larger.
+_READ = 8 << 20
 
 
 def _opened(target: str) -> tuple[pafs.FileSystem, str]:
@@ -90,8 +98,9 @@ class _Writer(DataSourceWriter):
             store.move(*pair)
 
         with ThreadPoolExecutor(_MOVERS) as pool:
-            for _ in pool.map(move, self._listed(messages)):
-                pass
+            for portion in batched(self._listed(messages), _PORTION):
+                for _ in pool.map(move, portion):
+                    pass
         self._clear()
 
     def abort(self, messages: list) -> None:
@@ -128,13 +137,60 @@ def write_named(files: DataFrame, folder: str) -> None:
     rows.write.format("named_files").mode("append").save(folder)
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's file readers pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _lister(target: str):
+    """Folders (path) to what stands in them (path, size); a folder has no size."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _opened(target)
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                found = [x for x in store.get_file_info(pafs.FileSelector(f"{root}/{folder}" if folder else root)) if not _hidden(x.base_name)]
+                sizes = [None if x.type == pafs.FileType.Directory else x.size for x in found]
+                paths = [posixpath.join(folder, x.base_name) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    return listed
+
+
+def _reader(target: str):
+    """Files (path) to (path, content)."""
+
+    def batch_of(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary())], ["path", "content"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _opened(target)
+        rows, held = [], 0
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                with store.open_input_stream(f"{root}/{path}") as stream:
+                    rows.append((path, stream.read()))
+                held += len(rows[-1][1])
+                if held >= _READ:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return read
+
+
 def read_named(spark: SparkSession, folder: str) -> DataFrame:
     """All files below ``folder`` as (path, content), paths relative to it; unfinished ones are left out.
 
-    Spark's file readers skip empty files, so those have no row.
+    Tasks list the folders, level by level, and read the files: no list of them passes through the
+    driver. As with Spark's file readers, empty files have no row.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    # What follows the folder's own name, whatever scheme the path is given with.
-    base = folder.split("://", 1)[-1].rstrip("/")
-    relative = F.substring_index(F.col("path"), base + "/", -1)
-    return rows.select(relative.alias("path"), "content").filter(~F.col("path").startswith("_writing/"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, files = spark.createDataFrame([("",)], "path string"), None
+    while files is None or not level.isEmpty():
+        found = cut(level.repartition(parts).mapInArrow(_lister(folder), "path string, size long"))
+        here = found.filter("size > 0").select("path")
+        files = here if files is None else files.unionByName(here)
+        level = found.filter("size IS NULL").select("path")
+    return files.repartition(parts).mapInArrow(_reader(folder), "path string, content binary")

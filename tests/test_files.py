@@ -51,3 +51,30 @@ def test_a_broken_commit_is_taken_back(spark, tmp_path):
     (Path(folder) / messages[0].folder / "0").rename(Path(folder) / "a" / "0")
     writer.abort([*messages, None])
     assert below(folder) == set() and not list(Path(folder).rglob("paths"))
+
+
+def test_moves_are_handed_out_in_portions(tmp_path, monkeypatch):
+    """All names were given to the threads at once, however many files there were."""
+    folder, waiting = tmp_path / "out", []
+    writer = files._Writer(str(folder))
+    message = writer.write(iter([{"path": f"a/{n}", "content": b"x"} for n in range(600)]))
+    listed = writer._listed
+
+    def watched(messages):
+        for taken, pair in enumerate(listed(messages)):
+            waiting.append(taken - (len(list((folder / "a").iterdir())) if (folder / "a").exists() else 0))
+            yield pair
+
+    monkeypatch.setattr(files, "_PORTION", 50)
+    monkeypatch.setattr(writer, "_listed", watched)
+    writer.commit([message])
+    assert len(below(folder)) == 600 and max(waiting) <= 50
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The session's own file index, which lists every file on the driver, takes no part."""
+    rows = [(f"b/{n % 5}/run={n % 3}/{n}.txt", b"%d" % n) for n in range(60)] + [("top.txt", b"t")]
+    files.write_named(spark.createDataFrame([*rows, ("b/_hidden/x", b"x"), ("b/.dot", b"x")], FILE), str(tmp_path / "out"))
+    read = files.read_named(spark, f"file://{tmp_path}/out")
+    assert not any("/out/" in f for f in read.inputFiles())
+    assert {(r.path, bytes(r.content)) for r in read.collect()} == set(rows)
