@@ -32,12 +32,10 @@ def _rejects(*parts: DataFrame) -> DataFrame:
 
 def deltas(uploads: DataFrame, events: DataFrame, characters: DataFrame) -> dict[str, DataFrame]:
     """Relationship deltas: edges and stats of clean uploads, and the events they replace."""
-    # Parsed once; items, weights and headers all read the columns they need from it.
-    parsed = cut(payloads.parse_deltas(uploads)).withColumn(
-        "event_idx", ids.event_idx(F.col("event_ref"), F.col("chapter_idx"))
-    )
+    parsed = payloads.parse_deltas(uploads).withColumn("event_idx", ids.event_idx(F.col("event_ref"), F.col("chapter_idx")))
     known_events = events.select("book_id", "chapter_idx", F.col("idx").alias("event_idx"), F.col("id").alias("event_id"))
-    placed = parsed.join(known_events, ["book_id", "chapter_idx", "event_idx"], "left").withColumn(
+    # Parsed and placed once; items, weights and headers all read the columns they need from it.
+    placed = cut(parsed.join(known_events, ["book_id", "chapter_idx", "event_idx"], "left")).withColumn(
         "event_unknown", F.col("event_id").isNull()
     )
     header = ["upload_id", "book_id", "event_id"]

@@ -63,10 +63,8 @@ def delta_uploads(v: Views):
         .otherwise(C("json")),
     )
     twice = files.withColumn("copy", F.explode(F.when(kind == 10, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    # Uploads arrive as many files; spread them like that.
-    return twice.select(
-        C("event_id").alias("upload_id"), "book_id", F.concat_ws("-", "event_id", "copy").alias("file"), "json"
-    ).repartition("upload_id")
+    # The records are spread by their event, which is the upload, and stay where they are.
+    return twice.select(C("event_id").alias("upload_id"), "book_id", F.concat_ws("-", "event_id", "copy").alias("file"), "json")
 
 
 def deltas(v: Views):
