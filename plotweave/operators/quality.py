@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions import ids
@@ -37,6 +37,18 @@ def flag_duplicates(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     return df.join(marked, list(keys), "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def flag_repeated(df: DataFrame, near: Sequence[str], keys: Sequence[str], flag: str) -> DataFrame:
+    """`flag_duplicates` for rows that are partitioned by ``near`` already: they are counted where they are.
+
+    A key is ``near`` and ``keys`` together; a key with a null in it is never a duplicate.
+    """
+    whole = [*near, *keys]
+    complete = F.lit(True)
+    for name in whole:
+        complete = complete & F.col(name).isNotNull()
+    return df.withColumn(flag, complete & (F.count("*").over(Window.partitionBy(*whole)) > 1))
+
+
 def flag_unknown(df: DataFrame, known: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     """Mark rows whose key is not among ``known``."""
     present = known.select(*keys).distinct().withColumn("_known", F.lit(True))
@@ -72,12 +84,15 @@ def delta_item_rules() -> dict[str, Column]:
         "DQ-4 labels": F.col("labels").isNull()
         | F.exists("labels", lambda x: F.coalesce(optional_text(x).isNull(), F.lit(True))),
         "DQ-5 same character": F.col("from_id") == F.col("to_id"),
-        "DQ-6 edge twice": F.col("edge_twice"),
         "character id": F.col("from_id").isNull() | F.col("to_id").isNull(),
-        "DQ-15 character unknown": F.col("from_unknown") | F.col("to_unknown"),
     }
 
 
+def delta_lookup_rules(unknown: Column) -> dict[str, Column]:
+    """Rules of an item that other rows decide: needs edge_twice."""
+    return {"DQ-6 edge twice": F.col("edge_twice"), "DQ-15 character unknown": unknown}
+
+
 def delta_weight_rules() -> dict[str, Column]:
     return {
         "DQ-7 weight": F.col("missing"),

@@ -33,10 +33,20 @@ PREFIX = {name: "DQ-" + name.split("_")[1] + " " for name in REASONS}
 REJECTED = " UNION ".join(REASONS.values()) + " UNION SELECT id FROM story_event WHERE id % 17 = 9"
 
 
+class EventLines(Views):
+    """The views with the lines of an event side by side."""
+
+    def table(self, name: str):
+        rows = super().table(name)
+        return rows.repartition("l_orderkey") if name == "lineitem" else rows
+
+
 def delta_uploads(v: Views):
     """One payload file per event; every kind of defect occurs in one seventeenth of them."""
     kind = C("event_id") % 17
-    records = graph.delta_records(v.event, v.edge, v.stat)
+    # Lines move to their event once; pairs, characters and records of an event are gathered there.
+    near = EventLines(v.spark, v.folder)
+    records = graph.delta_records(v.event, near.edge, near.stat)
 
     def spoil(x):
         return F.struct(

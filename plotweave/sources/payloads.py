@@ -38,9 +38,11 @@ def _parsed(uploads: DataFrame, schema: str, column: str = "json", skip_empty: b
     With ``skip_empty`` a file without a single character is left out, as an upload does.
     """
     p = F.from_json(column, f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
-    given = uploads.filter(F.length(column) > 0) if skip_empty else uploads
+    if skip_empty:
+        # Said by the generator: as a filter it would move below the parsing and write every text twice.
+        p = F.explode(F.when(F.length(column) > 0, F.array(p)))
     return (
-        given.withColumn("_p", p)
+        uploads.withColumn("_p", p)
         .withColumn("malformed", F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull())
     )
 

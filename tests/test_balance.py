@@ -6,11 +6,14 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plotweave.operators import images, state
+from plotweave.operators import images, quality, state
 from plotweave.plans.intervals import stab, stab_blocks, stab_min, with_blocks
 from plotweave.plans.nest import nested
 from plotweave.plans.pick import earliest, latest, top_per_key
 from plotweave.plans.scan import as_of, prefix_scan, slice_of
+from plotweave.registry import uploads
+from plotweave.sources import payloads
+from plotweave.views import Views
 
 
 @pytest.fixture(scope="module")
@@ -324,3 +327,33 @@ def test_approving_again_keeps_the_version(spark):
     actions = spark.createDataFrame(rows, "book_id long, seq long, action string, asset_id long, char_id long")
     found = {r.book_id: (r.reference_version, r.active_asset_id, r.reference_status) for r in images.replay_profiles(held, actions).collect()}
     assert found == {1: (4, 5, "APPROVED"), 2: (5, 5, "APPROVED"), 3: (3, 5, "APPROVED")}
+
+
+def test_repeated_keys_are_marked_where_they_lie(spark):
+    rows = [(1, 1, "a"), (1, 1, "a"), (1, 2, "a"), (2, None, "a"), (2, None, "a"), (3, 1, None), (3, 1, None)]
+    df = spark.createDataFrame(rows, "near long, key int, text string")
+    marked = quality.flag_repeated(df, ["near"], ["key"], "twice").collect()
+    assert sorted((r.near, r.key or 0, r.twice) for r in marked) == [
+        (1, 1, True), (1, 1, True), (1, 2, False), (2, 0, False), (2, 0, False), (3, 1, True), (3, 1, True)
+    ]
+
+
+def test_uploads_are_written_as_json_once(spark):
+    """A filter on the text of a file moves below its parsing and takes the writing along."""
+    files = spark.range(3).select(
+        F.col("id").alias("upload_id"), F.lit(1).alias("book_id"),
+        F.when(F.col("id") == 2, "").otherwise(F.to_json(F.struct(F.col("id").cast("string").alias("eventId")))).alias("json"),
+    )
+    parsed = payloads.parse_deltas(files)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("structstojson") == 1
+    assert sorted(r.event_ref for r in parsed.collect()) == ["0", "1"]
+
+
+def test_lines_of_an_event_move_once_for_its_record(spark, folder):
+    """Items and weights are gathered where the lines of an event lie: a move of lines each, one of events."""
+    records = uploads.delta_uploads(Views(spark, folder))
+    plan = records._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 2
+    final = records._jdf.queryExecution().executedPlan().toString()
+    assert final.count("Exchange hashpartitioning(event_id") + final.count("Exchange hashpartitioning(l_orderkey") <= 2
