@@ -143,8 +143,11 @@ def split_units(docs: DataFrame, blocks: DataFrame, leaves: DataFrame) -> DataFr
     from_toc = spans.select(
         *doc, "start", "end", F.col("leaf_no").alias("part"), "title", "path", "depth", F.lit("TOC").alias("origin")
     )
+    # A section is named by its heading, so other texts stay where they are.
+    is_head = F.col("tag").isin("h1", "h2", "h3")
+    headed = blocks.select(*doc, "block_idx", "tag", F.when(is_head, F.col("text")).otherwise("").alias("text"))
     sections = section_titles(
-        heading_sections(blocks, doc), docs.select(*doc, "doc_title"), doc
+        heading_sections(headed, doc), docs.select(*doc, "doc_title"), doc
     ).select(
         *doc,
         F.col("first_block").alias("start"),
@@ -169,17 +172,22 @@ def split_units(docs: DataFrame, blocks: DataFrame, leaves: DataFrame) -> DataFr
 
 
 def unit_blocks(units: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Blocks of every unit; spans of one document may overlap, so a block can repeat."""
+    """Blocks of every unit; spans of one document may overlap, so a block can repeat.
+
+    The length is taken before the join: who asks for no text moves none.
+    """
     spans = units.select("book_id", "doc_href", "unit_no", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("block_idx"))
     return spans.join(
-        blocks.select("book_id", "doc_href", "block_idx", "tag", "text"), ["book_id", "doc_href", "block_idx"], "inner"
+        blocks.select("book_id", "doc_href", "block_idx", "tag", "text", F.length("text").alias("length")),
+        ["book_id", "doc_href", "block_idx"],
+        "inner",
     )
 
 
 def size_and_classify(units: DataFrame, pieces: DataFrame) -> DataFrame:
     """Code points, block count and role of every unit."""
     sizes = pieces.groupBy("book_id", "unit_no").agg(
-        F.sum(F.length("text")).cast("int").alias("size"), F.count("*").cast("int").alias("blocks")
+        F.sum("length").cast("int").alias("size"), F.count("*").cast("int").alias("blocks")
     )
     named = units.withColumn(
         "title", F.when(is_blank(F.col("title")), F.lit("Untitled Section")).otherwise(F.col("title"))
@@ -305,16 +313,14 @@ def paragraph_markup(block_idx: Column, href: Column, unit: Column, text: Column
 
 def render_chapters(plans: DataFrame, blocks: DataFrame) -> DataFrame:
     """Chapter rows: paragraph arrays, text, markup and position in the book."""
-    entry = F.struct(
-        "block_idx",
-        "start",
-        "length",
-        "text",
-        paragraph_markup(
-            F.col("block_idx"), F.col("doc_href"), F.concat(F.lit("unit-"), F.col("unit_no").cast("string")), F.col("text")
-        ).alias("markup"),
-    )
-    gathered = blocks.groupBy("book_id", "chapter_idx").agg(F.array_sort(F.collect_list(entry)).alias("_b"))
+    # Markup is written where a chapter's blocks are together, so that no text moves twice.
+    entry = F.struct("block_idx", "start", "length", "text", "doc_href", "unit_no")
+
+    def markup(b: Column) -> Column:
+        unit = F.concat(F.lit("unit-"), b["unit_no"].cast("string"))
+        return paragraph_markup(b["block_idx"], b["doc_href"], unit, b["text"])
+
+    gathered = blocks.groupBy("book_id", "chapter_idx").agg(F.sort_array(F.collect_list(entry)).alias("_b"))
     spine = F.get("source_docs", F.lit(0))
     opening = F.concat(
         F.lit('<section data-chapter-index="'),
@@ -338,7 +344,7 @@ def render_chapters(plans: DataFrame, blocks: DataFrame) -> DataFrame:
         F.transform("_b", lambda b: b["start"]).alias("starts"),
         F.transform("_b", lambda b: b["length"]).alias("lengths"),
         F.array_join(F.transform("_b", lambda b: b["text"]), "").alias("text"),
-        F.array_join(F.transform("_b", lambda b: b["markup"]), "").alias("_body"),
+        F.array_join(F.transform("_b", markup), "").alias("_body"),
     )
     sized = chapters.withColumns(
         {

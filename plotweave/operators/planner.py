@@ -7,6 +7,7 @@ which one reader task held whole, so a group here is a few thousand short rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,12 +42,12 @@ class _Book:
     every question about it is a difference of running counts or a jump table.
     """
 
-    def __init__(self, units: pd.DataFrame):
-        self.role = units["role"].to_numpy(dtype=object)
-        self.total = np.concatenate([[0], np.cumsum(units["size"].to_numpy(dtype="int64"))])
+    def __init__(self, units: dict[str, np.ndarray]):
+        self.role = units["role"]
+        self.total = np.concatenate([[0], np.cumsum(units["size"].astype("int64"))])
         self.flexible = np.concatenate([[0], np.cumsum([r in titles.FLEXIBLE_ROLES for r in self.role])])
         self.canto = np.concatenate([[0], np.cumsum(self.role == "CANTO")])
-        self.values = {c: units[c].to_numpy(dtype=object) for c in ("parent", "direct", "act_key", "book_key")}
+        self.values = {c: units[c] for c in ("parent", "direct", "act_key", "book_key")}
         self.jump = {c: self._next_named(v) for c, v in self.values.items()}
 
     @staticmethod
@@ -140,8 +141,8 @@ def split_large(book: _Book, groups: list, limits: Limits) -> list:
     return result
 
 
-def _start(units: pd.DataFrame) -> list:
-    numbers, acts = units["group_no"].to_numpy(), units["act"].to_numpy(dtype=object)
+def _start(units: dict[str, np.ndarray]) -> list:
+    numbers, acts = units["group_no"], units["act"]
     firsts = np.flatnonzero(np.diff(numbers, prepend=numbers[0] - 1))
     lasts = np.append(firsts[1:] - 1, len(numbers) - 1)
     return [
@@ -151,8 +152,8 @@ def _start(units: pd.DataFrame) -> list:
     ]
 
 
-def _plan(units: pd.DataFrame, limits: Limits, steps: tuple[str, ...]) -> pd.DataFrame:
-    units = units.sort_values("unit_no", ignore_index=True)
+def _plan(units: dict[str, np.ndarray], limits: Limits, steps: tuple[str, ...]) -> list:
+    """Groups of one book, whose units come in order."""
     book = _Book(units)
     groups = _start(units)
     if "pair" in steps:
@@ -163,24 +164,52 @@ def _plan(units: pd.DataFrame, limits: Limits, steps: tuple[str, ...]) -> pd.Dat
                 groups = pair_short(book, bundle(book, groups, limits, key), limits)
     if "split" in steps:
         groups = split_large(book, groups, limits)
-    sizes = [last - first + 1 for first, last, _, _ in groups]
+    return groups
+
+
+def _planned(units: pd.DataFrame, limits: Limits, steps: tuple[str, ...]) -> pd.DataFrame:
+    """Rows of whole books, in the order of book and unit, with the group of each."""
+    columns = {c: units[c].to_numpy(dtype=object if units[c].dtype == object else None) for c in units.columns}
+    edges = [*np.flatnonzero(np.diff(columns["book_id"], prepend=columns["book_id"][0] - 1)), len(units)]
+    numbers, sizes, reasons, promoted = [], [], [], []
+    for first, end in zip(edges, edges[1:]):
+        groups = _plan({c: values[first:end] for c, values in columns.items()}, limits, steps)
+        numbers += range(1, len(groups) + 1)
+        sizes += [last - start + 1 for start, last, _, _ in groups]
+        reasons += [g[2] for g in groups]
+        promoted += [g[3] for g in groups]
     return pd.DataFrame(
         {
-            "book_id": units["book_id"],
-            "unit_no": units["unit_no"],
-            "group_no": np.repeat(np.arange(1, len(groups) + 1), sizes),
-            "reason": np.repeat(np.array([g[2] for g in groups], dtype=object), sizes),
-            "promoted": np.repeat(np.array([g[3] for g in groups], dtype=object), sizes),
+            "book_id": columns["book_id"],
+            "unit_no": columns["unit_no"],
+            "group_no": np.repeat(np.array(numbers), sizes),
+            "reason": np.repeat(np.array(reasons, dtype=object), sizes),
+            "promoted": np.repeat(np.array(promoted, dtype=object), sizes),
         }
     )
 
 
+def _whole_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by book, cut between books."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        at = int(np.searchsorted(batch["book_id"].to_numpy(), batch["book_id"].iloc[-1]))
+        if at or (held and held[-1]["book_id"].iloc[-1] != batch["book_id"].iloc[0]):
+            yield pd.concat([*held, batch.iloc[:at]], ignore_index=True)
+            held = []
+        held.append(batch.iloc[at:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def plan_groups(
     units: DataFrame, limits: Limits = Limits(), steps: tuple[str, ...] = ("pair", "bundle", "split")
 ) -> DataFrame:
     """Group number, reason and promoted title of each kept unit."""
     path = F.col("path")
-    described = act_groups(spread(kept_units(units), "book_id")).select(
+    described = act_groups(kept_units(units)).select(
         "book_id",
         "unit_no",
         "group_no",
@@ -193,12 +222,14 @@ def plan_groups(
         titles.ancestor_with_prefix(path, "book ").alias("book_key"),
     )
 
-    def per_book(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _plan(pdf, limits, steps)
+    def per_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for books in _whole_books(batches):
+            if len(books):
+                yield _planned(books, limits, steps)
 
-    planned = described.groupBy("book_id").applyInPandas(
-        per_book, "book_id long, unit_no int, group_no int, reason string, promoted string"
-    )
+    # Books are many and short: a task takes its books in one sorted run, not one call per book.
+    in_order = spread(described.filter("book_id IS NOT NULL"), "book_id").sortWithinPartitions("book_id", "unit_no")
+    planned = in_order.mapInPandas(per_books, "book_id long, unit_no int, group_no int, reason string, promoted string")
     return units.drop("group_no", "reason", "promoted").join(planned, ["book_id", "unit_no"], "inner")
 
 
