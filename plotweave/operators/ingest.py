@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plotweave.functions import ids
 from plotweave.functions.coords import offset_to_locator, total_code_points
-from plotweave.functions.text import description, join_names, newlines, optional_text
+from plotweave.functions.text import description, is_blank, join_names, newlines, optional_text
 from plotweave.operators import quality
 from plotweave.session import cut
 from plotweave.sources import payloads
@@ -170,46 +170,62 @@ def events(uploads: DataFrame, chapters: DataFrame, texts: DataFrame, existing:
     ``texts`` is (book_id, idx, text). A file without items brings no rows, but has to name a
     known chapter that has no events yet. ``strict``: see `quality.event_rules`.
     """
-    parsed = cut(payloads.parse_events(uploads)).withColumn(
-        "idx", ids.event_idx(F.col("event_raw"), F.col("chapter_idx"))
+    # Parsed and written once. Rules see keys, offsets and verdicts; texts move to be compared,
+    # and those of clean uploads once more to their places.
+    parsed = cut(
+        payloads.parse_events(uploads)
+        .withColumn("idx", ids.event_idx(F.col("event_raw"), F.col("chapter_idx")))
+        .withColumn("_item", F.monotonically_increasing_id())
     )
-    known = chapters.select("book_id", F.col("idx").alias("chapter_idx"), "chapter_id", "starts", "lengths", "total_code_points")
     held = existing.select("chapter_id").distinct().withColumn("has_events", F.lit(True))
+    known = chapters.select(
+        "book_id", F.col("idx").alias("chapter_idx"), "chapter_id", "starts", "lengths", "total_code_points"
+    ).join(held, "chapter_id", "left")
     sizes = texts.select("book_id", F.col("idx").alias("chapter_idx"), F.length(newlines(F.col("text"))).alias("chapter_length"))
-    rows = quality.flag_duplicates(parsed, ["upload_id", "file", "chapter_idx", "idx"], "idx_twice")
-    rows = (
-        rows.join(known, ["book_id", "chapter_idx"], "left")
-        .join(held, "chapter_id", "left")
-        .join(sizes, ["book_id", "chapter_idx"], "left")
-        .withColumn("chapter_known", F.col("chapter_id").isNotNull())
-        .withColumn("has_events", F.coalesce("has_events", F.lit(False)))
-    )
-    # An upload may hold two files of one name, so items are known by all that tells them apart here.
-    key = ["upload_id", "file", "chapter_idx", "item_no", "start_txt", "end_txt", "_text_hash"]
-    parsed = parsed.withColumn("_text_hash", F.xxhash64("raw_text"))
-    rows = rows.withColumn("_text_hash", F.xxhash64("raw_text"))
-    inside = parsed.join(sizes, ["book_id", "chapter_idx"], "inner").filter(
-        "start_txt >= 0 AND start_txt < end_txt AND end_txt <= chapter_length AND raw_text IS NOT NULL"
-    )
-    wrong = differing_texts(inside.drop("chapter_length"), text_chunks(texts), key).withColumn("text_differs", F.lit(True))
-    marked = rows.join(wrong, key, "left").withColumn("text_differs", F.coalesce("text_differs", F.lit(False)))
-    checked = cut(quality.with_reasons(marked, quality.event_rules(strict)).drop("chapter_length", "text_differs", "_text_hash"))
-    good, bad = quality.split_uploads(checked, UPLOAD)
+    start, end = F.col("start_txt"), F.col("end_txt")
+    long_enough = F.length(newlines(F.col("raw_text"))) == end - start
+    items = parsed.withColumns({"text_blank": is_blank(F.col("raw_text")), "text_short": ~long_enough}).drop("raw_text", "event_raw")
+    rows = quality.flag_repeated(items, ["upload_id", "file", "chapter_idx", "idx"], [], "idx_twice")
+    rows = rows.join(known, ["book_id", "chapter_idx"], "left").join(sizes, ["book_id", "chapter_idx"], "left")
     total = total_code_points(F.col("total_code_points"), F.col("starts"), F.col("lengths"))
+    placeable = (start < end) & F.coalesce((start >= 0) & (end <= F.col("chapter_length")), F.lit(True))
 
     def place(offset: str):
-        return offset_to_locator(F.col("chapter_idx"), F.col("starts"), F.col("lengths"), total, F.col(offset))
-
-    out = good.filter("item_no IS NOT NULL").select(
+        at = offset_to_locator(F.col("chapter_idx"), F.col("starts"), F.col("lengths"), total, F.col(offset))
+        return F.when(placeable, at)
+
+    # Places are found here, beside the chapter, so that no item carries a chapter's arrays on.
+    rows = rows.withColumns(
+        {
+            "chapter_known": F.col("chapter_id").isNotNull(),
+            "chapter_ready": F.col("starts").isNotNull() & F.col("lengths").isNotNull() & F.col("total_code_points").isNotNull(),
+            "has_events": F.coalesce("has_events", F.lit(False)),
+            "start_at": place("start_txt"),
+            "end_at": place("end_txt"),
+        }
+    ).drop("starts", "lengths", "total_code_points")
+    # A text of another length differs, so only as many chunks are asked for as the text fills.
+    given = parsed.filter((start >= 0) & (start < end) & long_enough)
+    wrong = differing_texts(given, text_chunks(texts), ["_item"]).withColumn("_differs", F.lit(True))
+    marked = rows.join(wrong, "_item", "left").withColumn(
+        "text_differs", F.coalesce("_differs", F.lit(False)) | F.coalesce("text_short", F.lit(False))
+    )
+    checked = cut(
+        quality.with_reasons(marked, quality.event_rules(strict)).select(
+            *UPLOAD, "_item", "item_no", "chapter_id", "chapter_idx", "idx", "start_at", "end_at", "start_txt", "end_txt", "reasons"
+        )
+    )
+    good, bad = quality.split_uploads(checked, UPLOAD)
+    out = good.filter("item_no IS NOT NULL").join(parsed.select("_item", "event_raw", "raw_text"), "_item", "inner").select(
         "book_id",
         "chapter_id",
         "chapter_idx",
         "idx",
         ids.normalized_event_id(F.col("event_raw"), F.col("chapter_idx"), F.col("idx")).alias("event_id"),
-        place("start_txt")["blockIndex"].alias("start_block"),
-        place("start_txt")["offset"].alias("start_offset"),
-        place("end_txt")["blockIndex"].alias("end_block"),
-        place("end_txt")["offset"].alias("end_offset"),
+        F.col("start_at.blockIndex").alias("start_block"),
+        F.col("start_at.offset").alias("start_offset"),
+        F.col("end_at.blockIndex").alias("end_block"),
+        F.col("end_at.offset").alias("end_offset"),
         "start_txt",
         "end_txt",
         "raw_text",

@@ -105,7 +105,7 @@ def delta_weight_rules() -> dict[str, Column]:
 
 
 def event_rules(strict: bool = False) -> dict[str, Column]:
-    """Needs chapter_known, has_events, idx_twice, chapter_length and text_differs.
+    """Needs chapter_known, chapter_ready, has_events, idx, idx_twice, chapter_length, text_blank and text_differs.
 
     Rules of the file hold without items too; with ``strict`` a chapter has to carry its
     coordinates (starts, lengths, total_code_points) before it takes events.
@@ -113,17 +113,16 @@ def event_rules(strict: bool = False) -> dict[str, Column]:
     item = F.col("item_no").isNotNull()
     start, end = F.col("start_txt"), F.col("end_txt")
     inside = (start >= 0) & (end <= F.col("chapter_length"))
-    ready = F.col("starts").isNotNull() & F.col("lengths").isNotNull() & F.col("total_code_points").isNotNull()
     return {
         "DQ-0 malformed": F.col("malformed"),
         "DQ-10 chapter": F.col("chapter_idx").isNull() | ~F.col("chapter_idx").eqNullSafe(F.coalesce("item_chapter_idx", "chapter_idx")),
         "DQ-15 chapter unknown": ~F.col("chapter_known"),
-        **({"FLT-16 not ready": F.col("chapter_known") & ~ready} if strict else {}),
+        **({"FLT-16 not ready": F.col("chapter_known") & ~F.col("chapter_ready")} if strict else {}),
         "DQ-12 has events": F.col("has_events"),
-        "DQ-11 event id": item & ids.event_idx(F.col("event_raw"), F.col("chapter_idx")).isNull(),
+        "DQ-11 event id": item & F.col("idx").isNull(),
         "DQ-11 index twice": F.col("idx_twice"),
         "DQ-8 offsets": item & (start.isNull() | end.isNull() | (start >= end)),
-        "text missing": item & is_blank(F.col("raw_text")),
+        "text missing": item & F.col("text_blank"),
         "DQ-9 bounds": ~inside,
         "DQ-9 text": inside & (start < end) & F.col("text_differs"),
     }

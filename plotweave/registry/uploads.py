@@ -156,13 +156,18 @@ EVENT_BAD = """SELECT doc_id FROM doc WHERE total > 0 AND (doc_id % 9 IN (0, 1,
 
 
 def event_parts(v: Views):
-    docs = v.table("documents").repartition("doc_id").select(
-        "doc_id",
-        F.expr("doc_id div 8").alias("book_id"),
-        F.expr("int(doc_id % 8 + 1)").alias("idx"),
-        F.replace(C("text"), F.lit("\n"), F.lit("")).alias("text"),
-        F.transform(F.split("text", "\n"), lambda x: F.length(x)).alias("lengths"),
-    )
+    def chapters_of(rows):
+        return rows.select(
+            "doc_id",
+            F.expr("doc_id div 8").alias("book_id"),
+            F.expr("int(doc_id % 8 + 1)").alias("idx"),
+            F.replace(C("text"), F.lit("\n"), F.lit("")).alias("text"),
+            F.transform(F.split("text", "\n"), lambda x: F.length(x)).alias("lengths"),
+        )
+
+    # Only the files are spread before they are made; chapters and texts move when they are looked up.
+    docs = chapters_of(v.table("documents"))
+    spread_docs = chapters_of(v.table("documents").repartition("doc_id"))
     sums = F.aggregate(
         "lengths",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
@@ -188,7 +193,7 @@ def event_parts(v: Views):
         )
 
     items = F.when(F.length("text") > 0, F.transform(windows, item))
-    uploads = docs.select(
+    uploads = spread_docs.select(
         C("doc_id").alias("upload_id"),
         "book_id",
         C("doc_id").cast("string").alias("file"),

@@ -2,17 +2,18 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plotweave.operators import images, quality, state
+from plotweave.operators import corpus, images, ingest, planner, quality, state
 from plotweave.plans.intervals import stab, stab_blocks, stab_min, with_blocks
 from plotweave.plans.nest import nested
 from plotweave.plans.pick import earliest, latest, top_per_key
 from plotweave.plans.scan import as_of, prefix_scan, slice_of
 from plotweave.registry import uploads
-from plotweave.sources import payloads
+from plotweave.sources import archive, payloads
 from plotweave.views import Views
 
 
@@ -357,3 +358,54 @@ def test_lines_of_an_event_move_once_for_its_record(spark, folder):
     assert plan.count("REPARTITION_BY_COL") == 2
     final = records._jdf.queryExecution().executedPlan().toString()
     assert final.count("Exchange hashpartitioning(event_id") + final.count("Exchange hashpartitioning(l_orderkey") <= 2
+
+
+def test_books_are_planned_across_batches():
+    """A book that lies in several batches is one book; several books in one batch are several."""
+    books = [1, 1, 2, 3, 3, 3, 3, 3, 4]
+    frame = pd.DataFrame({"book_id": books, "unit_no": [1, 2, 1, 1, 2, 3, 4, 5, 1]})
+    for width in (1, 2, 3, 4, 9):
+        batches = [frame.iloc[i : i + width] for i in range(0, len(frame), width)]
+        parts = list(planner._whole_books(iter(batches)))
+        assert pd.concat(parts, ignore_index=True).equals(frame)
+        where = [set(p["book_id"]) for p in parts]
+        assert sum(map(len, where)) == len(set(books))
+
+
+def test_pages_leave_in_portions(spark, monkeypatch):
+    """Blocks of a batch of pages are not held together."""
+    pages = spark.createDataFrame([(n, f"<body><p>one {n}</p><p>two</p></body>") for n in range(50)], "page_id long, html string").coalesce(1)
+    assert archive.page_blocks(pages).count() == 100
+    assert "MapInArrow" in archive.page_blocks(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert archive.HELD_CHARS <= 1 << 22
+
+
+def test_unit_sizes_move_no_text(spark):
+    blocks = spark.createDataFrame([(1, "a", 0, "p", "four"), (1, "a", 1, "p", "xy")], "book_id long, doc_href string, block_idx int, tag string, text string")
+    units = spark.createDataFrame(
+        [(1, "a", 1, 0, 2, "Chapter 1", ["Chapter 1"])],
+        "book_id long, doc_href string, unit_no int, start int, end int, title string, path array<string>",
+    )
+    sized = corpus.size_and_classify(units, corpus.unit_blocks(units, blocks))
+    assert [(r.size, r.blocks) for r in sized.collect()] == [(6, 2)]
+    plan = sized._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan[plan.index("explode(sequence") - 400 :]
+    assert "length(text" in joins
+
+
+def test_event_items_move_without_their_texts(spark):
+    """The text of an item moves to be compared and to its place, not through every lookup."""
+    uploads_ = spark.createDataFrame(
+        [(1, 1, "a", '{"chapterIndex": 1, "items": [{"eventId": "ch1-e1", "start": 0, "end": 4, "text": "abcd"}]}'),
+         (2, 1, "b", '{"chapterIndex": 1, "items": [{"eventId": "ch1-e2", "start": 0, "end": 4, "text": "abc"}]}'),
+         (3, 1, None, '{"chapterIndex": 1, "items": [{"eventId": "ch1-e3", "start": 4, "end": 8, "text": "efgx"}]}')],
+        "upload_id long, book_id long, file string, json string",
+    )
+    chapters = spark.createDataFrame([(9, 1, 1, [0], [8], 8)], "chapter_id long, book_id long, idx int, starts array<int>, lengths array<int>, total_code_points int")
+    texts = spark.createDataFrame([(1, 1, "abcdefgh")], "book_id long, idx int, text string")
+    none = spark.createDataFrame([], "chapter_id long")
+    done = ingest.events(uploads_, chapters, texts, none)
+    assert sorted((r.upload_id, r.reason) for r in done["rejects"].collect()) == [(2, "DQ-9 text"), (3, "DQ-9 text")]
+    assert [(r.event_id, r.start_block, r.end_offset, r.raw_text) for r in done["events"].collect()] == [("ch1-e1", 0, 4, "abcd")]
+    kept = done["rejected_uploads"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "raw_text" not in kept and "chapter_length" not in kept
