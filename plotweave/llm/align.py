@@ -157,7 +157,7 @@ class Words:
     """
 
     def __init__(self, path_a: str, path_b: str, kept: int = 200_000, longest: int = 64):
-        self.encoder = Encoder(path_a, 0, known_chunks=20_000)
+        self.encoder = Encoder(path_a, 0, known_chunks=20_000, plain=True)
         self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.kept, self.longest = kept, longest
         names = map(self.model.id_to_piece, range(self.model.get_piece_size()))

@@ -70,13 +70,17 @@ def _for_words(path: str) -> Tokenizer | None:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of the first chunks it meets, and of the latest."""
+    """Encodes texts; keeps the ids of the first chunks it meets, and of the latest.
 
-    def __init__(self, path: str, end_id: int, known_chunks: int | None = None):
+    With ``plain`` the strings of added tokens are text like any other.
+    """
+
+    def __init__(self, path: str, end_id: int, known_chunks: int | None = None, plain: bool = False):
         # One task has one core; the library's own threads would take those of other tasks.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.tokenizer.encode_special_tokens = plain
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not plain]
         # Whatever the case, as some files look for added tokens in the normalized text.
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         # What all of them begin with, up to the first letter: most texts do not hold it.

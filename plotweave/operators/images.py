@@ -199,7 +199,9 @@ def _judged(assets: DataFrame, profiles: DataFrame, approvals: DataFrame) -> Dat
     is_first = F.col("_at") == F.col("_first")
     return placed.withColumn(
         "verdict",
-        F.when(F.col("refusal").isNotNull(), F.col("refusal"))
+        # A superseded asset is refused for its status before its image is looked at.
+        F.when((F.col("refusal") == "no image") & F.col("_is_previous") & ~early, "status")
+        .when(F.col("refusal").isNotNull(), F.col("refusal"))
         .when(F.col("_is_previous"), F.when(~early, "status").when(standing | ~is_first, "again").otherwise("approved"))
         .when(is_first, "approved")
         .when(F.col("_next").isNull() | (F.col("_at") < F.col("_next")), "again")
