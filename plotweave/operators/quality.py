@@ -72,19 +72,23 @@ def delta_file_rules() -> dict[str, Column]:
         "DQ-1 contract": ~F.coalesce(optional_text(F.col("contract_version")) == CONTRACT, F.lit(False)),
         "DQ-10 chapter": F.col("chapter_idx").isNull(),
         "DQ-11 event id": idx.isNull(),
-        "DQ-6 event twice": F.col("event_twice"),
-        "DQ-15 event unknown": F.col("event_unknown"),
     }
 
 
-def delta_item_rules() -> dict[str, Column]:
+def delta_event_rules() -> dict[str, Column]:
+    """Rules of a file that other rows decide: needs event_twice and event_id."""
+    return {"DQ-6 event twice": F.col("event_twice"), "DQ-15 event unknown": F.col("event_id").isNull()}
+
+
+def delta_item_rules(item: Column) -> dict[str, Column]:
+    """Rules of one item: a struct of from_id, to_id, labels, positivity and evidence_count."""
     return {
-        "DQ-2 positivity": F.col("positivity").isNull() | ~F.col("positivity").between(-1.0, 1.0),
-        "DQ-3 evidence": F.col("evidence_count").isNull() | (F.col("evidence_count") <= 0),
-        "DQ-4 labels": F.col("labels").isNull()
-        | F.exists("labels", lambda x: F.coalesce(optional_text(x).isNull(), F.lit(True))),
-        "DQ-5 same character": F.col("from_id") == F.col("to_id"),
-        "character id": F.col("from_id").isNull() | F.col("to_id").isNull(),
+        "DQ-2 positivity": item["positivity"].isNull() | ~item["positivity"].between(-1.0, 1.0),
+        "DQ-3 evidence": item["evidence_count"].isNull() | (item["evidence_count"] <= 0),
+        "DQ-4 labels": item["labels"].isNull()
+        | F.exists(item["labels"], lambda x: F.coalesce(optional_text(x).isNull(), F.lit(True))),
+        "DQ-5 same character": item["from_id"] == item["to_id"],
+        "character id": item["from_id"].isNull() | item["to_id"].isNull(),
     }
 
 
@@ -93,11 +97,11 @@ def delta_lookup_rules(unknown: Column) -> dict[str, Column]:
     return {"DQ-6 edge twice": F.col("edge_twice"), "DQ-15 character unknown": unknown}
 
 
-def delta_weight_rules() -> dict[str, Column]:
+def delta_weight_rules(character_id: Column, missing: Column, unknown: Column) -> dict[str, Column]:
     return {
-        "DQ-7 weight": F.col("missing"),
-        "character id": F.col("character_id").isNull(),
-        "DQ-15 character unknown": F.col("character_unknown"),
+        "DQ-7 weight": missing,
+        "character id": character_id.isNull(),
+        "DQ-15 character unknown": unknown,
     }
 
 

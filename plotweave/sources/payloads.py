@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Field names of the payloads and their older names.
@@ -60,30 +60,26 @@ def parse_deltas(uploads: DataFrame) -> DataFrame:
     )
 
 
-def delta_edges(parsed: DataFrame) -> DataFrame:
-    """One row per delta item, with the older names folded in."""
-    keep = [c for c in parsed.columns if c not in ("items", "node_weights")]
-    return parsed.select(*keep, F.posexplode("items").alias("item_no", "i")).select(
-        *keep,
-        "item_no",
-        F.coalesce("i.fromCharacterId", "i.id1").alias("from_raw"),
-        F.coalesce("i.toCharacterId", "i.id2").alias("to_raw"),
-        F.coalesce("i.labels", "i.relation").alias("labels"),
-        F.col("i.positivity").alias("positivity"),
-        F.coalesce("i.evidenceCount", "i.count").alias("evidence_count"),
-        F.col("i.reason").alias("reason"),
-    )
-
-
-def delta_weights(parsed: DataFrame) -> DataFrame:
-    """One row per node weight; ``missing`` marks a null value."""
-    keep = [c for c in parsed.columns if c not in ("items", "node_weights")]
-    return parsed.select(*keep, F.explode("node_weights").alias("character_raw", "w")).select(
-        *keep,
-        "character_raw",
-        F.col("w").isNull().alias("missing"),
-        F.when(F.col("w").isNotNull(), F.coalesce("w.weight", F.lit(0.0))).alias("node_weight"),
-    )
+def delta_item(i: Column) -> dict[str, Column]:
+    """The fields of one delta item, with the older names folded in."""
+    return {
+        "from_raw": F.coalesce(i["fromCharacterId"], i["id1"]),
+        "to_raw": F.coalesce(i["toCharacterId"], i["id2"]),
+        "labels": F.coalesce(i["labels"], i["relation"]),
+        "positivity": i["positivity"],
+        "evidence_count": F.coalesce(i["evidenceCount"], i["count"]),
+        "reason": i["reason"],
+    }
+
+
+def delta_weight(entry: Column) -> dict[str, Column]:
+    """The fields of one entry of the node weights; ``missing`` marks a null value."""
+    w = entry["value"]
+    return {
+        "character_raw": entry["key"],
+        "missing": w.isNull(),
+        "node_weight": F.when(w.isNotNull(), F.coalesce(w["weight"], F.lit(0.0))),
+    }
 
 
 def parse_events(uploads: DataFrame) -> DataFrame:

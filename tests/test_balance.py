@@ -409,3 +409,23 @@ def test_event_items_move_without_their_texts(spark):
     assert [(r.event_id, r.start_block, r.end_offset, r.raw_text) for r in done["events"].collect()] == [("ch1-e1", 0, 4, "abcd")]
     kept = done["rejected_uploads"]._jdf.queryExecution().optimizedPlan().toString()
     assert "raw_text" not in kept and "chapter_length" not in kept
+
+
+def test_delta_files_move_twice_as_one_row_of_keys(spark, monkeypatch):
+    """A file moves to its event and to its book; no item or weight moves to its characters by itself."""
+    plans = []
+    written = ingest.cut
+    monkeypatch.setattr(ingest, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = spark.createDataFrame([(1, 1, "a", "{}")], "upload_id long, book_id long, file string, json string")
+        events = spark.createDataFrame([(11, 1, 1, 1)], "id long, book_id long, chapter_idx int, idx int")
+        cast = spark.createDataFrame([(101, 1, 1)], "id long, book_id long, character_id long")
+        ingest.deltas(files, events, cast)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moves = [line for line in plans[1].splitlines() if "Exchange hashpartitioning" in line]
+    # Of the files to both, of the events and of the cast.
+    assert len(moves) == 4
+    assert not any(f"{end}_id" in m.split("hashpartitioning")[1].split(")")[0] for m in moves for end in ("from", "to", "character"))

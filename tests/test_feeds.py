@@ -242,3 +242,26 @@ def test_summary_files_name_a_chapter_whatever_their_language(spark):
     cast = spark.createDataFrame([(101, 1, 1)], "id long, book_id long, character_id long")
     done = ingest.summaries(uploads, chapters, cast, spark.createDataFrame([], "chapter_id long"))
     assert {r.upload_id for r in done["rejected_uploads"].collect()} == {1}
+
+
+def test_delta_items_keep_their_texts_when_files_are_taken_apart(spark):
+    """Edges twice in a file or in two files of an upload, characters that stand twice, uploads without a key."""
+    ev = spark.createDataFrame([(10, 1, 1, 1), (11, 1, 1, 2)], "id long, book_id long, chapter_idx int, idx int")
+    cast = spark.createDataFrame([(101, 1, 1), (102, 1, 2), (103, 1, 3), (104, 1, 3)], "id long, book_id long, character_id long")
+
+    def said(a, b, reason):
+        return {**edge(a, b), "reason": reason}
+
+    rows = [
+        (1, delta("ch1-e1", [said("1", "2", "p"), said("2", "1", "q"), said("1", "3", "r")], {"3": {"weight": 4.0}})),
+        (2, delta("ch1-e1", [said("1", "2", "s"), said("2", "1", "t"), said("1", "2", "u")])),
+        (3, delta("ch1-e2", [said("1", "2", "v")], {"1": {"weight": 1.0}})),
+        (3, delta("ch1-e2", [said("2", "1", "w"), said("1", "2", "x")])),
+        (None, delta("ch1-e1", [said("2", "1", "y"), said("2", "1", "z"), {**said("1", "2", "bad"), "count": 0}])),
+    ]
+    done = ingest.deltas(spark.createDataFrame([(n, 1, "f", j) for n, j in rows], UPLOAD), ev, cast)
+    got = sorted((r.explanation, r.event_id, r.from_char_id, r.to_char_id) for r in done["edges"].collect())
+    assert got == [("p", 10, 101, 102), ("q", 10, 102, 101), ("r", 10, 101, 103), ("r", 10, 101, 104), ("y", 10, 102, 101), ("z", 10, 102, 101)]
+    assert sorted((r.upload_id, r.char_id, r.node_weight) for r in done["stats"].collect()) == [(1, 103, 4.0), (1, 104, 4.0)]
+    reasons = sorted(((r.upload_id or 0), r.reason) for r in done["rejects"].collect())
+    assert reasons == [(0, "DQ-3 evidence")] + 2 * [(2, "DQ-6 edge twice")] + 2 * [(3, "DQ-6 edge twice")] + 2 * [(3, "DQ-6 event twice")]
