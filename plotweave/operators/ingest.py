@@ -16,10 +16,13 @@ from plotweave.functions import ids
 from plotweave.functions.coords import offset_to_locator, total_code_points
 from plotweave.functions.text import description, is_blank, join_names, newlines, optional_text
 from plotweave.operators import quality
+from plotweave.plans.spread import in_portions
 from plotweave.session import cut
 from plotweave.sources import payloads
 
 UPLOAD = ["upload_id", "book_id"]
+#: Files, items and weights together that one task brings to their events.
+ENTRIES = 1_000_000
 
 
 def _rejects(*parts: DataFrame) -> DataFrame:
@@ -159,7 +162,8 @@ def _known_people(files: DataFrame, rosters: DataFrame) -> DataFrame:
 
         return F.transform(found(character_id), one)
 
-    return files.join(rosters, "book_id", "left").withColumns(
+    # Casts are few and small, so files need not be sorted to meet them, whatever a book holds.
+    return files.join(rosters.hint("shuffle_hash"), "book_id", "left").withColumns(
         {"items": F.flatten(F.transform("from_ids", item)), "weights": F.flatten(F.transform("weight_ids", weight))}
     ).drop("from_ids", "to_ids", "faults", "weight_ids", "missing", "first_no", "edge_twice", "roster")
 
@@ -168,18 +172,26 @@ def deltas(uploads: DataFrame, events: DataFrame, characters: DataFrame) -> dict
     """Relationship deltas: edges and stats of clean uploads, and the events they replace.
 
     Files are parsed and written once, with a number per file. A file moves twice as one row of
-    keys and of verdicts found where it was parsed: to its event and to its book's cast. What was
-    found is written once; texts and weights join the keys of clean uploads by the file's number.
+    keys and of verdicts found where it was parsed: to its event, in as many parts as there are
+    entries for, and to its book's cast. What was found is written once; texts and weights join
+    the keys of clean uploads by the file's number.
     """
     place = ["book_id", "chapter_idx", "event_idx"]
+    sizes = [F.greatest(F.size(name), F.lit(0)) for name in ("items", "node_weights")]
     parsed = cut(
         payloads.parse_deltas(uploads)
         .withColumn("event_idx", ids.event_idx(F.col("event_ref"), F.col("chapter_idx")))
+        .withColumn("_entries", sizes[0] + sizes[1] + 1)
         .withColumn("_file", F.monotonically_increasing_id())
     )
-    known_events = events.select("book_id", "chapter_idx", F.col("idx").alias("event_idx"), F.col("id").alias("event_id"))
+    entries = parsed.agg(F.sum("_entries")).first()[0] or 0
 
-    files = _delta_keys(parsed, ["upload_id", *place, "_file"])
+    def near(rows: DataFrame) -> DataFrame:
+        return in_portions(rows, entries, ENTRIES, *place)
+
+    known_events = near(events.select("book_id", "chapter_idx", F.col("idx").alias("event_idx"), F.col("id").alias("event_id")))
+
+    files = near(_delta_keys(parsed, ["upload_id", *place, "_file"]))
     placed = quality.flag_repeated(files.join(known_events, place, "left"), place, ["upload_id"], "event_twice")
     placed = placed.withColumn("reasons", F.concat("reasons", quality.reasons(quality.delta_event_rules())))
     apart = _edges_apart(placed, place).drop("chapter_idx", "event_idx", "event_twice")

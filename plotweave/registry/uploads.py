@@ -1,8 +1,11 @@
 """Payload ingest and validation rules."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from plotweave.operators import graph, ingest, positions, quality
+from plotweave.plans.spread import in_portions
 from plotweave.registry.base import query
 from plotweave.sources import payloads
 from plotweave.views import Views
@@ -33,12 +36,20 @@ PREFIX = {name: "DQ-" + name.split("_")[1] + " " for name in REASONS}
 REJECTED = " UNION ".join(REASONS.values()) + " UNION SELECT id FROM story_event WHERE id % 17 = 9"
 
 
+#: Lines and orders from which one task makes files.
+LINES = 400_000
+
+
 class EventLines(Views):
     """The views with the lines of an event side by side."""
 
+    @cached_property
+    def rows(self) -> int:
+        return sum(Views.table(self, name).count() for name in ("lineitem", "orders"))
+
     def table(self, name: str):
         rows = super().table(name)
-        return rows.repartition("l_orderkey") if name == "lineitem" else rows
+        return in_portions(rows, self.rows, LINES, "l_orderkey") if name == "lineitem" else rows
 
 
 def delta_uploads(v: Views):

@@ -429,3 +429,25 @@ def test_delta_files_move_twice_as_one_row_of_keys(spark, monkeypatch):
     # Of the files to both, of the events and of the cast.
     assert len(moves) == 4
     assert not any(f"{end}_id" in m.split("hashpartitioning")[1].split(")")[0] for m in moves for end in ("from", "to", "character"))
+
+
+def test_delta_tasks_are_bounded_by_rows(spark, folder, monkeypatch):
+    """Adaptive execution would join small parts by their bytes, whatever they hold in rows."""
+    monkeypatch.setattr(uploads, "LINES", 500)
+    files = uploads.delta_uploads(Views(spark, folder))
+    rows = sum(Views(spark, folder).table(name).count() for name in ("lineitem", "orders"))
+    plan = files._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count(f"{-(-rows // 500)}), REPARTITION_BY_NUM") == 2
+
+    plans = []
+    written = ingest.cut
+    monkeypatch.setattr(ingest, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    monkeypatch.setattr(ingest, "ENTRIES", 2)
+    weights = '{"nodeWeights": {"1": {"weight": 1}, "2": {"weight": 2}}}'
+    given = spark.createDataFrame([(n, 1, "a", weights) for n in range(4)], "upload_id long, book_id long, file string, json string")
+    events = spark.createDataFrame([(11, 1, 1, 1)], "id long, book_id long, chapter_idx int, idx int")
+    cast = spark.createDataFrame([(101, 1, 1)], "id long, book_id long, character_id long")
+    done = ingest.deltas(given, events, cast)
+    # Four files of two weights are twelve entries, two to a task; files are not sorted to meet their book's cast.
+    assert ", 6), REPARTITION_BY_NUM" in plans[1] and "ShuffledHashJoin [book_id" in plans[1]
+    assert done["rejected_uploads"].count() == 4
