@@ -15,7 +15,7 @@ import os
 import re
 import sys
 import types
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
@@ -193,8 +193,8 @@ class Encoder:
             for c in cut:
                 del c[0]
             long = []
-            for known, chunks, lead in ((self.heads, set(heads), ""), (self.tails, set(chain.from_iterable(cut)), " ")):
-                if new := chunks.difference(known):
+            for known, chunks, lead in ((self.heads, heads, ""), (self.tails, chain.from_iterable(cut), " ")):
+                if new := set(filterfalse(known.__contains__, chunks)):
                     self._learn(known, new, lead)
                     long += [(known, c) for c in new if len(c) > _KEPT_LENGTH]
             first, rest = self.heads.__getitem__, self.tails.__getitem__

@@ -61,8 +61,8 @@ class _Packer:
     def __init__(self, limits: Limits):
         self.limits = limits
         self.scale = np.array([1 / limits.tokens, 1 / limits.segments, 1 / max(1, limits.loss)])
-        # Tokens, segments and loss of each waiting item; all 0 where the slot is free.
-        self.demand = np.zeros((limits.window, 3))
+        # Tokens, segments and loss of all waiting items, a row each; all 0 where the slot is free.
+        self.demand = np.zeros((3, limits.window))
         self.items: list = [None] * limits.window
         self.free = list(range(limits.window))
 
@@ -74,7 +74,7 @@ class _Packer:
         if doc[1].base is not None or len(doc[1]) > 2 * length:
             doc = (doc[0], doc[1][start - doc[4] :].copy(), doc[2], doc[3], start)
         self.items[slot] = (doc, start, length)
-        self.demand[slot] = (length, 1, self._loss(doc, start, length))
+        self.demand[:, slot] = (length, 1, self._loss(doc, start, length))
 
     def add(self, doc: tuple) -> Iterator[list]:
         """A whole document; its ids may be part of a larger array."""
@@ -89,26 +89,29 @@ class _Packer:
                 yield from self._fill()
             self._wait(self.free.pop(), doc, start)
             # More than that can only wait where a full run has too much loss to be cut off.
-            while self.demand[:, 0].sum() > limits.window * limits.tokens:
+            while self.demand[0].sum() > limits.window * limits.tokens:
                 yield from self._fill()
 
     def _fill(self) -> Iterator[list]:
         """Fill one sequence from the window."""
         limits = self.limits
         room = np.array([limits.tokens, limits.segments, limits.loss], float)
+        tokens, segments, loss = self.demand
         pieces: list = []
         while room[0] > 0 and room[1] > 0:
-            here = self.demand[:, 1] > 0
+            here = segments > 0
             if not here.any():
                 break
-            gain = (self.demand * (room * self.scale * self.scale)).sum(1)
-            fits = here & (self.demand <= room).all(1)
+            worth = room * self.scale * self.scale
+            gain = tokens * worth[0] + segments * worth[1] + loss * worth[2]
+            # An item is one segment, and one is left.
+            fits = here & (tokens <= room[0]) & (loss <= room[2])
             # The last segment goes to an item that fills the sequence, if need be by a cut.
-            if fits.any() and (room[1] > 1 or (fits & (self.demand[:, 0] == room[0])).any()):
-                slot = int(np.argmax(np.where(fits, gain if room[1] > 1 else self.demand[:, 0], -1)))
-                take = int(self.demand[slot, 0])
+            if fits.any() and (room[1] > 1 or (fits & (tokens == room[0])).any()):
+                slot = int(np.argmax(np.where(fits, gain if room[1] > 1 else tokens, -1)))
+                take = int(tokens[slot])
             else:
-                slot = int(np.argmax(np.where(here, self.demand[:, 0] if room[1] == 1 else gain, -1)))
+                slot = int(np.argmax(np.where(here, tokens if room[1] == 1 else gain, -1)))
                 doc, start, length = self.items[slot]
                 # Tokens before the loss are free of it; behind them the loss limit counts.
                 before = min(length, max(0, doc[2] - start))
@@ -122,7 +125,7 @@ class _Packer:
                 self._wait(slot, doc, start + take)
             else:
                 self.items[slot] = None
-                self.demand[slot] = 0
+                self.demand[:, slot] = 0
                 self.free.append(slot)
         yield from self._close(pieces)
 

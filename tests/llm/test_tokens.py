@@ -1,5 +1,6 @@
 """Encoding, the token store and packing against plain loops over the same tokenizers."""
 
+import random
 import zlib
 
 import numpy as np
@@ -169,6 +170,36 @@ def test_waiting_documents_hold_a_window_of_ids(limits):
     assert given_out == {i: 20_000 + i for i in range(40)}
 
 
+def test_the_heaviest_fitting_item_is_taken():
+    """Against the heuristic item by item; each limit of all that wait lies in one array of its own."""
+    rnd = random.Random(5)
+    limits = packing.Limits(50, 3, 40, 16)
+    packer = packing._Packer(limits)
+    assert all(part.flags.c_contiguous for part in packer.demand) and len(packer.demand) == 3
+    for slot in range(16):
+        n = rnd.randint(1, 49)
+        packer._wait(packer.free.pop(), (slot, np.arange(n, dtype="<u4"), rnd.randint(0, 9), n, 0), 0)
+    while waiting := [i for i in packer.items if i]:
+        room, want = [limits.tokens, limits.segments, limits.loss], []
+        left = {doc[0]: (length, 1, packer._loss(doc, start, length)) for doc, start, length in waiting}
+        scale = [1 / x for x in room]
+        while left and room[1] > 1:
+            fits = [d for d, x in left.items() if all(a <= b for a, b in zip(x, room))]
+            if not fits:
+                break
+            gain = {d: sum(a * b * c * c for a, b, c in zip(left[d], room, scale)) for d in fits}
+            # The first of equally heavy items is not told here, so any of them is right.
+            best = max(gain.values())
+            want.append({d for d in fits if gain[d] > best - 1e-9})
+            room = [a - b for a, b in zip(room, left.pop(min(want[-1])))]
+            if len(want[-1]) > 1:
+                break
+        before = set(left).union(*want)
+        made = [doc[0] for pieces in packer._fill() for doc, _, _ in pieces]
+        taken = list(dict.fromkeys(made))
+        assert set(taken) <= before and all(d in ties for d, ties in zip(taken, want))
+
+
 def test_long_documents_are_packed_whole(frame):
     rows = [(i, "word " * (150 + 7 * i), 40) for i in range(30)]
     texts = {r[0]: (r[1], 1) for r in rows}
