@@ -35,6 +35,8 @@ PIECES = (
     "doc_id long, start long, length long, doc_tokens long, loss_tokens long, "
     "sequence_id long, offset long, sequence_tokens long, ids binary"
 )
+# Chunks of text whose ids a worker keeps for good; nothing else here holds much.
+_KNOWN_CHUNKS = 600_000
 #: Sequences of one task are numbered from its partition number times this.
 PER_TASK = 1 << 40
 
@@ -175,7 +177,7 @@ def pack(
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer, end_id).encode
+        encode = encoder(tokenizer, end_id, _KNOWN_CHUNKS).encode
         packer = _Packer(limits)
         number = TaskContext.get().partitionId() * PER_TASK
         out: list = []
