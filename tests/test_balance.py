@@ -1,20 +1,23 @@
 """The skew-safe plans against plain windows and brute force, with tiny slices."""
 
 import random
+import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plotweave.operators import corpus, images, ingest, planner, quality, state
+from plotweave.operators import corpus, graph, images, ingest, planner, quality, scoped, state
 from plotweave.plans.intervals import stab, stab_blocks, stab_min, with_blocks
 from plotweave.plans.nest import nested
 from plotweave.plans.pick import earliest, latest, top_per_key
 from plotweave.plans.scan import as_of, prefix_scan, slice_of
-from plotweave.registry import uploads
+from plotweave.registry import spark_queries, sql_queries, uploads
+from plotweave.registry.graphs import both_orders
 from plotweave.sources import archive, payloads
 from plotweave.views import Views
+from tools.check import compare
 
 
 @pytest.fixture(scope="module")
@@ -451,3 +454,35 @@ def test_delta_tasks_are_bounded_by_rows(spark, folder, monkeypatch):
     # Four files of two weights are twelve entries, two to a task; files are not sorted to meet their book's cast.
     assert ", 6), REPARTITION_BY_NUM" in plans[1] and "ShuffledHashJoin [book_id" in plans[1]
     assert done["rejected_uploads"].count() == 4
+
+
+def exchanges(df):
+    """The plan's lines, each with whether the line below it moves rows."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [(a, "Exchange" in b) for a, b in zip(lines, lines[1:])]
+
+
+@pytest.mark.parametrize("name", ["scoped_graph_edges", "scoped_graph_nodes"])
+def test_lines_of_a_graph_are_gathered_where_they_lie(spark, folder, name):
+    """A state moves to its block of prefixes; the lines of a prefix do not move to their digest."""
+    made = spark_queries()[name](spark, folder)
+    gathered = [moved for line, moved in exchanges(made) if re.search(r"[\[ ]collect_list\(", line.split("functions=")[-1]) and "Aggregate" in line]
+    assert gathered and not any(gathered)
+
+
+@pytest.mark.parametrize("name", ["scoped_graph_edges", "scoped_graph_nodes", "scoped_relationship_graph"])
+def test_long_books_carry_their_graph_along(spark, duck, folder, monkeypatch, name):
+    """With slices of eight events and blocks of four prefixes a book of 128 events is a long one."""
+    monkeypatch.setattr(slice_of, "__defaults__", (8,))
+    monkeypatch.setattr(scoped, "SLICE_WIDTH", 8)
+    monkeypatch.setattr(scoped, "BLOCK_BITS", 2)
+    problem, _ = compare(duck, spark_queries()[name](spark, folder), sql_queries()[name])
+    assert not problem
+
+
+def test_facts_move_once_for_both_orders(spark, folder, monkeypatch):
+    """A fact whose slice is the same along the story and along the reading is one row of the move."""
+    dealt, moved = [], scoped.in_portions
+    monkeypatch.setattr(scoped, "in_portions", lambda df, *rest: dealt.append(df.count()) or moved(df, *rest))
+    facts = scoped.pair_facts(Views(spark, folder).edge, both_orders(Views(spark, folder)))
+    assert scoped.pair_log(facts).count() > facts.count() == dealt[0]
