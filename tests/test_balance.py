@@ -480,6 +480,18 @@ def test_long_books_carry_their_graph_along(spark, duck, folder, monkeypatch, na
     assert not problem
 
 
+def test_lines_move_once_to_their_event(spark, folder):
+    """Edges and stats lie where their event's place comes: a move of the lines, one of the events."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        v = Views(spark, folder)
+        for rows in (v.edge, v.stat):
+            assert sum(moved for _, moved in exchanges(graph.edge_facts(rows, v.event))) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_facts_move_once_for_both_orders(spark, folder, monkeypatch):
     """A fact whose slice is the same along the story and along the reading is one row of the move."""
     dealt, moved = [], scoped.in_portions
