@@ -10,6 +10,7 @@ from plotweave.operators.graph import chapter_last, edge_facts, node_touches, st
 from plotweave.plans.dyadic import blocks, last_position, prefix_aggregate
 from plotweave.plans.intervals import stab, stab_min
 from plotweave.plans.scan import as_of
+from plotweave.session import cut
 
 CHAPTER = ["book_id", "chapter_idx"]
 
@@ -178,46 +179,71 @@ def prefix_summary(positions: DataFrame, events: DataFrame) -> DataFrame:
     ).filter("events > 0")
 
 
+def _chosen(events: DataFrame, begun: DataFrame) -> DataFrame:
+    """The events that end a chapter (``closing``) or that a position has begun, each once, with its ``copies``."""
+    spot = F.struct("book_id", "chapter_idx", "idx")
+    last = chapter_last(events).groupBy("id").agg(F.collect_list(spot).alias("_spots"))
+    asked = begun.select(F.col("event_row").alias("id"), F.lit(True).alias("_begun")).distinct()
+    once = events.select("id", "book_id", "chapter_idx", "idx", "event_id").repartition("id").groupBy("id", "book_id", "chapter_idx", "idx")
+    marked = once.agg(F.min("event_id").alias("event_id"), F.count("*").alias("copies")).join(last, "id", "left").join(asked, "id", "left")
+    closing = F.coalesce(F.exists("_spots", lambda s: s.eqNullSafe(spot)), F.lit(False))
+    return marked.withColumn("closing", closing).filter("closing OR _begun").drop("_spots", "_begun")
+
+
+def _merged(first: str, second: str) -> Column:
+    """Nodes of two lists, each with a character once: what both name is added up, its weight the newer one."""
+
+    def same(nodes: str, x: Column) -> Column:
+        return F.get(F.filter(nodes, lambda y: y["character_id"].eqNullSafe(x["character_id"])), F.lit(0))
+
+    def added(x: Column, y: Column) -> Column:
+        return F.struct(
+            x["character_id"].alias("character_id"),
+            (x["count"] + F.coalesce(y["count"], F.lit(0))).alias("count"),
+            F.greatest(x["newest"], y["newest"]).alias("newest"),
+        )
+
+    both = F.transform(second, lambda x: added(x, same(first, x)))
+    rest = F.filter(first, lambda x: same(second, x).isNull())
+    return F.when(F.col(first).isNull(), F.col(second)).when(F.col(second).isNull(), F.col(first)).otherwise(F.concat(both, rest))
+
+
 def prefix_nodes(positions: DataFrame, events: DataFrame, stats: DataFrame, edges: DataFrame) -> DataFrame:
     """Characters of the graph at each distinct position: newest weight and number of stats.
 
     The chosen events are those of `prefix_events`. Blocks of chapters hold each character's
     newest weight, so a reader far into a book reads a few rows per character.
     """
-    last = chapter_last(events)
-    touches = node_touches(stat_facts(stats, last), edge_facts(edges, last))
+    # The chosen events, the prefixes and the answers read this table.
+    begun = cut(started_event(positions, events).select(*CHAPTER, "at", F.col("hit.id").alias("event_row")))
+    chosen = _chosen(events, begun)
     place = F.struct("chapter_idx", "id")
     weighted = F.col("node_weight").isNotNull()
-    end = last_position(events, "chapter_idx")
-    stored = blocks(
-        touches,
-        ["book_id", "character_id"],
-        "chapter_idx",
-        {"count": F.count("node_weight"), "newest": F.max(F.when(weighted, F.struct(place.alias("place"), "node_weight")))},
-        end,
-    )
-    asked = positions.select(*CHAPTER, "at").distinct()
-    earlier = prefix_aggregate(
-        asked, stored, ["book_id"], "chapter_idx", {"count": F.sum("count"), "newest": F.max("newest")}, end, ["character_id"]
-    )
-    begun = started_event(positions, events).select(*CHAPTER, "at", F.col("hit.id").alias("event_row"))
-    chosen = events.join(begun.select(F.col("event_row").alias("id")).distinct(), "id", "left_semi")
-    here = node_touches(stat_facts(stats, chosen), edge_facts(edges, chosen)).groupBy("event_id", "character_id").agg(
-        F.count("node_weight").alias("count"), F.max(F.when(weighted, F.struct(place.alias("place"), "node_weight"))).alias("newest")
+    # Both the earlier chapters and the current one read this table.
+    touches = cut(
+        node_touches(stat_facts(stats, chosen), edge_facts(edges, chosen))
+        .groupBy("event_id", "book_id", "chapter_idx", "event_idx", "character_id", "closing", "copies")
+        .agg(
+            F.count("node_weight").alias("count"),
+            F.max(F.when(weighted, F.struct(place.alias("place"), "node_weight"))).alias("newest"),
+        )
     )
-    of_earlier = asked.join(earlier, CHAPTER, "inner").select(*CHAPTER, "at", "character_id", "count", "newest")
-    of_current = begun.join(here.withColumnRenamed("event_id", "event_row"), "event_row", "inner").select(
-        *CHAPTER, "at", "character_id", "count", "newest"
+    combined = {"count": F.sum("count"), "newest": F.max("newest")}
+    end = last_position(events, "chapter_idx")
+    stored = blocks(touches.filter("closing"), ["book_id", "character_id"], "chapter_idx", combined, end)
+    earlier = prefix_aggregate(begun, stored, ["book_id"], "chapter_idx", combined, end, ["character_id"])
+    node = F.struct("character_id", "count", "newest")
+    of_earlier = earlier.groupBy(*CHAPTER).agg(F.collect_list(node).alias("_earlier"))
+    of_event = touches.repartition("event_id").groupBy("event_id", "character_id").agg(
+        F.sum(F.col("count") * F.col("copies")).alias("count"), F.max("newest").alias("newest")
     )
-    return (
-        of_earlier.unionByName(of_current)
-        .groupBy(*CHAPTER, "at", "character_id")
-        .agg(F.max("newest").alias("newest"), F.sum("count").alias("count"))
-        .select(
-            *CHAPTER,
-            "at",
-            "character_id",
-            F.col("newest.node_weight").cast("float").alias("weight"),
-            F.nullif(F.col("count"), F.lit(0)).cast("int").alias("count"),
-        )
+    here = of_event.groupBy(F.col("event_id").alias("event_row")).agg(F.collect_list(node).alias("_here"))
+    # A position's characters are put together in its row: those of earlier chapters are not moved to it one by one.
+    at_once = begun.join(here, "event_row", "left").join(of_earlier, CHAPTER, "left")
+    return at_once.select(*CHAPTER, "at", F.explode(_merged("_earlier", "_here")).alias("node")).select(
+        *CHAPTER,
+        "at",
+        "node.character_id",
+        F.col("node.newest.node_weight").cast("float").alias("weight"),
+        F.nullif(F.col("node.count"), F.lit(0)).cast("int").alias("count"),
     )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plotweave.operators import corpus, graph, images, ingest, planner, quality, scoped, state
+from plotweave.operators import corpus, graph, images, ingest, planner, positions, quality, scoped, state
 from plotweave.plans.intervals import stab, stab_blocks, stab_min, with_blocks
 from plotweave.plans.nest import nested
 from plotweave.plans.pick import earliest, latest, top_per_key
@@ -498,3 +498,32 @@ def test_facts_move_once_for_both_orders(spark, folder, monkeypatch):
     monkeypatch.setattr(scoped, "in_portions", lambda df, *rest: dealt.append(df.count()) or moved(df, *rest))
     facts = scoped.pair_facts(Views(spark, folder).edge, both_orders(Views(spark, folder)))
     assert scoped.pair_log(facts).count() > facts.count() == dealt[0]
+
+
+def test_characters_of_a_position_are_put_together_in_its_row(spark, folder):
+    """No row per position and character moves; what a begun event names adds to what earlier chapters name."""
+    made = spark_queries()["jn_16_prefix_nodes"](spark, folder)
+    moves = [m for m in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in m]
+    assert moves and not any(" at#" in m and "character_id#" in m for m in moves)
+
+    events = spark.createDataFrame(
+        [(11, 1, 1, 1, "ch1-e1", 0, 9), (21, 1, 2, 1, "ch2-e1", 0, 9), (22, 1, 2, 2, "ch2-e2", 10, 19), (22, 1, 2, 2, "ch2-e2", 10, 19)],
+        "id long, book_id long, chapter_idx int, idx int, event_id string, start_txt int, end_txt int",
+    )
+    stats = spark.createDataFrame(
+        [(1, 11, 1, 5, 0.5), (2, 11, 1, 6, 0.25), (3, 22, 1, 5, 2.0), (4, 22, 1, 7, 1.0), (5, 21, 1, None, 4.0)],
+        "id long, event_id long, book_id long, character_id long, node_weight double",
+    )
+    edges = spark.createDataFrame([(9, 11, 1, 8, 6)], "id long, event_id long, book_id long, from_id long, to_id long")
+    positions_ = spark.createDataFrame([(1, 1, 3), (1, 2, 5), (1, 2, 12), (1, 3, 0), (2, 1, 0)], "book_id long, chapter_idx int, at int")
+    got = {}
+    for r in positions.prefix_nodes(positions_, events, stats, edges).collect():
+        got.setdefault((r.chapter_idx, r["at"]), {})[r.character_id] = (r.weight, r["count"])
+    first = {5: (0.5, 1), 6: (0.25, 1), 8: (None, None)}
+    # An event that is there twice counts twice while it is the current one, once as the end of its chapter.
+    assert got == {
+        (1, 3): first,
+        (2, 5): first | {None: (4.0, 1)},
+        (2, 12): first | {5: (2.0, 3), 7: (1.0, 2)},
+        (3, 0): first | {5: (2.0, 2), 7: (1.0, 1)},
+    }
