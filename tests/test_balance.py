@@ -14,7 +14,7 @@ from plotweave.plans.nest import nested
 from plotweave.plans.pick import earliest, latest, top_per_key
 from plotweave.plans.scan import as_of, prefix_scan, slice_of
 from plotweave.registry import spark_queries, sql_queries, uploads
-from plotweave.registry.graphs import both_orders
+from plotweave.registry.graphs import both_orders, resolved_scopes
 from plotweave.sources import archive, payloads
 from plotweave.views import Views
 from tools.check import compare
@@ -527,3 +527,18 @@ def test_characters_of_a_position_are_put_together_in_its_row(spark, folder):
         (2, 12): first | {5: (2.0, 3), 7: (1.0, 2)},
         (3, 0): first | {5: (2.0, 2), 7: (1.0, 1)},
     }
+
+
+def test_touches_of_an_event_are_one_row_of_a_character(spark, folder, monkeypatch):
+    """The stat and the edges of an event that name a character move as one row; tasks are bounded by rows."""
+    v = Views(spark, folder)
+    facts = scoped.touch_facts(v.stat, v.edge, both_orders(v))
+    ends = v.edge.select("event_id", F.explode(F.array("from_id", "to_id")).alias("character_id"))
+    assert facts.count() == v.stat.select("event_id", "character_id").union(ends).distinct().count()
+    assert facts.agg(F.sum("weight"), F.sum("count")).first() == v.stat.agg(F.sum("node_weight"), F.count("*")).first()
+
+    monkeypatch.setattr(scoped, "FACTS", 50)
+    monkeypatch.setattr(scoped, "STATES", 200)
+    asked = resolved_scopes(v)
+    plan = scoped.at_prefixes(scoped.node_log(facts), asked, 2 * facts.count())._jdf.queryExecution().sparkPlan().toString()
+    assert f"{-(-facts.count() // 50)}), REPARTITION_BY_NUM" in plan and f"{-(-2 * facts.count() // 100)}), REPARTITION_BY_NUM" in plan
