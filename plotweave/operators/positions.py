@@ -13,6 +13,8 @@ from plotweave.plans.scan import as_of
 from plotweave.session import cut
 
 CHAPTER = ["book_id", "chapter_idx"]
+# Rows of a file: a task reads some tens of them.
+TOUCHES = 100_000
 
 
 def containing_event(positions: DataFrame, events: DataFrame) -> DataFrame:
@@ -226,7 +228,8 @@ def prefix_nodes(positions: DataFrame, events: DataFrame, stats: DataFrame, edge
         .agg(
             F.count("node_weight").alias("count"),
             F.max(F.when(weighted, F.struct(place.alias("place"), "node_weight"))).alias("newest"),
-        )
+        ),
+        TOUCHES,
     )
     combined = {"count": F.sum("count"), "newest": F.max("newest")}
     end = last_position(events, "chapter_idx")
