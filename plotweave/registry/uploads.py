@@ -51,6 +51,9 @@ class EventLines(Views):
         rows = super().table(name)
         return in_portions(rows, self.rows, LINES, "l_orderkey") if name == "lineitem" else rows
 
+    def by_event(self, lines):
+        return lines
+
 
 def delta_uploads(v: Views):
     """One payload file per event; every kind of defect occurs in one seventeenth of them."""
